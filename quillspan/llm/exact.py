@@ -18,8 +18,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import shared_dir
+from quillspan.llm.common import shared_dir, stage
 
+#: Up to so many hit digests (32 bytes each) are sent to every executor; with more, the join shuffles the texts.
+BROADCAST_ROWS = 1 << 20
 RUN = "digest binary, min_id long, max_id long, n long"
 
 
@@ -93,17 +95,23 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for k in range(batches):
         part = F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(batches)) == k
         index.flush(digests.where(part))
-    classes = index.merged()
+    classes = stage(index.merged(), "digests")
     hits = classes.where("n > 1").select("digest")
-    texts = rows.select("text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")).join(hits, "digest", "left_semi")
-    clash = texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest")
-    clash_rows = rows.select("id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")).join(clash, "digest", "left_semi")
-    split = clash_rows.groupBy("digest", "text").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n"))
+    if hits.count() <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    with_text = rows.select("id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    texts = with_text.join(hits, "digest", "left_semi")
+    clash = stage(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "clashes")
 
     kept_id = F.col("max_id" if keep == "max" else "min_id")
     result = ["id", kept_id.alias("keep_id"), F.col("n").alias("group_size"), "digest"]
-    plain = digests.join(classes, "digest").join(clash, "digest", "left_anti").select(*result)
-    apart = clash_rows.join(split, ["digest", "text"]).select(*result)
-    return plain.unionByName(apart).select(
+    every = digests.join(classes, "digest")
+    if clash.isEmpty():
+        every = every.select(*result)
+    else:
+        clash_rows = with_text.join(clash, "digest", "left_semi")
+        split = clash_rows.groupBy("digest", "text").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n"))
+        every = every.join(clash, "digest", "left_anti").select(*result).unionByName(clash_rows.join(split, ["digest", "text"]).select(*result))
+    return every.select(
         F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
