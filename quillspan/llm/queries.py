@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import exact, lm, pii, simhash, tokens
+from quillspan.llm import exact, lm, packing, pii, quality, simhash, tokens
 from quillspan.llm.common import table
 
 
@@ -29,6 +30,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ensemble = quality.learn(docs, table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return quality.score(docs, ensemble, folds=4, held_out=2, threshold=0.7)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=2, window=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -49,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_lm_scores": op2_lm_scores,
         "op3_pii": op3_pii,
+        "op5_quality": op5_quality,
+        "op6_packing": op6_packing,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
