@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import exact, lm, packing, pii, quality, simhash, tokens
+from quillspan.llm import decontaminate, exact, html, lm, packing, pii, quality, simhash, tokens
 from quillspan.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ensemble = quality.learn(docs, table(spark, sf_dir, "labels"), folds=4, held_out=2)
@@ -41,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -61,8 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_lm_scores": op2_lm_scores,
         "op3_pii": op3_pii,
+        "op4_decontaminate": op4_decontaminate,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op7_html_text": op7_html_text,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
