@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, exact, html, lm, packing, pii, quality, simhash, tokens
+from quillspan.llm import decontaminate, exact, html, lines, lm, packing, pii, quality, simhash, tokens
 from quillspan.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -57,6 +61,43 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(table(spark, sf_dir, "documents"), keep="max")
 
 
+#: Word variants per line, then the earliest line per variant; as in the operator, an earlier line need not stay itself.
+OP8_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, i AS pos,
+         trim(regexp_replace(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\x0B\f\r ]+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
+), counted AS (
+  SELECT doc_id, pos, norm, (doc_id, pos) AS place FROM lines WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5
+), firsts AS (
+  SELECT norm, min(place) AS born, string_split(norm, ' ') AS w FROM counted GROUP BY norm
+), variants AS (
+  SELECT norm, born, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
+  FROM (SELECT norm, born, w, unnest(range(1, len(w) + 1)) AS i FROM firsts)
+), swap AS (
+  SELECT norm, born, min(born) OVER (PARTITION BY v, i) AS earlier FROM variants
+), pairs AS (
+  SELECT a.norm AS longer, a.born AS longer_first, b.norm AS shorter, b.born AS shorter_first
+  FROM variants a JOIN firsts b ON a.v = b.norm
+), near AS (
+  SELECT norm FROM swap WHERE earlier < born
+  UNION SELECT longer FROM pairs WHERE shorter_first < longer_first
+  UNION SELECT shorter FROM pairs WHERE longer_first < shorter_first
+), gone AS (
+  SELECT c.doc_id, c.pos FROM counted c JOIN firsts f USING (norm) LEFT JOIN near n USING (norm)
+  WHERE c.place > f.born OR n.norm IS NOT NULL
+), positions AS (
+  SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
+), cleaned AS (
+  SELECT doc_id, len(ls) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+         array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10)) AS kept
+  FROM split LEFT JOIN positions USING (doc_id)
+)
+SELECT doc_id, n_lines, n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM cleaned
+"""
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -73,10 +114,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op7_html_text": op7_html_text,
+        "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
