@@ -17,91 +17,119 @@ from pyspark.sql import functions as F
 
 SHARD_BYTES = 6 << 20
 #: Bytes of words that a worker remembers the ids of.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 80 << 20
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 
 class WordIds:
-    """Ids of texts, word by word: the tokenizer never joins over white space, so each different word is encoded once."""
+    """Ids of texts, word by word: the tokenizer never joins over white space, so each different word is encoded once.
+
+    Its normaliser lower-cases, and a run of marks after a letter is a piece of its own, so
+    A-Z are lower-cased and such runs at a word's end are split off beforehand. Texts that
+    hold the beginning of a special string are left as they are.
+    """
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib, self.end = Tokenizer.from_file(path), end
+        self.mark = "<|startoftext|>"
+        self.mark_id = self.lib.token_to_id(self.mark)
         self._reset()
 
     def _reset(self) -> None:
         import numpy as np
 
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {"": 1}
         self.held = 0
         self.flat = np.array([self.end], np.uint32)
-        self.begin = np.zeros(1, np.int64)
-        self.size = np.ones(1, np.int64)
+        self.begin = np.array([0, 1], np.int64)  # of the end id, and of no word
+        self.size = np.array([1, 0], np.int64)
 
-    def encode(self, texts: list[bytes]) -> list:
-        """One array of ids per text, the end id last."""
+    def _ids(self, words: list[str]) -> list:
+        """Ids of different words; many are encoded in one call, with a special string between them."""
         import numpy as np
 
+        out: list = []
+        apart = [w for w in words if "<|" in w]
+        if apart or self.mark_id is None:
+            single = dict(zip(apart or words, (e.ids for e in self.lib.encode_batch_fast(apart or words, add_special_tokens=False))))
+            rest = iter(self._ids([w for w in words if w not in single]) if len(single) < len(words) else [])
+            return [np.array(single[w], np.uint32) if w in single else next(rest) for w in words]
+        for k in range(0, len(words), 1000):
+            ids = np.array(self.lib.encode_batch_fast([self.mark.join(words[k : k + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            out += [ids[s:e] for s, e in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
+        return out
+
+    def encode(self, texts) -> list:
+        """One array of ids per text of a string array, the end id last."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if self.held > MEMO_BYTES:
             self._reset()
-        number, new = self.number, []
-        places, lengths = [], []
-        for t in texts:
-            own = t.split()
-            for w in set(own).difference(number):
-                number[w] = len(number) + 1
-                new.append(w)
-            places.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-            places.append(np.zeros(1, np.int64))
-            lengths.append(len(own) + 1)
+        low = pc.ascii_lower(texts)
+        cut = pc.replace_substring_regex(low, r"([a-z])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(low, "<|"), texts, cut))
+        coded = pc.dictionary_encode(split.flatten())
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        words, number = coded.dictionary.to_pylist(), self.number
+        new = [w for w in words if w not in number]
         if new:
             self.held += sum(map(len, new)) + 100 * len(new)
-            ids = [e.ids for e in self.lib.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            number.update(zip(new, range(len(self.begin), len(self.begin) + len(new))))
+            ids = self._ids(new)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))])
-        place = np.concatenate(places)
+            self.flat = np.concatenate([self.flat, *ids])
+        own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        begins = split.offsets.to_numpy() - split.offsets[0].as_py()
+        place = np.insert(own, begins[1:], 0)  # the end after each text
         size = self.size[place]
         ends = np.cumsum(size)
-        total = int(ends[-1])
-        flat = self.flat[np.repeat(self.begin[place] - (ends - size), size) + np.arange(total)]
-        cuts = ends[np.cumsum(lengths) - 1]
-        return np.split(flat, cuts[:-1])
+        flat = self.flat[np.repeat(self.begin[place] - (ends - size), size) + np.arange(int(ends[-1]))]
+        return np.split(flat, ends[begins[1:] + np.arange(len(begins) - 1)][:-1])
 
 
 _words: dict[tuple[str, int], WordIds] = {}
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shard_key, ids): little-endian unsigned 32-bit ids of every whole text, then the end id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    """(id, shard_key, ids): ids of every whole text, then the end id, as little-endian unsigned integers of 16 bits if the vocabulary fits, else 32."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("shard_key", F.xxhash64("id", "t"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         key = (tokenizer_path, end)
         if key not in _words:
             _words[key] = WordIds(*key)
+        kind = id_type(_words[key].lib.get_vocab_size())
         for batch in batches:
-            texts, done = batch.column(1).to_pylist(), 0
-            while done < len(texts):
-                upto, size = done, 0
-                while upto < len(texts) and size < 4 << 20:
-                    size += len(texts[upto])
-                    upto += 1
-                ids = [x.astype("<u4").tobytes() for x in _words[key].encode(texts[done:upto])]
-                part = slice(done, upto)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(2)[part], pa.array(ids, pa.binary())], names=["id", "shard_key", "ids"])
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            done = 0
+            while done < batch.num_rows:
+                before = int(size[done - 1]) if done else 0
+                upto = max(done + 1, int(np.searchsorted(size, before + (6 << 20))))
+                ids = [x.astype(kind).tobytes() for x in _words[key].encode(batch.column(1)[done:upto])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done:upto], batch.column(2)[done:upto], pa.array(ids, pa.binary())], names=["id", "shard_key", "ids"])
                 done = upto
 
     return rows.mapInArrow(run, "id long, shard_key long, ids binary")
 
 
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class Index:
     """BM25 inverted index over the documents of a shard."""
 
@@ -191,6 +219,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, window: int = 4096,
     read. Shards are sized by the bytes of the whole input, so their number grows with it
     and a task holds about ``shard_bytes`` of text, or one longer document.
     """
+    from tokenizers import Tokenizer
+
+    kind = id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size())
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) + F.count(F.lit(1))).first()[0]
     shards = max(1, round(total / shard_bytes))
     ids = token_ids(docs, tokenizer_path, end, id_col, text_col).select(F.pmod("shard_key", F.lit(shards)).alias("shard"), "id", "ids")
@@ -202,7 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, window: int = 4096,
         shard = key[0].as_py()
         rows = sorted(zip(rows["id"].to_pylist(), rows["ids"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         names = [r[0] for r in rows]
-        tokens = [np.frombuffer(r[1], "<u4") for r in rows]
+        tokens = [np.frombuffer(r[1], kind) for r in rows]
         got = list(fill_windows(tokens, window))
         doc, start, length, sequence, offset = ([p[k] for p in got] for k in range(5))
         long = pa.int64()
@@ -214,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, window: int = 4096,
                 "doc_tokens": pa.array([len(tokens[d]) for d in doc], long),
                 "sequence_id": pa.array([shard << 32 | s for s in sequence], long),
                 "offset": pa.array(offset, long),
-                "ids": pa.array([tokens[d][s : s + n].tobytes() for d, s, n in zip(doc, start, length)], pa.binary()),
+                "ids": pa.array([tokens[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length)], pa.binary()),
             }
         )
 
