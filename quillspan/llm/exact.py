@@ -39,7 +39,7 @@ class MergeIndex:
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.home}/{level}-{uuid.uuid4().hex}"
-        (run.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("compression", "zstd").parquet(path))
+        (run.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("compression", "zstd").parquet(path))
         self.levels.setdefault(level, []).append(path)
         if len(self.levels[level]) >= self.fanout:
             self.compact(level)
