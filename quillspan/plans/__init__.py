@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("reports", "learner")
+MODULES = ("near", "reports", "learner")
 
 
 def _load() -> None:
