@@ -2,7 +2,7 @@
 
 A line of at least ``MIN_WORDS`` words goes if an earlier line (by document id, then
 position) is equal or one word away: one word changed, put in or left out. Lines are
-compared with A-Z lower-cased and white space collapsed.
+compared in lower case and with white space collapsed.
 
 Every line that can have such a neighbour emits its variants with one word deleted as
 hashed keys: equal variants with the same place deleted differ in that word at most, and
@@ -27,20 +27,25 @@ from quillspan.llm.common import stage
 MIN_WORDS = 5
 #: Up to so many candidate lines (8 bytes each) are sent to every executor; with more, the lines are shuffled to them.
 BROADCAST_ROWS = 1 << 20
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), r"[\t\x0B\f\r ]+", " "))
+def _normal(text: Column) -> Column:
+    """The lines of a text in lower case, with white space collapsed; the slow pattern runs only in texts that need it."""
+    plain = F.split(F.lower(text), "\n", -1)
+    collapsed = F.transform(plain, lambda x: F.regexp_replace(x, r"[\t\x0B\f\r ]+", " "))
+    return F.transform(F.when(text.rlike(r"[\t\x0B\f\r]| {2}"), collapsed).otherwise(plain), lambda x: F.trim(x))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(at, norm, n, digest) of every line that counts; ``at`` = (id, pos, row) orders lines and names their row by id and text hash."""
+    """(at, norm, n, digest) of every line that counts; ``at`` = (id, pos, row) orders lines and names their row by id and text hash.
+
+    The lines are made ready inside the array, so each is worked on once whatever is filtered later.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    rows = rows.select("id", F.xxhash64("t").alias("row"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    rows = rows.select(F.struct("id", "pos", "row").alias("at"), normal(F.col("line")).alias("norm"))
-    rows = rows.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1).where((F.col("norm") != "") & (F.col("n") >= min_words))
-    return rows.withColumn("digest", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    size = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "))) + 1
+    ready = F.transform(_normal(F.col("t")), lambda x: F.struct(x.alias("norm"), size(x).alias("n")))
+    rows = rows.select("id", F.xxhash64("t").alias("row"), F.posexplode(ready).alias("pos", "x")).where((F.col("x.n") >= min_words) & (F.col("x.norm") != ""))
+    return rows.select(F.struct("id", "pos", "row").alias("at"), "x.norm", "x.n", F.unhex(F.md5(F.col("x.norm").cast("binary"))).alias("digest"))
 
 
 def _part(words: str, count: Column) -> Column:
@@ -79,7 +84,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, row, gone): for each row with lines that go, the sorted positions of those lines; ``row`` is the hash of its text."""
     lines = _lines(docs, id_col, text_col, min_words)
     halves = _half_keys()
-    known = lines.select("digest", "at", "n", F.transform(halves, lambda h: h["half"]).alias("halves"))
+    known = stage(lines.select("digest", "at", "n", F.transform(halves, lambda h: h["half"]).alias("halves")), "every-line")
     distinct = stage(known.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
 
     # which distinct lines share a half with another one, and in which half an edit may lie
@@ -131,7 +136,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("digest", F.lit(True).alias("near"))
     )
     marked = stage(distinct.select("digest", "first", "times").join(near, "digest", "left").where("times > 1 or near").select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
-    gone = lines.select("digest", "at").join(marked, "digest").where("near or at > first")
+    gone = known.select("digest", "at").join(marked, "digest").where("near or at > first")
     return gone.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.sort_array(F.collect_set("at.pos")).alias("gone"))
 
 

@@ -67,7 +67,7 @@ WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), lines AS (
   SELECT doc_id, i AS pos,
-         trim(regexp_replace(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\x0B\f\r ]+', ' ', 'g')) AS norm
+         trim(regexp_replace(lower(ls[i]), '[\t\x0B\f\r ]+', ' ', 'g')) AS norm
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
 ), counted AS (
   SELECT doc_id, pos, norm, (doc_id, pos) AS place FROM lines WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5
