@@ -35,6 +35,10 @@ VIEWS = {
     "v_questions": "SELECT DISTINCT cast(user_id AS bigint) AS session_id, event_type AS concept FROM {events}",
     "v_attempts": """SELECT cast(event_id AS bigint) AS id, cast(user_id AS bigint) AS session_id, event_type AS concept,
         CASE WHEN value < 20 THEN 0 WHEN value < 55 THEN 1 ELSE 2 END AS score, event_id % 11 = 0 AS disputed FROM {events}""",
+    "v_turns": """SELECT cast(conv_id AS bigint) AS video, cast(turn AS bigint) AS turn, role, text,
+        cast(length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS bigint) AS words FROM {conversations}""",
+    "v_transcript": """SELECT video, turn, text, words, cast(floor(0.4 * coalesce(sum(words) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS bigint) AS start,
+        cast(floor(0.4 * sum(words) OVER (PARTITION BY video)) AS bigint) AS duration FROM {v_turns}""",
 }
 
 
@@ -49,11 +53,13 @@ def sql_of(text: str) -> str:
                 needed.append(name)
 
     need(text)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
+    plain = lambda t: re.sub(r"\{(" + "|".join([*VIEWS, *TABLES]) + r")\}", r"\1", t)
     body = plain(text).strip()
     if not needed:
         return body
     views = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in needed)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
 
 
