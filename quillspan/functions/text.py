@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 C = Column | str
 
@@ -35,7 +36,7 @@ def escape_html(c: C) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """NFKD without combining marks; Spark has no such function."""
     decomposed = texts.str.normalize("NFKD")
