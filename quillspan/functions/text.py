@@ -14,6 +14,16 @@ def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: as a lambda's parameter it is not repeated wherever ``fn`` uses it, nor in each step of a lambda inside."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def word_grams(words: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` words; of all the words if there are fewer."""
+    return once(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))))
+
+
 def normalize_space(c: C) -> Column:
     """White space runs (Unicode) become one space; trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))

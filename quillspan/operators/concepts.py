@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import normalize_quote, title_key
+from quillspan.functions.text import normalize_quote, title_key, word_grams
 from quillspan.operators.fixpoint import cut
 from quillspan.operators.sets import union_ignore
 
@@ -33,9 +33,7 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, quote:
     """
     q = quotes.select(quote_id, normalize_quote(quote).alias("q")).where("q <> ''")
     s = sections.select(section_id, normalize_quote(text).alias("t"))
-    grams = lambda c: F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split(c, " ")) - gram, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.split(c, " "), i + 1, F.lit(gram)), " ")))
-    )
+    grams = lambda c: word_grams(F.split(c, " "), gram)
     # the words at the ends of a quote may be parts of words in the text
     inner = F.array_join(F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))), " ")
     long_ = q.where(F.size(F.split("q", " ")) >= gram + 2).select(quote_id, "q", F.explode(grams(inner)).alias("g"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import shingle_words
+from quillspan.functions.text import shingle_words, word_grams
 from quillspan.operators.fixpoint import cut
 
 SHINGLE = 5
@@ -16,11 +16,9 @@ MIN_WORDS = 50
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, words, n, shingle): distinct 5-grams of texts with enough words; ``words`` counts words, ``n`` shingles."""
-    w = docs.select(F.col(id_col).alias("id"), shingle_words(text_col).alias("w"))
-    w = w.withColumn("words", F.size("w")).where(F.col("words") >= max(min_words, SHINGLE))
-    last = F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("w", F.greatest(i, F.lit(1)), F.lit(SHINGLE)), " "))))
-    return w.select("id", F.col("words").cast("long").alias("words"), grams.alias("g")).select("id", "words", F.size("g").cast("long").alias("n"), F.explode("g").alias("shingle"))
+    sets = F.transform(F.array(shingle_words(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("words"), F.when(F.size(w) >= max(min_words, SHINGLE), word_grams(w, SHINGLE)).alias("g")))
+    w = docs.select(F.col(id_col).alias("id"), F.explode(sets).alias("x")).where(F.col("x.words") >= max(min_words, SHINGLE))
+    return w.select("id", F.col("x.words").alias("words"), F.size("x.g").cast("long").alias("n"), F.explode("x.g").alias("shingle"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:

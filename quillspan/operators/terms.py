@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import contains_term, normalize_quote, normalize_space
+from quillspan.functions.text import contains_term, normalize_quote, normalize_space, once
 
 #: Words that are no terms on their own, and label words.
 COMMON_WORDS = (
@@ -41,19 +41,23 @@ def marked_terms(pages: DataFrame, id_col: str = "page_id", html: str = "html")
 
 def clean_term(term: Column, max_words: Column, max_length: int = 60) -> Column:
     """The term without quotes and marks around it, or null where it is none."""
-    t = F.regexp_replace(normalize_space(term), r"^[\s\"“'‘(\[]+|[\s\"”'’)\].,;:\-–—]+$", "")
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS.split()])
-    ok = (
-        (t != "")
-        & (F.length(t) <= max_length)
-        & (F.size(F.split(t, " ")) <= max_words)
-        & t.rlike(r"\p{L}")
-        & ~t.rlike(r"[.!?]\s")
-        & ~t.rlike("[=<>]")
-        & ~t.rlike(LABEL)
-        & ~(~t.contains(" ") & F.array_contains(common, F.lower(t)))
-    )
-    return F.when(ok, t)
+    trimmed = F.regexp_replace(normalize_space(term), r"^[\s\"“'‘(\[]+|[\s\"”'’)\].,;:\-–—]+$", "")
+
+    def kept(t: Column) -> Column:
+        common = F.array(*[F.lit(w) for w in COMMON_WORDS.split()])
+        ok = (
+            (t != "")
+            & (F.length(t) <= max_length)
+            & (F.size(F.split(t, " ")) <= max_words)
+            & t.rlike(r"\p{L}")
+            & ~t.rlike(r"[.!?]\s")
+            & ~t.rlike("[=<>]")
+            & ~t.rlike(LABEL)
+            & ~(~t.contains(" ") & F.array_contains(common, F.lower(t)))
+        )
+        return F.when(ok, t)
+
+    return once(trimmed, kept)
 
 
 def clean_terms(terms: DataFrame) -> DataFrame:
