@@ -155,6 +155,30 @@ def split_by_size(blocks: DataFrame, keys: Sequence[str], most: int = 2500, orde
     return _fold(blocks, keys, order, F.col("words"), lambda a, x: ~((a["sum"] > 0) & (a["sum"] + x["size"] > most)), "part")
 
 
+def refine(blocks: DataFrame, keys: Sequence[str], most: int = 2500, least: int = 40, order: str = "pos", levels: int = 6) -> DataFrame:
+    """Sections (``path``, ``part``) of blocks that already have a ``section``: one over ``most`` words splits at its best sub-heading level, small pieces join their neighbours, and again, at most once per heading level; what is still too large splits by size.
+
+    Only sections that are too large and have a heading after their first block change in a
+    round, so the rounds end with the headings.
+    """
+    keys = list(keys)
+    b = blocks.withColumn("path", F.format_string("%04d", F.col("section")))
+    for _ in range(levels):
+        own = Window.partitionBy(*keys, "path")
+        run = own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        b = b.withColumns({"_w": F.sum("words").over(own), "_first": F.min(order).over(own)})
+        head = (F.col("kind") == "heading") & (F.col(order) > F.col("_first"))
+        b = b.withColumn("_top", F.when(F.col("_w") > most, F.min(F.when(head, F.col("level"))).over(own)))
+        b = b.withColumn("_sub", F.sum(F.when(head & (F.col("level") == F.col("_top")), 1).otherwise(0)).over(run))
+        size = F.sum("words").over(Window.partitionBy(*keys, "path", "_sub"))
+        starts = (F.row_number().over(Window.partitionBy(*keys, "path", "_sub").orderBy(order)) == 1) & (size >= least)
+        b = b.withColumn("_start", starts.cast("int")).withColumn("_m", F.greatest(F.sum("_start").over(run), F.lit(1)))
+        b = b.withColumn("path", F.when(F.col("_top").isNotNull(), F.concat("path", F.lit("."), F.format_string("%04d", F.col("_m")))).otherwise(F.col("path")))
+        b = b.drop("_w", "_first", "_top", "_sub", "_start", "_m")
+    parts = split_by_size(b, [*keys, "path"], most, order)
+    return b.join(parts, [*keys, "path", order])
+
+
 def group_sections(sections: DataFrame, keys: Sequence[str], count: int = 8, tokens: int = 24000, order: str = "number") -> DataFrame:
     """Request groups of at most ``count`` sections and ``tokens`` tokens (words x 1.4, rounded up)."""
     return _fold(sections, keys, order, F.ceil(F.col("words") * 1.4), lambda a, x: (a["count"] < count) & (a["sum"] + x["size"] <= tokens), "grp")

@@ -101,6 +101,27 @@ def b12(spark, d):
     return S.group_sections(view(spark, d, "v_sections"), ["book_id", "chapter"], 2, 2500)
 
 
+@query("b8_refine")
+def b8(spark, d):
+    return S.refine(_split(spark, d), ["doc_id"], 300, 40).groupBy("doc_id", "path", "part").agg(F.sum("words").alias("words"), F.min("pos").alias("start"))
+
+
+@query("b3_chapter_spans", f"SELECT doc_id AS book, cast(pos AS bigint) AS start, cast(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n) AS bigint) AS \"end\" FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES} l) t QUALIFY pos = 0 OR pos % 4 = 2".replace("coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n)", "coalesce(min(CASE WHEN pos % 4 = 2 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n)"))
+def b3(spark, d):
+    b = _blocks(spark, d)
+    starts = b.where("pos % 4 = 2").select(F.col("doc_id").alias("book"), F.col("pos").alias("entry"), F.col("text").alias("title"), "pos")
+    ends = b.groupBy(F.col("doc_id").alias("book")).agg(F.count(F.lit(1)).alias("n"))
+    alone = ends.join(starts, "book", "left_anti").select("book", F.lit(0).cast("long").alias("entry"), F.lit("All").alias("title"), F.lit(0).cast("long").alias("pos"))
+    return S.chapter_spans(starts.unionAll(alone), ends).select("book", "start", "end")
+
+
+@query("j6_locate")
+def j6(spark, d):
+    b = _blocks(spark, d).select(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("file"), F.array(F.md5(F.substring("text", 1, 5).cast("binary"))).alias("anchors"), (F.col("doc_id") * 10000 + F.col("pos")).alias("pos"))
+    targets = b.where("pos % 7 = 0").select("file", F.when(F.col("pos") % 2 == 0, F.get("anchors", F.lit(0))).otherwise("none").alias("anchor")).distinct()
+    return S.locate(targets, b)
+
+
 @query("b13_quality_warnings", f"SELECT doc_id, code FROM (SELECT doc_id, unnest(['empty_section', 'lost_text', 'size_split']) AS code, w, s FROM (SELECT doc_id, {_WORDS.format('text')} AS w, n_chars / 5 AS s FROM {{documents}}) a) b WHERE code = 'empty_section' AND w = 0 OR code = 'lost_text' AND s >= 30 AND w < s * 0.9 OR code = 'size_split' AND w > 500")
 def b13(spark, d):
     s = _docs(spark, d).select("doc_id", count_words("text").alias("words"), (F.col("n_chars") / 5).alias("source_words"))
