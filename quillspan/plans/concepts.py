@@ -225,3 +225,25 @@ def c12(spark, d):
 def c14(spark, d):
     b = view(spark, d, "benchmark")
     return C.pick_better(b.where("item_id % 4 <> 0").selectExpr("item_id section_id", "length(text) % 5 bad"), b.where("item_id % 5 <> 0").selectExpr("item_id section_id", "item_id % 3 bad"))
+
+
+@query("c13_check_references", "SELECT conv_id, turn, md5(replace(text, '[', '') || CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN ' [1]' ELSE ' [1]' END) AS text_md5 FROM {conversations} WHERE role = 'assistant' AND NOT contains(text, '`')")
+def c13(spark, d):
+    a = view(spark, d, "conversations").where("role = 'assistant' and not contains(text, '`')").withColumn("answer", F.col("conv_id") * 100000 + F.col("turn"))
+    marks = F.when(F.col("turn") % 3 == 0, " [1][3]").when(F.col("turn") % 3 == 1, " [2] [2]").otherwise(" [1] [2][2]")
+    answers = a.select("answer", "conv_id", "turn", F.concat(F.replace("text", F.lit("["), F.lit("")), marks).alias("text"))
+    refs = a.select("answer", F.explode(F.expr("array(1L, 2L, 3L)")).alias("number"), F.col("answer").alias("source_id"), F.substring("text", 1, 30).alias("first"))
+    refs = refs.withColumn("quote", F.when((F.col("number") == 2) & (F.trim("first") != ""), F.col("first")).otherwise("words that no text holds")).drop("first")
+    fixed, _ = C.check_references(answers, refs, a.select(F.col("answer").alias("source_id"), F.col("text").alias("source_text")))
+    return fixed.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    "c15_usable_questions",
+    """SELECT set_id, pos FROM (SELECT *, bool_or(n = 0) OVER (PARTITION BY set_id) AS open_ FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY pos) AS r FROM
+    (SELECT user_id AS set_id, event_id AS pos, event_id % 4 AS n, event_id % 5 AS answer FROM {events}) a WHERE n = 0 OR (n >= 2 AND answer < n)) b WHERE r <= 5) c WHERE open_""",
+)
+def c15(spark, d):
+    choices = F.when(F.col("event_id") % 4 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.sequence(F.lit(1), F.col("event_id") % 4), lambda i: i.cast("string")))
+    e = view(spark, d, "events").select(F.col("user_id").alias("set_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), choices.alias("choices"), (F.col("event_id") % 5).alias("answer"))
+    return C.usable_questions(e).select("set_id", "pos")

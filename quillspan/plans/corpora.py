@@ -303,3 +303,21 @@ def s_text(spark, d):
 def s5(spark, d):
     docs = view(spark, d, "documents").where(~F.contains(F.substring("text", 1, 90), F.lit("ß")))
     return docs.select("doc_id", T.slugify(F.substring("text", 1, 90)).alias("slug"))
+
+
+@query(
+    "t3_summary_items",
+    """SELECT doc_id, pos, item_md5 FROM (SELECT doc_id, pos, md5(CASE WHEN length(line) > 300 THEN substring(line, 1, 297) || '...' ELSE line END) AS item_md5, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM
+    (SELECT doc_id, cast(pos AS bigint) AS pos, line, bool_or(pos % 5 = 1) OVER (PARTITION BY doc_id) AS has FROM (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents}) s) l) m
+    WHERE (has AND pos % 5 = 1 OR NOT has) AND len(string_split_regex(trim(line), '\\s+')) >= 3) t WHERE r <= 20""",
+)
+def t3(spark, d):
+    b = view(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumns({"kind": F.when(F.col("pos") % 5 == 1, "item").otherwise("paragraph"), "pos": F.col("pos").cast("long")})
+    return M.summary_items(b, "doc_id").select("doc_id", "pos", F.md5(F.col("item").cast("binary")).alias("item_md5"))
+
+
+@query("w4_llms_chapters", "SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY page_id) AS r FROM {pages} WHERE starts_with(url, 'https://')) t WHERE r = 1")
+def w4(spark, d):
+    p = _pages(spark, d)
+    lines = p.select(F.lit("s").alias("site"), F.col("page_id").alias("pos"), F.concat(F.lit("- [T]("), F.col("url"), F.lit("): note")).alias("line"))
+    return W.llms_chapters(lines, "https://").select(F.col("pos").alias("page_id"), "url")

@@ -209,3 +209,33 @@ def j13(spark, d):
     blocks = i.select("doc", "page", F.col("idx").alias("pos"), (F.col("y") - 800).alias("top"))
     anchors = i.where("idx % 5 = 0").select("doc", "page", F.col("idx").alias("anchor"), (F.col("y") - 800 + 7).alias("anchor_top"))
     return S.place_anchors(blocks, anchors)
+
+
+def _two_columns(spark, d):
+    """Every second item moves to a right column at the height of the item before."""
+    i = _items(spark, d)
+    right = F.col("idx") % 2 == 1
+    return i.withColumns({"x": F.when(right, 320.0).otherwise(72.0), "y": F.when(right, F.col("y") + 14).otherwise(F.col("y")), "width": F.lit(200.0)})
+
+
+@query("l5_column_gutter", f"SELECT source AS doc, doc_id AS page, 272.0::DOUBLE AS gutter FROM {_LINES} l GROUP BY 1, 2 HAVING count(*) >= 20")
+def l5(spark, d):
+    return S.column_gutter(_two_columns(spark, d))
+
+
+@query("l5_reading_order", f"SELECT source AS doc, doc_id AS page, cast(pos AS bigint) AS idx, row_number() OVER (PARTITION BY source, doc_id ORDER BY CASE WHEN n >= 20 THEN pos % 2 ELSE 0 END, pos // 2, pos % 2) AS position FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES} l) t")
+def l5r(spark, d):
+    return S.reading_order(_two_columns(spark, d)).select("doc", "page", "idx", "position")
+
+
+@query("l6_toc_from_headings", f"SELECT source AS doc, doc_id AS page, md5(line) AS text_md5 FROM {_LINES} l WHERE pos = 0 AND source IN (SELECT source FROM {{documents}} GROUP BY 1 HAVING count(*) >= 2)")
+def l6(spark, d):
+    i = _items(spark, d)
+    headings = i.join(S.heading_levels(i), ["doc", "size"])
+    return S.toc_from_headings(headings).select("doc", "page", F.md5(F.col("str").cast("binary")).alias("text_md5"))
+
+
+@query("l7_drop_repeated_images", "SELECT l_suppkey AS doc, l_partkey % 97 AS image, l_orderkey AS page FROM {lineitem} WHERE (l_suppkey, l_partkey % 97) NOT IN (SELECT (l_suppkey, l_partkey % 97) FROM {lineitem} GROUP BY l_suppkey, l_partkey % 97 HAVING count(DISTINCT l_orderkey) >= 9)")
+def l7(spark, d):
+    placed = view(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 97).alias("image"), F.col("l_orderkey").alias("page"))
+    return S.drop_repeated_images(placed, 9)
