@@ -30,8 +30,10 @@ DROPPED = frozenset("nav footer aside form select button dialog menu head label
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
 #: Words in a class, id or role that mark boilerplate.
 MARKS = frozenset(
-    "ad ads adbox advert advertisement advertising adv sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login register comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations teaser pagination pager toolbar skip hidden search searchform form copyright legal disclaimer complementary contentinfo dialog".split()
+    "ad ads adbox advert advertisement advertising adv sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login register comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar skip hidden search searchform form copyright legal disclaimer complementary contentinfo dialog".split()
 )
+#: Those that also hold for an article element, which may be a comment or a link to another article.
+STRICT = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended widget".split())
 CACHE_ROWS = 50_000
 
 
@@ -178,7 +180,7 @@ def parse(html: str) -> Page:
         classes = sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").lower().split()} - {""})
         named = [*_marks(attributes.get("class", "")), *_marks(attributes.get("id", "")), *_marks(attributes.get("role", ""))]
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        marked = tag not in ("html", "body", "article", "main") and any(w in MARKS for w in named)
+        marked = tag not in ("html", "body", "main") and any(w in (STRICT if tag == "article" else MARKS) for w in named)
         dropped = up.dropped or tag in DROPPED or hidden or marked or tag == "header" and not up.inside
         inside = up.inside or tag in ("article", "main") or attributes.get("role") == "main"
         nodes.append(Node(tag, f"{up.path}>{'.'.join([tag, *classes])}" if tag in BLOCK else up.path, stack[-1], dropped, inside))

@@ -264,7 +264,7 @@ def test_op6_neighbours_share_words():
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Top</header><nav><ul><li><a href=/a>A</a></ul></nav>
 <div class="ad-12">Buy</div><article class="post9"><h1>Head &amp; line</h1><p>One <b>bold</b>text<br>next<p>Two &lt;x&gt; &#233;<ul><li>i1<li>i2</ul><aside>side</aside>
-<form><label>l</label></form><table><tr><td>c1<td>c2</table><div class="comments"><p>first!</p></div></article><div id=cookie-banner>ok?</div><footer>foot</footer></body></html>"""
+<form><label>l</label></form><table><tr><td>c1<td>c2</table><div class="comments"><p>first!</p></div><article class="comment-12"><p>second!</p></article></article><div id=cookie-banner>ok?</div><footer>foot</footer></body></html>"""
 
 
 def test_op7_extracts_the_article(spark):
