@@ -61,6 +61,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(table(spark, sf_dir, "documents"), keep="max")
 
 
+#: The plain patterns; for the kinds with borders on both sides, whole runs of their characters that match.
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and([coalesce(try_cast(p AS BIGINT), 999) <= 255 FOR p IN string_split(found, '.')])"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "length(digits) BETWEEN 12 AND 19 AND list_sum([CASE WHEN k % 2 = 1 THEN x ELSE x * 2 - CASE WHEN x > 4 THEN 9 ELSE 0 END END FOR x, k IN [cast(c AS INTEGER) FOR c IN string_split(reverse(digits), '')]]) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
+    ("iban", r"[A-Z0-9]+", "regexp_full_match(found, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') AND list_reduce([CASE WHEN c BETWEEN '0' AND '9' THEN 100 + cast(c AS BIGINT) ELSE ord(c) - 55 END FOR c IN string_split(CASE WHEN length(found) BETWEEN 15 AND 34 AND regexp_full_match(found, '[A-Z0-9]+') THEN found[5:] || found[1:4] ELSE '0' END, '')], lambda a, x: CASE WHEN x >= 100 THEN (a * 10 + x - 100) % 97 ELSE (a * 100 + x) % 97 END, cast(0 AS BIGINT)) = 1"),
+    ("ssn", r"[0-9-]+", "regexp_full_match(found, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
+)
+
+
+def _pii_sql() -> str:
+    branches = []
+    for rank, (kind, pattern, valid) in enumerate(_PII):
+        k = pii.KINDS[rank]
+        branches.append(
+            f"""SELECT doc_id, start, {rank} AS rank, start + length(found) AS stop, '{kind}' AS kind, {str(k.base).lower()} AS base,
+            least({k.score}::DOUBLE + CASE WHEN regexp_matches(lower(substring(text, greatest(start - {pii.CONTEXT_CHARS - 1}, 1), least(start, {pii.CONTEXT_CHARS}))), '{k.context}') THEN {pii.CONTEXT_WEIGHT}::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE) AS score
+            FROM (SELECT *, regexp_replace(found, '[^0-9]', '', 'g') AS digits FROM (SELECT doc_id, text, ms[i] AS found, cast(coalesce(list_sum([length(g) FOR g IN gaps[1:i]]), 0) + coalesce(list_sum([length(m) FOR m IN ms[1:i - 1]]), 0) AS BIGINT) AS start
+            FROM (SELECT doc_id, text, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{pattern}') AS ms, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps FROM documents) a) b) c) d WHERE {valid}"""
+        )
+    line = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) {}, '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS[:4])
+    return f"""WITH every AS ({" UNION ALL ".join(branches)}), spans AS (SELECT * FROM every WHERE base OR score >= {pii.THRESHOLD})
+    SELECT d.doc_id, {counts}, sha256({line.format("FILTER (WHERE base)")}) AS base_sha256, {line.format("FILTER (WHERE kind IS NOT NULL)")} AS spans, round(coalesce(max(score), 0.0::DOUBLE), 6) AS top_score
+    FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 #: Word variants per line, then the earliest line per variant; as in the operator, an earlier line need not stay itself.
 OP8_SQL = """
 WITH split AS (
@@ -121,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_pii": _pii_sql(), "op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
