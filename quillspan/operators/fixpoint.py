@@ -6,13 +6,17 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.environ.setdefault("QUILLSPAN_SHARED", tempfile.mkdtemp(prefix="quillspan-"))
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the folder of spark.checkpoint.dir, one of our own only where it is unset."""
+    """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.environ.setdefault("QUILLSPAN_SHARED", tempfile.mkdtemp(prefix="quillspan-"))
-    path = f"{base}/quillspan/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

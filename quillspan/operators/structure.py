@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import count_words, mask_digits, normalize_space, page_number
+from quillspan.operators.fixpoint import cut
 from quillspan.sources.tables import to_lines
 
 #: Titles and semantic types that tell the kind of a chapter.
@@ -164,6 +165,9 @@ def refine(blocks: DataFrame, keys: Sequence[str], most: int = 2500, least: int
     keys = list(keys)
     b = blocks.withColumn("path", F.format_string("%04d", F.col("section")))
     for _ in range(levels):
+        per = b.groupBy(*keys, "path").agg(F.sum("words").alias("w"), F.min(order).alias("f"), F.max(F.when(F.col("kind") == "heading", F.col(order))).alias("h"))
+        if per.where((F.col("w") > most) & (F.col("h") > F.col("f"))).isEmpty():
+            break
         own = Window.partitionBy(*keys, "path")
         run = own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         b = b.withColumns({"_w": F.sum("words").over(own), "_first": F.min(order).over(own)})
@@ -174,7 +178,7 @@ def refine(blocks: DataFrame, keys: Sequence[str], most: int = 2500, least: int
         starts = (F.row_number().over(Window.partitionBy(*keys, "path", "_sub").orderBy(order)) == 1) & (size >= least)
         b = b.withColumn("_start", starts.cast("int")).withColumn("_m", F.greatest(F.sum("_start").over(run), F.lit(1)))
         b = b.withColumn("path", F.when(F.col("_top").isNotNull(), F.concat("path", F.lit("."), F.format_string("%04d", F.col("_m")))).otherwise(F.col("path")))
-        b = b.drop("_w", "_first", "_top", "_sub", "_start", "_m")
+        b = cut(b.drop("_w", "_first", "_top", "_sub", "_start", "_m"), "refined")
     parts = split_by_size(b, [*keys, "path"], most, order)
     return b.join(parts, [*keys, "path", order])
 
