@@ -105,7 +105,8 @@ def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: in
     # equal words on the diagonal from the start on; the run ends at the first gap
     pa = a.select("video", F.col("k").alias("i"), "word", "at", F.col("sentence_end").alias("ea"))
     pb = b.select("video", F.col("k").alias("j"), F.col("word").alias("wb"), F.col("sentence_end").alias("eb"))
-    diag = best.join(pa, "video").where("i >= ak").join(pb, "video").where("j - bk = i - ak and word = wb").withColumn("n", F.col("i") - F.col("ak"))
+    diag = best.join(pa, "video").where("i >= ak").withColumn("n", F.col("i") - F.col("ak")).withColumn("j", F.col("bk") + F.col("n"))
+    diag = diag.join(pb, ["video", "j"]).where("word = wb")
     island = F.col("n") - (F.row_number().over(Window.partitionBy("video").orderBy("n")) - 1)
     diag = diag.withColumn("_g", island).where("_g = 0")
     both, one = F.min(F.when(F.col("ea") & F.col("eb"), F.col("n"))), F.min(F.when(F.col("ea"), F.col("n")))
