@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 4).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment (operator 4).
 
-The word n-grams of the test items are looked up in every document, and counted by the
-documents that hold them. The rarer half of an item's n-grams are its seeds. Where seeds
-of an item occur in a document, the words around them are aligned with the item by
+All word n-grams of the test items are seeds and are looked up in every document. Where
+seeds of an item occur in a document, the words around them are aligned with the item by
 Smith-Waterman; the score is the alignment's share of the best possible one, so edited
-and paraphrased copies score high and chance matches low.
+and paraphrased copies score high and chance matches low. No seed is left out for being
+common: instead, words around a hit are not aligned where the words they share with the
+item, in any order, bound the score below the threshold. This loses no match of a seed.
 
 The items are the stated query set: they go to the executors in blocks of at most
 ``BLOCK_ITEMS`` items, each block against all documents.
@@ -13,6 +14,7 @@ The items are the stated query set: they go to the executors in blocks of at mos
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -70,22 +72,13 @@ def _seeds(words: list[str], n: int) -> list[str]:
 class Block:
     """A block of items with its seeds by first word, so that a document's words are looked at once."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, df: dict[str, int] | None) -> None:
-        self.n = n
+    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.items = {i: words_of(t) for i, t in items}
+        self.bags = {i: Counter(words) for i, words in self.items.items()}
         self.places: dict[str, list[tuple[int, int]]] = {}
         for i, words in self.items.items():
-            seeds = _seeds(words, n)
-            if df is not None:
-                ranked = sorted({df.get(s, 0) for s in set(seeds)})
-                each = sorted(df.get(s, 0) for s in set(seeds))
-                most = each[(len(each) - 1) // 2] if ranked else 0
-                keep = {s for s in seeds if df.get(s, 0) <= most}
-            else:
-                keep = set(seeds)
-            for k, s in enumerate(seeds):
-                if s in keep:
-                    self.places.setdefault(s, []).append((i, k))
+            for k, s in enumerate(_seeds(words, n)):
+                self.places.setdefault(s, []).append((i, k))
         self.lengths = sorted({s.count(" ") + 1 for s in self.places})
         self.firsts = {s.split(" ", 1)[0] for s in self.places}
         self.pairs = {tuple(s.split(" ")[:2]) for s in self.places}
@@ -115,8 +108,14 @@ def _windows(starts: list[int], size: int, slack: int, length: int) -> list[tupl
     return [(lo, hi) for lo, hi in found]
 
 
-def align(words: list[str], block: Block, memo: dict) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, first word, end, seeds found) for every item with a seed in the document."""
+def _may_reach(part: list[str], bag: Counter, least: float) -> bool:
+    """Whether ``part`` shares ``least`` words with the bag, repeats counted: no alignment matches more."""
+    held = [w for w in part if w in bag]
+    return len(held) >= least and sum(min(n, bag[w]) for w, n in Counter(held).items()) >= least
+
+
+def align(words: list[str], block: Block, memo: dict, threshold: float = 0.0) -> list[tuple[int, float, int, int, int]]:
+    """(item, score, first word, end, seeds found) for every item with a seed in the document and a score of ``threshold`` or more."""
     starts: dict[int, list[int]] = {}
     for k, s in block.hits(words):
         for item, at in block.places[s]:
@@ -128,6 +127,8 @@ def align(words: list[str], block: Block, memo: dict) -> list[tuple[int, float,
         for lo, hi in _windows(begins, len(own), max(3, len(own) // 4), len(words)):
             for cut in range(lo, hi, max(1, 7 * len(own))):  # a long joined window in overlapping parts
                 part = words[cut : min(hi, cut + 8 * len(own) + 8)]
+                if not _may_reach(part, block.bags[item], threshold * len(own) - 1e-9):
+                    continue
                 key = (item, tuple(part))
                 if key not in memo:
                     if len(memo) > 4096:
@@ -136,7 +137,8 @@ def align(words: list[str], block: Block, memo: dict) -> list[tuple[int, float,
                 s, a, e = memo[key]
                 if s > best[0]:
                     best = (s, cut + a, cut + e)
-        out.append((item, best[0] / (MATCH * len(own)), best[1], best[2], len(begins)))
+        if best[0] / (MATCH * len(own)) >= threshold:
+            out.append((item, best[0] / (MATCH * len(own)), best[1], best[2], len(begins)))
     return out
 
 
@@ -173,31 +175,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     schema = "id long, item_id long, score double, start_word long, end_word long, n_seeds long"
     found = []
     for block in item_blocks(items, item_col, item_text):
-
-        def count(batches: Iterator, block=block) -> Iterator:
-            import pyarrow as pa
-            from collections import Counter
-
-            every = Block(block, ngram, None)
-            seen: Counter = Counter()
-            for batch in batches:
-                for t in batch.column(1).to_pylist():
-                    seen.update({s for _, s in every.hits(words_of(t))})
-            yield pa.RecordBatch.from_pydict({"seed": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-        # as many rows as the block has different n-grams, at most
-        df = {r["seed"]: r["n"] for r in rows.mapInArrow(count, "seed string, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-        sent = spark.sparkContext.broadcast((block, df))
+        sent = spark.sparkContext.broadcast(block)
 
         def find(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
-            items_, df_ = sent.value
-            rare, memo = Block(items_, ngram, df_), {}
+            seeds, memo = Block(sent.value, ngram), {}
             for batch in batches:
                 got = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    got += [(i, *x) for x in align(words_of(t), rare, memo) if x[1] >= threshold]
+                    got += [(i, *x) for x in align(words_of(t), seeds, memo, threshold)]
                 cols = list(zip(*got)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "item_id", "score", "start_word", "end_word", "n_seeds"])

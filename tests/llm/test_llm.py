@@ -184,6 +184,27 @@ def test_op4_finds_copies_and_edited_copies_only(spark):
     assert decontaminate.drop_contaminated(odd(spark), bench).count() == len(odd_rows())
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_op4_finds_edits_alone_and_beside_exact_copies(spark, every):
+    rng = random.Random(every)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(40))) for k in range(2)]
+    edit = lambda t: " ".join("changed" if k % every == every - 1 else w for k, w in enumerate(t.split()))
+    fill = " ".join(f"w{rng.randrange(99)}" for _ in range(60))
+    rows = [(1, f"{fill} {edit(items[0][1])} {fill}"), (2, edit(items[1][1])), *[(k, f"{fill} {items[1][1]}") for k in range(3, 6)], (6, fill)]
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 0), (2, 1), (3, 1), (4, 1), (5, 1)}
+
+
+def test_op4_bound_loses_no_match():
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 12)))) for k in range(30)]
+    block = decontaminate.Block(items, 3)
+    for _ in range(60):
+        words = rng.choices("abcdefgh", k=rng.randrange(0, 60))
+        every = decontaminate.align(words, block, {})
+        assert decontaminate.align(words, block, {}, 0.5) == [x for x in every if x[1] >= 0.5]
+
+
 def test_op4_smith_waterman_equals_the_plain_recurrence():
     rng = random.Random(5)
     for _ in range(60):
