@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import components, decontaminate, exact, html, lines, lm, packing, pii, quality, simhash, tokens
+from quillspan.llm import components, decontaminate, exact, html, lines, lm, packing, pii, quality, shingles, simhash, tokens
 from quillspan.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -417,6 +417,47 @@ def test_op9_empty_and_odd(spark):
     assert simhash.near_duplicates(odd(spark)).count() == len(odd_rows())
 
 
+# near-duplicates of the pipeline
+
+
+def test_shingle_groups_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [r for r in odd_rows() if r[0] is not None and r[0] != 4]
+    common = [f"c{k}" for k in range(60)]
+    for k in range(40):
+        w = [f"d{k}x{rng.randrange(400)}" for _ in range(100)]
+        w = common + w[:60] if k % 4 == 0 else w  # passages that many texts share
+        for c in range(rng.randrange(1, 5)):
+            v = list(w)
+            for _ in range(c):
+                v[rng.randrange(len(v))] = f"edit{rng.randrange(9)}"
+            rows.append((1000 + 10 * k + c, " ".join(v)))
+    grams = lambda t: frozenset(tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)))
+    sets = [(i, grams(t)) for i, t in rows]
+    label = {i: i for i, _ in sets}
+    for _ in sets:
+        before = dict(label)
+        for i, a in sets:
+            for j, b in sets:
+                if len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs(spark, rows)).collect()}
+    assert got == label
+    assert shingles.near_duplicates(odd(spark)).count() == len(odd_rows()) and shingles.near_duplicates(empty(spark)).count() == 0
+
+
+def test_pipeline_near_dedup_drops_edits_beyond_four_bits(spark):
+    import corpus_pipeline
+
+    words = [f"b{k}" for k in range(200)]
+    edited = ["new" if k in (40, 90, 120, 150) else w for k, w in enumerate(words)]
+    assert bin(brute_fp(" ".join(words), 5) ^ brute_fp(" ".join(edited), 5)).count("1") > 4
+    left = corpus_pipeline.near_duplicate_stage(spark, docs(spark, [(1, " ".join(words)), (2, " ".join(edited)), (3, "other words")]), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
 # 10: exact
 
 
