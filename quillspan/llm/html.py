@@ -191,10 +191,12 @@ def parse(html: str) -> Page:
 
 
 def containers(page: Page) -> list[tuple[float, int]]:
-    """(score, node) of the containers with text, best first: text held less boilerplate held; inner ones first on a tie."""
+    """(score, node) of the containers with text, best first: text held less link text held; inner ones first on a tie."""
     nodes = page.nodes
     for node, text, links in page.blocks:
-        bad = nodes[node].dropped or links * 2 > len(text)
+        if nodes[node].dropped:
+            continue  # text_under() leaves it out, so it says nothing against an outer container
+        bad = links * 2 > len(text)
         k = node
         while k >= 0:
             if bad:
@@ -211,23 +213,23 @@ def containers(page: Page) -> list[tuple[float, int]]:
     return sorted(found, key=lambda x: (-x[0], -x[1]))
 
 
-def text_under(page: Page, node: int) -> str:
-    """The blocks below a node in page order, without boilerplate."""
-    below = {node}
-    for k in range(node + 1, len(page.nodes)):
+def text_under(page: Page, tops: set[int]) -> str:
+    """The blocks below some nodes in page order, without boilerplate."""
+    below = set(tops)
+    for k in range(min(tops) + 1, len(page.nodes)):
         if page.nodes[k].parent in below:
             below.add(k)
     return " ".join(t for n, t, _ in page.blocks if n in below and not page.nodes[n].dropped)
 
 
 def extract(html: str, path: str | None) -> str:
-    """Main text under the best container of ``path``, else under the page's best."""
+    """Main text under the containers of ``path`` that hold more text than links, else under the page's best."""
     page = parse(html)
     ranked = containers(page)
-    own = next((k for _, k in ranked if page.nodes[k].path == path), None) if path is not None else None
-    if own is None and ranked:
-        own = ranked[0][1]
-    return text_under(page, own) if own is not None else ""
+    own = [(x, k) for x, k in ranked if page.nodes[k].path == path] if path is not None else []
+    if not own and ranked:
+        own = [(x, k) for x, k in ranked if page.nodes[k].path == page.nodes[ranked[0][1]].path]
+    return text_under(page, {own[0][1], *(k for x, k in own if x > 0)}) if own else ""
 
 
 def host(url: str = "url") -> F.Column:

@@ -302,6 +302,17 @@ def test_op7_extracts_the_article(spark):
     assert html.main_text(clash).count() == 8
 
 
+def test_op7_keeps_title_beside_long_comments_and_all_sections(spark):
+    body = " ".join(f"Sentence {k} of the story." for k in range(12))
+    remarks = "<p>A remark that nobody asked for.</p>" * 30
+    talk = f"<html><body><article><h1>Title here</h1><p>The lead.</p><div class='body'><p>{body}</p></div><div class='comments'>{remarks}</div></article></body></html>"
+    links = "".join(f"<p><a href='/{k}'>Another long headline number {k}</a></p>" for k in range(40))
+    parts = f"<html><body><div class='part'><p>{body}</p></div>{links}<div class='part'><p>Second part. {body}</p></div></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example/1", talk), (2, "http://b.example/1", parts)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got[1] == f"Title here The lead. {body}" and got[2] == f"{body} Second part. {body}"
+
+
 # 8: lines
 
 
