@@ -273,12 +273,71 @@ def test_op6_round_trip(spark):
     assert packing.pack(odd(spark), path).columns[0] == "doc_id"
 
 
-def test_op6_neighbours_share_words():
-    docs_ = [[1, 2, 3, 4] * 20, [5, 6, 7, 8] * 20, [1, 2, 3, 9] * 20]
+def test_op6_ids_equal_the_library():
+    import pyarrow as pa
+
+    path = tokenizer_file("word_bpe_49k.json")
+    ids = packing.WordIds(path, 2)
+    rng = random.Random(16)
+    parts = ["a", "stre", "'s", "'", "'LL", "ve", "d", "1", "23", " ", "\n", "\x0b", "É", "ß", "ñÑ", "Þ", "!", "...", "''", "_", "<", "|", "\x7f", "\x1c", "\xa0", "×", "字", "e\u0301", "Ā", "<|endoftext|>", "word"]
+    texts = ["".join(rng.choices(parts[: 22 if k % 3 else 31], k=rng.randrange(0, 30))) for k in range(3000)]
+    for k in range(0, 3000, 500):
+        flat, begins = ids.encode(pa.array(texts[k : k + 500]))
+        for i in range(500):
+            assert flat[begins[i] : begins[i + 1]].tolist() == [*ids.lib.encode(texts[k + i], add_special_tokens=False).ids, 2], texts[k + i]
+
+
+def test_op6_neighbours_equal_plain_bm25():
     import numpy as np
 
-    order = packing.Index([np.array(d) for d in docs_]).neighbours(0)
-    assert order.tolist()[:2] == [0, 2]
+    rng = random.Random(17)
+    docs_ = [[rng.choice([*range(6), *range(rng.randrange(6, 90), 90)]) for _ in range(rng.randrange(1, 60))] for _ in range(70)]
+    n, mean = len(docs_), sum(map(len, docs_)) / len(docs_)
+    df = Counter(t for d in docs_ for t in set(d))
+    flat, begins = np.concatenate([np.array(d, np.uint16) for d in docs_]), np.append(0, np.cumsum([len(d) for d in docs_]))
+    index = packing.Index(flat, begins)
+    used = np.zeros(n, bool)
+    for drop in ([], [3, 5, 8], range(20, 60)):
+        used[list(drop)] = True
+        index.forget(used)
+        for seed in range(n):
+            def score(d):
+                tf = Counter(docs_[d])
+                return sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(docs_[d]) / mean)) for t in set(docs_[seed]) if t in tf)
+
+            got = [score(d) for d in index.neighbours(seed).tolist()]
+            assert len(got) == n - used.sum() and all(a >= b - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_op6_windows_take_the_best_neighbours_that_fit():
+    import numpy as np
+
+    docs_ = [[1, 2, 3, 4] * 20, [5, 6, 7, 8] * 20, [1, 2, 3, 9] * 20, [5, 6, 7, 9] * 19]
+    sizes = np.array([len(d) for d in docs_])
+    got = list(packing.fill_windows(packing.Index(np.concatenate([np.array(d) for d in docs_]), np.append(0, np.cumsum(sizes))), sizes, 160))
+    assert got == [(0, 0, 80, 0, 0), (2, 0, 80, 0, 80), (1, 0, 80, 1, 0), (3, 0, 76, 1, 80)]
+
+
+def test_op6_related_documents_meet_in_a_shard(spark):
+    topics = [f"zebra{k}" for k in "abcdefgh"]
+    rows = [(k, f"{' '.join([topics[k % 8] + 'quix'] * 9)} some common words here and there {k}") for k in range(240)]
+    got = packing.pack(docs(spark, rows), tokenizer_file("word_bpe_49k.json"), window=256, shard_bytes=4000).collect()
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 8)
+    assert len({s >> 32 for s in by_seq}) > 4 and sum(len(t) == 1 for t in by_seq.values()) > 0.6 * len(by_seq)
+
+
+def test_op6_shards_are_bounded():
+    rng = random.Random(18)
+    sizes = [(k, rng.choice([1, 5, 40, 900])) for k in range(300)]
+    dealt = packing.deal(sizes, 100)
+    load = Counter()
+    for (k, n), (subject, shard, parts) in zip(sizes, dealt):
+        assert k == subject and parts == max(1, -(-n // 100))
+        for p in range(parts):
+            load[shard + p] += n / parts
+    assert max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
 
 
 # 7: main text
