@@ -1,8 +1,8 @@
 """Near-duplicate line removal by a deletion-neighbourhood join (operator 8).
 
-A line of at least ``MIN_WORDS`` words goes if an earlier line (by document id, then
-position) is equal or one word away: one word changed, put in or left out. Lines are
-compared in lower case and with white space collapsed.
+A line goes if an earlier line (by document id, then position) is equal, or if both have
+``MIN_WORDS`` words or more and are one word away: one word changed, put in or left out.
+Lines are compared in lower case and with white space collapsed; blank lines stay.
 
 Every line that can have such a neighbour emits its variants with one word deleted as
 hashed keys: equal variants with the same place deleted differ in that word at most, and
@@ -19,55 +19,108 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import stage
 
 MIN_WORDS = 5
-#: Up to so many candidate lines (8 bytes each) are sent to every executor; with more, the lines are shuffled to them.
-BROADCAST_ROWS = 1 << 20
+#: A table of up to so many narrow rows (under 100 bytes each in memory) is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+LINE = ("h1", "h2")
 
 
-def _normal(text: Column) -> Column:
-    """The lines of a text in lower case, with white space collapsed; the slow pattern runs only in texts that need it."""
-    plain = F.split(F.lower(text), "\n", -1)
-    collapsed = F.transform(plain, lambda x: F.regexp_replace(x, r"[\t\x0B\f\r ]+", " "))
-    return F.transform(F.when(text.rlike(r"[\t\x0B\f\r]| {2}"), collapsed).otherwise(plain), lambda x: F.trim(x))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(at, norm, n, digest) of every line that counts; ``at`` = (id, pos, row) orders lines and names their row by id and text hash.
+def _sent(df: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast where it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    The lines are made ready inside the array, so each is worked on once whatever is filtered later.
-    """
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, row, norm, h1, h2) of every line that is not blank; ``row`` is a hash of its text, (h1, h2) the line's 128-bit hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    size = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "))) + 1
-    ready = F.transform(_normal(F.col("t")), lambda x: F.struct(x.alias("norm"), size(x).alias("n")))
-    rows = rows.select("id", F.xxhash64("t").alias("row"), F.posexplode(ready).alias("pos", "x")).where((F.col("x.n") >= min_words) & (F.col("x.norm") != ""))
-    return rows.select(F.struct("id", "pos", "row").alias("at"), "x.norm", "x.n", F.unhex(F.md5(F.col("x.norm").cast("binary"))).alias("digest"))
+    rows = rows.select("id", F.xxhash64("t").alias("row"), F.posexplode(F.split(F.lower("t"), "\n", -1)).alias("pos", "raw")).where(F.col("raw").rlike(r"[^\t\x0B\f\r ]"))
+    plain = F.when(F.col("raw").rlike(r"[\t\x0B\f\r]| {2}"), F.regexp_replace("raw", r"[\t\x0B\f\r ]+", " ")).otherwise(F.col("raw"))
+    rows = rows.select("id", "pos", "row", F.trim(plain).alias("norm"))
+    return rows.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
 
 
-def _part(words: str, count: Column) -> Column:
-    """The first ``count`` words, or the last ones if it is negative."""
-    return F.call_function("substring_index", F.col(words), F.lit(" "), count.cast("int"))
+def _words(norm: str = "norm") -> Column:
+    return (F.octet_length(norm) - F.octet_length(F.replace(F.col(norm), F.lit(" "))) + 1).cast("int")
 
 
-def _half_keys() -> Column:
-    """Keys of the unchanged halves: as a line of ``n`` words, and as the shorter one beside ``n + 1`` words."""
-    keys = []
-    for longer in (True, False):
-        size = F.col("n") if longer else F.col("n") + 1
-        cut = F.floor(size / 2)
-        for side, part in (("p", _part("norm", cut)), ("s", _part("norm", cut - size))):
-            keys.append(F.struct(F.xxhash64(F.lit(side), size, part).alias("half"), F.lit(longer).alias("longer"), F.lit(side == "p").alias("first")))
-    return F.array(*keys)
+def _place() -> Column:
+    """Lines in order, as one number: id, then position, then a part of the text's hash. Its fixed width lets Spark aggregate by hash."""
+    return F.expr("cast(cast(id as decimal(20, 0)) * 10000000000000000000BD + cast(cast(pos as bigint) * 1000000000 + pmod(row, 1000000000) as decimal(20, 0)) as decimal(38, 0))")
 
 
-def _variant(i: Column) -> Column:
+def _part(count: Column) -> Column:
+    """The first ``count`` words, or the last ones if it is negative."""
+    return F.call_function("substring_index", F.col("norm"), F.lit(" "), count.cast("int"))
+
+
+#: Keys of the unchanged halves: as a line of ``n`` words (longer), and as the shorter one beside ``n + 1`` words.
+_ROLES = [(longer, first) for longer in (True, False) for first in (True, False)]
+
+
+def _halves(lines: DataFrame) -> DataFrame:
+    """(h1, h2, half, role) of each line for its four roles, by their place in ``_ROLES``."""
+    cut, over = F.floor(F.col("n") / 2), F.floor((F.col("n") + 1) / 2)
+    keys = [
+        F.xxhash64(F.lit("p"), F.col("n"), _part(cut)),
+        F.xxhash64(F.lit("s"), F.col("n"), _part(cut - F.col("n"))),
+        F.xxhash64(F.lit("p"), F.col("n") + 1, _part(over)),
+        F.xxhash64(F.lit("s"), F.col("n") + 1, _part(over - F.col("n") - 1)),
+    ]
+    return lines.select(*LINE, F.posexplode(F.array(*keys)).alias("role", "half"))
+
+
+def _candidates(long_lines: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines that share a half with another line, and in which half an edit may lie."""
+    halves = _halves(long_lines)
+    longer = F.col("role") < 2
+    shared = halves.groupBy("half").agg(F.min(F.when(longer, F.col("h1"))).alias("lo"), F.max(F.when(longer, F.col("h1"))).alias("hi"), F.max((~longer).cast("int")).alias("short_"))
+    shared = shared.select("half", (F.col("lo") < F.col("hi")).alias("swaps"), ((F.col("short_") == 1) & F.col("lo").isNotNull()).alias("drops")).where("swaps or drops")
+    shared = stage(shared, "shared-halves")
+    found = halves.join(_sent(shared), "half")
+    longer, first = F.col("role") < 2, F.col("role") % 2 == 0
+    flags = {
+        "swap_end": longer & first & F.col("swaps"),
+        "swap_start": longer & ~first & F.col("swaps"),
+        "drop_end": longer & first & F.col("drops"),
+        "drop_start": longer & ~first & F.col("drops"),
+        "whole": ~longer & F.col("drops"),
+    }
+    either = [F.max(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()]
+    return stage(found.groupBy(*LINE).agg(*either).where(" or ".join(flags)), "candidates")
+
+
+def _variant(i: Column, n: Column) -> Column:
     """The words without the one at ``i`` (from 0)."""
-    before, after = _part("norm", i), _part("norm", i + 1 - F.col("n"))
-    return F.when(i == 0, after).when(i == F.col("n") - 1, before).otherwise(F.concat(before, F.lit(" "), after))
+    before, after = _part(i), _part(i + 1 - n)
+    return F.when(i == 0, after).when(i == n - 1, before).otherwise(F.concat(before, F.lit(" "), after))
+
+
+def _emitted(texts: DataFrame) -> DataFrame:
+    """(h1, h2, first, key, role) of every variant; roles: 0 one word changed, 1 one word left out, 2 a whole line as it is."""
+    n = F.col("n")
+    cut = F.floor(n / 2).cast("int")
+    none = F.expr("cast(array() as array<int>)")
+    starts = lambda flag: F.when(F.col(flag), F.sequence(F.lit(0), cut - 1)).otherwise(none)
+    ends = lambda flag: F.when(F.col(flag), F.sequence(cut, n - 1)).otherwise(none)
+    # a place i of a variant as i, of a variant compared with whole lines as -1 - i; a whole line as null
+    places = F.concat(starts("swap_start"), ends("swap_end"), F.transform(F.concat(starts("drop_start"), ends("drop_end")), lambda i: -1 - i), F.when(F.col("whole"), F.expr("array(cast(null as int))")).otherwise(none))
+    rows = texts.select(*LINE, "first", "n", "norm", F.explode(places).alias("at"))
+    i = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+    role = F.when(F.col("at").isNull(), 2).when(F.col("at") < 0, 1).otherwise(0)
+    key = F.when(F.col("at").isNull(), F.xxhash64("norm", F.lit(-1))).otherwise(F.xxhash64(_variant(i, n), F.greatest(F.col("at"), F.lit(-1))))
+    return rows.select(*LINE, "first", key.alias("key"), role.alias("role"))
 
 
 def _one_apart(a: Column, b: Column) -> Column:
@@ -80,64 +133,40 @@ def _one_apart(a: Column, b: Column) -> Column:
     return same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
+def _near(known: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2) of the lines of ``min_words`` words or more that are one word away from an earlier line."""
+    long_lines = known.withColumn("n", _words()).where(F.col("n") >= min_words)
+    cand = _candidates(long_lines)
+    texts = long_lines.join(_sent(cand), list(LINE)).withColumn("first", _place())
+    flags = [c for c in cand.columns if c not in LINE]
+    texts = stage(texts.groupBy(*LINE).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("n", "norm", *flags)]), "candidate-lines")
+    # the earliest line of each key goes back to the key's lines
+    keys = _emitted(texts)
+    least = keys.groupBy("key").agg(*[F.min(F.when(F.col("role") == k, F.col("first"))).alias(r) for k, r in enumerate(("swap", "drop", "whole"))], F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = stage(least.where("swap is not null or (drop is not null and whole is not null)"), "shared-keys")
+    partner = F.when(F.col("role") == 0, F.col("swap")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("drop"))
+    claims = keys.join(_sent(least), "key").select(*LINE, "first", partner.alias("earlier")).where("earlier < first").groupBy(*LINE).agg(F.min("earlier").alias("earlier"))
+    words = texts.select(*LINE, "first", F.split("norm", " ").alias("words"))
+    both = claims.join(words.select(*LINE, F.col("words").alias("own")), list(LINE)).join(words.select(F.col("first").alias("earlier"), F.col("words").alias("other")), "earlier")
+    return both.where(_one_apart(F.col("own"), F.col("other"))).select(*LINE)
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, row, gone): for each row with lines that go, the sorted positions of those lines; ``row`` is the hash of its text."""
-    lines = _lines(docs, id_col, text_col, min_words)
-    halves = _half_keys()
-    known = stage(lines.select("digest", "at", "n", F.transform(halves, lambda h: h["half"]).alias("halves")), "every-line")
-    distinct = stage(known.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
-
-    # which distinct lines share a half with another one, and in which half an edit may lie
-    roles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k < 2).alias("longer"), F.lit(k % 2 == 0).alias("first_half")) for k in range(4)])
-    keyed = distinct.select("digest", F.explode(F.arrays_zip(F.col("halves").alias("half"), roles.alias("role"))).alias("x")).select("digest", "x.half", "x.role.longer", "x.role.first_half")
-    shared = keyed.groupBy("half").agg(F.sum(F.col("longer").cast("long")).alias("long_"), F.sum((~F.col("longer")).cast("long")).alias("short_")).where("long_ > 1 or (long_ > 0 and short_ > 0)")
-    cand = keyed.join(shared, "half").select(
-        F.xxhash64("digest").alias("line"),
-        (F.col("longer") & (F.col("long_") > 1)).alias("swap"),
-        (F.col("longer") & (F.col("short_") > 0)).alias("drop"),
-        (~F.col("longer") & (F.col("long_") > 0)).alias("whole"),
-        "first_half",
-    )
-    either = lambda c: F.coalesce(F.max(F.when(c, True)), F.lit(False))
-    cand = cand.groupBy("line").agg(
-        either(F.col("swap") & F.col("first_half")).alias("swap_end"),
-        either(F.col("swap") & ~F.col("first_half")).alias("swap_start"),
-        either(F.col("drop") & F.col("first_half")).alias("drop_end"),
-        either(F.col("drop") & ~F.col("first_half")).alias("drop_start"),
-        either(F.col("whole")).alias("whole"),
-    )
-    cand = stage(cand.where("swap_end or swap_start or drop_end or drop_start or whole"), "candidates")
-    few = cand.count() <= BROADCAST_ROWS
-    side = F.broadcast(cand) if few else cand
-    texts = lines.withColumn("line", F.xxhash64("digest")).join(side, "line").select("digest", "at", "n", "norm", *cand.columns)
-    texts = stage(texts.groupBy("digest").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "norm", *cand.columns)]), "candidate-lines")
-
-    # variants as keys; the earliest line of each key goes back to the key's lines
-    cut = F.floor(F.col("n") / 2).cast("int")
-    n = F.col("n").cast("int")
-    none = F.expr("cast(array() as array<int>)")
-    starts = lambda flag: F.when(F.col(flag), F.sequence(F.lit(0), cut - 1)).otherwise(none)
-    ends = lambda flag: F.when(F.col(flag), F.sequence(cut, n - 1)).otherwise(none)
-    key = lambda k, role: F.struct(k.alias("key"), F.lit(role).alias("role"))
-    emitted = F.concat(
-        F.transform(F.concat(starts("swap_start"), ends("swap_end")), lambda i: key(F.xxhash64(_variant(i), i), "swap")),
-        F.transform(F.concat(starts("drop_start"), ends("drop_end")), lambda i: key(F.xxhash64(_variant(i), F.lit(-1)), "drop")),
-        F.when(F.col("whole"), F.array(key(F.xxhash64("norm", F.lit(-1)), "whole"))).otherwise(F.expr("cast(array() as array<struct<key: bigint, role: string>>)")),
-    )
-    keys = texts.select("digest", "first", F.explode(emitted).alias("x")).select("digest", "first", "x.key", "x.role")
-    least = keys.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("first"))).alias(r) for r in ("swap", "drop", "whole")], F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    partner = F.when(F.col("role") == "swap", F.col("swap")).when(F.col("role") == "drop", F.col("whole")).otherwise(F.col("drop"))
-    claims = keys.join(least, "key").select("digest", "first", partner.alias("earlier")).where("earlier < first").groupBy("digest").agg(F.min("earlier").alias("earlier"))
-    words = texts.select("digest", "first", F.split("norm", " ").alias("words"))
-    near = (
-        claims.join(words.select("digest", F.col("words").alias("own")), "digest")
-        .join(words.select(F.col("first").alias("earlier"), F.col("words").alias("other")), "earlier")
-        .where(_one_apart(F.col("own"), F.col("other")))
-        .select("digest", F.lit(True).alias("near"))
-    )
-    marked = stage(distinct.select("digest", "first", "times").join(near, "digest", "left").where("times > 1 or near").select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
-    gone = known.select("digest", "at").join(marked, "digest").where("near or at > first")
-    return gone.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.sort_array(F.collect_set("at.pos")).alias("gone"))
+    known = stage(_lines(docs, id_col, text_col), "every-line")
+    placed = known.withColumn("place", _place())
+    equal = placed.groupBy(*LINE).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select(*LINE, "first")
+    near = _near(known, min_words).select(*LINE, F.lit(None).cast("decimal(38, 0)").alias("first"))
+    # a line with a null place goes everywhere, another one after its first place
+    marked = stage(equal.unionAll(near), "repeated")
+    gone = placed.select("id", "row", "pos", "place", *LINE).join(_sent(marked), list(LINE)).where("first is null or place > first")
+    return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the sorted positions."""
+    kept = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    return _let(F.split(text, "\n", -1), lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -147,20 +176,22 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are joined by one again; a text that keeps all lines is unchanged. Null texts stay null
     (0 lines). Rows with a null id are neither changed nor compared. Equal rows (same id and
     text) are one document: their lines are no repeats of each other. Of equal first
-    positions the one with the smaller text hash is earlier. Lines under ``min_words`` words
-    always stay. An empty table stays empty. Hash collisions fail the verification and leave
+    positions the one with the smaller part of the text's hash is earlier. Lines under
+    ``min_words`` words go only if they repeat an earlier one exactly; blank lines stay. An
+    empty table stays empty. Hash collisions of near lines fail the verification and leave
     the line in place.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_words)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
-    lines = F.split(text_col, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # the columns travel in a struct, so that no name of theirs can meet one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))
+    joined = rows.join(gone, ["id", "row"], "left")
+    text = F.col("doc").getField(text_col)
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        *[F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names],
+        F.when(text.isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

@@ -89,7 +89,7 @@ def _pii_sql() -> str:
     FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-#: Word variants per line, then the earliest line per variant; as in the operator, an earlier line need not stay itself.
+#: Equal lines of any length; word variants of lines of five words or more, then the earliest line per variant. As in the operator, an earlier line need not stay itself.
 OP8_SQL = """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -98,17 +98,17 @@ WITH split AS (
          trim(regexp_replace(lower(ls[i]), '[\t\x0B\f\r ]+', ' ', 'g')) AS norm
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
 ), counted AS (
-  SELECT doc_id, pos, norm, (doc_id, pos) AS place FROM lines WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5
+  SELECT doc_id, pos, norm, (doc_id, pos) AS place FROM lines WHERE norm <> ''
 ), firsts AS (
   SELECT norm, min(place) AS born, string_split(norm, ' ') AS w FROM counted GROUP BY norm
 ), variants AS (
   SELECT norm, born, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
-  FROM (SELECT norm, born, w, unnest(range(1, len(w) + 1)) AS i FROM firsts)
+  FROM (SELECT norm, born, w, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 5)
 ), swap AS (
   SELECT norm, born, min(born) OVER (PARTITION BY v, i) AS earlier FROM variants
 ), pairs AS (
   SELECT a.norm AS longer, a.born AS longer_first, b.norm AS shorter, b.born AS shorter_first
-  FROM variants a JOIN firsts b ON a.v = b.norm
+  FROM variants a JOIN firsts b ON a.v = b.norm WHERE len(b.w) >= 5
 ), near AS (
   SELECT norm FROM swap WHERE earlier < born
   UNION SELECT longer FROM pairs WHERE shorter_first < longer_first

@@ -377,11 +377,13 @@ def test_op7_keeps_title_beside_long_comments_and_all_sections(spark):
 
 def brute_lines(rows, least=5):
     norm = lambda x: " ".join(w for w in re.split(r"[\t\x0b\f\r ]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x)) if w)
-    every = [(i, k, norm(x).split(" ")) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if len(norm(x).split(" ")) >= least]
+    every = [(i, k, norm(x).split(" ")) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if norm(x)]
 
     def near(a, b):
         if a == b:
             return True
+        if min(len(a), len(b)) < least:
+            return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
         a, b = (a, b) if len(a) > len(b) else (b, a)
@@ -406,13 +408,22 @@ def test_op8_equals_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("rows", [0, 40])
+def test_op8_shuffled_joins_give_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", rows)
+    test_op8_equals_brute_force(spark)
+
+
 def test_op8_odd_rows(spark):
     got = lines.drop_repeated_lines(odd(spark))
     assert got.columns == [*odd(spark).columns, "n_lines", "n_removed"]
     rows = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect())
-    assert rows[5, "same text here, twice.", 0] == 1 and rows[1, None, 0] == 1 and rows[4, LONG, 0] == 1 and sum(rows.values()) == len(odd_rows())
-    d = docs(spark, [(1, "a b c d e f\nx"), (2, "y\nA b  c d e f"), (2, "y\nA b  c d e f"), (None, "a b c d e f")])
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.drop_repeated_lines(d).collect()) == [(0, "a b c d e f"), (1, "a b c d e f\nx"), (2, "y"), (2, "y")]
+    assert rows[5, "same text here, twice.", 0] == 1 and rows[6, "", 1] == 2 and rows[1, None, 0] == 1 and rows[4, LONG, 0] == 1 and sum(rows.values()) == len(odd_rows())
+    d = docs(spark, [(1, "a b c d e f\nx"), (2, "y\nA b  c d e f\n\nX \n\nz"), (2, "y\nA b  c d e f\n\nX \n\nz"), (None, "a b c d e f")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.drop_repeated_lines(d).collect()) == [(0, "a b c d e f"), (1, "a b c d e f\nx"), (2, "y\n\n\nz"), (2, "y\n\n\nz")]
+    names = ("__id", "__hash", "__row", "__gone", "gone", "doc", "pos", "h1", "n_lines")
+    got = lines.drop_repeated_lines(d.withColumns({c: F.lit(7) for c in names})).collect()
+    assert all(r[c] == 7 for r in got for c in names if c != "n_lines") and len(got) == 4
     assert lines.drop_repeated_lines(empty(spark)).count() == 0
 
 
