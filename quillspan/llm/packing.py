@@ -199,9 +199,10 @@ def _distinct(flat, begins):
     """(document, id, times) of the different ids of each document, by document and id."""
     import numpy as np
 
-    key = np.sort((np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins)) << 32) | flat)
-    at = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(at, append=len(key))
+    bits, kind = (16, np.uint32) if flat.dtype.itemsize == 2 and len(begins) <= 1 << 16 else (32, np.int64)
+    key = np.sort((np.repeat(np.arange(len(begins) - 1, dtype=kind), np.diff(begins)) << kind(bits)) | flat.astype(kind))
+    at = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1) if len(key) else np.zeros(0, np.int64)
+    return (key[at] >> kind(bits)).astype(np.int64), (key[at] & kind((1 << bits) - 1)).astype(np.int64), np.diff(at, append=len(key))
 
 
 def _binary(flat, begins):
@@ -251,8 +252,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end: int, id_col: str, text_
             while done < batch.num_rows:
                 to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + SLICE_BYTES)))
                 flat, begins = _words[key].encode(batch.column(1)[done:to])
+                flat = flat.astype(id_type(size))
                 df += np.bincount(_distinct(flat, begins)[1], minlength=size)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[done:to], batch.column(2)[done:to], pa.array(length[done:to]), _binary(flat.astype(id_type(size)), begins), pa.nulls(to - done, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done:to], batch.column(2)[done:to], pa.array(length[done:to]), _binary(flat, begins), pa.nulls(to - done, pa.binary())], names=names)
                 done = to
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.tobytes()], pa.binary())], names=names)
 
@@ -301,8 +303,10 @@ def with_subject(encoded: DataFrame, df, n_docs: int, mean: float, kind: str) ->
             doc, term, tf = _distinct(flat, begins)
             weight = bm25(sent.value, n_docs, term, tf, np.diff(begins)[doc], mean)
             weight -= np.where(sent.value[term] < 2, 1e6, 0.0)
-            by = np.lexsort((term, -weight, doc))
-            first = by[np.flatnonzero(np.diff(doc, prepend=-1))]
+            begin = np.flatnonzero(np.diff(doc, prepend=-1))
+            top = np.maximum.reduceat(weight, begin) if len(begin) else weight
+            heaviest = np.flatnonzero(weight == np.repeat(top, np.diff(begin, append=len(doc))))
+            first = heaviest[np.flatnonzero(np.diff(doc[heaviest], prepend=-1))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(term[first], pa.int64())], names=["id", "salt", "n_bytes", "ids", "subject"])
 
     return encoded.where("ids is not null").select("id", "salt", "n_bytes", "ids").mapInArrow(run, "id long, salt long, n_bytes long, ids binary, subject long")
