@@ -372,6 +372,86 @@ def test_op7_keeps_title_beside_long_comments_and_all_sections(spark):
     assert got[1] == f"Title here The lead. {body}" and got[2] == f"{body} Second part. {body}"
 
 
+STORY = " ".join(f"This is sentence {k} of a plain story about nothing much." for k in range(9))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content with-sidebar'><p>{}</p></div>",
+        "<div class='post social-science'><p>{}</p></div>",
+        "<section class='search-results-free legal'><p>{}</p></section>",
+        "<div id='skip-target'><p>{}</p></div>",
+        "<article><svg viewBox='0 0 1 1'/><p>{}</p></article>",
+        "<article><p><video src='x'>{}</p></article>",
+        "<article><object data='x'><p>{}</p></article>",
+        "<div class='sidebar'><article><p>{}</p></article></div>",
+        "<article><p>{}</p><p class='promo'>Buy this.</p><span hidden>no</span><p aria-hidden=true>no</p></article><div class='sidebar'><p>{}</p><p>{}</p></div>",
+        "<main><p>{}</p></main><div class='comments'><p>{} {} {} {}</p></div>",
+        "<div><p>{}</p></div><div class='cookie-banner'>We use cookies.</div><div class='comment-list'><p>First!</p></div>",
+        "<article><p>{}</p></article><script>var x = '<p>unclosed",
+    ],
+)
+def test_op7_keeps_the_article(page):
+    text = page.replace("{}", STORY)
+    assert html.extract(f"<html><body><nav><a href=/>home</a></nav>{text}</body></html>", None) == STORY
+
+
+def test_op7_depth_is_linear():
+    import time
+
+    began = time.process_time()
+    deep = html.extract("<div>" * 90_000 + "deep" + "<b>" * 90_000 + " down" + "<p>x" * 20_000 + "<li>y" * 20_000, None)
+    assert deep == "deep down" + " x" * 20_000 + " y" * 20_000 and time.process_time() - began < 20
+
+
+def tree_text(page):
+    """A plain extractor over the library's tree: the text of article elements without dropped elements."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out, self.now = [], [], []
+
+        def block(self):
+            text = " ".join("".join(self.now).split())
+            self.out += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.now.append(" ")
+                return
+            if tag not in ("b", "a", "i"):
+                self.block()
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.block()
+            if tag in self.stack:
+                while self.stack.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if "article" in self.stack and not {"script", "style", "nav", "aside", "footer"} & set(self.stack):
+                self.now.append(data)
+
+    tree = Tree()
+    tree.feed(page or "")
+    tree.close()
+    tree.block()
+    return " ".join(tree.out)
+
+
+def test_op7_equals_a_plain_extractor_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: tree_text(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert sum(got[k] == w for k, w in want.items()) >= 0.99 * len(want)
+
+
 # 8: lines
 
 
