@@ -65,25 +65,21 @@ def _part(count: Column) -> Column:
     return F.call_function("substring_index", F.col("norm"), F.lit(" "), count.cast("int"))
 
 
-#: Keys of the unchanged halves: as a line of ``n`` words (longer), and as the shorter one beside ``n + 1`` words.
-_ROLES = [(longer, first) for longer in (True, False) for first in (True, False)]
-
-
-def _halves(lines: DataFrame) -> DataFrame:
-    """(h1, h2, half, role) of each line for its four roles, by their place in ``_ROLES``."""
-    cut, over = F.floor(F.col("n") / 2), F.floor((F.col("n") + 1) / 2)
+def _half_keys(min_words: int) -> Column:
+    """Keys of the unchanged halves, null for shorter lines: first and last half as a line of ``n`` words, then as the shorter one beside ``n + 1`` words."""
+    n, cut, over = F.col("n"), F.floor(F.col("n") / 2), F.floor((F.col("n") + 1) / 2)
     keys = [
-        F.xxhash64(F.lit("p"), F.col("n"), _part(cut)),
-        F.xxhash64(F.lit("s"), F.col("n"), _part(cut - F.col("n"))),
-        F.xxhash64(F.lit("p"), F.col("n") + 1, _part(over)),
-        F.xxhash64(F.lit("s"), F.col("n") + 1, _part(over - F.col("n") - 1)),
+        F.xxhash64(F.lit("p"), n, _part(cut)),
+        F.xxhash64(F.lit("s"), n, _part(cut - n)),
+        F.xxhash64(F.lit("p"), n + 1, _part(over)),
+        F.xxhash64(F.lit("s"), n + 1, _part(over - n - 1)),
     ]
-    return lines.select(*LINE, F.posexplode(F.array(*keys)).alias("role", "half"))
+    return F.when(n >= min_words, F.array(*keys))
 
 
-def _candidates(long_lines: DataFrame) -> DataFrame:
+def _candidates(known: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that share a half with another line, and in which half an edit may lie."""
-    halves = _halves(long_lines)
+    halves = known.select(*LINE, F.posexplode("halves").alias("role", "half"))
     longer = F.col("role") < 2
     shared = halves.groupBy("half").agg(F.min(F.when(longer, F.col("h1"))).alias("lo"), F.max(F.when(longer, F.col("h1"))).alias("hi"), F.max((~longer).cast("int")).alias("short_"))
     shared = shared.select("half", (F.col("lo") < F.col("hi")).alias("swaps"), ((F.col("short_") == 1) & F.col("lo").isNotNull()).alias("drops")).where("swaps or drops")
@@ -133,11 +129,10 @@ def _one_apart(a: Column, b: Column) -> Column:
     return same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def _near(known: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2) of the lines of ``min_words`` words or more that are one word away from an earlier line."""
-    long_lines = known.withColumn("n", _words()).where(F.col("n") >= min_words)
-    cand = _candidates(long_lines)
-    texts = long_lines.join(_sent(cand), list(LINE)).withColumn("first", _place())
+def _near(known: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines with halves that are one word away from an earlier line."""
+    cand = _candidates(known)
+    texts = known.select("id", "pos", "row", "norm", "n", *LINE).join(_sent(cand), list(LINE)).withColumn("first", _place())
     flags = [c for c in cand.columns if c not in LINE]
     texts = stage(texts.groupBy(*LINE).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("n", "norm", *flags)]), "candidate-lines")
     # the earliest line of each key goes back to the key's lines
@@ -153,10 +148,10 @@ def _near(known: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, row, gone): for each row with lines that go, the sorted positions of those lines; ``row`` is the hash of its text."""
-    known = stage(_lines(docs, id_col, text_col), "every-line")
+    known = stage(_lines(docs, id_col, text_col).withColumn("n", _words()).withColumn("halves", _half_keys(min_words)), "every-line")
     placed = known.withColumn("place", _place())
     equal = placed.groupBy(*LINE).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select(*LINE, "first")
-    near = _near(known, min_words).select(*LINE, F.lit(None).cast("decimal(38, 0)").alias("first"))
+    near = _near(known).select(*LINE, F.lit(None).cast("decimal(38, 0)").alias("first"))
     # a line with a null place goes everywhere, another one after its first place
     marked = stage(equal.unionAll(near), "repeated")
     gone = placed.select("id", "row", "pos", "place", *LINE).join(_sent(marked), list(LINE)).where("first is null or place > first")
