@@ -34,7 +34,7 @@ RANGE_BYTES = 8 << 20
 TEST, TRAIN, HELD = 0, 1, 2
 CHUNK = "chunk string, part int, n_docs long, n_tokens long, n_bytes long, docs binary"
 QUESTION = "order int, range long, chunk string, part int, grams binary, counts binary"
-ANSWER = "order int, range long, chunk string, part int, counts binary, types long, types_rest long"
+ANSWER = "order int, range long, chunk string, part int, counts binary, held binary, types long, types_rest long"
 #: Steps per octave in which the ratios of the three estimates are binned for learning the weights.
 STEPS = 4
 NONE = -(1 << 20)
@@ -154,13 +154,9 @@ class Chunk:
         import numpy as np
 
         found: dict[int, list] = {1: [], 2: []}
-        for order, range_, data in sorted(zip(answers["order"].to_pylist(), answers["range"].to_pylist(), answers["counts"].to_pylist()), key=lambda x: x[:2]):
-            found[order].append(_expand(data, "<u8"))
-        got = {}
-        for order, parts in found.items():
-            both = np.concatenate(parts)
-            got[order] = ((both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        return got
+        for row in sorted(zip(*(answers[c].to_pylist() for c in ("order", "range", "counts", "held"))), key=lambda x: x[:2]):
+            found[row[0]].append((_expand(row[2], "<i8"), _expand(row[3], "<i8")))
+        return {order: tuple(np.concatenate([p[k] for p in parts]) for k in (0, 1)) for order, parts in found.items()}
 
 
 def _ask(bits: dict[int, int]):
@@ -179,7 +175,7 @@ def _ask(bits: dict[int, int]):
 
 
 def _answer(asked):
-    """All questions of one hash range; counts are saturated at 2**32 - 1."""
+    """All questions of one hash range; counts have 64 bits and are summed exactly up to 2**53."""
     import numpy as np
     import pyarrow as pa
 
@@ -192,8 +188,6 @@ def _answer(asked):
     part = np.repeat(parts, sizes)
     counted = np.bincount(place, np.where(part != TEST, n, 0), len(every)).astype(np.int64)
     held = np.bincount(place, np.where(part == HELD, n, 0), len(every)).astype(np.int64)
-    most = (1 << 32) - 1
-    both = (np.minimum(counted, most).astype(np.uint64) << np.uint64(32)) | np.minimum(held, most).astype(np.uint64)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     types, rest = int((counted > 0).sum()), int((counted > held).sum())
     first = [1] + [0] * (len(sizes) - 1)
@@ -203,7 +197,8 @@ def _answer(asked):
             "range": asked["range"],
             "chunk": asked["chunk"],
             "part": asked["part"],
-            "counts": pa.array([_squeeze(both[place[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary()),
+            "counts": pa.array([_squeeze(counted[place[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary()),
+            "held": pa.array([_squeeze(held[place[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary()),
             "types": pa.array([types * f for f in first], pa.int64()),
             "types_rest": pa.array([rest * f for f in first], pa.int64()),
         }
