@@ -2,7 +2,9 @@
 
 DataFrame operations only. Spark's functions give the matches of a pattern but not where
 they lie; here the text is also split by the same pattern, and the running lengths of gaps
-and matches are the positions, in code points.
+and matches are the positions, in code points. The lengths are summed by blocks first, and
+words before a span are taken from the gaps and matches around it, so that the work grows
+with the text and with its matches, not with their product.
 
 The patterns are written with possessive groups and a look-behind, so that a text of one
 endless word, digit run or dotted sequence is scanned once and without recursion. Each
@@ -11,6 +13,7 @@ gives the same matches as the plain pattern beside it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +42,8 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", False, 0.3, "ssn|social security|taxpayer"),
 )
 CONTEXT_CHARS = 40
+#: Matches whose lengths are summed at a time.
+BLOCK = 64
 CONTEXT_WEIGHT = 0.3
 THRESHOLD = 0.5
 
@@ -85,34 +90,46 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """array<struct<start, rank, end, kind, found, score, base>> of the confirmed spans of one kind, by start; end is exclusive."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.transform(gaps, lambda g: F.length(g)).alias("g"))
-    empty = F.expr("cast(array() as array<struct<start: int, found: string>>)")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"),
-            F.when(p["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start"), p["m"].alias("found"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    placed = F.filter(placed, lambda s: _valid(kind.name, s["found"]))
-
-    def scored(s: Column) -> Column:
-        start = s["start"]
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS))))
-        score = F.least(F.lit(kind.score) + F.when(before.rlike(kind.context), CONTEXT_WEIGHT).otherwise(0.0), F.lit(1.0))
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(s["found"])).alias("end"), F.lit(kind.name).alias("kind"), s["found"].alias("found"), score.alias("score"), F.lit(kind.base).alias("base"))
-
-    spans = F.transform(placed, scored)
+    # one piece per match, with the gap before it; the last piece has no match
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    tail = lambda x: F.coalesce(F.right(x, F.lit(CONTEXT_CHARS)), F.lit(""))
+    pieces = F.transform(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda p: F.struct(p["m"].alias("found"), size(p["g"]).alias("gap"), (size(p["g"]) + size(p["m"])).alias("size"), tail(p["g"]).alias("before"), F.concat(tail(p["g"]), tail(p["m"])).alias("tail")))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["size"])
+    back = CONTEXT_CHARS // 2  # a match and the gap before it have two characters at least
+
+    def spans(p: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+        ends = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, x: a + x))
+        found = F.filter(F.transform(p, lambda x, i: F.struct(x["found"].alias("found"), i.alias("i"))), lambda v: v["found"].isNotNull() & _valid(kind.name, v["found"]))
+
+        def placed(begins: Column) -> Column:
+            def scored(v: Column) -> Column:
+                i, block = v["i"], F.floor(v["i"] / BLOCK).cast("int")
+                start = F.get(begins, block) + total(F.slice(p, block * BLOCK + 1, i % BLOCK)) + F.get(p, i)["gap"]
+                first = F.greatest(i - back, F.lit(0))
+                held = F.concat(F.array_join(F.transform(F.slice(p, first + 1, i - first), lambda x: x["tail"]), ""), F.get(p, i)["before"])
+                before = F.lower(F.right(held, F.lit(CONTEXT_CHARS)))
+                score = F.least(F.lit(kind.score) + F.when(before.rlike(kind.context), CONTEXT_WEIGHT).otherwise(0.0), F.lit(1.0))
+                return _let(start, lambda s: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(v["found"])).alias("end"), F.lit(kind.name).alias("kind"), v["found"].alias("found"), score.alias("score"), F.lit(kind.base).alias("base")))
+
+            return F.transform(found, scored)
+
+        return _let(_let(sums, ends), placed)
+
+    every = _let(pieces, spans)
     if not kind.base:
-        spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+        every = F.filter(every, lambda s: s["score"] >= THRESHOLD)
     none = F.expr("cast(array() as array<struct<start: int, rank: int, end: int, kind: string, found: string, score: double, base: boolean>>)")
-    return F.when(text.rlike(kind.gate), spans).otherwise(none)
+    return F.when(text.rlike(kind.gate), every).otherwise(none)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

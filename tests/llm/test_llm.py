@@ -99,6 +99,41 @@ def test_op2_equals_brute_force(spark, monkeypatch):
     assert lm.score(odd(spark)).count() == len(odd_rows())
 
 
+def test_op2_counts_beyond_32_bits_are_exact():
+    import numpy as np
+    import pyarrow as pa
+
+    gram, most = np.array([5, 9], np.uint64), 4_000_000_000
+    row = {"order": 1, "range": 0, "grams": lm._squeeze(np.diff(gram, prepend=np.uint64(0))), "counts": lm._squeeze(np.array([most, 1], np.uint32))}
+    parts = [lm.TRAIN, lm.TRAIN, lm.HELD, lm.TEST]
+    asked = pa.Table.from_pylist([row | {"chunk": f"c{k}", "part": p} for k, p in enumerate(parts)])
+    answers = lm._answer(asked)
+    for k in range(4):
+        assert lm._expand(answers["counts"][k].as_py(), "<i8").tolist() == [3 * most, 3] and lm._expand(answers["held"][k].as_py(), "<i8").tolist() == [most, 1]
+
+
+def test_op2_weights_equal_a_plain_expectation_maximisation():
+    rng = random.Random(21)
+    cells = [(b, rng.choice([lm.NONE, *range(0, 60)]), rng.choice([lm.NONE, *range(0, 40)]), rng.randrange(1, 50)) for b in (0, 1, 2, 4) for _ in range(30)]
+    want = []
+    for b in range(5):
+        own = [c[1:] for c in cells if c[0] == b]
+        w = [1 / 3] * 3 if b else [0.0, 0.5, 0.5]
+        if not own:
+            want.append(want[-1])
+            continue
+        prior = [float(x > 0) for x in w]
+        for _ in range(60):
+            new = list(prior)
+            for q2, q1, n in own:
+                share = [w[0] * (0 if q2 == lm.NONE else 2 ** (q2 / lm.STEPS)), w[1] * (0 if q1 == lm.NONE else 2 ** (q1 / lm.STEPS)), w[2]]
+                for k in range(3):
+                    new[k] += n * share[k] / sum(share)
+            w = [x / sum(new) for x in new]
+        want.append(w)
+    assert all(abs(x - y) < 1e-9 for got, w in zip(lm.learn_weights(cells), want) for x, y in zip(got, w))
+
+
 def test_op2_beats_the_base_on_unseen_text(spark):
     rng = random.Random(2)
     chain = {w: rng.sample([f"v{k}" for k in range(50)], 3) for w in [f"v{k}" for k in range(50)]}
@@ -157,6 +192,23 @@ def test_op3_base_spans_equal_brute_force(spark):
     assert pii.find_pii(empty(spark)).count() == 0 and pii.find_pii(odd(spark)).count() == len(odd_rows())
 
 
+def test_op3_many_matches_take_linear_time(spark):
+    import time
+
+    text = "".join(f"é mail u{k}@x.org, " for k in range(100_000))
+    began = time.time()
+    row = pii.digest(pii.find_pii(docs(spark, [(1, text)]))).first()
+    assert time.time() - began < 30 and row["n_email"] == 100_000
+    assert row["base_sha256"] == hashlib.sha256(",".join(brute_pii(text)).encode()).hexdigest()
+
+
+def test_op3_context_reaches_over_short_matches(spark):
+    texts = ["card 12 34,56;78.90, 4111111111111111", "card 12 34,56;78.90 a b c d e f g h i j k 4111111111111111", "x" * 39 + "card" + "4111111111111111", "12," * 14 + "4111111111111111", "card " + "12," * 11 + "x 4111111111111111", "card  " + "12," * 11 + "x 4111111111111111"]
+    got = {r["doc_id"]: {round(s["score"], 2) for s in r["spans"] if s["kind"] == "card"} for r in pii.find_pii(docs(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == {1.0 if "card" in t[max(0, t.index("4111") - 40) : t.index("4111")] else 0.8}, t
+
+
 def test_op3_added_spans_are_validated_and_scored(spark):
     rows = [(1, "account GB82WEST12345698765432"), (2, "account GB82WEST12345698765433"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789")]
     got = {r["doc_id"]: [(s["kind"], round(s["score"], 2)) for s in r["spans"]] for r in pii.find_pii(docs(spark, rows)).collect()}
