@@ -147,7 +147,7 @@ class WordIds:
         pieces, before = self._pieces(data, begins - begins[0])
         coded = pc.dictionary_encode(pieces)
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        words, young, old = coded.dictionary.to_pylist(), self.young, self.old
+        words, young, old = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.young, self.old
         new = []
         for w in words:
             if w not in young:
