@@ -247,14 +247,81 @@ def test_op4_finds_edits_alone_and_beside_exact_copies(spark, every):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 0), (2, 1), (3, 1), (4, 1), (5, 1)}
 
 
-def test_op4_bound_loses_no_match():
+def full_score(doc, item, n=3):
+    """Best score of the plain recurrence over a whole document, over alignments that hold an unbroken n-gram of the item's."""
+    n, best = min(n, len(item)), 0
+    # h[i][j]: best score ending at (i, j) without such a run so far, by length of the current run of matches, or with one
+    size = len(item) + 1
+    row = [([0] + [-1] * (n - 1), -1) for _ in range(size)]
+    for x in doc:
+        new = [([0] + [-1] * (n - 1), -1)]
+        for j, y in enumerate(item, 1):
+            runs, full = [-1] * n, -1
+            a, b, c = row[j - 1], row[j], new[j - 1]
+            if x == y:
+                for k in range(n):
+                    if a[0][k] >= 0:
+                        if k + 1 < n:
+                            runs[k + 1] = max(runs[k + 1], a[0][k] + 2)
+                        else:
+                            full = max(full, a[0][k] + 2)
+                if a[1] >= 0:
+                    full = max(full, a[1] + 2)
+            for v in (*([a] if x != y else []), b, c):
+                runs[0] = max(runs[0], max(v[0]) - 1)
+                full = max(full, v[1] - 1)
+            runs[0] = max(runs[0], 0)
+            new.append((runs, full))
+            best = max(best, full)
+        row = new
+    return best / (2 * len(item))
+
+
+def test_op4_equals_brute_force_over_documents_and_items(spark):
     rng = random.Random(11)
-    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 12)))) for k in range(30)]
-    block = decontaminate.Block(items, 3)
-    for _ in range(60):
-        words = rng.choices("abcdefgh", k=rng.randrange(0, 60))
-        every = decontaminate.align(words, block, {})
-        assert decontaminate.align(words, block, {}, 0.5) == [x for x in every if x[1] >= 0.5]
+    vocab = [f"v{k}" for k in range(14)]
+    items = [(k % 20, " ".join(rng.choices(vocab, k=rng.randrange(1, 14)))) for k in range(24)] + [(None, "v1 v2 v3 v4")]
+    rows = []
+    for k in range(70):
+        w = rng.choices(vocab, k=rng.randrange(0, 50))
+        at = rng.randrange(len(w) + 1)
+        copy = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(len(copy))
+            copy[i : i + 1] = rng.choice([[], ["new"], [copy[i], "new"], [copy[i], "new", "new"]])
+            copy = copy or ["new"]
+        rows.append((k, " ".join(w[:at] + copy + w[at:])))
+    want = Counter()
+    for i, t in rows:
+        for j, x in set(items):
+            score = full_score(t.split(), x.split())
+            if score >= 0.5:
+                want[i, j, round(score, 6)] += 1
+    got = Counter((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert len(want) > 60 and got == want
+
+
+def test_op4_shuffled_joins_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    items = spark.createDataFrame([(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve")], "item_id long, text string")
+    rows = [(1, "x one two three four five six y"), (1, "a clean text"), (2, "seven eight nine word ten eleven twelve"), (2, "seven eight nine word ten eleven twelve"), (None, "one two three four five six")]
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (2, 1)]
+    assert [r["text"] for r in decontaminate.drop_contaminated(docs(spark, rows), items).collect()] == ["a clean text"]
+
+
+@pytest.mark.parametrize(("kind", "rate"), [(k, r) for k in ("change", "insert", "delete") for r in (0.1, 0.2, 0.3)])
+def test_op4_recall_of_random_edits(kind, rate):
+    """Of edited copies that the plain recurrence scores at the threshold or above, nine in ten and more hold a seed."""
+    rng = random.Random(str((kind, rate)))
+    caught = total = 0
+    for _ in range(150):
+        item = [f"w{rng.randrange(10_000)}" for _ in range(40)]
+        copy = [x for w in item for x in ([w] if rng.random() >= rate else ["new"] if kind == "change" else [w, "new"] if kind == "insert" else [])]
+        if decontaminate.smith_waterman(copy, item)[0] / 80 >= 0.5:
+            total += 1
+            caught += full_score(copy, item) >= 0.5
+    assert total and caught >= 0.95 * total
 
 
 def test_op4_smith_waterman_equals_the_plain_recurrence():
