@@ -12,6 +12,10 @@ from quillspan.operators.fixpoint import cut
 from quillspan.operators.sets import union_ignore
 
 
+#: A table of up to so many narrow rows may be sent to every executor.
+BROADCAST_ROWS = 1 << 18
+
+
 def contains_quote(text: Column, quote: Column) -> Column:
     """Every non-empty part between ellipses is in the text, both in normal form; an empty quote is not."""
     parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: p != "")
@@ -28,26 +32,34 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, quote:
     """(quote_id, section_id) for every section that contains a quote.
 
     Candidates share the quote's rarest word 4-gram, so the join is an equi join of one row
-    per quote with the sections' 4-grams; then the whole quote is looked for. Quotes of
-    fewer words than a gram use their first word sequence as it is.
+    per quote with the sections' 4-grams; then the whole quote is looked for. Shorter quotes
+    of three words and more are joined by their second word, which stands whole in a text;
+    those of one or two words, whose ends may be parts of words, are looked for in all texts.
     """
-    q = quotes.select(quote_id, normalize_quote(quote).alias("q")).where("q <> ''")
-    s = sections.select(section_id, normalize_quote(text).alias("t"))
+    q = cut(quotes.select(quote_id, normalize_quote(quote).alias("q")).where("q <> ''"), "quotes")
+    s = cut(sections.select(section_id, normalize_quote(text).alias("t")), "sections")
+    few = q.count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
     grams = lambda c: word_grams(F.split(c, " "), gram)
     # the words at the ends of a quote may be parts of words in the text
     inner = F.array_join(F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))), " ")
     long_ = q.where(F.size(F.split("q", " ")) >= gram + 2).select(quote_id, "q", F.explode(grams(inner)).alias("g"))
-    wanted = long_.select("g").distinct()
-    hits = s.select(section_id, F.explode(grams(F.col("t"))).alias("g")).join(wanted, "g", "left_semi")
+    wanted = cut(long_.select("g").distinct(), "grams")
+    every = s.select(section_id, F.explode(grams(F.col("t"))).alias("g"))
+    hits = cut(every.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "g", "left_semi"), "gram-hits")
     freq = hits.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     rare = long_.join(freq, "g", "left").groupBy(quote_id).agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("best"))
     cand = rare.where("best.f > 0").select(quote_id, F.col("best.g").alias("g")).join(hits, "g").select(quote_id, section_id).distinct()
-    found = cand.join(q, quote_id).join(s, section_id).where(F.col("t").contains(F.col("q"))).select(quote_id, section_id)
+    found = cand.join(sent(q), quote_id).join(s, section_id).where(F.col("t").contains(F.col("q"))).select(quote_id, section_id)
     short = q.where(F.size(F.split("q", " ")) < gram + 2)
-    first = F.get(F.split("q", " "), F.when(F.size(F.split("q", " ")) > 2, 1).otherwise(0))
+    if short.isEmpty():
+        return found
+    first = F.get(F.split("q", " "), F.lit(1))
     words = s.select(section_id, F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    whole = short.where(F.size(F.split("q", " ")) > 2).withColumn("w", first).join(words, "w").select(quote_id, section_id).join(q, quote_id).join(s, section_id)
-    return found.unionAll(whole.where(F.col("t").contains(F.col("q"))).select(quote_id, section_id))
+    whole = sent(short.where(F.size(F.split("q", " ")) > 2).withColumn("w", first)).join(words, "w").select(quote_id, section_id)
+    whole = whole.join(sent(q), quote_id).join(s, section_id)
+    tiny = s.join(F.broadcast(short.where(F.size(F.split("q", " ")) <= 2)), F.col("t").contains(F.col("q"))).select(quote_id, section_id)
+    return found.unionAll(whole.where(F.col("t").contains(F.col("q"))).select(quote_id, section_id)).unionAll(tiny)
 
 
 def consolidate(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -110,24 +110,44 @@ def _level(c: str = "level") -> Column:
 def suggested_order(concepts: DataFrame, prereqs: DataFrame, module_position: str = "module") -> DataFrame:
     """(subject_id, id, position): repeatedly the first concept by (module, level, queue place) whose queued prerequisites are placed.
 
-    A cycle takes the first of the rest. The fold runs over one learner's queue per subject,
-    an array bounded by that queue.
+    A cycle takes the first of the rest. One queue, which a learner works through, is
+    ordered in a task with a heap; its size is that of the queue and its edges.
     """
-    q = queue(concepts)
-    inside = q.select(F.col("id").alias("prereq_id"), F.col("subject_id").alias("s"))
-    need = prereqs.join(inside, "prereq_id").join(q.select(F.col("id").alias("concept_id"), "subject_id"), "concept_id").where("s = subject_id")
-    need = need.groupBy("concept_id").agg(F.collect_set("prereq_id").alias("pre"))
-    item = F.struct(F.col(module_position).alias("m"), _level().alias("l"), F.col("queue_pos").alias("p"), F.col("id").alias("id"), F.coalesce("pre", F.expr("cast(array() as array<bigint>)")).alias("pre"))
-    items = q.join(need.withColumnRenamed("concept_id", "id"), "id", "left").groupBy("subject_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    empty = F.expr("cast(array() as array<bigint>)")
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = F.filter("items", lambda x: ~F.array_contains(acc, x["id"]))
-        ready = F.filter(rest, lambda x: F.size(F.array_except(x["pre"], acc)) == 0)
-        return F.concat(acc, F.array(F.coalesce(F.get(ready, F.lit(0))["id"], F.get(rest, F.lit(0))["id"])))
-
-    order = items.select("subject_id", F.aggregate("items", empty, step).alias("order"))
-    return order.select("subject_id", F.posexplode("order").alias("p", "id")).select("subject_id", "id", (F.col("p") + 1).cast("long").alias("position"))
+    q = queue(concepts).select("subject_id", "id", F.col(module_position).alias("m"), _level().alias("l"), "queue_pos")
+    w = Window.partitionBy("subject_id").orderBy("m", "l", "queue_pos", "id")
+    ranked = q.select("subject_id", "id", F.row_number().over(w).cast("long").alias("rank"))
+    inside = ranked.select(F.col("id").alias("prereq_id"), F.col("subject_id").alias("s"), F.col("rank").alias("needs"))
+    need = prereqs.join(inside, "prereq_id").join(ranked.withColumnRenamed("id", "concept_id"), "concept_id").where("s = subject_id")
+    need = need.groupBy("concept_id").agg(F.collect_set("needs").alias("needs")).withColumnRenamed("concept_id", "id")
+
+    def place(key, rows):
+        import heapq
+
+        import pyarrow as pa
+
+        items = sorted(zip(rows["rank"].to_pylist(), rows["id"].to_pylist(), rows["needs"].to_pylist()))
+        waits, after = {}, {}
+        for rank, _, needs in items:
+            waits[rank] = len(needs or ())
+            for n in needs or ():
+                after.setdefault(n, []).append(rank)
+        ready = [rank for rank, n in waits.items() if not n]
+        heapq.heapify(ready)
+        order, placed, rest = [], set(), iter([rank for rank, _, _ in items])
+        while len(order) < len(items):
+            now = heapq.heappop(ready) if ready else next(r for r in rest if r not in placed)  # the first of the rest breaks a cycle
+            if now in placed:
+                continue
+            placed.add(now)
+            order.append(now)
+            for later in after.get(now, ()):
+                waits[later] -= 1
+                if not waits[later] and later not in placed:
+                    heapq.heappush(ready, later)
+        ids = {rank: i for rank, i, _ in items}
+        return pa.table({"subject_id": pa.array([key[0].as_py()] * len(order), pa.int64()), "id": pa.array([ids[r] for r in order], pa.int64()), "position": pa.array(range(1, len(order) + 1), pa.int64())})
+
+    return ranked.join(need, "id", "left").select("subject_id", "id", "rank", "needs").groupBy("subject_id").applyInArrow(place, "subject_id long, id long, position long")
 
 
 def queue_book_order(concepts: DataFrame, sources: DataFrame, sections: DataFrame) -> DataFrame:

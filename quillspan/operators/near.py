@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import shingle_words, word_grams
+from quillspan.functions.text import once, shingle_words, word_grams
 from quillspan.operators.fixpoint import cut
 
 SHINGLE = 5
@@ -14,49 +14,70 @@ TOLERANCE = 0.2
 MIN_WORDS = 50
 
 
+#: A table of up to so many narrow rows may be sent to every executor.
+BROADCAST_ROWS = 1 << 18
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, words, n, shingle): distinct 5-grams of texts with enough words; ``words`` counts words, ``n`` shingles."""
-    sets = F.transform(F.array(shingle_words(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("words"), F.when(F.size(w) >= max(min_words, SHINGLE), word_grams(w, SHINGLE)).alias("g")))
-    w = docs.select(F.col(id_col).alias("id"), F.explode(sets).alias("x")).where(F.col("x.words") >= max(min_words, SHINGLE))
-    return w.select("id", F.col("x.words").alias("words"), F.size("x.g").cast("long").alias("n"), F.explode("x.g").alias("shingle"))
+    """(id, words, n, grams): hashes of the distinct 5-grams of texts with enough words, sorted; ``words`` counts words, ``n`` shingles."""
+    least = max(min_words, SHINGLE)
+    sets = once(shingle_words(text_col), lambda w: F.struct(F.size(w).cast("long").alias("words"), F.when(F.size(w) >= least, F.array_sort(word_grams(w, SHINGLE))).alias("grams")))
+    w = docs.select(F.col(id_col).alias("id"), sets.alias("x")).where(F.col("x.words") >= least)
+    return w.select("id", F.col("x.words").alias("words"), F.size("x.grams").cast("long").alias("n"), F.col("x.grams").alias("grams"))
+
 
+def text_classes(sets: DataFrame) -> DataFrame:
+    """(id, cls): texts with the same shingles and number of words are one class, named by its smallest id."""
+    same = ["n", "words", "s1", "s2"]
+    keyed = sets.select("id", "n", "words", F.xxhash64("grams").alias("s1"), F.xxhash64(F.lit(1), "grams").alias("s2"))
+    names = keyed.groupBy(*same).agg(F.min("id").alias("cls"))
+    return keyed.join(names, same).select("id", "cls")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs (a, b, similarity) with a < b of texts whose 5-gram Jaccard similarity reaches the bound and whose word counts are within 20% of the later one's.
+
+def _links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) with a < b for sets of different classes that reach the similarity; word counts within 20% of the later one's.
 
     Prefix filter: of the shingles ordered from rare to common, two sets that similar share
     one among the first n - ceil(t n) + 1 of each, so only these are joined; the candidates
-    are verified on the full sets. Texts with equal sets are joined once, through one
-    representative, so copies never meet pairwise inside the join.
+    are verified on the whole sets.
     """
-    s = cut(shingle_sets(docs, id_col, text_col, min_words), "shingles")
-    # texts with the same shingle set: one class
-    sets = s.groupBy("id", "words", "n").agg(F.bit_xor(F.xxhash64("shingle")).alias("s1"), F.bit_xor("shingle").alias("s2"), F.min("shingle").alias("s3"))
-    sets = sets.withColumn("cls", F.min("id").over(Window.partitionBy("n", "s1", "s2", "s3")))
-    sets = cut(sets.select("id", "words", "n", "cls"), "sets")
-    heads = sets.where("id = cls").select("id", "n")
-    own = s.join(heads.select("id"), "id", "left_semi").select("id", "n", "shingle")
-    freq = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"))
-    shared = own.join(freq.where("f > 1"), "shingle")
-    ordered = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "shingle")))
+    own = sets.select("id", "n", F.explode("grams").alias("shingle"))
+    freq = cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
+    shared = own.join(F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq, "shingle")
     # shingles of one text only come first in the order; they match nothing but use up the prefix
-    alone = ordered.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    ordered = ordered.join(alone, "id").withColumn("place", F.col("r") + F.col("n") - F.col("k"))
-    prefix = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("id", "n", "shingle")
+    least = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    ordered = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    prefix = ordered.select("id", "n", F.explode(F.slice("s", F.lit(1), F.greatest(least - F.col("n") + F.size("s"), F.lit(0)).cast("int"))).alias("x")).select("id", "n", "x.shingle")
+    prefix = cut(prefix, "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.n") >= F.col("b.n") * similarity - 1e-9) & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9)
-    cand = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-    left = own.select(F.col("id").alias("x"), "shingle")
-    right = own.select(F.col("id").alias("y"), "shingle")
-    common = cand.join(left, "x").join(right, ["y", "shingle"]).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("common"))
-    jac = F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
-    links = common.withColumn("similarity", jac).where(F.col("similarity") >= similarity - 1e-12).select("x", "y", "similarity")
-    links = links.unionAll(heads.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity")))
-    m = sets.select("id", "words", "cls")
-    p, q = m.select(F.col("id").alias("i"), F.col("words").alias("wi"), F.col("cls").alias("x")), m.select(F.col("id").alias("j"), F.col("words").alias("wj"), F.col("cls").alias("y"))
-    pairs = links.join(p, "x").join(q, "y").where("i <> j")
-    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") < F.col("j"), F.col("wi")).otherwise(F.col("wj")).alias("wa"), F.when(F.col("i") < F.col("j"), F.col("wj")).otherwise(F.col("wi")).alias("wb"), "similarity").distinct()
-    return pairs.where(F.abs(F.col("wa") - F.col("wb")) <= F.col("wb") * TOLERANCE).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    cand = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left, right = (sets.select(F.col("id").alias(k), F.col("words").alias(f"w{k}"), F.col("grams").alias(f"g{k}")) for k in ("a", "b"))
+    both = cand.join(left, "a").join(right, "b").where(F.abs(F.col("wa") - F.col("wb")) <= F.col("wb") * TOLERANCE)
+    sized = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("sum"))
+    jac = sized.withColumn("similarity", F.col("common") / (F.col("sum") - F.col("common")))
+    return jac.where(F.col("similarity") >= similarity - 1e-12).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, similarity) with a < b between representatives of classes, and membership (id, cls).
+
+    Texts with the same 5-grams and number of words are one class; the smallest id represents
+    it. Linked are classes whose Jaccard similarity reaches the bound and whose word counts
+    are within 20% of the later one's. Copies are never expanded into pairs.
+    """
+    sets = cut(shingle_sets(docs, id_col, text_col, min_words), "shingles")
+    classes = cut(text_classes(sets), "classes")
+    heads = sets.join(classes.where("id = cls").select("id"), "id", "left_semi")
+    return _links(heads, similarity), classes
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, cls, members, links) per text with enough words: its class, how many texts that has, and how many other classes it links to."""
+    links, classes = near_duplicates(docs, id_col, text_col, **options)
+    n = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    members = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("members"))
+    return classes.join(members, "cls").join(n, "cls", "left").select(F.col("id").alias(id_col), "cls", "members", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def keep_first(pairs: DataFrame) -> DataFrame:
@@ -79,6 +100,11 @@ def keep_first(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the texts that repeat an earlier kept one."""
-    gone = keep_first(near_duplicates(docs, id_col, text_col, **options))
+    """``docs`` without the texts that repeat an earlier kept one.
+
+    A kept text is always its class's first, and what drops that one drops the whole class;
+    so the rounds run over representatives only.
+    """
+    links, classes = near_duplicates(docs, id_col, text_col, **options)
+    gone = keep_first(links).unionAll(classes.where("id <> cls").select("id"))
     return docs.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")

@@ -106,9 +106,29 @@ def mark_parts(entries: DataFrame) -> DataFrame:
 
 
 def unlisted_files(files: DataFrame, listed: DataFrame) -> DataFrame:
-    """Files that no entry names, with over 50 words: reported inside chapters, a part of their own inside front and back matter."""
-    out = files.join(listed, ["book", "file"], "left_anti").where("words > 50")
-    return out.withColumn("action", F.when(F.col("kind").isin("front", "back"), "split").otherwise("report"))
+    """Files of chapters (book, file, kind, words) that no entry names, with over 50 words; those of front and back matter are split off by :func:`split_unlisted`."""
+    return files.join(listed, ["book", "file"], "left_anti").where("words > 50 and kind not in ('front', 'back')")
+
+
+def split_unlisted(blocks: DataFrame, listed: DataFrame) -> DataFrame:
+    """Spans (book, span, part, kind, title, start, end, words) of blocks (book, span, span_kind, span_title, pos, file, kind, text, words).
+
+    Inside front and back matter each file that no entry names begins a part of its own, with
+    the title of the file's first heading, else its name; other spans stay whole.
+    """
+    w = Window.partitionBy("book", "span").orderBy("pos")
+    known = listed.select("book", "file").distinct().withColumn("_known", F.lit(True))
+    b = blocks.join(known, ["book", "file"], "left")
+    new = ~F.col("span_kind").isin("chapter", "appendix") & F.col("_known").isNull() & (F.lag("file").over(w) != F.col("file"))
+    b = b.withColumn("_new", F.coalesce(new, F.lit(False)).cast("long"))
+    b = b.withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = Window.partitionBy("book", "span", "part")
+    b = b.withColumn("_file", F.first("file").over(first.orderBy("pos")))
+    head = F.min_by(F.when((F.col("kind") == "heading") & (F.col("file") == F.col("_file")) & (F.col("text") != ""), F.col("text")), F.when((F.col("kind") == "heading") & (F.col("file") == F.col("_file")) & (F.col("text") != ""), F.col("pos")))
+    got = b.groupBy("book", "span", "part").agg(F.first("span_kind").alias("_k"), F.first("span_title").alias("_t"), F.first("_file").alias("_file"), head.alias("_h"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.sum("words").alias("words"))
+    name = F.regexp_extract("_file", "([^/]*)$", 1)
+    kind = F.when(F.col("part") == 0, F.col("_k")).when(F.col("_k") == "front", "front").otherwise("back")
+    return got.select("book", "span", "part", kind.alias("kind"), F.when(F.col("part") == 0, F.col("_t")).otherwise(F.coalesce("_h", name)).alias("title"), "start", "end", "words")
 
 
 def split_sections(blocks: DataFrame, keys: Sequence[str], order: str = "pos") -> DataFrame:
@@ -127,33 +147,31 @@ def merge_small(sections: DataFrame, keys: Sequence[str], order: str = "section"
     return sections.withColumn("merged", F.greatest(F.sum(large).over(w), F.lit(1)))
 
 
-def _greedy(items: Column, fits) -> Column:
-    """Group numbers from 1 over ordered items: a new group where the next item does not fit."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
+def _fold(df: DataFrame, keys: Sequence[str], order: str, size: Column, count: int | None, most: int, name: str, fill: bool) -> DataFrame:
+    """Group numbers from 1 over ordered rows: a new group where ``count`` or the sum ``most`` would be passed; ``fill``: a group without size takes any row."""
+    import pyarrow as pa
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] == 0) | ~fits(acc, x)
-        n = acc["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            n.cast("long").alias("n"),
-            F.when(new, 1).otherwise(acc["count"] + 1).cast("long").alias("count"),
-            F.when(new, x["size"]).otherwise(acc["sum"] + x["size"]).cast("long").alias("sum"),
-            F.concat(acc["out"], F.array(n.cast("long"))).alias("out"),
-        )
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    keys = list(keys)
+    rows = df.select(*keys, order, size.cast("long").alias("_size"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        number, held, total, out = 0, 0, 0, []
+        for x in group["_size"].to_pylist():
+            over = total + x > most and (not fill or total > 0)
+            if not number or over or count is not None and held >= count:
+                number, held, total = number + 1, 0, 0
+            held, total = held + 1, total + x
+            out.append(number)
+        return group.drop_columns(["_size"]).append_column(name, pa.array(out, pa.int64()))
 
-def _fold(df: DataFrame, keys: Sequence[str], order: str, size: Column, fits, name: str) -> DataFrame:
-    keys = list(keys)
-    got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("size")))).alias("items"))
-    got = got.select(*keys, F.explode(F.arrays_zip(F.transform("items", lambda x: x["o"]).alias("o"), _greedy(F.col("items"), fits).alias("g"))).alias("z"))
-    return got.select(*keys, F.col("z.o").alias(order), F.col("z.g").alias(name))
+    return rows.groupBy(*keys).applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + f", `{name}` long")
 
 
 def split_by_size(blocks: DataFrame, keys: Sequence[str], most: int = 2500, order: str = "pos") -> DataFrame:
     """Parts from 1 of a section's blocks, each of at most ``most`` words (or one block)."""
-    return _fold(blocks, keys, order, F.col("words"), lambda a, x: ~((a["sum"] > 0) & (a["sum"] + x["size"] > most)), "part")
+    return _fold(blocks, keys, order, F.col("words"), None, most, "part", True)
 
 
 def refine(blocks: DataFrame, keys: Sequence[str], most: int = 2500, least: int = 40, order: str = "pos", levels: int = 6) -> DataFrame:
@@ -185,7 +203,7 @@ def refine(blocks: DataFrame, keys: Sequence[str], most: int = 2500, least: int
 
 def group_sections(sections: DataFrame, keys: Sequence[str], count: int = 8, tokens: int = 24000, order: str = "number") -> DataFrame:
     """Request groups of at most ``count`` sections and ``tokens`` tokens (words x 1.4, rounded up)."""
-    return _fold(sections, keys, order, F.ceil(F.col("words") * 1.4), lambda a, x: (a["count"] < count) & (a["sum"] + x["size"] <= tokens), "grp")
+    return _fold(sections, keys, order, F.ceil(F.col("words") * 1.4), count, tokens, "grp", False)
 
 
 def assemble_sections(blocks: DataFrame, keys: Sequence[str], order: str = "pos") -> DataFrame:
@@ -345,7 +363,8 @@ def lossy_books(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc").agg(F.sum("words").alias("words"), F.sum("kept").alias("kept")).where("kept < 0.97 * words")
 
 
-LABEL = r"(?i)^((chapter|part|appendix|lesson|module)\s+[\w.-]+|[0-9]{1,3})\s*[:.\-–—]?$"
+#: Fixed value: outline entries that are a label only.
+LABEL = r"(?i)^(chapter|part|appendix|section|unit|lesson|module|book)\s+[\w.-]+\s*[:.\-–—]?$"
 
 
 def join_labels(entries: DataFrame) -> DataFrame:

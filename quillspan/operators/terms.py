@@ -26,15 +26,18 @@ RANK = ("summary", "glossary", "index", "dfn", "bold", "emphasis")
 def marked_terms(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """(id, term, source, max_words) of dfn, bold and emphasised text; not in code, headings or captions, not a whole paragraph (but for dfn).
 
-    The closing tag may be missing: a mark ends at the next tag.
+    A mark ends at its end tag; where that is missing, at the next block tag or line break.
     """
     body = F.regexp_replace(F.col(html), r"(?is)<(script|style|code|pre|h[1-6]|figcaption|caption)\b[^>]*>.*?</\1>", " ")
+    block = r"/?(?:p|div|li|ul|ol|dl|dt|dd|br|hr|h[1-6]|table|tr|td|th|section|article|header|footer|blockquote|body|html)\b"
     out = None
     for tags, source, most in MARKS:
-        open_ = rf"<(?:{tags})(?:\s[^>]*)?>([^<]*)"
-        whole = rf"(?i)<p[^>]*>\s*<(?:{tags})(?:\s[^>]*)?>[^<]*(?:</(?:{tags})>)?\s*(?=</p>|<p\b|<br)"
+        own = rf"[^<]*+(?:<(?!/(?:{tags})>|{block})[^<]*+)*+"
+        whole = rf"(?i)<p[^>]*>\s*<(?:{tags})(?:\s[^>]*)?>{own}(?:</(?:{tags})>)?\s*(?=</p>|<p\b|<br)"
         text = body if source == "dfn" else F.regexp_replace(body, whole, "<p>")
-        one = pages.select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit("(?i)" + open_), F.lit(1))).alias("at", "term")).select(id_col, "at", "term", F.lit(source).alias("source"), F.lit(most).alias("max_words"))
+        found = F.regexp_extract_all(text, F.lit(rf"(?i)<(?:{tags})(?:\s[^>]*)?>({own})"), F.lit(1))
+        found = F.transform(found, lambda t: F.when(t.contains("<"), F.regexp_replace(t, "<[^>]*>", "")).otherwise(t))
+        one = pages.select(id_col, F.posexplode(found).alias("at", "term")).select(id_col, "at", "term", F.lit(source).alias("source"), F.lit(most).alias("max_words"))
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import format_time
+from quillspan.operators.fixpoint import cut
 
 TIME = r"^\s*\[(?:([0-9]+):)?([0-9]+):([0-9]{2})\]\s*"
 FENCE = r"^\s*(```|~~~)"
@@ -23,11 +24,21 @@ def line_seconds(line: Column) -> Column:
 
 
 def _fenced(lines: DataFrame) -> DataFrame:
-    """With ``_code``: inside fenced code, the fences themselves included."""
+    """With ``_code``: inside fenced code, the fences themselves included; a fence is closed by one of its own kind only.
+
+    A video's fences, one letter each, are cut into runs from an opening one to its closing
+    one; lines after a closing fence are prose again.
+    """
     w = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.col("line").rlike(FENCE).cast("int")
-    n = F.sum(mark).over(w)
-    return lines.withColumn("_code", (n % 2 == 1) | (mark == 1))
+    mark = F.col("line").rlike(FENCE)
+    counted = lines.withColumn("_n", F.sum(mark.cast("long")).over(w))
+    kind = F.when(F.regexp_extract("line", FENCE, 1) == "~~~", "t").otherwise("b")
+    fences = lines.where(mark).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("pos", kind.alias("k")))).alias("f"))
+    runs = fences.select("video", F.posexplode(F.regexp_extract_all(F.array_join(F.transform("f", lambda x: x["k"]), ""), F.lit("b[^b]*b|t[^t]*t|[bt].*$"), F.lit(0))).alias("i", "r"))
+    ends = runs.withColumn("_n", F.sum(F.length("r")).over(Window.partitionBy("video").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    closing = ends.where((F.length("r") > 1) & (F.left("r", F.lit(1)) == F.right("r", F.lit(1)))).select("video", F.col("_n").cast("long").alias("_n"), F.lit(True).alias("_end"))
+    got = counted.join(closing, ["video", "_n"], "left")
+    return got.withColumn("_code", mark | (F.col("_n") > 0) & F.col("_end").isNull()).select(*lines.columns, "_code")
 
 
 def parse_transcript(lines: DataFrame) -> DataFrame:
@@ -72,15 +83,24 @@ def clip_problems(lines: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def placed_words(lines: DataFrame) -> DataFrame:
-    """(video, k, word, at, sentence_end): prose words in order with the time of their paragraph; code and tables have none."""
+    """(video, k, word, at, sentence_end, pos, offset, length): prose words in order with the time of their paragraph and where they stand in their line; code and tables have none.
+
+    A word is a run of letters, digits and apostrophes.
+    """
     l = _fenced(lines).withColumn("_t", F.when(~F.col("_code"), line_seconds(F.col("line"))))  # noqa: E741
     w = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l = l.withColumn("at", F.coalesce(F.last("_t", True).over(w), F.lit(0)))  # noqa: E741
     l = l.where(~F.col("_code") & ~F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*#{1,6}\s"))  # noqa: E741
-    token = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*[^\p{L}\p{N}\s]*"
-    e = l.select("video", "pos", "at", F.posexplode(F.regexp_extract_all(F.regexp_replace("line", TIME, ""), F.lit(token), F.lit(0))).alias("j", "t"))
+    # a word and what stands between it and the next one
+    token = r"[\p{L}\p{N}']+[^\p{L}\p{N}']*"
+    clean = l.withColumn("_p", F.length("line") - F.length(F.regexp_replace("line", TIME, ""))).withColumn("_l", F.regexp_replace("line", TIME, ""))
+    clean = clean.withColumn("_b", F.length("_l") - F.length(F.regexp_replace("_l", r"^[^\p{L}\p{N}']+", "")))
+    e = clean.select("video", "pos", "at", (F.col("_p") + F.col("_b")).alias("_o"), F.posexplode(F.regexp_extract_all("_l", F.lit(token), F.lit(0))).alias("j", "t"))
+    before = Window.partitionBy("video", "pos").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_o", F.col("_o") + F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
+    word = F.regexp_extract("t", r"^[\p{L}\p{N}']+", 0)
     k = F.row_number().over(Window.partitionBy("video").orderBy("pos", "j")) - 1
-    return e.select("video", k.cast("long").alias("k"), F.lower(F.regexp_extract("t", r"^([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)", 1)).alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(r"[.!?][\"”’)\]]*$").alias("sentence_end"))
+    return e.select("video", k.cast("long").alias("k"), F.lower(word).alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(r"^[\p{L}\p{N}']+[^\s\p{L}\p{N}]*[.!?]").alias("sentence_end"), "pos", F.col("_o").cast("long").alias("offset"), F.length(word).cast("long").alias("length"))
 
 
 def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: int = 8, near: int = 60) -> DataFrame:
@@ -93,15 +113,17 @@ def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: in
     """
     def grams(d: DataFrame, p: str) -> DataFrame:
         w = Window.partitionBy("video").orderBy("k")
-        gram = F.concat_ws(" ", *[F.lead("word", j).over(w) for j in range(run)])
-        full = F.lead("word", run - 1).over(w).isNotNull()
-        return d.withColumn("g", F.when(full, gram)).select("video", "g", F.col("k").alias(f"{p}k"), F.col("at").alias(f"{p}at")).where("g is not null")
+        leads = d.select("*", *[F.lead("word", j).over(w).alias(f"_{j}") for j in range(1, run)])
+        gram = F.xxhash64("word", *[f"_{j}" for j in range(1, run)])
+        return leads.where(F.col(f"_{run - 1}").isNotNull()).select("video", gram.alias("g"), F.col("k").alias(f"{p}k"), F.col("at").alias(f"{p}at"), F.array("word", *[f"_{j}" for j in range(1, run)]).alias(f"{p}w"))
 
+    first, second = cut(first, "first-words"), cut(second, "second-words")
     o = overlaps.select("video", F.col("start").alias("_s"), F.col("end").alias("_e"), ((F.col("start") + F.col("end")) / 2).alias("_m"))
     a = first.join(o, "video").where(F.col("at") >= F.col("_s") - near).select(*first.columns)
     b = second.join(o, "video").where("at <= _e").select(*second.columns)
-    hits = grams(a, "a").join(grams(b, "b"), ["video", "g"]).where(F.abs(F.col("aat") - F.col("bat")) <= 2 * near)
+    hits = grams(a, "a").join(grams(b, "b"), ["video", "g"]).where((F.abs(F.col("aat") - F.col("bat")) <= 2 * near) & (F.col("aw") == F.col("bw")))
     best = hits.join(o, "video").groupBy("video").agg(F.min(F.struct(F.abs(F.col("aat") - F.col("_m")).alias("d"), F.col("ak").alias("ak"), F.col("bk").alias("bk"))).alias("x")).select("video", "x.ak", "x.bk")
+    best = cut(best, "joints")
     # equal words on the diagonal from the start on; the run ends at the first gap
     pa = a.select("video", F.col("k").alias("i"), "word", "at", F.col("sentence_end").alias("ea"))
     pb = b.select("video", F.col("k").alias("j"), F.col("word").alias("wb"), F.col("sentence_end").alias("eb"))
@@ -110,8 +132,8 @@ def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: in
     island = F.col("n") - (F.row_number().over(Window.partitionBy("video").orderBy("n")) - 1)
     diag = diag.withColumn("_g", island).where("_g = 0")
     both, one = F.min(F.when(F.col("ea") & F.col("eb"), F.col("n"))), F.min(F.when(F.col("ea"), F.col("n")))
-    cut = diag.groupBy("video", "ak", "bk").agg(F.coalesce(both, one, F.max("n")).alias("n"))
-    text = cut.join(pa, "video").where("i = ak + n").select("video", F.lit("text").alias("method"), (F.col("ak") + F.col("n")).alias("first_k"), (F.col("bk") + F.col("n")).alias("second_k"), "at")
+    last = diag.groupBy("video", "ak", "bk").agg(F.coalesce(both, one, F.max("n")).alias("n"))
+    text = last.join(pa, "video").where("i = ak + n").select("video", F.lit("text").alias("method"), (F.col("ak") + F.col("n")).alias("first_k"), (F.col("bk") + F.col("n")).alias("second_k"), "at")
     mid = o.select("video", F.floor(F.col("_m") + 0.5).cast("long").alias("m")).join(best, "video", "left_anti")
     from_ = lambda d, name: mid.join(d, "video", "left").where("k is null or at >= m").groupBy("video").agg(F.min("k").alias(name))
     time = mid.join(from_(first, "first_k"), "video", "left").join(from_(second, "second_k"), "video", "left").select("video", F.lit("time").alias("method"), "first_k", "second_k", F.col("m").alias("at"))

@@ -14,39 +14,41 @@ from quillspan.operators import transcripts as V
 from quillspan.operators import web as W
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["advanced-filter", "subqueries", "joins", "select-basics", "group-by", "having", "where"]
-
 
 @pytest.fixture
-def study(spark):
-    rows = [(1, 1, 1, "advanced", "queued", 1), (2, 1, 1, "intermediate", "queued", 2), (3, 1, 2, "basic", "queued", 3), (4, 1, 1, "basic", "queued", 4), (5, 1, 1, "basic", "new", None), (6, 1, 1, "basic", "queued", 5), (7, 1, 1, "basic", "known", None)]
+def garden(spark):
+    """Two learners; the first has five queued tasks in three beds, one of them being learned."""
+    rows = [
+        (31, 7, 2, "basic", "queued", 40), (32, 7, 1, "advanced", "learning", 10), (33, 7, 1, "basic", "queued", 30),
+        (34, 7, 3, "basic", "queued", 20), (35, 7, 1, "intermediate", "queued", 50), (36, 7, 1, "basic", "new", None),
+        (37, 7, 1, "basic", "mastered", None), (41, 8, 1, "basic", "queued", 1), (42, 8, 1, "basic", "queued", 2),
+    ]
     concepts = spark.createDataFrame(rows, "id long, subject_id long, module long, level string, status string, queue_pos long")
-    prereqs = spark.createDataFrame([(2, 3), (6, 5), (4, 7)], "concept_id long, prereq_id long")
+    prereqs = spark.createDataFrame([(32, 34), (33, 36), (35, 37), (34, 36), (41, 42)], "concept_id long, prereq_id long")
     return concepts, prereqs
 
 
-def ordered(df):
-    return [NAMES[r["id"] - 1] for r in df.orderBy("position").collect()]
+def ordered(df, subject=7):
+    return [r["id"] for r in df.where(f"subject_id = {subject}").orderBy("position").collect()]
 
 
-def test_queue(spark, study):
-    concepts, prereqs = study
+def test_queue(spark, garden):
+    concepts, prereqs = garden
     got = {r["concept_id"]: (r["warning"], r["later"], r["missing"]) for r in L.queue_warnings(concepts, prereqs).collect()}
-    assert got == {2: ("later", [3], []), 6: ("missing", [], [5])}
-    assert ordered(L.suggested_order(concepts, prereqs)) == ["select-basics", "having", "advanced-filter", "joins", "subqueries"]
-    sections = spark.createDataFrame([(112, 1, 1, 2), (121, 1, 2, 1), (111, 1, 1, 1), (211, 2, 1, 1)], "section_id long, book_id long, chapter long, number long")
-    sources = spark.createDataFrame([(6, 112), (3, 121), (2, 111), (2, 211), (4, 211)], "concept_id long, section_id long")
-    assert ordered(L.queue_book_order(concepts, sources, sections)) == ["subqueries", "having", "joins", "select-basics", "advanced-filter"]
-    edits = spark.createDataFrame([(1, 2, "remove"), (1, 3, "remove")], "subject_id long, id long, edit string")
-    assert ordered(L.queue_edit(L.queue(concepts), edits)) == ["advanced-filter", "select-basics", "having"]
-    cycle = spark.createDataFrame([(1, 2), (2, 1)], "concept_id long, prereq_id long")
-    assert sorted(ordered(L.suggested_order(concepts.where("id < 3"), cycle))) == ["advanced-filter", "subqueries"]
+    assert got == {32: ("later", [34], []), 33: ("missing", [], [36]), 34: ("missing", [], [36]), 41: ("later", [42], [])}
+    order = L.suggested_order(concepts, prereqs)
+    assert ordered(order) == [33, 35, 31, 34, 32] and ordered(order, 8) == [42, 41]
+    sections = spark.createDataFrame([(501, 2, 1, 1), (502, 1, 4, 2), (503, 1, 4, 1), (504, 1, 9, 1)], "section_id long, book_id long, chapter long, number long")
+    sources = spark.createDataFrame([(31, 501), (31, 504), (33, 502), (34, 503), (42, 501)], "concept_id long, section_id long")
+    assert ordered(L.queue_book_order(concepts, sources, sections)) == [34, 33, 31, 32, 35]
+    edits = spark.createDataFrame([(7, 34, "remove"), (7, 35, "top"), (7, 32, "end")], "subject_id long, id long, edit string")
+    assert ordered(L.queue_edit(L.queue(concepts), edits)) == [35, 33, 31, 32] and ordered(L.queue_edit(L.queue(concepts), edits), 8) == [41, 42]
 
 
-def test_suggested_order_respects_acyclic_edges(spark, study):
-    concepts, _ = study
-    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 6)], "concept_id long, prereq_id long")
-    assert ordered(L.suggested_order(concepts, chain)) == [NAMES[k - 1] for k in (6, 4, 3, 2, 1)]
+def test_suggested_order_follows_long_chains(spark, garden):
+    concepts, _ = garden
+    chain = spark.createDataFrame([(33, 31), (31, 35), (35, 34), (34, 32)], "concept_id long, prereq_id long")
+    assert ordered(L.suggested_order(concepts, chain)) == [32, 34, 35, 31, 33]
 
 
 def test_attempts(spark):
@@ -147,7 +149,7 @@ def test_parts_files_titles(spark):
     assert {r["entry"]: r["is_part"] for r in S.mark_parts(e).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
     files = spark.createDataFrame([("b", "a", "chapter", 60), ("b", "c", "front", 70), ("b", "d", "chapter", 10), ("b", "e", "back", 99)], "book string, file string, kind string, words long")
     listed = spark.createDataFrame([("b", "e")], "book string, file string")
-    assert {r["file"]: r["action"] for r in S.unlisted_files(files, listed).collect()} == {"a": "report", "c": "split"}
+    assert [r["file"] for r in S.unlisted_files(files, listed).collect()] == ["a"]
     spans = spark.createDataFrame([("b", "My Book", "chapter", 20), ("b", "My Book", "chapter", 900), ("b", "X", "chapter", 5)], "book string, title string, kind string, words long")
     books = spark.createDataFrame([("b", "my book")], "book string, title string")
     assert sorted(r["kind"] for r in S.demote_title_page(spans, books).collect()) == ["chapter", "chapter", "front"]
@@ -241,15 +243,51 @@ def test_addresses(spark):
 
 def test_near_duplicates_anchor_and_invariant(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    pairs = N.near_duplicates(docs)
-    assert pairs.count() == 14
-    gone = [r["id"] for r in N.keep_first(pairs).collect()]
+    links, classes = N.near_duplicates(docs)
+    same = {r["id"]: r["cls"] for r in classes.collect()}
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert all(same[a] == a and same[b] == b and a < b for a, b in pairs)
+    gone = [r["id"] for r in N.keep_first(links).collect()] + [i for i, c in same.items() if i != c]
     assert len(gone) == len(set(gone)) == 13
-    assert pairs.where(~F.col("a").isin(gone) & ~F.col("b").isin(gone)).isEmpty()
+    assert not [p for p in pairs if not set(p) & set(gone)]
     chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert sorted(r["id"] for r in N.keep_first(chain).collect()) == [2, 4]
 
 
+def test_marks_with_tags_inside(spark):
+    from quillspan.operators import terms as M
+
+    page = "<p>An <b>alpha <i>beta</i></b> and <strong>gamma<p>next <em>delta</em></p><p><b>a whole paragraph</b></p><h2><b>no</b></h2><p><dfn>whole</dfn></p>"
+    got = sorted((r["source"], r["term"]) for r in M.marked_terms(spark.createDataFrame([(1, page)], "page_id long, html string")).collect())
+    assert got == [("bold", "alpha beta"), ("bold", "gamma"), ("dfn", "whole"), ("emphasis", "beta"), ("emphasis", "delta")]
+
+
+def test_fences_close_by_their_own_kind(spark):
+    text = ["[0:05] one", "```", "~~~", "[0:07] code", "```", "[0:09] two", "~~~", "```", "~~~", "[0:11] three", "```", "[0:13] code to the end"]
+    lines = spark.createDataFrame([("v", k, x) for k, x in enumerate(text)], "video string, pos int, line string")
+    assert [r["start"] for r in V.parse_transcript(lines).orderBy("para").collect()] == [5, 9, 11]
+    words = [(r["word"], r["pos"], r["offset"], r["length"]) for r in V.placed_words(lines).orderBy("k").collect()]
+    assert words == [("one", 0, 7, 3), ("two", 5, 7, 3), ("three", 9, 7, 5)]
+
+
+def test_suggested_order(spark):
+    rows = [(9, "b", "basic", 1), (8, "a", "advanced", 2), (7, "a", "basic", 3), (6, "b", "basic", 4), (5, "c", "basic", 5)]
+    concepts = spark.createDataFrame([(i, 1, m, lv, "queued", p) for i, m, lv, p in rows], "id long, subject_id long, module string, level string, status string, queue_pos long")
+    order = lambda edges: [r["id"] for r in L.suggested_order(concepts, spark.createDataFrame(edges, "concept_id long, prereq_id long")).orderBy("position").collect()]
+    assert order([(7, 5), (99, 7)]) == [8, 9, 6, 5, 7]
+    assert order([(8, 7), (7, 9), (9, 7)]) == [6, 5, 7, 8, 9]
+
+
+def test_split_unlisted_files(spark):
+    rows = [(1, 0, "front", "Preface", 0, "a", "heading", "P", 2), (1, 0, "front", "Preface", 1, "x/ad.html", "content", "buy", 9), (1, 0, "front", "Preface", 2, "b", "content", "t", 4), (1, 1, "chapter", "One", 3, "c", "heading", "One", 1), (1, 1, "chapter", "One", 4, "d", "content", "more", 70), (1, 2, "index", "Index", 5, "e", "content", "i", 3), (1, 2, "index", "Index", 6, "f", "content", "s", 1), (1, 2, "index", "Index", 7, "f", "heading", "Other books", 2)]
+    blocks = spark.createDataFrame(rows, "book long, span long, span_kind string, span_title string, pos long, file string, kind string, text string, words long")
+    listed = spark.createDataFrame([(1, f) for f in "abce"], "book long, file string")
+    got = [tuple(r) for r in S.split_unlisted(blocks, listed).orderBy("start").collect()]
+    assert got == [(1, 0, 0, "front", "Preface", 0, 1, 2), (1, 0, 1, "front", "ad.html", 1, 3, 13), (1, 1, 0, "chapter", "One", 3, 5, 71), (1, 2, 0, "index", "Index", 5, 6, 3), (1, 2, 1, "back", "Other books", 6, 8, 3)]
+    files = spark.createDataFrame([(1, "d", "chapter", 70), (1, "f", "index", 60), (1, "g", "chapter", 50)], "book long, file string, kind string, words long")
+    assert [r["file"] for r in S.unlisted_files(files.where("kind = 'chapter'"), listed).collect()] == ["d"]
+
+
 def test_incremental_ingest_and_stream(spark, tmp_path):
     from quillspan.streaming.attempts import ingest_chapters
 
