@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("near", "reports", "learner", "concepts", "structure", "corpora", "inputs")
+MODULES = ("near", "reports", "learner", "concepts", "structure", "corpora", "inputs", "catalog")
 
 
 def _load() -> None:

@@ -117,11 +117,6 @@ def q2(spark, d):
     return got.select("subject_id", "concept_id", F.size("later").cast("long").alias("n_later"), F.size("missing").cast("long").alias("n_missing"), "warning")
 
 
-@query("q3_suggested_order")
-def q3(spark, d):
-    return L.suggested_order(view(spark, d, "v_concepts"), view(spark, d, "v_prereqs"))
-
-
 @query("q4_queue_book_order", f"SELECT subject_id, id, row_number() OVER (PARTITION BY subject_id ORDER BY place NULLS LAST, queue_pos, id) AS position FROM {_QUEUE} q LEFT JOIN {_PLACE} p ON p.concept_id = q.id")
 def q4(spark, d):
     return L.queue_book_order(view(spark, d, "v_concepts"), view(spark, d, "v_sources"), view(spark, d, "v_sections"))
