@@ -110,6 +110,11 @@ def sources_of(sources: DataFrame, sections: DataFrame, books: DataFrame) -> Dat
     return sources.join(sections, "section_id").join(books.select("book_id", "title"), "book_id").select("concept_id", "book_id", "title", "chapter", "number", "section_id")
 
 
+def question_view(questions: DataFrame, sections: DataFrame) -> DataFrame:
+    """Questions with the section that each one cites, if it is known."""
+    return questions.join(sections, "section_id", "left")
+
+
 def unsaved_books(runs: DataFrame, books: DataFrame) -> DataFrame:
     """The latest run of each book that is not saved."""
     return latest_by(runs, ["book_id"], F.desc("id")).join(books, "book_id", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import ascii_slug, normalize_quote
+from quillspan.functions.text import ascii_slug, normalize_quote, normalize_space
 from quillspan.operators import concepts as C
 from quillspan.operators import sets as D
 from quillspan.plans.adapters import view
@@ -59,10 +59,11 @@ def d4(spark, d):
     return D.replace_sources(src, new, sec.where("section_id % 6 = 0").select("section_id"))
 
 
-@query("d4_left_with_sources", "SELECT id FROM {v_concepts} WHERE id IN (SELECT concept_id FROM {v_sources} WHERE section_id % 20 = 1)")
+@query("d4_left_with_sources", "SELECT id FROM {v_concepts} WHERE id IN (SELECT concept_id FROM {v_sources}) UNION ALL SELECT id - 1000000000 FROM {v_concepts} WHERE id IN (SELECT concept_id + 1000000000 FROM {v_sources})")
 def d4b(spark, d):
+    """Half of the concepts have ids that no source names."""
     con, src = V(spark, d, "v_concepts", "v_sources")
-    return D.left_with_sources(con, src.where("section_id % 20 = 1")).select("id")
+    return D.left_with_sources(con.unionAll(con.withColumn("id", F.col("id") - 1_000_000_000)), src).select("id")
 
 
 @query(
@@ -75,10 +76,10 @@ def d5(spark, d):
     return D.conflicts(s.where("words < 1500"), s.where("number = 1"), ["book_id"], "section_id")
 
 
-@query("d6_dedupe_first", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(substring(text, 1, 12)) ORDER BY doc_id) AS r FROM {documents}) t WHERE r = 1")
+@query("d6_dedupe_first", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) AS r FROM {documents}) t WHERE r = 1")
 def d6(spark, d):
     docs = view(spark, d, "documents")
-    return D.dedupe_first(docs.withColumn("k", F.substring("text", 1, 12)), F.col("k"), F.col("doc_id")).select("doc_id", "source")
+    return D.dedupe_first(docs.withColumn("k", normalize_space("text")), F.col("k"), F.col("doc_id")).select("doc_id", "source")
 
 
 @query("d7_union_ignore", "SELECT concept_id, section_id, 'a' AS origin FROM {v_sources} WHERE section_id % 3 = 0 UNION ALL SELECT concept_id, section_id, 'b' AS origin FROM {v_sources} WHERE section_id % 2 = 0 AND section_id % 3 <> 0")
@@ -114,11 +115,18 @@ def d10(spark, d):
     return out
 
 
-#: The quote form on texts without Markdown; every step that such a text can meet.
-@query("c1_normalize_quote", "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[“”«»„]', '\"', 'g'), '\\s+', ' ', 'g'))) AS norm FROM {documents} WHERE NOT regexp_matches(text, '[*_#>|`\\[\\]\\\\+‘’‚–—-]') AND NOT regexp_matches(text, '(?m)^\\s*[0-9]+[.)]\\s')")
+#: Look-around has no place in this SQL: single marks at a word's ends keep the character beside them by a group, and the step runs twice for marks that share one.
+_START = "'(^|[\\s(\\[])[*_]+([^\\s*_])', '\\1\\2', 'gm'"
+_END = "'([^\\s*_])[*_]+($|[\\s).,;:!?\\]])', '\\1\\2', 'gm'"
+_NORM = "regexp_replace({c}, '(?m)^(\\s{{0,3}}#{{1,6}}\\s+)?(\\s*>\\s?)?(\\s*([-*+]|[0-9]+\\\\?[.)])\\s+)?', '', 'g')"
+_NORM = f"regexp_replace(regexp_replace({_NORM}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\\\([\\\\`*_{{{{}}}}\\[\\]()#+\\-.!|>~])', '\\1', 'g')"
+_NORM = f"regexp_replace(regexp_replace(regexp_replace({_NORM}, '\\*\\*|__|`+', '', 'g'), {_START}), {_END})"
+_NORM = f"lower(trim(regexp_replace(translate(replace({_NORM}, '|', ' '), '“”«»„‘’‚–—', '\"\"\"\"\"--'), '\s+', ' ', 'g')))"
+
+
+@query("c1_normalize_quote", f"SELECT doc_id, md5({_NORM.format(c='text')}) AS norm_md5 FROM {{documents}}")
 def c1(spark, d):
-    docs = view(spark, d, "documents").where(~F.col("text").rlike(r"[*_#>|`\[\]\\+‘’‚–—-]") & ~F.col("text").rlike(r"(?m)^\s*[0-9]+[.)]\s"))
-    return docs.select("doc_id", normalize_quote("text").alias("norm"))
+    return view(spark, d, "documents").select("doc_id", F.md5(normalize_quote("text").cast("binary")).alias("norm_md5"))
 
 
 _PLAIN = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
@@ -199,10 +207,10 @@ def c9(spark, d):
     return m.select("concept_id", "name", F.size("prerequisites").cast("long").alias("n_prerequisites"), "n_sources", F.get("sources", F.lit(0))["section_id"].alias("first_section"))
 
 
-@query("c10_map_preview", "SELECT c.id, c.name, coalesce(n.needs, '') AS needs FROM {v_concepts} c LEFT JOIN (SELECT concept_id, string_agg(k.name, ', ' ORDER BY k.name) AS needs FROM {v_prereqs} p JOIN {v_concepts} k ON k.id = p.prereq_id GROUP BY 1) n ON n.concept_id = c.id WHERE c.id IN (SELECT concept_id FROM {v_sources} WHERE section_id % 50 = 7)")
+@query("c10_map_preview", "SELECT c.id, c.name, coalesce(n.needs, '') AS needs FROM {v_concepts} c LEFT JOIN (SELECT concept_id, string_agg(k.name, ', ' ORDER BY k.name) AS needs FROM {v_prereqs} p JOIN {v_concepts} k ON k.id = p.prereq_id GROUP BY 1) n ON n.concept_id = c.id WHERE c.id IN (SELECT concept_id FROM {v_sources} JOIN {v_sections} USING (section_id) WHERE words >= 1000)")
 def c10(spark, d):
     con, pre, src, sec = V(spark, d, "v_concepts", "v_prereqs", "v_sources", "v_sections")
-    return C.map_preview(con, pre, src, sec.where("section_id % 50 = 7").select("section_id"))
+    return C.map_preview(con, pre, src, sec.where("words >= 1000").select("section_id"))
 
 
 @query("io7_map_markdown", "SELECT subject_id, string_agg('## ' || module || chr(10) || ls, chr(10) || chr(10) ORDER BY module) AS markdown FROM (SELECT subject_id, module, string_agg('- ' || name || ' (' || level || '): ' || objective, chr(10) ORDER BY id) AS ls FROM {v_concepts} GROUP BY 1, 2) t GROUP BY 1")

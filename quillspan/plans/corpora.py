@@ -95,11 +95,10 @@ def w1(spark, d):
     return _pages(spark, d).select("page_id", W.absolute_url(F.lit("/a/../up/./x%20y?q=1#part"), F.col("url")).alias("target"))
 
 
-@query("w2_scope_of", "SELECT DISTINCT url AS start, regexp_extract(u, '^(.*/)[^/]*$', 1) AS scope FROM (SELECT url, regexp_replace(url, '[?#].*$', '') AS u FROM {pages}) t WHERE NOT EXISTS (SELECT 1 FROM {pages} p WHERE starts_with(p.url, u || '/'))")
+@query("w2_scope_of", "SELECT DISTINCT url AS start, CASE WHEN EXISTS (SELECT 1 FROM {pages} p WHERE starts_with(p.url, u || '/')) THEN u || '/' ELSE regexp_extract(u, '^(.*/)[^/]*$', 1) END AS scope FROM (SELECT url, regexp_replace(url, '[?#].*$', '') AS u FROM {pages}) t")
 def w2(spark, d):
     p = _pages(spark, d)
-    got = W.scope_of(p.select(F.col("url").alias("start")).distinct(), p)
-    return got.where(~F.col("scope").startswith(F.concat(F.regexp_replace("start", "[?#].*$", ""), F.lit("/"))))
+    return W.scope_of(p.select(F.col("url").alias("start")).distinct(), p)
 
 
 @query("w5_collect_links")
@@ -126,9 +125,15 @@ def w3(spark, d):
     return W.robots_allow(p, W.robots_rules(lines, "own-agent"))
 
 
-@query("w10_llms_urls", "SELECT DISTINCT start, url FROM (SELECT url AS start, regexp_extract(url, '^(https?://[^/]+)', 1) || unnest(['/', '/' || regexp_extract(url, '^https?://[^/]+/([^/?#]*)/', 1) || '/', '/' || regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) || '/']) || 'llms.txt' AS url FROM {pages} WHERE regexp_matches(url, '^https?://[^/]+/[a-z]+/[0-9]+([?#].*)?$')) t")
+@query(
+    "w10_llms_urls",
+    """WITH u AS (SELECT DISTINCT url AS start, regexp_extract(url, '^(https?://[^/]+)', 1) AS o, CASE WHEN p = '' THEN '/' ELSE p END AS p FROM (SELECT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', '') AS p FROM {pages}) t),
+    f AS (SELECT *, list_filter(string_split(regexp_replace(p, '[^/]*$', ''), '/'), lambda x: x <> '') AS parts FROM u)
+    SELECT start, o || '/' || array_to_string(parts[1:i], '/') || CASE WHEN i > 0 THEN '/' ELSE '' END || 'llms.txt' AS url FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS i FROM f) g
+    UNION ALL SELECT start, o || p || '/llms.txt' FROM u WHERE NOT ends_with(p, '/') AND NOT regexp_matches(lower(p), '\\.[a-z0-9]+$')""",
+)
 def w10(spark, d):
-    p = _pages(spark, d).where(F.col("url").rlike("^https?://[^/]+/[a-z]+/[0-9]+([?#].*)?$")).select(F.col("url").alias("start")).distinct()
+    p = _pages(spark, d).select(F.col("url").alias("start")).distinct()
     return W.llms_urls(p).select("start", "url")
 
 
@@ -218,7 +223,7 @@ def v5(spark, d):
 @query("v6_join_clips")
 def v6(spark, d):
     t = _transcript(spark, d)
-    turns = t.groupBy("video").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").withColumn("k", F.floor(F.col("n") / 2))
+    turns = t.groupBy("video").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.floor(F.col("n") / 2))
     lines = _lines(spark, d).join(turns, "video")
     first, second = V.placed_words(lines.where("pos / 2 <= k + 1").select("video", "pos", "line")), V.placed_words(lines.where("pos / 2 >= k").select("video", "pos", "line"))
     at = t.join(turns, "video").groupBy("video").agg(F.max(F.when(F.col("turn") == F.col("k"), F.col("start"))).alias("start"), F.coalesce(F.max(F.when(F.col("turn") == F.col("k") + 2, F.col("start"))), F.max("duration")).alias("end"))
@@ -267,16 +272,16 @@ def p7(spark, d):
 
 @query(
     "v12_selection_title",
-    """SELECT book_id, CASE WHEN n = total THEN title WHEN n <= 3 THEN title || ': ' || names ELSE title || ': ' || (CASE WHEN hi - lo + 1 = n THEN lo || '-' || hi ELSE 'many' END) END AS title FROM (SELECT book_id, count(*) AS n, min(chapter) AS lo, max(chapter) AS hi, string_agg('Chapter ' || chapter, ', ' ORDER BY chapter) AS names
-    FROM (SELECT DISTINCT book_id, chapter FROM {v_sections} WHERE chapter <= 6) s GROUP BY 1) a JOIN (SELECT book_id, count(DISTINCT chapter) AS total FROM {v_sections} GROUP BY 1) b USING (book_id) JOIN {v_books} USING (book_id) WHERE n = total OR n <= 3 OR hi - lo + 1 = n""",
+    """WITH s AS (SELECT DISTINCT book_id, chapter FROM {v_sections} WHERE (chapter + book_id) % 5 <> 0), i AS (SELECT *, chapter - row_number() OVER (PARTITION BY book_id ORDER BY chapter) AS g FROM s),
+    r AS (SELECT book_id, string_agg(CASE WHEN lo = hi THEN '' || lo ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS ranges FROM (SELECT book_id, min(chapter) AS lo, max(chapter) AS hi FROM i GROUP BY book_id, g) t GROUP BY 1),
+    n AS (SELECT book_id, count(*) AS n, string_agg('Chapter ' || chapter, ', ' ORDER BY chapter) AS names FROM s GROUP BY 1)
+    SELECT book_id, CASE WHEN n = total THEN title WHEN n <= 3 THEN title || ': ' || names ELSE title || ': ' || ranges END AS title FROM n JOIN r USING (book_id) JOIN (SELECT book_id, count(DISTINCT chapter) AS total FROM {v_sections} GROUP BY 1) b USING (book_id) JOIN {v_books} USING (book_id)""",
 )
 def v12(spark, d):
     s = view(spark, d, "v_sections")
-    sel = s.where("chapter <= 6").select("book_id", "chapter", F.concat(F.lit("Chapter "), F.col("chapter").cast("string")).alias("name")).distinct()
+    sel = s.where("(chapter + book_id) % 5 <> 0").select("book_id", "chapter", F.concat(F.lit("Chapter "), F.col("chapter").cast("string")).alias("name")).distinct()
     totals = s.groupBy("book_id").agg(F.countDistinct("chapter").alias("total"))
-    got = V.selection_title(sel, totals, view(spark, d, "v_books").select("book_id", "title"), "book_id", "chapter", "name")
-    per = sel.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.min("chapter").alias("lo"), F.max("chapter").alias("hi")).join(totals, "book_id").where("n = total or n <= 3 or hi - lo + 1 = n")
-    return got.join(per.select("book_id"), "book_id", "left_semi")
+    return V.selection_title(sel, totals, view(spark, d, "v_books").select("book_id", "title"), "book_id", "chapter", "name")
 
 
 # scalar functions
@@ -299,10 +304,9 @@ def s_text(spark, d):
     return view(spark, d, "documents").select("doc_id", h(T.escape_html("text")).alias("escaped"), h(T.mask_digits("text")).alias("masked"), h(T.normalize_space("text")).alias("spaced"))
 
 
-@query("s5_slugify", "SELECT doc_id, coalesce(nullif(rtrim(substring(trim(regexp_replace(lower(strip_accents(substring(text, 1, 90))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') AS slug FROM {documents} WHERE NOT contains(substring(text, 1, 90), 'ß')")
+@query("s5_slugify", "SELECT doc_id, coalesce(nullif(rtrim(substring(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', '|'))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') AS slug FROM {documents}")
 def s5(spark, d):
-    docs = view(spark, d, "documents").where(~F.contains(F.substring("text", 1, 90), F.lit("ß")))
-    return docs.select("doc_id", T.slugify(F.substring("text", 1, 90)).alias("slug"))
+    return view(spark, d, "documents").select("doc_id", T.slugify("text").alias("slug"))
 
 
 @query(
@@ -319,5 +323,5 @@ def t3(spark, d):
 @query("w4_llms_chapters", "SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY page_id) AS r FROM {pages} WHERE starts_with(url, 'https://')) t WHERE r = 1")
 def w4(spark, d):
     p = _pages(spark, d)
-    lines = p.select(F.lit("s").alias("site"), F.col("page_id").alias("pos"), F.concat(F.lit("- [T]("), F.col("url"), F.lit("): note")).alias("line"))
+    lines = p.select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), F.col("page_id").alias("pos"), F.concat(F.lit("- [T]("), F.col("url"), F.lit("): note")).alias("line"))
     return W.llms_chapters(lines, "https://").select(F.col("pos").alias("page_id"), "url")

@@ -18,9 +18,9 @@ from quillspan.streaming.attempts import run_latest_attempts
 _WORDS = "cast(len(list_filter(string_split_regex(text, '\\s+'), lambda t: regexp_matches(t, '[\\p{L}\\p{N}]'))) AS bigint)"
 
 
-@query("io1_scan", "SELECT doc_id, lang, source, n_chars FROM {documents} WHERE lang = 'fr'")
+@query("io1_scan", "SELECT doc_id, lang, source, n_chars FROM {documents}")
 def io1(spark, d):
-    return read_table(spark, d, "documents").where("lang = 'fr'").select("doc_id", "lang", "source", "n_chars")
+    return read_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
 @query("io4_video_facts", "SELECT conv_id, turn, 'T' || turn AS title, turn % 4 AS n_chapters FROM {conversations}")

@@ -51,7 +51,7 @@ def j1(spark, d):
 @query("j2_question_view", "SELECT q.session_id, q.concept, s.book_id, s.words FROM {v_questions} q LEFT JOIN {v_sections} s ON s.section_id = q.session_id")
 def j2(spark, d):
     q, s = view(spark, d, "v_questions"), view(spark, d, "v_sections")
-    return q.join(s, q["session_id"] == s["section_id"], "left").select("session_id", "concept", "book_id", "words")
+    return R.question_view(q.withColumn("section_id", F.col("session_id")), s).select("session_id", "concept", "book_id", "words")
 
 
 @query("j3_unsaved_books", "SELECT book_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY id DESC) AS r FROM {v_runs}) t WHERE r = 1 AND book_id NOT IN (SELECT book_id FROM {v_books} WHERE book_id % 3 <> 0)")
@@ -59,11 +59,12 @@ def j3(spark, d):
     return R.unsaved_books(view(spark, d, "v_runs"), view(spark, d, "v_books").where("book_id % 3 <> 0")).select("book_id", "id", "status")
 
 
-@query("j4_orphans", "SELECT id, name FROM {v_concepts} WHERE status = 'new' AND NOT starred AND id NOT IN (SELECT concept_id FROM {v_sources} WHERE section_id % 40 = 0) AND id NOT IN (SELECT prereq_id FROM {v_prereqs} WHERE concept_id % 50 = 0)")
+@query("j4_orphans", "SELECT id, name FROM {v_concepts} WHERE status = 'new' AND NOT starred AND id NOT IN (SELECT concept_id FROM {v_sources}) AND id NOT IN (SELECT prereq_id FROM {v_prereqs}) UNION ALL SELECT -id, name FROM {v_concepts} WHERE status = 'new' AND NOT starred")
 def j4(spark, d):
-    src = view(spark, d, "v_sources").where("section_id % 40 = 0")
-    pre = view(spark, d, "v_prereqs").where("concept_id % 50 = 0").select(F.col("prereq_id").alias("concept_id"))
-    return R.orphans(view(spark, d, "v_concepts"), src, [pre]).select("id", "name")
+    """Every concept once more without sources, under its negative id."""
+    src, con = view(spark, d, "v_sources"), view(spark, d, "v_concepts")
+    pre = view(spark, d, "v_prereqs").select(F.col("prereq_id").alias("concept_id"))
+    return R.orphans(con.unionAll(con.withColumn("id", -F.col("id"))), src, [pre]).select("id", "name")
 
 
 @query("j4_empty_modules", "SELECT subject_id, module FROM {v_modules} m WHERE NOT EXISTS (SELECT 1 FROM {v_concepts} c WHERE c.subject_id = m.subject_id AND c.module = m.module AND status = 'mastered')")

@@ -180,10 +180,9 @@ def l8(spark, d):
     return S.largest_text(_items(spark, d))
 
 
-@query("l11_join_hyphenated", "SELECT doc_id, md5(regexp_replace(replace(text, ' ', '-' || chr(10)), '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g')) AS text_md5 FROM {documents} WHERE NOT regexp_matches(text, '(^|[^\\p{L}])\\p{Ll} \\p{Ll}')")
+@query("l11_join_hyphenated", "SELECT doc_id, md5(regexp_replace(replace(text, ' ', '-' || chr(10)), '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g')) AS text_md5 FROM {documents}")
 def l11(spark, d):
-    docs = _docs(spark, d).where(~F.col("text").rlike(r"(^|[^\p{L}])\p{Ll} \p{Ll}"))
-    return docs.select("doc_id", F.md5(S.join_hyphenated(F.replace("text", F.lit(" "), F.lit("-\n"))).cast("binary")).alias("text_md5"))
+    return _docs(spark, d).select("doc_id", F.md5(S.join_hyphenated(F.replace("text", F.lit(" "), F.lit("-\n"))).cast("binary")).alias("text_md5"))
 
 
 @query("l12_boilerplate_lines", f"SELECT source, line, docs FROM (SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT source, doc_id, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line FROM {_LINES} l) a WHERE line <> '' GROUP BY 1, 2) b JOIN (SELECT source, count(*) AS n FROM {{documents}} GROUP BY 1) c USING (source) WHERE docs >= greatest(3, n * 0.02)")
