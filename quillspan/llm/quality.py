@@ -140,11 +140,34 @@ def tree_rules(trees: list) -> list[Rule]:
     return list(found)
 
 
+def rule_hits(stats: DataFrame, rules: list[Rule], label: str) -> DataFrame:
+    """(y, hits): the label and a vector with a 1 for each rule that holds; comparisons in numpy, so that hundreds of rules need no generated code."""
+    from pyspark.ml.functions import array_to_vector
+
+    place = {s: k for k, s in enumerate(STATS)}
+    tests = [[(place[s], at_most, x) for s, at_most, x in r.tests] for r in rules]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(k + 1).to_numpy() for k in range(len(STATS))]
+            hits = np.zeros((batch.num_rows, len(tests)))
+            for k, rule in enumerate(tests):
+                hits[:, k] = np.logical_and.reduce([columns[c] <= x if at_most else columns[c] > x for c, at_most, x in rule])
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(tests))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(hits.reshape(-1)))], names=["y", "hits"])
+
+    return stats.select(F.col(label).cast("double").alias("y"), *STATS).mapInArrow(run, "y double, hits array<double>").select("y", array_to_vector("hits").alias("hits"))
+
+
 def fit_rules(stats: DataFrame, label: str = "label", trees: int = 24, depth: int = 3, penalty: float = 0.0015, seed: int = 5) -> RuleEnsemble:
     """Fit the ensemble on rows with the statistics and a 0/1 label.
 
     Without rows, or with one label only, the ensemble is a constant, the share of label 1
-    with one imagined row of each.
+    with one imagined row of each. The rows are few; equal rows in the same order and
+    partitions give the same trees.
     """
     import math
 
@@ -154,13 +177,11 @@ def fit_rules(stats: DataFrame, label: str = "label", trees: int = 24, depth: in
     n, ones = stats.agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
     if not 0 < ones < n:
         return RuleEnsemble(math.log((ones + 1) / (n - ones + 1)), ())
-    data = VectorAssembler(inputCols=list(STATS), outputCol="stats").transform(stats).select("*", F.col(label).cast("double").alias("y"))
+    data = VectorAssembler(inputCols=list(STATS), outputCol="stats").transform(stats).select("stats", F.col(label).cast("double").alias("y"))
     forest = RandomForestClassifier(labelCol="y", featuresCol="stats", numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="0.5", subsamplingRate=0.7, seed=seed).fit(data)
     rules = tree_rules(forest.trees)
-    names = [f"rule_{k}" for k in range(len(rules))]
-    hits = data.select("y", *[r.column().cast("double").alias(name) for r, name in zip(rules, names)])
     lasso = LogisticRegression(labelCol="y", featuresCol="hits", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60)
-    model = lasso.fit(VectorAssembler(inputCols=names, outputCol="hits").transform(hits).select("y", "hits"))
+    model = lasso.fit(rule_hits(stats, rules, label))
     kept = tuple((r, float(w)) for r, w in zip(rules, model.coefficients) if w)
     return RuleEnsemble(float(model.intercept), kept)
 
@@ -169,14 +190,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled documents outside the held-out fold, on at most ``sample_rows`` of them.
 
     Labels that are null or of no document are left out; of repeated labels the more
-    frequent one counts, 1 on a tie.
+    frequent one counts, 1 on a tie. The result does not depend on how the tables are
+    partitioned.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     known = known.where(fold("id", folds) != held_out).groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     sample = stage(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "sample")
     some = docs.join(F.broadcast(sample.select(F.col("id").alias(id_col))), id_col, "left_semi")  # sample_rows ids at most
     stats = with_stats(some, id_col, text_col).join(F.broadcast(sample), "id")
-    return fit_rules(stage(stats, "labelled"))
+    # one partition in one order, however the documents lie: bagging draws by partition and row
+    return fit_rules(stage(stats.coalesce(1).sortWithinPartitions("id", *STATS), "labelled"))
 
 
 def score(docs: DataFrame, ensemble: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
