@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,12 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set, as in tests."""
+    """This application's folder below the one that the cluster shares; it goes when the application ends.
+
+    Where no shared folder is set, as in tests, a temporary one is set; not on a cluster,
+    whose executors would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not base:
-        base = os.environ.setdefault("QUILLSPAN_SHARED", tempfile.mkdtemp(prefix="quillspan-"))
-        base = f"file://{base}"
-    return base
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    folder = f"{base}/quillspan/{context.applicationId}"
+    if folder not in _folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
 
 
 def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -51,11 +66,32 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this is joined by broadcast, so that its rows stay where they are; of N rows, N / HOT_ROWS keys at most are that frequent.
+HOT_ROWS = 100_000
+#: Up to so many narrow rows are sent to every executor.
+BROADCAST_ROWS = 1 << 18
+
+
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and in ``times`` how many rows have it.
+
+    Frequent keys go to all executors, the others through a shuffle, in which no key then
+    has more than ``HOT_ROWS`` rows.
+    """
+    hot = table.where(F.col(times) > HOT_ROWS)
+    n = hot.count()
+    if not n or n > BROADCAST_ROWS:
+        return rows.join(table, keys)
+    there = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(times) <= HOT_ROWS), keys)
+    return there.unionByName(rest)
+
+
 def fold(doc_id: Column | str, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``: the same rows on any engine."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
