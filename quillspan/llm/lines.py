@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stage
+from quillspan.llm.common import join_split, stage
 
 MIN_WORDS = 5
 #: A table of up to so many narrow rows (under 100 bytes each in memory) is sent to every executor; a larger one is joined by a shuffle.
@@ -150,11 +150,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, row, gone): for each row with lines that go, the sorted positions of those lines; ``row`` is the hash of its text."""
     known = stage(_lines(docs, id_col, text_col).withColumn("n", _words()).withColumn("halves", _half_keys(min_words)), "every-line")
     placed = known.withColumn("place", _place())
-    equal = placed.groupBy(*LINE).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select(*LINE, "first")
-    near = _near(known).select(*LINE, F.lit(None).cast("decimal(38, 0)").alias("first"))
-    # a line with a null place goes everywhere, another one after its first place
-    marked = stage(equal.unionAll(near), "repeated")
-    gone = placed.select("id", "row", "pos", "place", *LINE).join(_sent(marked), list(LINE)).where("first is null or place > first")
+    equal = placed.groupBy(*LINE).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("times")).where("first < last").select(*LINE, "first", "times", F.lit(False).alias("near"))
+    near = _near(known).select(*LINE, F.lit(None).cast("decimal(38, 0)").alias("first"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("near"))
+    # a near line goes everywhere, another one after its first place
+    marked = equal.unionAll(near).groupBy(*LINE).agg(F.max("first").alias("first"), F.max("times").alias("times"), F.max("near").alias("near"))
+    marked = stage(marked, "repeated")
+    lines = placed.select("id", "row", "pos", "place", *LINE)
+    gone = lines.join(F.broadcast(marked), list(LINE)) if marked.count() <= BROADCAST_ROWS else join_split(lines, marked, list(LINE), "times")
+    gone = gone.where("near or place > first")
     return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 

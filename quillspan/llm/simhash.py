@@ -22,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stage
+from quillspan.llm.common import join_split, stage
 from quillspan.llm.components import components
 
 RADIUS = 4
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns are not read.
     """
     each = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stage(each.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    classes = stage(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "classes")
     found = components(fingerprint_links(classes.where("rep is not null")))
-    names = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return each.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "times")
+    return join_split(each, stage(names, "named"), ["fp"], "times").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import components, decontaminate, exact, html, lines, lm, packing, pii, quality, shingles, simhash, tokens
+from quillspan.llm import common, components, decontaminate, exact, html, lines, lm, packing, pii, quality, shingles, simhash, tokens
 from quillspan.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -357,6 +357,42 @@ def test_op5_separates_and_compiles(spark):
     assert constant.rules == () and quality.score(d, constant).select("score").distinct().collect()[0][0] == 0.5
 
 
+def plain_stats(text):
+    """The statistics again, one character or word at a time."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(quality.STATS)
+    chars, n = [chr(c) for c in text], len(words)
+    count = lambda test: sum(1 for c in chars if test(c))
+    upper, lower = count(lambda c: "A" <= c <= "Z"), count(lambda c: "a" <= c <= "z")
+    space = count(lambda c: c in " \t\n\x0b\x0c\r")
+    symbols = count(lambda c: "!" <= c <= "~" and not (c.isascii() and c.isalnum()) and c not in "!?'(),-.:;")
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    return [n, (len(text) - space) / n, upper / max(1, upper + lower), symbols / len(text), (text.count(b"!") + text.count(b"?")) / n, count(lambda c: "0" <= c <= "9") / len(text), text.count(b"|") / n, space / len(text), len(set(words)) / n, max(words.count(w) for w in set(words)) / n, 1 - len(set(lines)) / len(lines), n / len(lines), (text.count(b",") + text.count(b".")) / n, sum(w[:1].isupper() for w in words) / n]
+
+
+def test_op5_scores_equal_a_plain_version_and_do_not_depend_on_partitions(spark):
+    rng = random.Random(66)
+    text = lambda good: "\n".join(" ".join(rng.choices(["Plain", "words", "in", "rows,", "more.", f"x{rng.randrange(99)}"] if good else ["BUY!!", "now", "a|b", "%%", "7 7", "words"], k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 7)))
+    rows = [(k, text(rng.random() < (0.9 if k % 2 else 0.2))) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows)
+    ensemble = quality.learn(d.repartition(3), labels)
+    assert ensemble == quality.learn(d.coalesce(1), labels.repartition(5)) and len(ensemble.rules) > 1
+    z = lambda x: ensemble.bias + sum(w for rule, w in ensemble.rules if all((x[s] <= v) if least else (x[s] > v) for s, least, v in rule.tests))
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, ensemble).collect()}
+    for k, t in rows:
+        assert abs(got[k] - 1 / (1 + math.exp(-z(dict(zip(quality.STATS, plain_stats(t.encode()))))))) < 1e-9, t
+
+
+def test_op5_held_out_accuracy(spark):
+    src = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{src}/documents.parquet"), spark.read.parquet(f"{src}/labels.parquet")
+    scored = quality.score(d, quality.learn(d, labels)).join(labels, "doc_id").where("held_out")
+    right, n = scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.count(F.lit(1))).first()
+    assert n >= 20 and right > 0.95
+
+
 # 6: packing
 
 
@@ -607,9 +643,10 @@ def test_op8_equals_brute_force(spark):
     assert got == brute_lines(rows)
 
 
-@pytest.mark.parametrize("rows", [0, 40])
-def test_op8_shuffled_joins_give_the_same(spark, rows, monkeypatch):
+@pytest.mark.parametrize(("rows", "hot"), [(0, 3), (40, 100_000)])
+def test_op8_shuffled_joins_give_the_same(spark, rows, hot, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     test_op8_equals_brute_force(spark)
 
 
@@ -741,7 +778,9 @@ def test_pipeline_near_dedup_drops_edits_beyond_four_bits(spark):
 # 10: exact
 
 
-def test_op10_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_op10_equals_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(11)
     rows = [(k, rng.choice(["a", "b", "", None, "a ", "A", "long " * 50])) for k in range(120)] + [(119, "a"), (None, "b"), (None, "unique")]
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact.exact_classes(docs(spark, rows), batches=3).collect())
@@ -763,6 +802,17 @@ def test_op10_index_compacts_and_looks_up(spark):
     assert sum(map(len, index.levels.values())) < 5
     probe = spark.createDataFrame([("x",)], "s string").select(F.sha2(F.lit("29").cast("binary"), 256).cast("binary").alias("digest"))
     assert [(r["min_id"], r["max_id"]) for r in index.lookup(probe).collect()] == [(29, 59)]
+    new = spark.range(1000, 6000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"))
+    old = spark.range(0, 30).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("digest"))
+    assert index.may_hold(new).count() < 50 and index.may_hold(old).count() == 30 and index.lookup(old).count() == 30
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(cluster)
 
 
 # the pipeline
