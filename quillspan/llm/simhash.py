@@ -31,18 +31,28 @@ HOT = 512
 
 def fingerprint_words(words: list[bytes], shingle: int) -> int:
     """64-bit SimHash over word shingles, repeats included; no word gives 0."""
+    return fingerprint(shingle_hashes(words, shingle))
+
+
+def shingle_hashes(words: list[bytes], shingle: int):
+    """XXH64 of each word shingle, repeats included; fewer words are one shingle, no word has none."""
     import numpy as np
     import xxhash
 
-    if not words:
-        return 0
-    text = b" ".join(words)
+    digest, text = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(text, 42)
+        return np.array([digest(text, 42)] if words else [], np.uint64)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - shingle + 1
-    h = np.fromiter((digest(text[s : e - 1], 42) for s, e in zip(starts, starts[shingle:])), np.uint64, n)
+    return np.fromiter((digest(text[s : e - 1], 42) for s, e in zip(starts, starts[shingle:])), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint(h) -> int:
+    """Each bit is 1 if it is set in over half of the hashes; no hash gives 0."""
+    import numpy as np
+
+    n = len(h)
+    if n < 2:
+        return int(h[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 15):
         ones += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)

@@ -775,6 +775,30 @@ def test_pipeline_near_dedup_drops_edits_beyond_four_bits(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
 
 
+def test_pipeline_stages_go_by_row(spark):
+    import corpus_pipeline
+
+    long = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    item = " ".join(f"item{k}" for k in range(30))
+    rows = [(1, long("a")), (5, long("a")), (5, long("b")), (5, long("b")), (None, long("a")), (None, long("c")), (6, None), (7, "")]
+    left = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "").collect())
+    assert left == Counter([(1, long("a")), (5, long("b")), (None, long("c")), (6, None)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"{long('x')} {item}"), (1, long("y")), (None, item), (None, long("z"))]
+    assert sorted(r["text"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [long("y"), long("z")]
+
+
+def test_pipeline_on_awkward_rows(spark):
+    import corpus_pipeline as P
+
+    d = odd(spark).withColumns({c: F.lit(1) for c in ("comp", "h", "cls", "gone_id", "h1", "passage", "doc", "subject", "salt")})
+    for name, step in P.STAGES[:-1]:
+        before = d.count()
+        d = step(spark, d, "/root/testdata/sf0.001") if name != "quality" else d
+        assert d.count() <= before and d.columns[:5] == docs(spark, []).columns, name
+    assert P.STAGES[-1][1](spark, d, "").select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+
+
 # 10: exact
 
 
