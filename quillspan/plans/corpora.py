@@ -101,9 +101,14 @@ def w2(spark, d):
     return W.scope_of(p.select(F.col("url").alias("start")).distinct(), p)
 
 
-@query("w5_collect_links")
+#: The given pages: one list of links without groups, then paragraphs in an article; a list item of plain text is a group title.
+_MENU = """(SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>|[^<]*)')) AS t, unnest(range(0, len(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>|[^<]*)')))) AS k FROM {pages})"""
+_ITEMS = f"""(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM (SELECT *, lag(text) OVER w = text AND lag(url) OVER w = url AS again FROM (SELECT page_id, k, o, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, CASE WHEN contains(t, '<a ') THEN o || regexp_extract(t, 'href="([^"]*)"', 1) END AS url FROM {_MENU} m) a WHERE url IS NOT NULL OR text <> '' AND length(text) <= 100 WINDOW w AS (PARTITION BY page_id ORDER BY k)) b WHERE NOT coalesce(again, false))"""
+
+
+@query("w5_collect_links", f"SELECT page_id, pos, text, url, 1 AS depth FROM {_ITEMS} i")
 def w5(spark, d):
-    return W.collect_links(_pages(spark, d))
+    return W.collect_links(_pages(spark, d)).select("page_id", "pos", "text", "url", "depth")
 
 
 @query("w6_scoped_items")
@@ -161,12 +166,6 @@ def w8(spark, d):
     return W.skip_report(p, [("robots", p.where("page_id % 3 = 0")), ("same text", p.where("page_id % 4 = 0"))], "page_id")
 
 
-@query("r17_fetch_report", "SELECT page_id % 5 AS grp, count(*) FILTER (WHERE page_id % 4 <> 0) AS pages, cast(sum(length(html)) FILTER (WHERE page_id % 4 <> 0) AS bigint) AS words, count(DISTINCT url) FILTER (WHERE page_id % 4 <> 0) AS images, count(*) FILTER (WHERE page_id % 4 = 0) AS skipped FROM {pages} GROUP BY 1")
-def r17(spark, d):
-    p = _pages(spark, d).select((F.col("page_id") % 5).alias("grp"), "page_id", F.length("html").cast("long").alias("words"), F.col("url").alias("image"))
-    return W.fetch_report(p.where("page_id % 4 <> 0"), p.where("page_id % 4 = 0"), "grp")
-
-
 # transcripts
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import ascii_slug, count_words
+from quillspan.operators import runs as U
 from quillspan.operators import structure as S
 from quillspan.operators.fixpoint import cut, shared_dir
 from quillspan.plans.adapters import view
@@ -52,24 +53,80 @@ def io5(spark, d):
     return back.select(F.col("book").alias("source"), "doc_id", "file", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("io6_parse_report", f"SELECT source, count(DISTINCT lang) AS chapters, count(*) AS sections, cast(sum({_WORDS}) AS bigint) AS words, cast(sum(n_chars) AS bigint) AS source_chars, count(*) FILTER (WHERE {_WORDS} = 0) AS empty FROM {{documents}} GROUP BY 1".replace("{{", "{").replace("}}", "}"))
+@query(
+    "io6_parse_report",
+    f"""SELECT s.source, chapters, sections, words, source_words, coalesce(k.skipped_words, 0) AS skipped_words, coalesce(c.n, 0) AS checklist_items, coalesce(e.g, 0) AS glossary_entries, coalesce(e.i, 0) AS index_entries FROM
+    (SELECT source, count(DISTINCT lang) AS chapters, count(*) AS sections, cast(sum({_WORDS}) AS bigint) AS words, cast(sum(n_chars // 5) AS bigint) AS source_words FROM {{documents}} GROUP BY 1) s
+    LEFT JOIN (SELECT source, cast(sum({_WORDS}) AS bigint) AS skipped_words FROM {{documents}} WHERE doc_id % 4 = 0 GROUP BY 1) k USING (source) LEFT JOIN (SELECT source, count(*) AS n FROM {{documents}} JOIN {{labels}} USING (doc_id) WHERE quality = 1 GROUP BY 1) c USING (source)
+    LEFT JOIN (SELECT source, count(*) FILTER (WHERE toxic = 1) AS g, count(*) FILTER (WHERE toxic = 0) AS i FROM {{documents}} JOIN {{labels}} USING (doc_id) GROUP BY 1) e USING (source)""".replace("{{", "{").replace("}}", "}"),
+)
 def io6(spark, d):
-    docs = view(spark, d, "documents").select("source", "lang", "n_chars", count_words("text").alias("words"))
-    return docs.groupBy("source").agg(F.countDistinct("lang").alias("chapters"), F.count(F.lit(1)).alias("sections"), F.sum("words").alias("words"), F.sum("n_chars").alias("source_chars"), F.sum((F.col("words") == 0).cast("long")).alias("empty"))
+    docs = view(spark, d, "documents").select("source", "doc_id", F.col("lang").alias("chapter"), count_words("text").alias("words"), F.floor(F.col("n_chars") / 5).alias("source_words"))
+    marks = docs.join(view(spark, d, "labels"), "doc_id")
+    entries = marks.select("source", F.when(F.col("toxic") == 1, "glossary").when(F.col("toxic") == 0, "index").alias("kind"))
+    return U.parse_report(docs, docs.where("doc_id % 4 = 0"), marks.where("quality = 1"), entries, "source")
 
 
-@query("r15_request_plan", "SELECT book_id, cast(sum(CASE WHEN chapter % 4 = 0 THEN 1 ELSE 2 * groups + 1 END) AS bigint) AS requests FROM (SELECT book_id, chapter, cast(ceil(count(*) / 8.0) AS bigint) AS groups FROM {v_sections} GROUP BY 1, 2) t GROUP BY 1")
+#: Images of chapters: the parts of an order stand for those of a section; every third one has been read.
+_IMAGES = "(SELECT DISTINCT s.book_id, s.chapter, l.l_suppkey AS image FROM {lineitem} l JOIN {v_sections} s ON s.section_id = l.l_orderkey WHERE l.l_suppkey % 3 <> 0)"
+_CHAPTERS = f"(SELECT g.book_id, g.chapter, g.chapter % 4 = 0 AS cached, coalesce(i.images, 0) AS images, CASE WHEN g.chapter % 4 = 0 THEN 0 ELSE 2 * g.groups END + 1 + coalesce(i.images, 0) AS requests FROM (SELECT book_id, chapter, cast(ceil(count(*) / 8.0) AS bigint) AS groups FROM {{v_sections}} GROUP BY 1, 2) g LEFT JOIN (SELECT book_id, chapter, count(DISTINCT image) AS images FROM {_IMAGES} x GROUP BY 1, 2) i ON i.book_id = g.book_id AND i.chapter = g.chapter)"
+
+
+def _plan(spark, d):
+    s = view(spark, d, "v_sections")
+    groups = S.group_sections(s, ["book_id", "chapter"], 8, 10**9).groupBy("book_id", "chapter").agg(F.max("grp").alias("groups"))
+    images = view(spark, d, "lineitem").where("l_suppkey % 3 <> 0").select(F.col("l_orderkey").alias("section_id"), F.col("l_suppkey").alias("image")).join(s, "section_id").select("book_id", "chapter", "image")
+    return U.request_plan(groups, s.where("chapter % 4 = 0"), images, "book_id")
+
+
+@query("r15_request_plan", f"SELECT * FROM {_CHAPTERS} c")
 def r15(spark, d):
-    groups = S.group_sections(view(spark, d, "v_sections"), ["book_id", "chapter"], 8, 10**9).groupBy("book_id", "chapter").agg(F.max("grp").alias("groups"))
-    return groups.groupBy("book_id").agg(F.sum(F.when(F.col("chapter") % 4 == 0, 1).otherwise(2 * F.col("groups") + 1)).cast("long").alias("requests"))
+    return _plan(spark, d)[0]
+
+
+@query("r15_request_total", f"SELECT c.book_id, coalesce(i.images, 0) AS images, cast(base + coalesce(i.images, 0) AS bigint) AS requests FROM (SELECT book_id, sum(requests - images) AS base FROM {_CHAPTERS} t GROUP BY 1) c LEFT JOIN (SELECT book_id, count(DISTINCT image) AS images FROM {_IMAGES} x GROUP BY 1) i ON i.book_id = c.book_id")
+def r15t(spark, d):
+    return _plan(spark, d)[1]
+
+
+_FACTS = {"concepts": "true", "added": "concept_id % 2 = 0", "joined": "concept_id % 2 = 1", "empty": "words < 100", "missing": "words between 100 and 150", "minor": "concept_id % 7 = 0", "quote_warnings": "concept_id % 11 = 0", "skipped_items": "concept_id % 13 = 0"}
 
 
-@query("r16_chapter_report", "SELECT s.book_id, s.chapter, s.sections, coalesce(c.concepts, 0) AS concepts, s.empty FROM (SELECT book_id, chapter, count(*) AS sections, count(*) FILTER (WHERE words < 100) AS empty FROM {v_sections} GROUP BY 1, 2) s LEFT JOIN (SELECT book_id, chapter, count(DISTINCT concept_id) AS concepts FROM {v_sources} JOIN {v_sections} USING (section_id) GROUP BY 1, 2) c USING (book_id, chapter)")
+@query(
+    "r16_chapter_report",
+    f"""SELECT s.book_id, s.chapter, s.sections, {", ".join(f"coalesce(c.{k}, 0) AS {k}" for k in _FACTS)} FROM (SELECT book_id, chapter, count(*) AS sections FROM {{v_sections}} GROUP BY 1, 2) s
+    LEFT JOIN (SELECT book_id, chapter, {", ".join(f"count(*) FILTER (WHERE {v}) AS {k}" for k, v in _FACTS.items())} FROM {{v_sources}} JOIN {{v_sections}} USING (section_id) GROUP BY 1, 2) c ON c.book_id = s.book_id AND c.chapter = s.chapter""",
+)
 def r16(spark, d):
-    s, src = view(spark, d, "v_sections"), view(spark, d, "v_sources")
-    per = s.groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("sections"), F.sum((F.col("words") < 100).cast("long")).alias("empty"))
-    con = src.join(s, "section_id").groupBy("book_id", "chapter").agg(F.countDistinct("concept_id").alias("concepts"))
-    return per.join(con, ["book_id", "chapter"], "left").na.fill(0, ["concepts"]).select("book_id", "chapter", "sections", "concepts", "empty")
+    s = view(spark, d, "v_sections")
+    rows = view(spark, d, "v_sources").join(s, "section_id")
+    return U.chapter_report(s, {k: rows.where(v) for k, v in _FACTS.items()}, ["book_id", "chapter"])
+
+
+@query(
+    "r17_fetch_report",
+    "SELECT page_id % 5 AS grp, count(*) FILTER (WHERE page_id % 4 <> 0) AS pages, cast(coalesce(sum(length(html)) FILTER (WHERE page_id % 4 <> 0), 0) AS bigint) AS words, count(DISTINCT url) FILTER (WHERE page_id % 4 = 1) AS images, md5(coalesce(string_agg(url || ' ' || CASE WHEN page_id % 8 = 0 THEN 'robots' ELSE 'same text' END, chr(10) ORDER BY url, page_id % 8) FILTER (WHERE page_id % 4 = 0), '')) AS skipped_md5 FROM {pages} GROUP BY 1",
+)
+def r17(spark, d):
+    p = view(spark, d, "pages").select((F.col("page_id") % 5).alias("grp"), "page_id", "url", F.length("html").cast("long").alias("words"))
+    skipped = p.where("page_id % 4 = 0").select("grp", "url", F.when(F.col("page_id") % 8 == 0, "robots").otherwise("same text").alias("reason"))
+    got = U.fetch_report(p.where("page_id % 4 <> 0"), p.where("page_id % 4 = 1").select("grp", F.col("url").alias("image")), skipped, "grp")
+    lines = F.array_join(F.transform("skipped", lambda x: F.concat(x["url"], F.lit(" "), x["reason"])), "\n")
+    return got.select("grp", "pages", "words", "images", F.md5(lines.cast("binary")).alias("skipped_md5"))
+
+
+@query(
+    "b13_book_warnings",
+    """SELECT source, 'skipped_text' AS code, lang AS about, n_chars // 5 AS n FROM {documents} WHERE n_chars // 5 >= 300 AND doc_id % 5 IN (1, 2) UNION ALL SELECT source, 'not_in_toc', 'f' || doc_id, n_chars % 90 FROM {documents} WHERE n_chars % 90 > 50 AND doc_id % 3 <> 0 AND doc_id % 2 = 0
+    UNION ALL SELECT source, 'unassigned_terms', NULL, count(*) FROM {documents} WHERE doc_id % 7 = 0 GROUP BY 1 UNION ALL SELECT source, 'unread_images', NULL, count(DISTINCT doc_id % 20) FROM {documents} WHERE doc_id % 6 = 0 GROUP BY 1""",
+)
+def b13b(spark, d):
+    docs, i = view(spark, d, "documents"), F.col("doc_id")
+    kinds = F.array(*[F.lit(k) for k in ("glossary", "front", "back", "index", "chapter")])
+    parts = docs.select("source", F.col("lang").alias("title"), F.get(kinds, (i % 5).cast("int")).alias("kind"), F.floor(F.col("n_chars") / 5).alias("words"))
+    files = docs.select(F.col("source").alias("book"), F.concat(F.lit("f"), i.cast("string")).alias("file"), F.when(i % 2 == 0, "chapter").otherwise("front").alias("kind"), (F.col("n_chars") % 90).alias("words"), "doc_id")
+    unlisted = S.unlisted_files(files, files.where("doc_id % 3 = 0").select("book", "file")).withColumnRenamed("book", "source")
+    return U.book_warnings(parts, unlisted, docs.where("doc_id % 7 = 0"), docs.where("doc_id % 6 = 0").select("source", (i % 20).alias("image")), "source")
 
 
 @query("st1_stream_latest_attempts", "SELECT session_id, concept, id, score, score = 2 OR disputed AS correct FROM (SELECT *, row_number() OVER (PARTITION BY session_id, concept ORDER BY id DESC) AS r FROM {v_attempts}) t WHERE r = 1")

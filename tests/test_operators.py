@@ -262,6 +262,12 @@ def test_marks_with_tags_inside(spark):
     assert got == [("bold", "alpha beta"), ("bold", "gamma"), ("dfn", "whole"), ("emphasis", "beta"), ("emphasis", "delta")]
 
 
+def test_link_groups(spark):
+    page = "<body><ul><li><b>Start</b> here<ul><li><a href='a'>A</a><li><a href='b'>B</a></ul></li><li>Alone</li><li><a href='#x'>C</a> more<ol><li>deep<ul><li><a href='c'>D</a></ul></ol></ul><li>no list <script>var a = '<li>';</script>"
+    got = W.collect_links(spark.createDataFrame([(1, "http://s.org/x/", page)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [(r["text"], r["url"] is None, r["depth"]) for r in got] == [("Start here", True, 1), ("A", False, 2), ("B", False, 2), ("Alone", True, 1), ("C", False, 1), ("deep", True, 2), ("D", False, 3), ("no list", True, 0)]
+
+
 def test_fences_close_by_their_own_kind(spark):
     text = ["[0:05] one", "```", "~~~", "[0:07] code", "```", "[0:09] two", "~~~", "```", "~~~", "[0:11] three", "```", "[0:13] code to the end"]
     lines = spark.createDataFrame([("v", k, x) for k, x in enumerate(text)], "video string, pos int, line string")
