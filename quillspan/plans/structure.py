@@ -42,7 +42,23 @@ def io3(spark, d):
     return view(spark, d, "pages").select("page_id", count_words(page_text("html")).alias("words"))
 
 
-@query("b1_html_blocks")
+_BODY = "regexp_replace(html, '(?is)^.*?<body[^>]*>', '')"
+for _t in ("script", "style", "nav", "template", "noscript"):
+    _BODY = f"regexp_replace({_BODY}, '(?is)<{_t}\\b[^>]*>.*?</{_t}>', ' ', 'g')"
+_TAGS = "(p|h[1-6]|li|div|article|footer|ul|ol|dt|dd|tr)"
+#: A separator before each block tag and instead of each end tag.
+_PARTS = f"string_split(regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</{_TAGS}>', chr(1), 'g'), '(?i)(<{_TAGS}\\b)', chr(1) || '\\1', 'g'), chr(1))"
+
+
+def _html_sql(pages: str, more: str = "") -> str:
+    """Blocks of pages as SQL, with further columns of the pages."""
+    rows = f"SELECT page_id{more}, unnest({_PARTS}) AS html, unnest(range(0, len({_PARTS}))) AS k FROM {pages} p"
+    text = f"SELECT *, regexp_extract(html, '(?i)^<h([1-6])\\b', 1) AS h, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM ({rows}) r"
+    words = _WORDS.format("text")
+    return f"(SELECT page_id{more}, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, CASE WHEN h <> '' THEN 'heading' ELSE 'content' END AS kind, CASE WHEN h <> '' THEN cast(h AS bigint) ELSE 0 END AS level, text, html, {words} AS words FROM ({text}) t WHERE text <> '')"
+
+
+@query("b1_html_blocks", f"SELECT page_id, pos, kind, level, text, words FROM {_html_sql('{pages}')} b")
 def b1(spark, d):
     return S.html_blocks(view(spark, d, "pages")).select("page_id", "pos", "kind", "level", "text", "words")
 
@@ -115,7 +131,11 @@ def b3(spark, d):
     return S.chapter_spans(starts.unionAll(alone), ends).select("book", "start", "end")
 
 
-@query("j6_locate")
+@query(
+    "j6_locate",
+    f"""WITH b AS (SELECT 'f' || doc_id % 50 AS file, md5(substring(text, 1, 5)) AS anchor, doc_id * 10000 + pos AS pos FROM {_BLOCKS} x), t AS (SELECT DISTINCT file, CASE WHEN pos % 2 = 0 THEN anchor ELSE 'none' END AS anchor FROM b WHERE pos % 7 = 0),
+    a AS (SELECT file, anchor, min(pos) AS pos FROM b GROUP BY 1, 2), f AS (SELECT file, min(pos) AS pos FROM b GROUP BY 1) SELECT t.file, t.anchor, coalesce(a.pos, f.pos) AS pos FROM t LEFT JOIN a ON a.file = t.file AND a.anchor = t.anchor LEFT JOIN f ON f.file = t.file""",
+)
 def j6(spark, d):
     b = _blocks(spark, d).select(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("file"), F.array(F.md5(F.substring("text", 1, 5).cast("binary"))).alias("anchors"), (F.col("doc_id") * 10000 + F.col("pos")).alias("pos"))
     targets = b.where("pos % 7 = 0").select("file", F.when(F.col("pos") % 2 == 0, F.get("anchors", F.lit(0))).otherwise("none").alias("anchor")).distinct()
@@ -137,12 +157,24 @@ def b15(spark, d):
     return got.select("doc_id", "para", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("b16_clean_pages")
+_MAIN = "(SELECT page_id, title, coalesce(" + ", ".join(f"nullif(regexp_extract(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1), '')" for t in ("main", "article", "body")) + ", html) AS html FROM (SELECT page_id, html, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM {pages}) q)"
+
+
+@query(
+    "b16_clean_pages",
+    f"""WITH b AS (SELECT *, min(CASE WHEN kind = 'heading' THEN pos END) OVER (PARTITION BY page_id) AS first FROM {_html_sql(_MAIN, ", title")} x), k AS (SELECT * FROM b WHERE first IS NULL OR NOT (kind = 'heading' AND pos = first AND text = title))
+    SELECT page_id, pos, kind, CASE WHEN kind = 'heading' THEN least(level - min(CASE WHEN kind = 'heading' THEN level END) OVER (PARTITION BY page_id) + 2, 6) ELSE 0 END AS level, text, words FROM k""",
+)
 def b16(spark, d):
     return S.clean_pages(view(spark, d, "pages"))
 
 
-@query("b17_blocks_markdown")
+_MD = "html"
+for _p, _r in (("(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**\\1**"), ("(?is)<(?:i|em)>(.*?)</(?:i|em)>", "*\\1*"), ("(?is)<code>(.*?)</code>", "`\\1`"), ('(?is)<a [^>]*href="(https?://[^"]+)"[^>]*>(.*?)</a>', "[\\2](\\1)"), ("(?i)^<li[^>]*>", "- "), ("<[^>]+>", "")):
+    _MD = f"regexp_replace({_MD}, '{_p}', '{_r}', 'g')"
+
+
+@query("b17_blocks_markdown", f"SELECT page_id, pos, CASE WHEN kind = 'heading' THEN repeat('#', cast(level AS integer)) || ' ' ELSE '' END || trim(regexp_replace({_MD}, '\\s+', ' ', 'g')) AS markdown FROM {_html_sql('{pages}')} b")
 def b17(spark, d):
     return S.blocks_markdown(S.html_blocks(view(spark, d, "pages")))
 
@@ -159,7 +191,16 @@ def l1(spark, d):
     return S.group_lines(_items(spark, d)).select("doc", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("l2_running_lines")
+#: Lines of the documents as layout lines, from the top down; the first two and the last two are margins.
+_EDGE = f"""(SELECT source AS doc, doc_id AS page, pos + 1 AS line, line AS text, floor((800.0 - 14.0 * pos) / 3) AS band, regexp_replace(line, '[0-9]+', '#', 'g') AS masked, CASE WHEN regexp_matches(core, '^[0-9]{{1,4}}$') OR core <> '' AND regexp_full_match(core, '(?i)m{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})') THEN core END AS number
+    FROM (SELECT *, regexp_replace(line, '^\\W+|\\W+$', '', 'g') AS core, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES} l) a WHERE (pos < 2 OR pos >= n - 2) AND length(line) <= 100)"""
+
+
+@query(
+    "l2_running_lines",
+    f"""WITH e AS (SELECT * FROM {_EDGE} x), p AS (SELECT source AS doc, count(DISTINCT doc_id) AS pages FROM {_LINES} l WHERE trim(line) <> '' GROUP BY 1), b AS (SELECT doc, band, count(DISTINCT page) AS on_, avg(CASE WHEN number IS NULL THEN 0.0 ELSE 1.0 END) AS numbered FROM e GROUP BY 1, 2), o AS (SELECT doc, band, masked, count(*) AS times FROM e GROUP BY 1, 2, 3)
+    SELECT e.doc, e.page, cast(e.line AS bigint) AS line, e.text, e.number FROM e JOIN b ON b.doc = e.doc AND b.band = e.band JOIN p ON p.doc = e.doc JOIN o ON o.doc = e.doc AND o.band = e.band AND o.masked = e.masked WHERE b.on_ >= greatest(3, 0.25 * p.pages) AND (b.numbered >= 0.5 AND e.number IS NOT NULL OR o.times >= 3 AND regexp_matches(e.masked, '\\p{{L}}'))""",
+)
 def l2(spark, d):
     return S.running_lines(S.group_lines(_items(spark, d)))
 
@@ -169,13 +210,21 @@ def l3(spark, d):
     return S.body_size(_items(spark, d))
 
 
-@query("l4_heading_levels")
+@query(
+    "l4_heading_levels",
+    f"""WITH i AS (SELECT source AS doc, CASE WHEN pos = 0 THEN 12.0::DOUBLE + doc_id % 5 ELSE 10.0::DOUBLE END AS size, length(line) AS c FROM {_LINES} l), b AS (SELECT doc, max_by(size, (c, size)) AS body FROM (SELECT doc, round(size * 2) / 2 AS size, sum(c) AS c FROM i GROUP BY 1, 2) t GROUP BY 1),
+    s AS (SELECT DISTINCT doc, size FROM i JOIN b USING (doc) WHERE size >= 1.15 * body) SELECT doc, size, cast(least(1 + sum(CASE WHEN size < 0.96 * before THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY size DESC), 6) AS bigint) AS level FROM (SELECT *, lag(size) OVER (PARTITION BY doc ORDER BY size DESC) AS before FROM s) t""",
+)
 def l4(spark, d):
     i = _items(spark, d)
     return S.heading_levels(i.withColumn("size", F.when(F.col("idx") == 0, 12.0 + F.col("page") % 5).otherwise(F.col("size"))))
 
 
-@query("l8_largest_text")
+@query(
+    "l8_largest_text",
+    f"""WITH p AS (SELECT source AS doc, doc_id AS page, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS r, pos, line FROM {_LINES} l), t AS (SELECT doc, page, CASE WHEN pos = 0 THEN 18 ELSE 10 END AS size, trim(regexp_replace(string_agg(line, ' ' ORDER BY pos), '\\s+', ' ', 'g')) AS text FROM p WHERE r <= 5 GROUP BY 1, 2, 3)
+    SELECT doc, max_by(text, (size, -page)) AS title FROM t WHERE length(text) BETWEEN 3 AND 150 AND NOT regexp_matches(text, '{S.FRONT_TITLE}') AND NOT regexp_matches(text, '{S.BACK_TITLE}') GROUP BY 1""",
+)
 def l8(spark, d):
     return S.largest_text(_items(spark, d))
 
