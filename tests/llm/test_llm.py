@@ -750,13 +750,13 @@ def test_shingle_groups_equal_brute_force(spark):
                 v[rng.randrange(len(v))] = f"edit{rng.randrange(9)}"
             rows.append((1000 + 10 * k + c, " ".join(v)))
     grams = lambda t: frozenset(tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)))
-    sets = [(i, grams(t)) for i, t in rows]
-    label = {i: i for i, _ in sets}
+    sets = [(i, grams(t), brute_fp(t, 5)) for i, t in rows]
+    label = {i: i for i, _, _ in sets}
     for _ in sets:
         before = dict(label)
-        for i, a in sets:
-            for j, b in sets:
-                if len(a & b) >= 0.8 * len(a | b):
+        for i, a, f in sets:
+            for j, b, g in sets:
+                if len(a & b) >= 0.8 * len(a | b) or bin(f ^ g).count("1") <= 4:
                     label[i] = label[j] = min(label[i], label[j])
         if label == before:
             break
