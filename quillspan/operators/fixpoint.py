@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -10,13 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.environ.setdefault("QUILLSPAN_SHARED", tempfile.mkdtemp(prefix="quillspan-"))
+    """The folder of spark.checkpoint.dir. Where it is unset, as in tests, a temporary one is set; not on a cluster, whose executors would each write to their own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+_folders: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder for cut tables; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/quillspan/{spark.sparkContext.applicationId}-tables"
+    if folder not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,21 +20,24 @@ def latest_attempt_stream(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_latest_attempts(spark: SparkSession, source: str, schema: str, keys: list[str], table: str, checkpoint: str, prepare=lambda df: df, files_per_trigger: int = 1) -> DataFrame:
-    """Drain a folder of attempt files through the stream into a Parquet table of current rows.
+    """Drain a folder of attempt files through the stream; the current row of every question.
 
-    Each batch's updated rows are merged with the table by key; a batch that is delivered
-    again gives the same table.
+    Each batch's updated rows are one part of the table, by epoch; of a question's rows the
+    one of the last epoch counts. A batch that is delivered again replaces its own part, and
+    a restart without new files changes nothing.
     """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{table}/{epoch - 1}") if epoch else batch.limit(0)
-        old.join(batch, keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(f"{table}/{epoch}")
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     stream = prepare(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    q = latest_attempt_stream(stream, keys).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    rows = latest_attempt_stream(stream, keys)
+    q = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId", 0)
-    return spark.read.parquet(f"{table}/{last}")
+    names = rows.columns
+    parts = spark.read.schema(f"{rows._jdf.schema().toDDL()}, epoch long").option("basePath", table).parquet(table)
+    rest = [c for c in names if c not in keys]
+    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("a")).select(*keys, *[F.col(f"a.{c}").alias(c) for c in rest])
 
 
 def ingest_chapters(spark: SparkSession, source: str, schema: str, fingerprint, keys: list[str], manifest: str, work: str, checkpoint: str) -> int:
