@@ -198,8 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = stage(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "sample")
     some = docs.join(F.broadcast(sample.select(F.col("id").alias(id_col))), id_col, "left_semi")  # sample_rows ids at most
     stats = with_stats(some, id_col, text_col).join(F.broadcast(sample), "id")
-    # one partition in one order, however the documents lie: bagging draws by partition and row
-    return fit_rules(stage(stats.coalesce(1).sortWithinPartitions("id", *STATS), "labelled"))
+    # the sample in one partition and one order, however the documents lie: bagging draws by partition and row
+    return fit_rules(stage(stats.repartition(1).sortWithinPartitions("id", *STATS), "labelled"))
 
 
 def score(docs: DataFrame, ensemble: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
