@@ -21,7 +21,7 @@ def once(value: Column, fn) -> Column:
 
 def word_grams(words: Column, n: int) -> Column:
     """Hashes of the distinct runs of ``n`` words; of all the words if there are fewer."""
-    return once(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))))
+    return once(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))))
 
 
 def normalize_space(c: C) -> Column:
