@@ -121,7 +121,7 @@ _END = "'([^\\s*_])[*_]+($|[\\s).,;:!?\\]])', '\\1\\2', 'gm'"
 _NORM = "regexp_replace({c}, '(?m)^(\\s{{0,3}}#{{1,6}}\\s+)?(\\s*>\\s?)?(\\s*([-*+]|[0-9]+\\\\?[.)])\\s+)?', '', 'g')"
 _NORM = f"regexp_replace(regexp_replace({_NORM}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\\\([\\\\`*_{{{{}}}}\\[\\]()#+\\-.!|>~])', '\\1', 'g')"
 _NORM = f"regexp_replace(regexp_replace(regexp_replace({_NORM}, '\\*\\*|__|`+', '', 'g'), {_START}), {_END})"
-_NORM = f"lower(trim(regexp_replace(translate(replace({_NORM}, '|', ' '), '“”«»„‘’‚–—', '\"\"\"\"\"--'), '\s+', ' ', 'g')))"
+_NORM = f"lower(trim(regexp_replace(translate(replace({_NORM}, '|', ' '), '“”«»„‘’‚–—', '\"\"\"\"\"' || repeat(chr(39), 3) || '--'), '\\s+', ' ', 'g')))"
 
 
 @query("c1_normalize_quote", f"SELECT doc_id, md5({_NORM.format(c='text')}) AS norm_md5 FROM {{documents}}")

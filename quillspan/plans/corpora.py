@@ -284,7 +284,14 @@ def v8(spark, d):
     return got.select("video", "chapter", "section", "paragraphs")
 
 
-@query("v9_quote_moment")
+@query(
+    "v9_quote_moment",
+    """WITH p AS (SELECT video, turn, start, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM {v_transcript}), w AS (SELECT *, array_to_string(list(n) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), ' ') AS w FROM p), x AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY video ORDER BY turn), '') AS x FROM w),
+    q AS (SELECT video, turn AS quote_id, lower(trim(regexp_replace(array_to_string(string_split_regex(text, '\\s+')[3:14], ' '), '\\s+', ' ', 'g'))) AS q FROM {v_transcript} WHERE turn % 2 = 1),
+    s AS (SELECT *, list_filter(list_transform(string_split(q, '...'), lambda t: trim(t)), lambda t: t <> '') AS parts, regexp_replace(array_to_string(string_split(trim(string_split(q, '...')[1]), ' ')[1:6], ' '), '[^\\p{L}\\p{N}]+$', '') AS six FROM q),
+    j AS (SELECT s.video, quote_id, turn, start, len(parts) > 0 AND len(list_filter(parts, lambda t: NOT contains(w, t))) = 0 AS here, len(parts) > 0 AND len(list_filter(parts, lambda t: NOT contains(x, t))) = 0 AS later, six <> '' AND contains(n, six) AS words FROM s JOIN x USING (video))
+    SELECT video, quote_id, coalesce(min_by(start, turn) FILTER (WHERE here AND NOT later), min_by(start, turn) FILTER (WHERE words), min_by(start, turn)) AS start FROM j GROUP BY 1, 2""",
+)
 def v9(spark, d):
     t = _transcript(spark, d).withColumnRenamed("turn", "para")
     quotes = t.where("para % 2 = 1").select("video", F.col("para").alias("quote_id"), F.array_join(F.slice(F.split("text", r"\s+"), 3, 12), " ").alias("quote"))
