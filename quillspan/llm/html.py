@@ -44,9 +44,14 @@ MARKS = frozenset(
     "ad ads adbox advert advertisement advertising adv sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login register share sharing social related recommended recommendations pagination pager toolbar skip hidden search searchform form copyright legal disclaimer".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
-NEUTRAL = frozenset("area bar block bottom box button buttons col column container content count first global group head id inner item items js last left line link links list main note outer page panel right row section secondary site small text thread top unit view wrap wrapper".split())
+NEUTRAL = frozenset("area articles bar block bottom box button buttons col column container content count first global google group head id inner item items js last left line link links list main note outer page panel posts rail right row section secondary site slot small stories text thread top unit view wrap wrapper".split())
+#: Beside a comment word these say that comments are there, or not, not that this is one.
+STATES = frozenset("has have no non with without open closed enabled disabled allow allowed".split())
+#: Marks of headers, which an article may have as well.
+HEADERS = frozenset("header masthead topbar banner".split())
 #: Marks that also hold for an article element, which may be a comment or a link to another article.
-STRICT = COMMENTS | frozenset("ad ads advert advertisement sponsored promo related recommended widget".split())
+STRICT = frozenset("ad ads advert advertisement sponsored promo related recommended widget".split())
+INNER = MARKS - HEADERS
 CACHE_ROWS = 50_000
 FREE, SOFT, HARD = 0, 1, 2
 
@@ -74,13 +79,19 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(text)}
 
 
-def _marked(value: str, words: frozenset[str]) -> bool:
-    """Whether one of the names in a class or id consists of such words, beside neutral ones."""
-    for name in value.split():
-        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
-        if any(w in words for w in parts) and all(w in MARKS or w in COMMENTS or w in NEUTRAL for w in parts):
-            return True
-    return False
+def _names(value: str) -> list[list[str]]:
+    """The names in a class or id, each as its words."""
+    return [[w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w] for name in value.split()]
+
+
+def _comments(names: list[list[str]]) -> bool:
+    """Whether a name has a word for comments, and none that only says whether there are any."""
+    return any(any(w in COMMENTS for w in parts) and not any(w in STATES for w in parts) for parts in names)
+
+
+def _marked(names: list[list[str]], words: frozenset[str]) -> bool:
+    """Whether a name consists of such words, beside neutral ones."""
+    return any(any(w in words for w in parts) and all(w in MARKS or w in NEUTRAL for w in parts) for parts in names)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -141,9 +152,10 @@ class Parser:
         if tag in DROPPED or hidden or role in ROLES or (tag == "header" or role == "banner") and not up.inside:
             drop = HARD
         elif both != " " and tag not in ("html", "body", "main"):
-            if _marked(both, COMMENTS):
+            parts = _names(both)
+            if _comments(parts):
                 drop = HARD
-            elif _marked(both, STRICT if tag == "article" else MARKS):
+            elif _marked(parts, STRICT if tag == "article" else INNER if up.inside else MARKS):
                 drop = SOFT
         nodes.append(Node(tag, path, self.stack[-1], drop, inside))
         self.stack.append(len(nodes) - 1)

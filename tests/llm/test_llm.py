@@ -544,6 +544,8 @@ STORY = " ".join(f"This is sentence {k} of a plain story about nothing much." fo
         "<article><p>{}</p><p class='promo'>Buy this.</p><span hidden>no</span><p aria-hidden=true>no</p></article><div class='sidebar'><p>{}</p><p>{}</p></div>",
         "<main><p>{}</p></main><div class='comments'><p>{} {} {} {}</p></div>",
         "<div><p>{}</p></div><div class='cookie-banner'>We use cookies.</div><div class='comment-list'><p>First!</p></div>",
+        "<div class='post comments-open has-comments'><p>{}</p></div><section id='reader-comments'><p>{}</p></section><div class='related-posts'><p>More</p></div>",
+        "<article class='no-comments'><div class='header'></div><div class='post-header'></div><p>{}</p><div class='postComments'>x</div></article><div class='site-header'>Site</div>",
         "<article><p>{}</p></article><script>var x = '<p>unclosed",
     ],
 )
