@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import normalize_quote, title_key, word_grams
 from quillspan.operators.fixpoint import cut
 from quillspan.operators.sets import union_ignore
+from quillspan.sources.tables import spread
 
 
 #: A table of up to so many narrow rows may be sent to every executor.
@@ -37,7 +38,7 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, quote:
     those of one or two words, whose ends may be parts of words, are looked for in all texts.
     """
     q = cut(quotes.select(quote_id, normalize_quote(quote).alias("q")).where("q <> ''"), "quotes")
-    s = cut(sections.select(section_id, normalize_quote(text).alias("t")), "sections")
+    s = cut(spread(sections.select(section_id, text)).select(section_id, normalize_quote(text).alias("t")), "sections")
     few = q.count() <= BROADCAST_ROWS
     sent = F.broadcast if few else lambda df: df
     grams = lambda c: word_grams(F.split(c, " "), gram)

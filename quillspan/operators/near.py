@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import once, shingle_words, word_grams
 from quillspan.operators.fixpoint import cut
+from quillspan.sources.tables import spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -66,7 +67,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it. Linked are classes whose Jaccard similarity reaches the bound and whose word counts
     are within 20% of the later one's. Copies are never expanded into pairs.
     """
-    sets = cut(shingle_sets(docs, id_col, text_col, min_words), "shingles")
+    sets = cut(shingle_sets(spread(docs.select(id_col, text_col)), id_col, text_col, min_words), "shingles")
     classes = cut(text_classes(sets), "classes")
     heads = sets.join(classes.where("id = cls").select("id"), "id", "left_semi")
     return _links(heads, similarity), classes

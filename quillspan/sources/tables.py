@@ -15,6 +15,12 @@ SCHEMAS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer parts, as a small file does, for work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables; the fixed schema where the name has one."""
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
