@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.sources.tables import spread
@@ -94,6 +94,26 @@ def join_split(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -
     return there.unionByName(rest)
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str], tag: str = "ranked") -> DataFrame:
+    """``rows`` with ``rank``, the place from 0 of each row in its group by ``order``, and ``n``, the group's size.
+
+    Group columns must not be null. No task gets a whole group: rows are dealt by ranges of
+    group and order and written with their places within the parts; a group's places go on
+    from one part to the next by the parts' counts, of which there are at most as many as
+    parts and groups together. Rows equal in both keep the order in which they were read.
+    """
+    keys = [*group, *order, "_read"]
+    parts = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    parts = stage(parts.withColumn("_at", F.monotonically_increasing_id()).drop("_read"), tag)
+    part = F.shiftright("_at", 33).alias("_part")  # the id's upper bits
+    held = parts.groupBy(*group, part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumns({"_before": before, "n": F.sum("_n").over(every)}).drop("_n")
+    rank = (F.col("_at") - F.col("_first") + F.col("_before")).alias("rank")
+    return parts.withColumn("_part", part).join(held, [*group, "_part"]).select(*rows.columns, rank, "n")
+
+
 def fold(doc_id: Column | str, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``: the same rows on any engine."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -135,17 +135,22 @@ class WordIds:
             self.young.update(zip(some, (raw[4 * s : 4 * e] for s, e in zip([0, *cuts], cuts))))
         self.held += sum(map(len, pieces)) + 170 * len(pieces)
 
+    def lower(self, texts):
+        """ASCII lower-cased; the rest of it is done with the pieces."""
+        import pyarrow.compute as pc
+
+        return pc.ascii_lower(texts)
+
     def _fast(self, texts):
         """(flat ids, number of ids before each text) with the end after each text."""
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        low = pc.ascii_lower(texts)
+        low = self.lower(texts)
         begins = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
         data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[begins[0] : begins[-1]]
         pieces, before = self._pieces(data, begins - begins[0])
-        coded = pc.dictionary_encode(pieces)
+        coded = pieces.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         words, young, old = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.young, self.old
         new = []
