@@ -106,6 +106,7 @@ def manifest(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
     at = {c: f"c{names.index(c)}" for c in (id_col, group_col, leaf_col)}
     # a marked name, so that null is a key like any other and comes first
     inner = inner.withColumn("grp", F.coalesce(F.concat(F.lit("="), F.col(at[group_col]).cast("string")), F.lit("")))
+    inner = stage(inner, "digests")  # numbering reads them twice, and they may come from whole texts
     carried = [c for c in inner.columns if c not in ("grp", at[leaf_col])]
     nodes = ranked(inner, ["grp"], [at[id_col], at[leaf_col]], "leaves")
     nodes = stage(nodes.select("grp", F.col("rank").alias("idx"), "n", F.unhex(at[leaf_col]).alias("digest"), *carried), "nodes")
