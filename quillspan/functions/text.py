@@ -46,6 +46,14 @@ def escape_html(c: C) -> Column:
     return out
 
 
+def unescape_html(c: C) -> Column:
+    """The character references that markup needs, and the blank that does not break, as characters."""
+    out = col(c)
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 @F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """NFKD without combining marks; Spark has no such function."""

@@ -111,54 +111,6 @@ def llms_chapters(lines: DataFrame, scope: str) -> DataFrame:
     return rows.join(groups, "site").select("site", F.when(F.col("n") > 1, F.col("grp")).otherwise(folder).alias("chapter"), "pos", "title", "url")
 
 
-#: Longest title of a group of links.
-LABEL_LENGTH = 100
-
-
-def collect_links(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, pos, text, url, depth): links in page order with their list depth; the same link twice in a row counts once.
-
-    A list item without a link of its own, outside nested lists, is a group title: its text,
-    of at most 100 characters, without a url. Only list tags, items, links and the text
-    between them are looked at.
-    """
-    token = r"(?is)<(/?(?:ul|ol|li)\b)[^>]*>|<a\b[^>]*?href\s*=\s*[\"']?([^\"'>\s]+)[^>]*>(.*?)</a>"
-    t = F.col("t")
-    plain = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b[^>]*>.*?</\1>", " "), r"(?s)<!--.*?-->", " ")
-    # each token with the text up to the next one
-    pieces = F.arrays_zip(F.regexp_extract_all(plain, F.lit(token), F.lit(0)).alias("t"), F.slice(F.split(plain, token, -1), 2, 1 << 30).alias("after"))
-    rows = pages.select(id_col, F.col(url).alias("_base"), F.posexplode(pieces).alias("at", "x")).select(id_col, "_base", "at", "x.t", normalize_space(F.regexp_replace("x.after", "<[^>]+>", " ")).alias("after"))
-    is_ = lambda pattern: t.rlike(pattern)
-    step = F.when(is_(r"(?i)^<(ul|ol)\b"), 1).when(is_(r"(?i)^</(ul|ol)\b"), -1).otherwise(0)
-    w = Window.partitionBy(id_col).orderBy("at")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("depth", F.sum(step).over(run).cast("long"))
-    # an item's own part: what stands at its depth from its tag up to the next item tag there, or the end of the list
-    level = Window.partitionBy(id_col, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    opens = is_(r"(?i)^<li\b")
-    rows = rows.withColumn("_own", F.sum((opens | is_(r"(?i)^</li\b") | is_(r"(?i)^<(ul|ol)\b")).cast("long")).over(level))
-    item = Window.partitionBy(id_col, "depth", "_own")
-    whole = item.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"_link": F.max(is_(r"(?i)^<a\b").cast("int")).over(item), "_text": F.array_join(F.filter(F.collect_list("after").over(whole), lambda x: x != ""), " ")})
-    title = opens & (F.col("_link") == 0) & (F.col("_text") != "") & (F.length("_text") <= LABEL_LENGTH)
-    link = is_(r"(?i)^<a\b")
-    text = normalize_space(F.regexp_replace(F.regexp_extract("t", token, 3), "<[^>]+>", " "))
-    rows = rows.where(link | title).select(id_col, "at", "depth", F.when(link, text).otherwise(F.col("_text")).alias("text"), F.when(link, absolute_url(F.regexp_extract("t", token, 2), "_base")).alias("url"))
-    same = F.lag("url").over(w).eqNullSafe(F.col("url")) & F.lag("text").over(w).eqNullSafe(F.col("text")) & F.col("url").isNotNull() & (F.row_number().over(w) > 1)
-    rows = rows.withColumn("_s", same).where("not _s")
-    return rows.select(id_col, (F.row_number().over(w) - 1).cast("long").alias("pos"), "text", "url", "depth")
-
-
-def scoped_items(items: DataFrame, key: str, scope: Column) -> DataFrame:
-    """In-scope links; a group title (null url) only if a kept link follows deeper before the next item of its own depth or above."""
-    kept = items.withColumn("_link", F.col("url").isNotNull() & F.coalesce(in_scope("url", scope), F.lit(False))).where("url is null or _link")
-    after = kept.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), F.col("depth").alias("_d"), F.col("_link").alias("_l"))
-    title = kept.where("url is null")
-    ends = title.join(after, (F.col("_k") == F.col(key)) & (F.col("_p") > F.col("pos")) & (F.col("_d") <= F.col("depth")), "left").groupBy(key, "pos").agg(F.min("_p").alias("_end"))
-    under = title.join(ends, [key, "pos"]).join(after, (F.col("_k") == F.col(key)) & (F.col("_p") > F.col("pos")) & F.col("_l") & (F.col("_end").isNull() | (F.col("_p") < F.col("_end"))), "left_semi")
-    return kept.where("_link").select(*items.columns).unionByName(under.select(*items.columns))
-
-
 def skip_report(pages: DataFrame, reasons: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """(key, reason): the first reason in the given order of every page that has one."""
     out = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.operators import markup as K
 from quillspan.operators import terms as M
 from quillspan.operators import transcripts as V
 from quillspan.operators import web as W
@@ -110,24 +111,54 @@ def w2(spark, d):
     return W.scope_of(p.select(F.col("url").alias("start")).distinct(), p)
 
 
+#: Put before the end of every page: a group, a child that holds a list, a mail address, a card, links named by an attribute, without text and without address, and one that stands twice.
+_BLOCK = """<ul><li>Group {id}<ul><li><a href="/g{id}">G<b>{id}</b></a></li></ul></li><li><div>Gone<ul><li><a href="mailto:a{id}@x.org">Mail</a></li></ul></div></li><li><svg/>Same <i>depth</i></li></ul><a href="/card{id}"><span>Day</span><h4>Card {id}</h4><p>more</p></a><a href='/icon' aria-label="Icon > {id}"><img src="i.png"></a><a href=/titled title="Titled &amp; {id}"><img></a><a href="/empty"> <br> </a><a name="n">No address</a><a href="/same">Same<br>link</a><a href="/same">Same link</a><iframe src="/toc{id}.html"></iframe><iframe src="https://other.test/x"></iframe>"""
+#: What it gives: text, address on the page's site, depth.
+_ADDED = "(0, 'Group {id}', NULL, 1), (1, 'G{id}', '/g{id}', 2), (2, 'Same depth', NULL, 1), (3, 'Card {id}', '/card{id}', 0), (4, 'Icon > {id}', '/icon', 0), (5, 'Titled & {id}', '/titled', 0), (6, 'Same link', '/same', 0)"
+
+
+def _with_links(spark, d):
+    added = F.replace(F.lit(_BLOCK), F.lit("{id}"), F.col("page_id").cast("string"))
+    return _pages(spark, d).withColumn("html", F.replace("html", F.lit("</body>"), F.concat(added, F.lit("</body>"))))
+
+
 #: The given pages: one list of links without groups, then paragraphs in an article; a list item of plain text is a group title.
 _MENU = """(SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>|[^<]*)')) AS t, unnest(range(0, len(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>|[^<]*)')))) AS k FROM {pages})"""
-_ITEMS = f"""(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM (SELECT *, lag(text) OVER w = text AND lag(url) OVER w = url AS again FROM (SELECT page_id, k, o, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, CASE WHEN contains(t, '<a ') THEN o || regexp_extract(t, 'href="([^"]*)"', 1) END AS url FROM {_MENU} m) a WHERE url IS NOT NULL OR text <> '' AND length(text) <= 100 WINDOW w AS (PARTITION BY page_id ORDER BY k)) b WHERE NOT coalesce(again, false))"""
+_ITEMS = f"""(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM (SELECT *, lag(text) OVER w = text AND lag(url) OVER w = url AS again FROM (SELECT page_id, k, o, replace(trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&amp;', '&') AS text, CASE WHEN contains(t, '<a ') THEN o || replace(regexp_extract(t, 'href="([^"]*)"', 1), '&amp;', '&') END AS url FROM {_MENU} m) a WHERE text <> '' AND (url IS NOT NULL OR length(text) <= 100) WINDOW w AS (PARTITION BY page_id ORDER BY k)) b WHERE NOT coalesce(again, false))"""
 
 
-@query("w5_collect_links", f"SELECT page_id, pos, text, url, 1 AS depth FROM {_ITEMS} i")
+@query(
+    "w5_collect_links",
+    f"""SELECT page_id, pos, text, url, 1 AS depth FROM {_ITEMS} i UNION ALL SELECT p.page_id, coalesce(n, 0) + x.k, replace(x.text, '{{id}}', cast(p.page_id AS VARCHAR)), regexp_extract(url, '^(https?://[^/?#]+)', 1) || replace(x.path, '{{id}}', cast(p.page_id AS VARCHAR)), x.depth
+    FROM {{pages}} p CROSS JOIN (VALUES {_ADDED}) x(k, text, path, depth) LEFT JOIN (SELECT page_id, count(*) AS n FROM {_ITEMS} i GROUP BY 1) c ON c.page_id = p.page_id WHERE contains(html, '</body>')""",
+)
 def w5(spark, d):
-    return W.collect_links(_pages(spark, d)).select("page_id", "pos", "text", "url", "depth")
+    return K.collect_links(_with_links(spark, d)).select("page_id", "pos", "text", "url", "depth")
+
+
+@query("w5_collect_frames", "SELECT page_id, 0 AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/toc' || page_id || '.html' AS url FROM {pages} WHERE contains(html, '</body>')")
+def w5f(spark, d):
+    return K.collect_frames(_with_links(spark, d))
+
+
+#: Places of a page's list in turn: titles (t) and links (l) with their depth; every second page's last kind of link leads out of the scope.
+_TURNS = ("t1", "l1", "t2", "l1", "t1", "t2", "l3", "t3", "t1", "l2")
 
 
 @query(
     "w6_scoped_items",
-    f"""WITH i AS (SELECT page_id, pos, text, CASE WHEN pos % 3 <> 0 THEN url END AS url, CASE WHEN pos % 3 = 0 THEN 1 ELSE 2 END AS depth FROM {_ITEMS} x)
-    SELECT * FROM i WHERE url IS NOT NULL UNION ALL SELECT * FROM i t WHERE url IS NULL AND depth = 1 AND EXISTS (SELECT 1 FROM i n WHERE n.page_id = t.page_id AND n.pos > t.pos AND n.pos < t.pos + 3 AND n.url IS NOT NULL)""",
+    f"""WITH i AS (SELECT page_id, pos, text, CASE WHEN pos % 10 IN (1, 3, 6, 9) THEN CASE WHEN pos % 10 = 9 AND page_id % 2 = 0 THEN 'https://other.test/' ELSE 'https://in.test/' END || pos END AS url, [{", ".join(x[1] for x in _TURNS)}][pos % 10 + 1] AS depth FROM {_ITEMS} x WHERE pos % 11 <> 10),
+    k AS (SELECT * FROM i WHERE url IS NULL OR starts_with(url, 'https://in.test/')),
+    n AS (SELECT t.*, (SELECT min(l.pos) FROM k l WHERE l.page_id = t.page_id AND l.pos > t.pos AND l.url IS NOT NULL) AS next FROM k t WHERE t.url IS NULL)
+    SELECT * FROM k WHERE url IS NOT NULL UNION ALL SELECT page_id, pos, text, url, depth FROM n t WHERE (SELECT l.depth FROM k l WHERE l.page_id = t.page_id AND l.pos = t.next) >= t.depth
+    AND NOT EXISTS (SELECT 1 FROM k b WHERE b.page_id = t.page_id AND b.pos > t.pos AND b.pos < t.next AND b.depth <= t.depth)""",
 )
 def w6(spark, d):
-    links = W.collect_links(_pages(spark, d)).withColumn("url", F.when(F.col("pos") % 3 == 0, None).otherwise(F.col("url"))).withColumn("depth", F.when(F.col("pos") % 3 == 0, 1).otherwise(2).cast("long"))
-    return W.scoped_items(links, "page_id", F.lit("http"))
+    turn, link = F.col("pos") % 10, F.col("pos").cast("string")
+    url = F.when((turn == 9) & (F.col("page_id") % 2 == 0), F.concat(F.lit("https://other.test/"), link)).otherwise(F.concat(F.lit("https://in.test/"), link))
+    depth = F.get(F.array(*[F.lit(int(x[1])) for x in _TURNS]), turn)
+    links = K.collect_links(_pages(spark, d)).where("pos % 11 <> 10").withColumns({"url": F.when(turn.isin(1, 3, 6, 9), url), "depth": depth})
+    return K.scoped_items(links, "page_id", F.lit("https://in.test/"))
 
 
 @query(

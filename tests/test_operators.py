@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import concepts as C
 from quillspan.operators import learner as L
+from quillspan.operators import markup as K
 from quillspan.operators import near as N
 from quillspan.operators import reports as R
 from quillspan.operators import sets as D
@@ -262,10 +263,45 @@ def test_marks_with_tags_inside(spark):
     assert got == [("bold", "alpha beta"), ("bold", "gamma"), ("dfn", "whole"), ("emphasis", "beta"), ("emphasis", "delta")]
 
 
+def _links(spark, page):
+    got = K.collect_links(spark.createDataFrame([(1, "http://s.org/x/", page), (2, "http://s.org/x/", ""), (3, "http://s.org/x/", None)], "page_id long, url string, html string")).orderBy("pos").collect()
+    return [(r["text"], r["url"] and r["url"].removeprefix("http://s.org/x/"), r["depth"]) for r in got]
+
+
 def test_link_groups(spark):
     page = "<body><ul><li><b>Start</b> here<ul><li><a href='a'>A</a><li><a href='b'>B</a></ul></li><li>Alone</li><li><a href='#x'>C</a> more<ol><li>deep<ul><li><a href='c'>D</a></ul></ol></ul><li>no list <script>var a = '<li>';</script>"
-    got = W.collect_links(spark.createDataFrame([(1, "http://s.org/x/", page)], "page_id long, url string, html string")).orderBy("pos").collect()
-    assert [(r["text"], r["url"] is None, r["depth"]) for r in got] == [("Start here", True, 1), ("A", False, 2), ("B", False, 2), ("Alone", True, 1), ("C", False, 1), ("deep", True, 2), ("D", False, 3), ("no list", True, 0)]
+    assert _links(spark, page) == [("Start here", None, 1), ("A", "a", 2), ("B", "b", 2), ("Alone", None, 1), ("C", "", 1), ("deep", None, 2), ("D", "c", 3), ("no list", None, 0)]
+    # a child that holds a list is no part of the item, whatever it holds besides; tags that are never closed do not matter
+    page = "<ol><li><label>Guides</label><nav>menu<div><ul><li><a href='g'>G</a></ul></div>end</nav> too<li><p>Open<div><a>anchor</a></div><li>x<!-- <ul> --><p>y</ol>"
+    assert _links(spark, page) == [("Guides too", None, 1), ("G", "g", 2), ("x y", None, 1)]
+    assert _links(spark, f"<ul><li>{'w' * 101}</li><li>{'v' * 100}</li></ul>") == [("v" * 100, None, 1)]
+
+
+def test_link_texts(spark):
+    page = "<a href='mailto:x'>mail</a><a href='day'><span>Day 1</span><h4>What<br>is it?</h4><h5>no</h5></a><h2><a href='q'>in <b>a</b>head</a></h2><a href=q><img alt=x></a><a href=i aria-label='Next &amp; on'><img></a><a href=t title=T></a>"
+    page += "<a name=x>no address</a><a href='z'>Z<b>z</b><br>y</a><a title='a > b' href='z'>Zz y</a><a href=''>here</a>"
+    assert _links(spark, page) == [("What is it?", "day", 0), ("in ahead", "q", 0), ("Next & on", "i", 0), ("T", "t", 0), ("Zz y", "z", 0)]
+
+
+def test_frames_of_the_site(spark):
+    page = "<noscript><iframe src='toc.html'></iframe></noscript><iframe src='//other.test/a'></iframe><iframe src='/x/toc.html#a'></iframe><iframe></iframe><IFRAME SRC=b.html>"
+    rows = K.collect_frames(spark.createDataFrame([(1, "http://s.org/x/", page)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [(r["pos"], r["url"]) for r in rows] == [(0, "http://s.org/x/toc.html"), (1, "http://s.org/x/b.html")]
+
+
+def test_group_titles_with_links_below(spark):
+    rows = [("g", None, 1), ("a", "h", 1), ("h", None, 2), ("b", "h", 1), ("i", None, 1), ("j", None, 2), ("c", "h", 3), ("k", None, 2), ("l", None, 1), ("out", "x", 2), ("m", None, 1), ("d", "h", 1), ("n", None, 1)]
+    items = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "page_id long, pos long, text string, url string, depth long")
+    assert [r["text"] for r in K.scoped_items(items, "page_id", F.lit("h")).orderBy("pos").collect()] == ["g", "a", "b", "i", "j", "c", "m", "d"]
+
+
+def test_links_of_a_large_page_cost_no_more_than_its_tags(spark):
+    """Each row of the plan comes from one tag: no join of a page's rows with each other, no window that collects."""
+    page = "<body>" + "".join(f"<p><a href='p{k}'>Link {k}</a> text</p><ul><li>item {k}</ul>" for k in range(4000))
+    df = K.collect_links(spark.createDataFrame([(1, "http://s.org/x/", page)], "page_id long, url string, html string"))
+    assert df.count() == 8000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and not [x for x in plan.split("\n") if "Window" in x and "collect_list" in x]
 
 
 def test_fences_close_by_their_own_kind(spark):
