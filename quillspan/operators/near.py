@@ -1,8 +1,13 @@
-"""Near-duplicate texts by word 5-grams, and greedy keep-first removal."""
+"""Near-duplicate texts by word 5-grams, and greedy keep-first removal.
+
+Links between all similar texts are listed where that is what is asked for. Removal does not
+need them: it works in rounds in which only the earliest texts of each key meet the others,
+so a family of similar texts costs rows in proportion to its members.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import once, shingle_words, word_grams
@@ -35,31 +40,44 @@ def text_classes(sets: DataFrame) -> DataFrame:
     return keyed.join(names, same).select("id", "cls")
 
 
-def _links(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity) with a < b for sets of different classes that reach the similarity; word counts within 20% of the later one's.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, words, n, shingle): of each set's shingles, ordered from rare to common, the first n - ceil(t n) + 1 that another set has too.
 
-    Prefix filter: of the shingles ordered from rare to common, two sets that similar share
-    one among the first n - ceil(t n) + 1 of each, so only these are joined; the candidates
-    are verified on the whole sets.
+    Two sets that reach the similarity t share one of these.
     """
-    own = sets.select("id", "n", F.explode("grams").alias("shingle"))
+    own = sets.select("id", "words", "n", F.explode("grams").alias("shingle"))
     freq = cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
     shared = own.join(F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq, "shingle")
     # shingles of one text only come first in the order; they match nothing but use up the prefix
     least = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    ordered = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    prefix = ordered.select("id", "n", F.explode(F.slice("s", F.lit(1), F.greatest(least - F.col("n") + F.size("s"), F.lit(0)).cast("int"))).alias("x")).select("id", "n", "x.shingle")
-    prefix = cut(prefix, "prefixes")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.n") >= F.col("b.n") * similarity - 1e-9) & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9)
-    cand = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = (sets.select(F.col("id").alias(k), F.col("words").alias(f"w{k}"), F.col("grams").alias(f"g{k}")) for k in ("a", "b"))
-    both = cand.join(left, "a").join(right, "b").where(F.abs(F.col("wa") - F.col("wb")) <= F.col("wb") * TOLERANCE)
+    ordered = shared.groupBy("id", "words", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.greatest(least - F.col("n") + F.size("s"), F.lit(0)).cast("int"))
+    return cut(ordered.select("id", "words", "n", F.explode(first).alias("x")).select("id", "words", "n", "x.shingle"), "prefixes")
+
+
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar, and word counts are within 20% of the later one's."""
+    sizes = (F.col(f"{a}.n") >= F.col(f"{b}.n") * similarity - 1e-9) & (F.col(f"{b}.n") >= F.col(f"{a}.n") * similarity - 1e-9)
+    return (F.col(f"{a}.id") < F.col(f"{b}.id")) & sizes & (F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= F.col(f"{b}.words") * TOLERANCE)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs that reach the similarity."""
+    left, right = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
     sized = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("sum"))
     jac = sized.withColumn("similarity", F.col("common") / (F.col("sum") - F.col("common")))
     return jac.where(F.col("similarity") >= similarity - 1e-12).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def _links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) with a < b for sets of different classes that reach the similarity; candidates share a shingle of their prefixes."""
+    prefix = _prefixes(sets, similarity)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    cand = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & _fits("a", "b", similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return _similar(cand, sets, similarity)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) with a < b between representatives of classes, and membership (id, cls).
 
@@ -81,31 +99,51 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return classes.join(members, "cls").join(n, "cls", "left").select(F.col("id").alias(id_col), "cls", "members", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def keep_first(pairs: DataFrame) -> DataFrame:
-    """Ids that go: an id is dropped only by an earlier id that is kept.
+def later_ones(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Ids of the sets that an earlier kept one drops; what is dropped drops nothing.
 
-    Rounds over the link table: an undecided id without an undecided or kept earlier
-    neighbour is kept, one with a kept earlier neighbour goes.
+    Rounds over the prefixes' shingles. In each, the ``most`` earliest undecided sets of a
+    shingle are its leaders, and meet the others there. A set is kept once all earlier ones
+    under its shingles have met it and none of them is similar: it is then a leader of each of its
+    shingles, so all later ones there meet it in the same round, and the similar ones go. Kept
+    and dropped sets leave the table. ``most`` begins with one, so a family that its first
+    member drops makes one pair a member, and doubles, so that dissimilar sets that share a shingle take
+    a number of rounds that grows with the logarithm of theirs. The earliest undecided set is
+    always decided.
     """
-    edges = cut(pairs.select("a", "b"), "pairs")
-    dropped = None
-    while not edges.isEmpty():
-        later = edges.select(F.col("b").alias("id")).distinct()
-        kept = edges.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
-        gone = cut(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
-        dropped = gone if dropped is None else dropped.unionAll(gone)
-        left = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_anti")
-        left = left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-        edges = cut(left, "pairs")
-    return dropped if dropped is not None else pairs.select(F.col("a").alias("id")).limit(0)
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    left = _prefixes(sets, similarity)
+    gone, most = None, 1
+    while not left.isEmpty():
+        # a limit by group: a task sends on no more than ``most`` rows of a shingle
+        rank = F.row_number().over(Window.partitionBy("shingle").orderBy("id"))
+        leaders = cut(left.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r"), "leaders")
+        few = leaders.count() <= BROADCAST_ROWS
+        a, b = leaders.alias("a"), left.alias("b")
+        near = (F.col("a.shingle") == F.col("b.shingle")) & _fits("a", "b", similarity)
+        pairs = b.join(F.broadcast(a) if few else a, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        links = cut(_similar(pairs, sets, similarity).select("a", "b"), "met")
+        no_leader = left.select("id", "shingle").join(leaders.select("id", "shingle"), ["id", "shingle"], "left_anti")
+        undecided = no_leader.select("id").union(links.select("b")).distinct()
+        kept = cut(left.select("id").distinct().join(undecided, "id", "left_anti"), "kept")
+        dropped = cut(links.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        gone = dropped if gone is None else gone.unionAll(dropped)
+        decided = kept.unionAll(dropped)
+        left = left.join(decided, "id", "left_anti")
+        alone = left.groupBy("shingle").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x = y").select("shingle")
+        left = cut(left.join(alone, "shingle", "left_anti"), "left")
+        most *= 2
+    return gone if gone is not None else sets.select("id").limit(0)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the texts that repeat an earlier kept one.
 
     A kept text is always its class's first, and what drops that one drops the whole class;
     so the rounds run over representatives only.
     """
-    links, classes = near_duplicates(docs, id_col, text_col, **options)
-    gone = keep_first(links).unionAll(classes.where("id <> cls").select("id"))
+    sets = cut(shingle_sets(spread(docs.select(id_col, text_col)), id_col, text_col, min_words), "shingles")
+    classes = cut(text_classes(sets), "classes")
+    heads = cut(sets.join(classes.where("id = cls").select("id"), "id", "left_semi"), "heads")
+    later = later_ones(heads, similarity).select(F.col("id").alias("cls")).distinct()
+    gone = classes.join(later, "cls", "left_semi").select("id").unionAll(classes.where("id <> cls").select("id")).distinct()
     return docs.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
