@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalize_quote, title_key, word_grams
 from quillspan.operators.fixpoint import cut
+from quillspan.operators.patterns import find_strings
 from quillspan.operators.sets import union_ignore
 from quillspan.sources.tables import spread
 
@@ -33,9 +34,8 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, quote:
     """(quote_id, section_id) for every section that contains a quote.
 
     Candidates share the quote's rarest word 4-gram, so the join is an equi join of one row
-    per quote with the sections' 4-grams; then the whole quote is looked for. Shorter quotes
-    of three words and more are joined by their second word, which stands whole in a text;
-    those of one or two words, whose ends may be parts of words, are looked for in all texts.
+    per quote with the sections' 4-grams; then the whole quote is looked for. Quotes of fewer
+    than ``gram`` + 2 words, whose ends may be parts of words, are looked for in all texts, all in one pass.
     """
     q = cut(quotes.select(quote_id, normalize_quote(quote).alias("q")).where("q <> ''"), "quotes")
     s = cut(spread(sections.select(section_id, text)).select(section_id, normalize_quote(text).alias("t")), "sections")
@@ -55,12 +55,8 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, quote:
     short = q.where(F.size(F.split("q", " ")) < gram + 2)
     if short.isEmpty():
         return found
-    first = F.get(F.split("q", " "), F.lit(1))
-    words = s.select(section_id, F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    whole = sent(short.where(F.size(F.split("q", " ")) > 2).withColumn("w", first)).join(words, "w").select(quote_id, section_id)
-    whole = whole.join(sent(q), quote_id).join(s, section_id)
-    tiny = s.join(F.broadcast(short.where(F.size(F.split("q", " ")) <= 2)), F.col("t").contains(F.col("q"))).select(quote_id, section_id)
-    return found.unionAll(whole.where(F.col("t").contains(F.col("q"))).select(quote_id, section_id)).unionAll(tiny)
+    held = find_strings(s, section_id, "t", short, "q")
+    return found.unionAll(short.join(held.withColumnRenamed("string", "q"), "q").select(quote_id, section_id))
 
 
 def consolidate(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -131,7 +131,7 @@ def later_ones(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         left = left.join(decided, "id", "left_anti")
         alone = left.groupBy("shingle").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x = y").select("shingle")
         left = cut(left.join(alone, "shingle", "left_anti"), "left")
-        most *= 2
+        most *= 8
     return gone if gone is not None else sets.select("id").limit(0)
 
 

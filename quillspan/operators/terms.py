@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import contains_term, normalize_quote, normalize_space, once
+from quillspan.functions.text import normalize_quote, normalize_space, once
+from quillspan.operators.patterns import find_strings
+from quillspan.sources.tables import spread
 
 #: Words that are no terms on their own, and label words.
 COMMON_WORDS = (
@@ -126,17 +128,15 @@ def uncovered_terms(terms: DataFrame, concepts: DataFrame, key: str) -> DataFram
 
 
 def first_section_with(terms: DataFrame, sections: DataFrame, term: str = "term", order: str = "section_id", text: str = "text") -> DataFrame:
-    """(term, section): the first section that holds a term as full words.
+    """(term, section): the first section that holds a term as full words; the terms in lower case, those with a letter or digit.
 
-    Candidates share the term's first word, through an inverted index of the terms' words
-    only; then the whole term is looked for with its borders.
+    All terms are looked for in one pass over the sections; of a term that stands in very many,
+    each task sends on one row.
     """
-    t = terms.select(F.lower(term).alias("term")).where(F.col("term").rlike(r"[\p{L}\p{N}]")).distinct()
-    t = t.withColumn("w", F.get(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.lit(0)))
+    t = terms.select(F.lower(term).alias("term")).where(F.col("term").rlike(r"[\p{L}\p{N}]"))
     s = sections.select(F.col(order).alias("section"), F.lower(text).alias("body"))
-    words = s.select("section", F.explode(F.array_distinct(F.split("body", r"[^\p{L}\p{N}]+"))).alias("w")).join(t.select("w").distinct(), "w", "left_semi")
-    cand = t.join(words, "w").join(s, "section").where(contains_term("body", "term"))
-    return cand.groupBy("term").agg(F.min("section").alias("section"))
+    found = find_strings(spread(s), "section", "body", t, "term", whole_words=True)
+    return found.groupBy(F.col("string").alias("term")).agg(F.min("section").alias("section"))
 
 
 def assign_terms(terms: DataFrame, targets: DataFrame, sections: DataFrame, most: int = 3) -> DataFrame:

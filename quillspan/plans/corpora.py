@@ -83,6 +83,17 @@ def j7(spark, d):
     return M.first_section_with(terms, view(spark, d, "documents").withColumnRenamed("doc_id", "section_id"))
 
 
+#: Terms that begin with words which most texts hold.
+_COMMON = "(SELECT DISTINCT x.w || ' ' || y.w AS term FROM (SELECT DISTINCT regexp_extract(lower(text), '^[^a-z]*([a-z]+)', 1) AS w FROM {benchmark}) y, (VALUES ('the'), ('and'), ('of')) x(w) WHERE y.w <> '')"
+
+
+@query("j7_common_first_words", f"SELECT term, min(doc_id) AS section FROM {_COMMON} b JOIN {{documents}} ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])' || term || '($|[^\\p{{L}}\\p{{N}}])') GROUP BY 1".replace("{{", "{").replace("}}", "}"))
+def j7c(spark, d):
+    word = F.regexp_extract(F.lower("text"), "^[^a-z]*([a-z]+)", 1)
+    terms = view(spark, d, "benchmark").select(word.alias("w")).where("w <> ''").select(F.explode(F.array(*[F.concat(F.lit(x + " "), "w") for x in ("the", "and", "of")])).alias("term"))
+    return M.first_section_with(terms, view(spark, d, "documents").withColumnRenamed("doc_id", "section_id"))
+
+
 @query(
     "t6_assign_terms",
     """WITH b AS (SELECT array_to_string(string_split(text, ' ')[1:3], ' ') AS term, item_id % 10 = 3 AS linked FROM {benchmark}), l AS (SELECT DISTINCT term, 7 AS section FROM b WHERE linked), r AS (SELECT DISTINCT term FROM b WHERE term NOT IN (SELECT term FROM l)),

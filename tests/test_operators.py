@@ -199,6 +199,34 @@ def test_terms(spark):
     assert [(r["term"], r["href"]) for r in M.index_entries(idx).orderBy("pos", "href").collect()] == [("joins", "a#1"), ("outer (joins)", "b"), ("outer (joins)", "c")]
 
 
+def test_strings_in_texts(spark):
+    from quillspan.operators.patterns import find_strings
+
+    texts = spark.createDataFrame([(1, "the cat, the théâtre"), (2, "a theatre cat2 the cats"), (3, None), (4, ""), (5, "cat")], "id long, t string")
+    wanted = spark.createDataFrame([(x,) for x in ("the", "the cat", "cat", "cat, the", "é", "atr", "", None, "cat", "zz")], "s string")
+    for options in ({}, {"block_strings": 2}, {"block_chars": 3}):
+        got = sorted((r["string"], r["id"]) for r in find_strings(texts, "id", "t", wanted, "s", **options).collect())
+        assert got == sorted([(s, i) for i, t in ((1, "the cat, the théâtre"), (2, "a theatre cat2 the cats"), (5, "cat")) for s in ("the", "the cat", "cat", "cat, the", "é", "atr") if s in t])
+        words = sorted((r["string"], r["id"]) for r in find_strings(texts, "id", "t", wanted, "s", whole_words=True, **options).collect())
+        assert words == [("cat", 1), ("cat", 5), ("cat, the", 1), ("the", 1), ("the", 2), ("the cat", 1)]
+    assert find_strings(texts.limit(0), "id", "t", wanted, "s").count() == find_strings(texts, "id", "t", wanted.limit(0), "s").count() == 0
+
+
+def test_short_quotes_and_terms_need_no_nested_loop(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumnRenamed("doc_id", "section_id")
+    quotes = spark.createDataFrame([(1, "the"), (2, "of the"), (3, "in the o"), (4, "no such quote here"), (5, "")], "quote_id long, quote string")
+    found = C.ground_quotes(quotes, docs, "quote_id", "quote", "section_id", "text")
+    terms = M.first_section_with(spark.createDataFrame([("the",), ("The and",), ("of the",)], "term string"), docs)
+    for df in (found, terms):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    plain = {r["section_id"]: " ".join(r["text"].lower().split()) for r in docs.collect()}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["quote_id"], set()).add(r["section_id"])
+    assert set(got) == {1, 2, 3} and {k: len(v) for k, v in got.items()} == {k: sum(q in t for t in plain.values()) for k, q in ((1, "the"), (2, "of the"), (3, "in the o"))}
+
+
 def test_quotes_and_references(spark):
     pairs = spark.createDataFrame([("A **quick** test … of it", "quick ... of it"), ("text", ""), ("text", "other"), ("It’s", "it's")], "text string, quote string")
     assert [r["found"] for r in C.ground_known(pairs, "text", "quote").collect()] == [True, False, False, True]
