@@ -21,7 +21,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import ranked, stage
+from quillspan.llm.common import ranked, ship, stage
 from quillspan.llm.packing import LETTER, MEMO_BYTES, SLICE_BYTES, SPACE, WordIds, _binary, _classes
 
 RUN_FIELDS = ("length", "rank", "sequence", "offset", "each")
@@ -141,6 +141,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end: int = 0, window: int =
     none, other columns are not read. No shuffle; a text is encoded as a whole, others in
     slices of a few megabytes.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 

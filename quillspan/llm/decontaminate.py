@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stage
+from quillspan.llm.common import ship, stage
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -122,6 +122,7 @@ def item_table(items: DataFrame, item_col: str, text_col: str, ngram: int) -> Da
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item", "item_id", "words", "n", "seeds"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, "item long, item_id long, words string, n int, seeds array<long>")
 
 
@@ -201,6 +202,7 @@ def passages(docs: DataFrame, bits, sizes: list[int], reach: int, id_col: str, t
             if some:
                 yield look(some)
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, PASSAGE)
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stage
+from quillspan.llm.common import ship, stage
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +34,7 @@ BLOCK = frozenset(
     "html body head div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav header footer aside form fieldset legend blockquote pre figure figcaption address details summary hr dialog menu center option select button".split()
 )
 CONTAINER = frozenset("div section article main td body html form blockquote center details".split())
-DROPPED = frozenset("nav footer aside form select button dialog menu head label input option fieldset".split())
+DROPPED = frozenset("nav footer aside select button dialog menu head label input option fieldset".split())
 ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog alert form menu menubar toolbar".split())
 #: An open element that a new one of the same kind ends, and what bounds the search for it.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -53,9 +53,12 @@ HEADERS = frozenset("header masthead topbar banner".split())
 STRICT = frozenset("ad ads advert advertisement sponsored promo related recommended widget".split())
 INNER = MARKS - HEADERS
 CACHE_ROWS = 50_000
-FREE, SOFT, HARD = 0, 1, 2
+#: Dropped unless they hold most of the page's text, by how many times the rest; or always.
+FREE, SOFT, DOUBT, HARD = range(4)
+MOST = {SOFT: 3, DOUBT: 20}
 
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+END_COMMENT = re.compile("--!?>")
 TAG = re.compile(r"[A-Za-z][^\s/>]*")
 
 
@@ -64,7 +67,7 @@ class Node:
     tag: str
     path: int  # a hash of the tags and classes from the root
     parent: int
-    drop: int  # FREE, SOFT (by a class) or HARD, of its own
+    drop: int  # FREE, SOFT (a form, or by a class), DOUBT (perhaps comments) or HARD, of its own
     inside: bool  # within an article or main element
 
 
@@ -90,8 +93,8 @@ def _comments(names: list[list[str]]) -> bool:
 
 
 def _marked(names: list[list[str]], words: frozenset[str]) -> bool:
-    """Whether a name consists of such words, beside neutral ones."""
-    return any(any(w in words for w in parts) and all(w in MARKS or w in NEUTRAL for w in parts) for parts in names)
+    """Whether a name consists of such words, beside others about boilerplate and neutral ones."""
+    return any(any(w in words for w in parts) and all(w in words or w in MARKS or w in NEUTRAL for w in parts) for parts in names)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -149,14 +152,16 @@ class Parser:
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         both = f"{names} {attributes.get('id', '')}"
         drop = FREE
-        if tag in DROPPED or hidden or role in ROLES or (tag == "header" or role == "banner") and not up.inside:
+        if tag in DROPPED and not (tag == "label" and up.inside) or hidden or role in ROLES or (tag == "header" or role == "banner") and not up.inside:
             drop = HARD
         elif both != " " and tag not in ("html", "body", "main"):
             parts = _names(both)
-            if _comments(parts):
-                drop = HARD
+            if tag in BLOCK and _comments(parts):
+                drop = HARD if _marked(parts, COMMENTS) else DOUBT
             elif _marked(parts, STRICT if tag == "article" else INNER if up.inside else MARKS):
                 drop = SOFT
+        if tag == "form" and drop == FREE:
+            drop = SOFT
         nodes.append(Node(tag, path, self.stack[-1], drop, inside))
         self.stack.append(len(nodes) - 1)
         self.open.setdefault(tag, []).append(place)
@@ -225,8 +230,11 @@ class Parser:
                 break
             second = html[lt + 1 : lt + 2]
             if second == "!" and html.startswith("<!--", lt):
-                end = html.find("-->", lt + 4)
-                at = size if end < 0 else end + 3
+                if short := next((x for x in (">", "->") if html.startswith(x, lt + 4)), ""):
+                    at = lt + 4 + len(short)
+                else:
+                    end = END_COMMENT.search(html, lt + 4)
+                    at = end.end() if end else size
                 continue
             closing = second == "/"
             name = TAG.match(html, lt + 1 + closing)
@@ -288,9 +296,11 @@ def parse(html: str) -> Page:
 
 
 def settle(page: Page) -> None:
-    """Decide what is dropped: all hard cases, and soft ones unless they hold most of the page.
+    """Decide what is dropped: all hard cases, and the others unless they hold most of the page.
 
-    That is over three times the text outside of such elements. On pages with an article or
+    That is over three times the text outside of such elements, for a form or a class about
+    boilerplate; over twenty times where a name has a word for comments among others, as an
+    article's own name may: readers can write much more than the author. On pages with an article or
     main element only text in these is compared, as long as it is a quarter of all.
     """
     nodes = page.nodes
@@ -303,7 +313,7 @@ def settle(page: Page) -> None:
     for k in range(1, len(nodes)):
         up = nodes[k].parent
         hard[k] = hard[k] or hard[up]
-        soft[k] = k if nodes[k].drop == SOFT else soft[up]
+        soft[k] = k if nodes[k].drop in MOST else soft[up]
     held: dict[int, int] = {}
     core: dict[int, int] = {}
     for k, x in enumerate(own):
@@ -315,7 +325,7 @@ def settle(page: Page) -> None:
     free = weigh.get(0, 0)
     kept = {0}
     for k in sorted(weigh, key=lambda k: -weigh[k]):
-        if k and weigh[k] > 3 * free:
+        if k and weigh[k] > MOST[nodes[k].drop] * free:
             kept.add(k)
             free += weigh[k]
     page.dropped = [h or s not in kept for h, s in zip(hard, soft)]
@@ -352,7 +362,10 @@ def containers(page: Page) -> Found:
     for k, n in enumerate(nodes):
         if good[k] and not gone[k] and (n.tag in CONTAINER or not k) and (n.inside or core * 3 < there):
             found.append((float(good[k] - bad[k]), k))
-    found.sort(key=lambda x: (-x[0], -x[1]))
+    if not found:  # an article of links alone
+        found = [(0.0, k) for k, n in enumerate(nodes) if bad[k] and not gone[k] and n.tag in CONTAINER and n.inside]
+        found.sort(key=lambda x: (-bad[x[1]], -x[1]))
+    found.sort(key=lambda x: (-x[0], -x[1] if x[0] else 0))
     return Found([t for _, t, _ in kept], [(nodes[k].path, x, first[k], end[k]) for x, k in found])
 
 
@@ -375,6 +388,7 @@ PARSED = "blocks array<string>, containers array<struct<path: long, score: doubl
 
 def parsed(rows: DataFrame, html_col: str) -> DataFrame:
     """The rows with ``blocks`` and ``containers`` (best first) instead of the html."""
+    ship(rows.sparkSession)
     names = [c for c in rows.columns if c != html_col]
     rows = rows.select(*names, html_col)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import fold, stage
+from quillspan.llm.common import fold, ship, stage
 
 CHUNK_BYTES = 16 << 20
 RANGE_BYTES = 8 << 20
@@ -316,6 +316,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     f = F.coalesce(fold(id_col, folds), F.lit(-1))
     part = F.when(f == held_out, TEST).when(f == weight_fold, HELD).otherwise(TRAIN).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), part.alias("part"))
+    ship(rows.sparkSession)
     packed = stage(rows.mapInArrow(_pack, CHUNK), "packed", "uncompressed")
     sums = {r["part"]: r for r in packed.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.sum("n_bytes").alias("bytes")).collect()}
     n_all = sum(r["n"] for p, r in sums.items() if p != TEST)

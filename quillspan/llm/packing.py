@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stage
+from quillspan.llm.common import ship, stage
 
 SHARD_BYTES = 6 << 20
 #: Bytes of pieces that a worker remembers the ids of, in each of two generations.
@@ -236,6 +236,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end: int, id_col: str, text_
     Each task adds one row whose ``df`` holds, by id, in how many of its documents the id
     occurs (64 bits each); in all other rows it is null.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("salt", F.xxhash64("id", "t"))
 

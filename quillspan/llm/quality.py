@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import fold, stage
+from quillspan.llm.common import fold, ship, stage
 
 #: Most labelled rows that the ensemble is fitted on (those with the smallest hash of the id).
 SAMPLE_ROWS = 20_000
@@ -88,6 +88,7 @@ def with_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             got = np.array([text_stats(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[:, k]) for k in range(len(STATS)))], names=["id", *STATS])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
@@ -227,4 +228,5 @@ def keep_good(docs: DataFrame, ensemble: RuleEnsemble, id_col: str = "doc_id", t
             got = np.array([text_stats(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[:, k]) for k in range(len(STATS)))], names=["row", *STATS])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, schema).where(ensemble.score() >= threshold).select("row.*")

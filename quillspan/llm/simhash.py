@@ -22,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import join_split, stage
+from quillspan.llm.common import join_split, ship, stage
 from quillspan.llm.components import components
 
 RADIUS = 4
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint_words(t.lower().split(), shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, "id long, fp long")
 
 

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import ship
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class (letter, number, space, other) is the same in both pattern engines, which a test proves; any other is asked for when met.
@@ -102,7 +104,7 @@ _counters: dict[str, WholeTokenCounter] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
-    """Tokens of every whole text: id, n_bytes, n_tokens, n_direct, over_limit.
+    """Tokens of every whole text: id, n_bytes, n_tokens, over_limit, n_direct.
 
     ``tokenizer_path`` names a byte-level BPE file that every executor has. A null text
     counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows each give a
@@ -110,6 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     their names. Special strings inside a text count as one token, as the library's
     default has it. No shuffle: one pass, with a memo bounded by ``MEMO`` entries.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -128,4 +131,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     rows = rows.withColumn("_b", F.octet_length("_t").cast("long"))
     out = rows.mapInArrow(run, f"_id {fields['_id']}, n_bytes long, n_tokens long, n_direct long")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", "n_direct", (F.col("n_tokens") > limit).alias("over_limit"))
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_direct")

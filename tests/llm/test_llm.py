@@ -547,6 +547,14 @@ STORY = " ".join(f"This is sentence {k} of a plain story about nothing much." fo
         "<div class='post comments-open has-comments'><p>{}</p></div><section id='reader-comments'><p>{}</p></section><div class='related-posts'><p>More</p></div>",
         "<article class='no-comments'><div class='header'></div><div class='post-header'></div><p>{}</p><div class='postComments'>x</div></article><div class='site-header'>Site</div>",
         "<article><p>{}</p></article><script>var x = '<p>unclosed",
+        "<form id='aspnetForm'><div class='menu'>Menu</div><article><p>{}</p></article></form>",
+        "<form method=post><input name=s><div><p>{}</p></div><div class='sidebar'>Side</div></form>",
+        "<div><p>{}</p></div><form><label>Name</label><p>Write to us with your name.</p></form>",
+        "<article id='post-comment-on-budget'><p>{}</p></article>",
+        "<div class='how-we-respond'><p>{}</p></div>",
+        "<main><div class='comment-policy'><p>{}</p></div></main>",
+        "<article><p>{}</p><div class='wpd-comment'><p>Nice.</p></div><div class='user-comment-thread'><p>{} {}</p></div></article>",
+        "<!--><article><p>{}</p></article><!-- x --!><!---> <!-- end -->",
     ],
 )
 def test_op7_keeps_the_article(page):
@@ -554,6 +562,14 @@ def test_op7_keeps_the_article(page):
     assert html.extract(f"<html><body><nav><a href=/>home</a></nav>{text}</body></html>", None) == STORY
 
 
+def test_op7_keeps_code_labels_and_articles_of_links():
+    code = "<article><p>Look:</p><pre><code><span class='token comment'># a note</span> x = 1 <span class='hljs-comment'># more</span></code></pre><p><label>Term</label> and what it means.</p></article>"
+    assert html.extract(f"<body>{code}</body>", None) == "Look: # a note x = 1 # more Term and what it means."
+    links = "<article><h2><a href=a>First headline of the day</a></h2><p><a href=b>Second headline of the day</a></p></article>"
+    assert html.extract(f"<body><ul><li><a href='/'>home page of this site</a></li></ul>{links}</body>", None) == "First headline of the day Second headline of the day"
+    assert html.extract("<body><ul><li><a href='/'>home page of this site</a></li></ul></body>", None) == ""
+
+
 def test_op7_depth_is_linear():
     import time
 
