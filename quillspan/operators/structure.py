@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import count_words, mask_digits, normalize_space, page_number
+from quillspan.functions.text import count_words, mask_digits, normalize_space, page_number, title_key, unescape_html
 from quillspan.operators.fixpoint import cut
+from quillspan.operators.markup import BLOCK, attribute, drop_elements, joined, tag_rows, with_partner
 from quillspan.sources.tables import to_lines
 
 #: Titles and semantic types that tell the kind of a chapter.
@@ -94,14 +95,26 @@ def order_warnings(starts: DataFrame, book: str = "book") -> DataFrame:
     """Entries without a target, and those that lie before an earlier entry."""
     w = Window.partitionBy(book).orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
     top = F.max("pos").over(w)
-    return starts.select(book, "entry", F.when(F.col("pos").isNull(), "toc_missing").when(F.col("pos") < top, "toc_order").alias("code")).where("code is not null")
+    return starts.select(book, "entry", F.when(F.col("pos").isNull(), "toc_target_missing").when(F.col("pos") < top, "toc_order").alias("code")).where("code is not null")
+
+
+def starts_or_files(starts: DataFrame, blocks: DataFrame, book: str = "book") -> DataFrame:
+    """Chapter starts (book, entry, title, pos) with a target; in books that have none, one for each file of ``blocks`` (book, file, pos, kind, text).
+
+    A file's chapter begins with its first block and is called by its first heading, else by the file's name.
+    """
+    own = starts.where("pos is not null").select(book, "entry", "title", "pos")
+    heading = F.when((F.col("kind") == "heading") & (F.col("text") != ""), F.col("text"))
+    files = blocks.join(own.select(book).distinct(), book, "left_anti").groupBy(book, "file").agg(F.min("pos").alias("pos"), F.min_by(heading, F.when(heading.isNotNull(), F.col("pos"))).alias("title"))
+    entry = F.row_number().over(Window.partitionBy(book).orderBy("pos")).cast("long")
+    return own.unionByName(files.select(book, entry.alias("entry"), F.coalesce("title", "file").alias("title"), F.col("pos").cast("long").alias("pos")))
 
 
 def mark_parts(entries: DataFrame) -> DataFrame:
-    """Entries (book, entry, parent, title, file, words) that are parts: by title, or with at least half of the children in other files and under 150 own words."""
+    """Entries (book, entry, parent, title, file, words) that are parts: they have children, and a part's title, or at least half of these in other files and under 150 own words."""
     kids = entries.select("book", F.col("parent").alias("entry"), F.col("file").alias("kid")).where("entry is not null")
     share = kids.join(entries.select("book", "entry", "file"), ["book", "entry"]).groupBy("book", "entry").agg(F.avg((F.col("kid") != F.col("file")).cast("int")).alias("away"))
-    part = F.col("title").rlike(PART_TITLE) | ((F.coalesce("away", F.lit(0.0)) >= 0.5) & (F.col("words") < 150))
+    part = F.col("away").isNotNull() & (F.col("title").rlike(PART_TITLE) | ((F.col("away") >= 0.5) & (F.col("words") < 150)))
     return entries.join(share, ["book", "entry"], "left").withColumn("is_part", part).withColumn("kind", F.when(part & (F.col("words") < 150), "part")).drop("away")
 
 
@@ -231,9 +244,10 @@ def quality_warnings(sections: DataFrame, id_col: str, most: int = 2500) -> Data
 
 
 def demote_title_page(spans: DataFrame, books: DataFrame) -> DataFrame:
-    """A span of under 150 words with the book's title is front matter."""
-    got = spans.join(books.select("book", F.col("title").alias("_t")), "book", "left")
-    return got.withColumn("kind", F.when((F.lower("title") == F.lower("_t")) & (F.col("words") < 150), "front").otherwise(F.col("kind"))).drop("_t")
+    """A chapter of under 150 words with the book's title, but for case and white space, is front matter."""
+    got = spans.join(books.select("book", F.lower(normalize_space("title")).alias("_t")), "book", "left")
+    page = (F.col("kind") == "chapter") & (F.col("_t") != "") & (F.lower(normalize_space("title")) == F.col("_t")) & (F.col("words") < 150)
+    return got.withColumn("kind", F.when(page, "front").otherwise(F.col("kind"))).drop("_t")
 
 
 def join_across_pages(blocks: DataFrame, keys: Sequence[str], order: str = "pos") -> DataFrame:
@@ -246,17 +260,48 @@ def join_across_pages(blocks: DataFrame, keys: Sequence[str], order: str = "pos"
     return got.select(*keys, F.col("para").cast("long").alias("para"), F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("text"))
 
 
+#: Elements without text of the page.
+REMOVED = ("nav", "script", "style", "noscript", "template", "button", "form", "input", "select", "textarea", "label", "iframe", "svg", "footer", "link", "meta", "dialog", "object", "embed", "canvas", "video", "audio", "source")
+
+
 def clean_pages(pages: DataFrame, base: int = 2, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """Heading levels of a page's main part (main, else article, else body), moved so that the first is ``base``, at most 6; a first heading equal to the page's title goes."""
-    main = F.coalesce(*[F.nullif(F.regexp_extract(F.col(html), rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1), F.lit("")) for t in ("main", "article", "body")], F.col(html))
-    title = normalize_space(F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    b = html_blocks(pages.select(id_col, main.alias("html"), title.alias("_title")), id_col).join(pages.select(id_col, title.alias("page_title")), id_col)
-    w = Window.partitionBy(id_col)
-    first = F.min(F.when(F.col("kind") == "heading", F.col("pos"))).over(w)
-    b = b.withColumn("_first", first).where(~((F.col("kind") == "heading") & (F.col("pos") == F.col("_first")) & (F.col("text") == F.col("page_title"))) | F.col("_first").isNull())
-    shift = F.min(F.when(F.col("kind") == "heading", F.col("level"))).over(w)
-    level = F.when(F.col("kind") == "heading", F.least(F.col("level") - shift + base, F.lit(6))).otherwise(0)
-    return b.select(id_col, "pos", "kind", level.cast("long").alias("level"), "text", "words")
+    """Blocks (id, pos, kind, level, text, words) of a page's main part: the first main element, else article, else the body.
+
+    Elements without text of the page and hidden ones go with all inside them, and links to a
+    place in the page that show no letter or digit. A heading ends only with its own tag. A
+    first heading that is the page's title, but for case, accents and marks, goes. The first heading that is left gets
+    level ``base`` and the others move with it, from ``base`` to 6.
+    """
+    key, page = [id_col], Window.partitionBy(id_col)
+    rows = with_partner(tag_rows(pages, key, html), key)
+    opens = ~F.col("closes")
+    for name in ("article", "main"):  # each bounds the page where there is one; the last one wins
+        root = F.min(F.when(opens & (F.col("tag") == name), F.struct("at", "partner"))).over(page)
+        rows = rows.withColumn(f"_{name}", root)
+    root = F.coalesce("_main", "_article")
+    rows = rows.where(root.isNull() | ((F.col("at") >= root["at"]) & (F.col("at") < F.coalesce(root["partner"], F.lit(1 << 30))))).drop("_main", "_article")
+    unquoted = F.regexp_replace("token", "\"[^\"]*\"|'[^']*'", "''")
+    rows = drop_elements(rows, key, F.col("tag").isin(*REMOVED) | unquoted.rlike(r"(?i)\shidden(?=[\s=/>])"))
+    run = page.orderBy("at")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    mark = (F.col("tag") == "a") & attribute("token", "href").startswith("#") & (F.lead("at").over(run) == F.col("partner")) & ~F.col("text").rlike(r"[\p{L}\p{N}]")
+    heading = F.col("tag").rlike("^h[1-6]$") & (F.col("token") != "")
+    inside = F.coalesce(F.last(F.when(heading, opens), True).over(upto), F.lit(False))
+    rows = rows.withColumns({"text": F.when(F.coalesce(mark, F.lit(False)), "").otherwise(F.col("text")), "_in": inside, "_head": heading})
+    border = F.col("tag").isin(*[t for t in BLOCK if t != "br"]) & (F.col("_head") | ~F.col("_in"))
+    space = F.when(F.col("tag").isin(*BLOCK), " ").otherwise("")
+    rows = rows.withColumns({"_block": F.sum(border.cast("int")).over(upto), "s": F.concat(space, "text")})
+    level = F.when(F.col("_head") & opens, F.substring("tag", 2, 1).cast("int"))
+    b = rows.groupBy(id_col, "_block").agg(F.min_by(F.struct(level.alias("level")), "at").alias("x"), F.collect_list(F.struct("at", "s")).alias("p"))
+    b = b.select(id_col, "_block", F.col("x.level").alias("level"), F.explode(F.array(joined(F.col("p")))).alias("text")).where("text <> ''")
+    title = normalize_space(unescape_html(F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    b = b.join(pages.select(id_col, title_key(title).alias("_title")), id_col)
+    first = lambda: F.min(F.when(F.col("level").isNotNull(), F.struct("_block", "level"))).over(page)
+    b = b.withColumn("_first", first()).where(F.coalesce((F.col("_block") != F.col("_first._block")) | (title_key("text") != F.col("_title")), F.lit(True)))
+    moved = F.least(F.greatest(F.col("level") - F.col("_first.level") + base, F.lit(base)), F.lit(6))
+    pos = F.row_number().over(page.orderBy("_block")) - 1
+    b = b.withColumn("_first", first())
+    return b.select(id_col, pos.cast("long").alias("pos"), F.when(F.col("level").isNull(), "content").otherwise("heading").alias("kind"), F.when(F.col("level").isNull(), 0).otherwise(moved).cast("long").alias("level"), "text", count_words("text").alias("words"))
 
 
 def blocks_markdown(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:

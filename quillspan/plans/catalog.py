@@ -26,13 +26,13 @@ def _text(c):
 
 
 #: Outlines: one entry per document; every fifth one is the parent of the next four.
-_ENTRIES = """(SELECT source AS book, doc_id AS entry, CASE WHEN doc_id % 5 <> 0 THEN doc_id - doc_id % 5 END AS parent, CASE WHEN doc_id % 35 = 0 THEN 'Part IV' ELSE 'About ' || lang END AS title,
+_ENTRIES = """(SELECT source AS book, doc_id AS entry, CASE WHEN doc_id % 5 <> 0 THEN doc_id - doc_id % 5 END AS parent, CASE WHEN doc_id % 35 IN (0, 3) THEN 'Part IV' ELSE 'About ' || lang END AS title,
     'f' || CASE WHEN doc_id % 2 = 0 THEN doc_id - doc_id % 5 ELSE doc_id END AS file, n_chars % 300 AS words FROM {documents})"""
 
 
 @query(
     "b4_mark_parts",
-    f"""SELECT e.book, e.entry, e.title = 'Part IV' OR coalesce(k.away, 0) >= 0.5 AND e.words < 150 AS is_part, CASE WHEN (e.title = 'Part IV' OR coalesce(k.away, 0) >= 0.5) AND e.words < 150 THEN 'part' END AS kind FROM {_ENTRIES} e
+    f"""SELECT e.book, e.entry, k.away IS NOT NULL AND (e.title = 'Part IV' OR k.away >= 0.5 AND e.words < 150) AS is_part, CASE WHEN k.away IS NOT NULL AND (e.title = 'Part IV' OR k.away >= 0.5) AND e.words < 150 THEN 'part' END AS kind FROM {_ENTRIES} e
     LEFT JOIN (SELECT c.book, c.parent AS entry, avg(CASE WHEN c.file <> p.file THEN 1.0 ELSE 0.0 END) AS away FROM {_ENTRIES} c JOIN {_ENTRIES} p ON p.book = c.book AND p.entry = c.parent GROUP BY 1, 2) k ON k.book = e.book AND k.entry = e.entry""",
 )
 def b4(spark, d):
@@ -41,7 +41,7 @@ def b4(spark, d):
         F.col("source").alias("book"),
         i.alias("entry"),
         F.when(i % 5 != 0, i - i % 5).alias("parent"),
-        F.when(i % 35 == 0, "Part IV").otherwise(F.concat(F.lit("About "), "lang")).alias("title"),
+        F.when((i % 35).isin(0, 3), "Part IV").otherwise(F.concat(F.lit("About "), "lang")).alias("title"),
         F.concat(F.lit("f"), _text(F.when(i % 2 == 0, i - i % 5).otherwise(i))).alias("file"),
         (F.col("n_chars") % 300).alias("words"),
     )
@@ -85,9 +85,9 @@ def b11(spark, d):
     return S.heading_titles(b, ["doc_id"]).select("doc_id", "pos", F.md5(F.col("title").cast("binary")).alias("title_md5"))
 
 
-@query("b14_demote_title_page", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars % 400 < 150 THEN 'front' ELSE 'chapter' END AS kind FROM {documents}")
+@query("b14_demote_title_page", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'appendix' WHEN doc_id % 3 = 0 AND n_chars % 400 < 150 THEN 'front' ELSE 'chapter' END AS kind FROM {documents}")
 def b14(spark, d):
-    spans = _docs(spark, d).select("doc_id", F.col("source").alias("book"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("THE BOOK OF "), "source")).otherwise(F.col("lang")).alias("title"), F.lit("chapter").alias("kind"), (F.col("n_chars") % 400).alias("words"))
+    spans = _docs(spark, d).select("doc_id", F.col("source").alias("book"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" THE  BOOK\tOF "), "source")).otherwise(F.col("lang")).alias("title"), F.when(F.col("doc_id") % 5 == 0, "appendix").otherwise("chapter").alias("kind"), (F.col("n_chars") % 400).alias("words"))
     books = _docs(spark, d).select(F.col("source").alias("book"), F.concat(F.lit("The Book of "), "source").alias("title")).distinct()
     return S.demote_title_page(spans, books).select("doc_id", "kind")
 

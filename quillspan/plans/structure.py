@@ -142,6 +142,32 @@ def j6(spark, d):
     return S.locate(targets, b)
 
 
+#: A book per document: every third line is an entry, every ninth has no target, each second of the others points two lines back; texts of no such line have no entry.
+_TOC = f"(SELECT doc_id AS book, pos AS entry, CASE WHEN pos % 9 = 4 THEN NULL WHEN pos % 2 = 0 THEN pos - 2 ELSE pos END AS pos FROM {_LINES} l WHERE pos % 3 = 1)"
+
+
+def _toc(spark, d):
+    p = F.col("pos")
+    return _blocks(spark, d).where(p % 3 == 1).select(F.col("doc_id").alias("book"), p.alias("entry"), F.col("text").alias("title"), F.when(p % 9 == 4, None).when(p % 2 == 0, p - 2).otherwise(p).alias("pos"))
+
+
+@query("b13_toc_warnings", f"SELECT book, entry, CASE WHEN pos IS NULL THEN 'toc_target_missing' ELSE 'toc_order' END AS code FROM (SELECT *, max(pos) OVER (PARTITION BY book ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {_TOC} t) u WHERE pos IS NULL OR pos < top")
+def b13t(spark, d):
+    return S.order_warnings(_toc(spark, d))
+
+
+@query(
+    "b3_file_chapters",
+    f"""WITH b AS (SELECT doc_id AS book, pos, 'f' || pos // 5 AS file, line, CASE WHEN pos % 5 = 1 THEN 'heading' ELSE 'content' END AS kind FROM {_LINES} l), t AS (SELECT book, entry, pos FROM {_TOC} t WHERE pos IS NOT NULL AND book % 2 = 0)
+    SELECT book, entry, pos, NULL AS title FROM t UNION ALL SELECT book, row_number() OVER (PARTITION BY book ORDER BY min(pos)), min(pos), coalesce(arg_min(line, pos) FILTER (WHERE kind = 'heading' AND line <> ''), file) FROM b WHERE book NOT IN (SELECT book FROM t) GROUP BY book, file""",
+)
+def b3f(spark, d):
+    p = F.col("pos")
+    b = _blocks(spark, d).select(F.col("doc_id").alias("book"), "pos", F.concat(F.lit("f"), F.floor(p / 5).cast("string")).alias("file"), "text", F.when(p % 5 == 1, "heading").otherwise("content").alias("kind"))
+    starts = _toc(spark, d).where("book % 2 = 0").withColumn("title", F.lit(None).cast("string"))
+    return S.starts_or_files(starts, b).select("book", "entry", "pos", "title")
+
+
 @query("b13_quality_warnings", f"SELECT doc_id, code FROM (SELECT doc_id, unnest(['empty_section', 'lost_text', 'size_split']) AS code, w, s FROM (SELECT doc_id, {_WORDS.format('text')} AS w, n_chars / 5 AS s FROM {{documents}}) a) b WHERE code = 'empty_section' AND w = 0 OR code = 'lost_text' AND s >= 30 AND w < s * 0.9 OR code = 'size_split' AND w > 500")
 def b13(spark, d):
     s = _docs(spark, d).select("doc_id", count_words("text").alias("words"), (F.col("n_chars") / 5).alias("source_words"))
@@ -160,13 +186,32 @@ def b15(spark, d):
 _MAIN = "(SELECT page_id, title, coalesce(" + ", ".join(f"nullif(regexp_extract(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1), '')" for t in ("main", "article", "body")) + ", html) AS html FROM (SELECT page_id, html, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM {pages}) q)"
 
 
+#: Put at the end of every article: elements inside elements of their kind and hidden ones, all to go, an anchor mark, a heading with a block inside, levels above and far below the first.
+_NESTED = """<nav>a<nav>b</nav>c</nav><div hidden>x<div>y</div>z</div><svg><g><svg></svg>t</g></svg><form>q<label>l</label><p>f</p></form><h3>Part {id}<a href="#p">¶</a></h3><p class="x hidden y">Kept<br>line</p><h2><div>Sum</div> up</h2><dialog><h1>no</h1></dialog><h6>Far down</h6>"""
+def _plain(c: str) -> str:
+    """SQL for a text with its character references as characters."""
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+#: Key of a title: accents off, lower case, letters, digits, + and #.
+_KEY = "regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}+#]', '', 'g')"
+
+
 @query(
     "b16_clean_pages",
-    f"""WITH b AS (SELECT *, min(CASE WHEN kind = 'heading' THEN pos END) OVER (PARTITION BY page_id) AS first FROM {_html_sql(_MAIN, ", title")} x), k AS (SELECT * FROM b WHERE first IS NULL OR NOT (kind = 'heading' AND pos = first AND text = title))
-    SELECT page_id, pos, kind, CASE WHEN kind = 'heading' THEN least(level - min(CASE WHEN kind = 'heading' THEN level END) OVER (PARTITION BY page_id) + 2, 6) ELSE 0 END AS level, text, words FROM k""",
+    f"""WITH b AS (SELECT page_id, title, pos, kind, level, {_plain('text')} AS text, words, min(CASE WHEN kind = 'heading' THEN pos END) OVER (PARTITION BY page_id) AS first FROM {_html_sql(_MAIN, ", title")} x),
+    k AS (SELECT * FROM b WHERE first IS NULL OR NOT (kind = 'heading' AND pos = first AND {_KEY.format("text")} = {_KEY.format(_plain("title"))})),
+    t AS (SELECT page_id, count(*) AS n, arg_min(level, pos) FILTER (WHERE kind = 'heading') AS top FROM k GROUP BY 1),
+    base AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, kind, CASE WHEN kind = 'heading' THEN least(greatest(level - top + 2, 2), 6) ELSE 0 END AS level, text, words FROM k JOIN t USING (page_id)),
+    a AS (SELECT p.page_id, coalesce(n, 0) + x.k AS pos, x.kind, CASE WHEN x.kind = 'heading' THEN least(greatest(x.level - coalesce(top, 3) + 2, 2), 6) ELSE 0 END AS level, replace(x.text, '{{id}}', cast(p.page_id AS VARCHAR)) AS text, 2 AS words
+    FROM {{pages}} p LEFT JOIN t USING (page_id), (VALUES (0, 'heading', 3, 'Part {{id}}'), (1, 'content', 0, 'Kept line'), (2, 'heading', 2, 'Sum up'), (3, 'heading', 6, 'Far down')) x(k, kind, level, text) WHERE contains(html, '</article>'))
+    SELECT * FROM base UNION ALL SELECT * FROM a""",
 )
 def b16(spark, d):
-    return S.clean_pages(view(spark, d, "pages"))
+    added = F.replace(F.lit(_NESTED), F.lit("{id}"), F.col("page_id").cast("string"))
+    return S.clean_pages(view(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.concat(added, F.lit("</article>")))))
 
 
 _MD = "html"

@@ -146,19 +146,39 @@ def test_refine_splits_large_sections_and_keeps_all(spark):
 
 
 def test_parts_files_titles(spark):
-    e = spark.createDataFrame([("b", 1, None, "Part I", "p1", 10), ("b", 2, 1, "One", "c1", 900), ("b", 3, None, "Tools", "t", 20), ("b", 4, 3, "A", "x", 500), ("b", 5, None, "Long", "l", 900), ("b", 6, 5, "S", "m", 9)], "book string, entry long, parent long, title string, file string, words long")
-    assert {r["entry"]: r["is_part"] for r in S.mark_parts(e).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+    e = spark.createDataFrame([("b", 1, None, "Part I", "p1", 10), ("b", 2, 1, "One", "c1", 900), ("b", 3, None, "Tools", "t", 20), ("b", 4, 3, "A", "x", 500), ("b", 5, None, "Long", "l", 900), ("b", 6, 5, "S", "m", 9), ("b", 7, None, "Part 2", "n", 9)], "book string, entry long, parent long, title string, file string, words long")
+    assert {r["entry"]: r["is_part"] for r in S.mark_parts(e).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
     files = spark.createDataFrame([("b", "a", "chapter", 60), ("b", "c", "front", 70), ("b", "d", "chapter", 10), ("b", "e", "back", 99)], "book string, file string, kind string, words long")
     listed = spark.createDataFrame([("b", "e")], "book string, file string")
     assert [r["file"] for r in S.unlisted_files(files, listed).collect()] == ["a"]
-    spans = spark.createDataFrame([("b", "My Book", "chapter", 20), ("b", "My Book", "chapter", 900), ("b", "X", "chapter", 5)], "book string, title string, kind string, words long")
+    spans = spark.createDataFrame([("b", " My  Book", "chapter", 20), ("b", "My Book", "chapter", 900), ("b", "X", "chapter", 5), ("b", "My Book", "glossary", 5)], "book string, title string, kind string, words long")
     books = spark.createDataFrame([("b", "my book")], "book string, title string")
-    assert sorted(r["kind"] for r in S.demote_title_page(spans, books).collect()) == ["chapter", "chapter", "front"]
+    assert sorted(r["kind"] for r in S.demote_title_page(spans, books).collect()) == ["chapter", "chapter", "front", "glossary"]
     heads = spark.createDataFrame([(1, 0, "heading", "Question 1", 2, "<h3>Question 1</h3>"), (1, 1, "content", "What is it?", 3, "<p><b>What is it?</b></p>"), (1, 2, "heading", "Plain", 1, "<h3>Plain</h3>"), (1, 3, "heading", "Q 2.", 2, "<h3>Q 2.</h3>"), (1, 4, "content", "no bold", 2, "<p>no bold</p>")], "p long, pos int, kind string, text string, words long, html string")
     assert [r["title"] for r in S.heading_titles(heads, ["p"]).orderBy("pos").collect()] == ["Question 1: What is it?", "Plain", "Q 2."]
     assert spark.createDataFrame([("exam-\nple A-\nB",)], "t string").select(S.join_hyphenated(F.col("t")).alias("x")).first()["x"] == "example A-\nB"
 
 
+def test_clean_pages(spark):
+    cases = {
+        1: ("<title>Flow</title><body><h1>site</h1><main><h1>FLÔW!</h1><h3>If</h3><h4>Else</h4><h2>Summary</h2></main><h2>after</h2>", [("heading", 2, "If"), ("heading", 3, "Else"), ("heading", 2, "Summary")]),
+        2: ("<body><p>a<nav>b<nav>c</nav>d</nav>e</p><div HIDDEN=''>f<div>g</div></div><svg/><p title='x hidden'>h<p hidden>i</body>", [("content", 0, "a"), ("content", 0, "e"), ("content", 0, "h"), ("content", 0, "i")]),
+        3: ("<title>Other</title><body><article><h2>One<a href='#one'>#</a> <a href='#x'>two</a></h2>x<form>y<p>z</form></article><article>no</article>", [("heading", 2, "One two"), ("content", 0, "x")]),
+        4: (None, []), 5: ("", []),
+    }
+    df = spark.createDataFrame([(k, x) for k, (x, _) in cases.items()], "page_id long, html string")
+    got = S.clean_pages(df).orderBy("page_id", "pos").collect()
+    for k, (_, want) in cases.items():
+        assert [(r["kind"], r["level"], r["text"]) for r in got if r["page_id"] == k] == want
+
+
+def test_a_chapter_per_file_without_contents(spark):
+    starts = spark.createDataFrame([("a", 1, "One", 3), ("b", 1, "Lost", None)], "book string, entry long, title string, pos long")
+    rows = [("a", "x", 0, "heading", "No"), ("b", "x", 0, "content", "t"), ("b", "x", 1, "heading", ""), ("b", "x", 2, "heading", "Named"), ("b", "y", 3, "content", "t"), ("c", "z", 0, "heading", "Z")]
+    blocks = spark.createDataFrame(rows, "book string, file string, pos long, kind string, text string")
+    assert sorted((r["book"], r["entry"], r["title"], r["pos"]) for r in S.starts_or_files(starts, blocks).collect()) == [("a", 1, "One", 3), ("b", 1, "Named", 0), ("b", 2, "y", 3), ("c", 1, "Z", 0)]
+
+
 def test_summary_and_assignment(spark):
     b = spark.createDataFrame([("s", 1, "item", "one two three"), ("s", 2, "item", "too short"), ("s", 3, "paragraph", "not taken at all"), ("t", 1, "paragraph", "a b " + "c" * 400)], "s string, pos int, kind string, text string")
     got = {(r["s"], r["pos"]): r["item"] for r in M.summary_items(b, "s").collect()}
@@ -184,7 +204,7 @@ def test_chapter_spans(spark):
     ends = spark.createDataFrame([("b", 12)], "book string, n long")
     got = [(r["title"], r["start"], r["end"]) for r in S.chapter_spans(starts, ends).orderBy("start").collect()]
     assert got == [("Front", 0, 3), ("One", 3, 5), ("Back", 5, 8), ("Two", 8, 12)]
-    assert sorted((r["entry"], r["code"]) for r in S.order_warnings(starts).collect()) == [(4, "toc_missing"), (5, "toc_order")]
+    assert sorted((r["entry"], r["code"]) for r in S.order_warnings(starts).collect()) == [(4, "toc_target_missing"), (5, "toc_order")]
 
 
 def test_terms(spark):
