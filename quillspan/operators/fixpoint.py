@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: set[str] = set()
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
     """This application's folder for cut tables; it goes when the application ends."""
     folder = f"{shared_dir(spark)}/quillspan/{spark.sparkContext.applicationId}-tables"
     if folder not in _folders:
@@ -38,6 +38,6 @@ def _own_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,10 +11,10 @@ from quillspan.operators import learner as L
 from quillspan.operators import sets as D
 from quillspan.operators import structure as S
 from quillspan.operators import terms as M
-from quillspan.operators.fixpoint import shared_dir
+from quillspan.operators.fixpoint import own_dir
 from quillspan.plans.adapters import view
 from quillspan.plans.registry import query
-from quillspan.streaming.attempts import ingest_chapters
+from quillspan.streaming.attempts import ingest_chapters, ingested
 
 
 def _docs(spark, d):
@@ -245,11 +245,12 @@ def q3(spark, d):
 @query("st2_ingest_chapters", "SELECT book_id, chapter, sha1_hex AS fingerprint FROM (SELECT book_id, chapter, sha1('v1' || chr(10) || string_agg(number || ':' || section_id || ' ' || words, chr(10) ORDER BY number)) AS sha1_hex FROM {v_sections} GROUP BY 1, 2) t")
 def st2(spark, d):
     """Two deliveries of all chapters: the second one, in another order of files, is worked on no more."""
-    base = f"{shared_dir(spark)}/quillspan/ingest-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/ingest-{uuid.uuid4().hex}"
     s = view(spark, d, "v_sections").select("book_id", "chapter", "number", F.concat_ws(" ", _text(F.col("section_id")), _text(F.col("words"))).alias("body"))
     s.repartition(2, "book_id", "chapter").write.parquet(f"{base}/in")
     args = (spark, f"{base}/in", "book_id long, chapter long, number long, body string", lambda df: D.chapter_fingerprint(df, "v1"), ["book_id", "chapter"], f"{base}/manifest", f"{base}/work", f"{base}/state")
     ingest_chapters(*args)
     s.repartition(3, "chapter", "book_id").write.mode("append").parquet(f"{base}/in")
     ingest_chapters(*args)
-    return spark.read.parquet(f"{base}/work").select("book_id", "chapter", "fingerprint")
+    shape = D.chapter_fingerprint(s, "v1").schema
+    return ingested(spark, shape, ["book_id", "chapter"], f"{base}/manifest", f"{base}/work").select("book_id", "chapter", "fingerprint")

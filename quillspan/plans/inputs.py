@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import ascii_slug, count_words
 from quillspan.operators import runs as U
 from quillspan.operators import structure as S
-from quillspan.operators.fixpoint import cut, shared_dir
+from quillspan.operators.fixpoint import cut, own_dir
 from quillspan.plans.adapters import view
 from quillspan.plans.registry import query
 from quillspan.sources.tables import read_table, write_sections
@@ -47,7 +47,7 @@ def io5(spark, d):
     docs = view(spark, d, "documents")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     rows = docs.select(F.col("source").alias("book"), "doc_id", "text", F.concat_ws("-", two(F.floor(F.col("doc_id") / 100)), two(F.col("doc_id") % 100), F.concat(ascii_slug("lang"), F.lit(".md"))).alias("file"))
-    path = f"{shared_dir(spark)}/quillspan/sections-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/sections-{uuid.uuid4().hex}"
     write_sections(rows, path)
     back = spark.read.schema("doc_id long, text string, file string, book string").parquet(path)
     return back.select(F.col("book").alias("source"), "doc_id", "file", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -132,6 +132,6 @@ def b13b(spark, d):
 @query("st1_stream_latest_attempts", "SELECT session_id, concept, id, score, score = 2 OR disputed AS correct FROM (SELECT *, row_number() OVER (PARTITION BY session_id, concept ORDER BY id DESC) AS r FROM {v_attempts}) t WHERE r = 1")
 def st1(spark, d):
     log = cut(view(spark, d, "v_attempts").repartition(3, "id"), "attempt-log")
-    base = f"{shared_dir(spark)}/quillspan/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = log.inputFiles()[0].rsplit("/", 1)[0]
-    return run_latest_attempts(spark, path, log._jdf.schema().toDDL(), ["session_id", "concept"], f"{base}/table", f"{base}/state")
+    return run_latest_attempts(spark, path, log.schema, ["session_id", "concept"], f"{base}/table", f"{base}/state")

@@ -427,9 +427,55 @@ def test_incremental_ingest_and_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "c")], "book_id long, chapter long, number long, body string")
     rows.coalesce(1).write.parquet(src)
-    args = (spark, src, rows._jdf.schema().toDDL(), lambda df: D.chapter_fingerprint(df, "v"), ["book_id", "chapter"], str(tmp_path / "manifest"), str(tmp_path / "work"), str(tmp_path / "state"))
+    args = (spark, src, rows.schema, lambda df: D.chapter_fingerprint(df, "v"), ["book_id", "chapter"], str(tmp_path / "manifest"), str(tmp_path / "work"), str(tmp_path / "state"))
     assert ingest_chapters(*args) == 2
     rows.where("chapter = 1").coalesce(1).write.mode("append").parquet(src)
     assert ingest_chapters(*args) == 0
     rows.where("chapter = 2").withColumn("body", F.lit("new")).coalesce(1).write.mode("append").parquet(src)
     assert ingest_chapters(*args) == 1
+
+
+def test_ingest_survives_a_failure_between_its_tables(spark, tmp_path, monkeypatch):
+    """The work of a batch is written, the manifest is not; the batch that is delivered again takes its place."""
+    from pyspark.errors import StreamingQueryException
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from quillspan.streaming.attempts import ingest_chapters, ingested
+
+    src, manifest, work = (str(tmp_path / x) for x in ("in", "manifest", "work"))
+    rows = spark.createDataFrame([(1, c, 1, f"text {c}") for c in range(4)], "book_id long, chapter long, number long, body string")
+    for c in range(4):
+        rows.where(f"chapter = {c}").coalesce(1).write.mode("append").parquet(src)
+    schema, keys = D.chapter_fingerprint(rows, "v").schema, ["book_id", "chapter"]
+    args = (spark, src, rows.schema, lambda df: D.chapter_fingerprint(df, "v"), keys, manifest, work, str(tmp_path / "state"))
+    write = DataFrameWriter.parquet
+
+    def fails(self, path, *rest, **named):
+        if path.endswith("manifest/epoch=2"):
+            raise RuntimeError("lost")
+        return write(self, path, *rest, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", fails)
+    with pytest.raises(StreamingQueryException):
+        ingest_chapters(*args)
+    read = lambda: sorted(r["chapter"] for r in ingested(spark, schema, keys, manifest, work).collect())
+    assert len(read()) == 2 and spark.read.parquet(work).count() == 3
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    assert ingest_chapters(*args) == 2
+    assert read() == [0, 1, 2, 3] and spark.read.parquet(work).count() == 4
+
+
+def test_parts_of_the_stream_are_summed_up(spark, tmp_path):
+    from quillspan.streaming.attempts import run_latest_attempts
+
+    src, table = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = [(k, k % 5, k % 3, k % 4 == 0) for k in range(45)]
+    log = spark.createDataFrame(rows, "id long, session_id long, score long, disputed boolean")
+    args = (spark, src, log.schema, ["session_id"], table, str(tmp_path / "state"))
+    for k in range(9):
+        log.where(f"id % 9 = {k}").coalesce(1).write.mode("append").parquet(src)
+    got = run_latest_attempts(*args, most_parts=2)
+    want = {s: max(r for r in rows if r[1] == s) for s in range(5)}
+    assert {r["session_id"]: (r["id"], r["score"], r["correct"]) for r in got.collect()} == {s: (i, sc, sc == 2 or d) for s, (i, _, sc, d) in want.items()}
+    assert len(list((tmp_path / "table").glob("generation=*/epoch=*"))) <= 6
+    assert run_latest_attempts(*args, most_parts=2).count() == 5
