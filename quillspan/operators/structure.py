@@ -446,9 +446,31 @@ def page_labels(pages: DataFrame) -> DataFrame:
     return pages.select("doc", "page", F.when(any_ == 0, nth).otherwise(own).alias("label"))
 
 
+def place_marks(blocks: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc, page, mark, kind, pos) of anchors and images (doc, page, mark, kind, top) among a page's blocks (doc, page, pos, top).
+
+    An anchor goes to the block with the greatest top up to 4 above it, earliest on a tie; one
+    without a height to the page's first block. An image goes before the first block whose top is
+    not above its own: ``pos`` is that block's, null at the page's end. Blocks and marks are one
+    set of rows in the order of height, along which the nearest block and the first one so far
+    are carried; blocks and marks of a page are never paired.
+    """
+    anchor = F.col("kind") == "anchor"
+    none = lambda kind: F.lit(None).cast(kind)
+    mark = marks.schema["mark"].dataType.simpleString()
+    b = blocks.select("doc", "page", F.col("top").cast("double").alias("h"), F.col("pos").cast("long").alias("at"), none(mark).alias("mark"), none("string").alias("kind"))
+    height = F.col("top").cast("double") + F.when(anchor, 4).otherwise(0)
+    m = marks.select("doc", "page", height.alias("h"), none("long").alias("at"), "mark", "kind")
+    page = Window.partitionBy("doc", "page")
+    # at one height blocks come first, the earliest block last, so that it is the nearest
+    up = page.orderBy(F.col("h").asc_nulls_first(), F.col("kind").isNotNull(), F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    low = F.when(F.col("h").isNotNull(), F.col("at"))
+    rows = b.unionByName(m).withColumns({"_near": F.last(low, True).over(up), "_first": F.min(low).over(up), "_top": F.min("at").over(page)})
+    pos = F.when(~anchor, F.when(F.col("h").isNotNull(), F.col("_first"))).when(F.col("h").isNull(), F.col("_top")).otherwise(F.col("_near"))
+    return rows.where("kind is not null").select("doc", "page", "mark", "kind", pos.alias("pos"))
+
+
 def place_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """As-of join by height: each anchor goes to the block with the greatest top up to 4 above it, earliest on a tie; one without a height to the page's first block."""
-    first = blocks.groupBy("doc", "page").agg(F.min("pos").alias("_first"))
-    near = anchors.join(blocks.select("doc", "page", "pos", "top"), ["doc", "page"]).where("top <= anchor_top + 4").groupBy("doc", "page", "anchor").agg(F.max_by("pos", F.struct("top", -F.col("pos"))).alias("_at"))
-    out = anchors.join(near, ["doc", "page", "anchor"], "left").join(first, ["doc", "page"], "left")
-    return out.select("doc", "page", "anchor", F.when(F.col("anchor_top").isNull(), F.col("_first")).otherwise(F.col("_at")).alias("pos"))
+    """(doc, page, anchor, pos): the anchors (doc, page, anchor, anchor_top) alone, see :func:`place_marks`."""
+    marks = anchors.select("doc", "page", F.col("anchor").alias("mark"), F.lit("anchor").alias("kind"), F.col("anchor_top").alias("top"))
+    return place_marks(blocks, marks).select("doc", "page", F.col("mark").alias("anchor"), "pos")

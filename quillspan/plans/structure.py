@@ -304,6 +304,24 @@ def j13(spark, d):
     return S.place_anchors(blocks, anchors)
 
 
+#: Anchors on every fifth line, images on every fourth, some without a height; each third block has none.
+_TOPS = f"(SELECT source AS doc, doc_id AS page, pos, CASE WHEN pos % 3 <> 2 THEN -14 * (pos // 2 * 2) END AS top FROM {_LINES} l)"
+_PLACED = f"(SELECT source AS doc, doc_id AS page, pos AS mark, 'anchor' AS kind, CASE WHEN pos % 10 <> 5 THEN -14 * pos + 7 END AS top FROM {_LINES} l WHERE pos % 5 = 0 UNION ALL SELECT source, doc_id, pos, 'image', CASE WHEN pos % 8 <> 4 THEN -14 * pos - 30 END FROM {_LINES} l WHERE pos % 4 = 0)"
+
+
+@query(
+    "j13_place_marks",
+    f"""SELECT m.doc, m.page, m.mark, m.kind, CASE WHEN kind = 'image' THEN min(b.pos) FILTER (WHERE b.top <= m.top) WHEN m.top IS NULL THEN min(b.pos) ELSE arg_min(b.pos, (-b.top, b.pos)) FILTER (WHERE b.top <= m.top + 4) END AS pos
+    FROM {_PLACED} m JOIN {_TOPS} b ON b.doc = m.doc AND b.page = m.page GROUP BY m.doc, m.page, m.mark, m.kind, m.top""",
+)
+def j13m(spark, d):
+    i, k = _items(spark, d), F.col("idx")
+    blocks = i.select("doc", "page", k.alias("pos"), F.when(k % 3 != 2, F.floor(k / 2) * -28).alias("top"))
+    anchors = i.where(k % 5 == 0).select("doc", "page", k.alias("mark"), F.lit("anchor").alias("kind"), F.when(k % 10 != 5, k * -14 + 7).alias("top"))
+    images = i.where(k % 4 == 0).select("doc", "page", k.alias("mark"), F.lit("image").alias("kind"), F.when(k % 8 != 4, k * -14 - 30).alias("top"))
+    return S.place_marks(blocks, anchors.unionByName(images))
+
+
 def _two_columns(spark, d):
     """Every second item moves to a right column at the height of the item before."""
     i = _items(spark, d)

@@ -199,6 +199,15 @@ def test_layout(spark):
     assert [r["title"] for r in S.join_labels(labels).orderBy("pos").collect()] == ["CHAPTER 1: Start", "7", "Other"]
 
 
+def test_anchors_and_images_by_height(spark):
+    blocks = spark.createDataFrame([("d", 1, 0, 700.0), ("d", 1, 1, 700.0), ("d", 1, 2, None), ("d", 1, 3, 500.0), ("d", 1, 4, 600.0)], "doc string, page int, pos long, top double")
+    rows = [("a", "anchor", 696.0, 0), ("b", "anchor", 695.0, 4), ("c", "anchor", None, 0), ("e", "anchor", 400.0, None), ("f", "image", 800.0, 0), ("g", "image", 650.0, 3), ("h", "image", 499.0, None), ("i", "image", None, None)]
+    marks = spark.createDataFrame([("d", 1, *r[:3]) for r in rows] + [("d", 2, "z", "anchor", 5.0)], "doc string, page int, mark string, kind string, top double")
+    placed = S.place_marks(blocks, marks)
+    assert {r["mark"]: r["pos"] for r in placed.collect()} == {r[0]: r[3] for r in rows} | {"z": None}
+    assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chapter_spans(spark):
     starts = spark.createDataFrame([("b", 1, "One", 3), ("b", 2, "Dup", 3), ("b", 3, "Two", 8), ("b", 4, "Lost", None), ("b", 5, "Back", 5)], "book string, entry long, title string, pos long")
     ends = spark.createDataFrame([("b", 12)], "book string, n long")
