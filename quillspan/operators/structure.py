@@ -326,21 +326,50 @@ def group_lines(items: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "page").orderBy(F.desc("y"), "x", "idx")
     same = F.abs(F.col("y") - F.lag("y").over(w)) <= 0.5 * F.least("size", F.lag("size").over(w))
     got = items.withColumn("_n", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("line", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    got = got.groupBy("doc", "page", "line").agg(F.sort_array(F.collect_list(F.struct("x", "idx", "str"))).alias("s"), F.max("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x"))
-    return got.select("doc", "page", F.col("line").cast("long").alias("line"), F.array_join(F.transform("s", lambda i: i["str"]), " ").alias("text"), "x", "y", "size")
+    got = got.groupBy("doc", "page", "line").agg(F.sort_array(F.collect_list(F.struct("x", "idx", "str"))).alias("s"), F.max("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x"), F.bool_and("mono").alias("code"))
+    parts = F.transform("s", lambda i: i["str"])
+    return got.select("doc", "page", F.col("line").cast("long").alias("line"), F.array_join(parts, " ").alias("text"), "x", "y", "size", parts.alias("parts"), "code")
 
 
-def running_lines(lines: DataFrame, margin: int = 2) -> DataFrame:
-    """Running heads and feet: margin lines whose masked text occurs in its height band on several pages, or that are mostly numbers; with the page number found."""
-    pages = lines.where("trim(text) <> ''").select("doc", "page").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("pages"))
-    top, low = Window.partitionBy("doc", "page").orderBy(F.desc("y")), Window.partitionBy("doc", "page").orderBy("y")
-    edge = lines.withColumn("_t", F.row_number().over(top)).withColumn("_b", F.row_number().over(low)).where((F.col("_t") <= margin) | (F.col("_b") <= margin)).where(F.length("text") <= 100)
-    edge = edge.withColumns({"band": F.floor(F.col("y") / 3), "masked": mask_digits("text"), "number": page_number("text")})
-    band = edge.groupBy("doc", "band").agg(F.countDistinct("page").alias("on"), F.avg(F.col("number").isNotNull().cast("int")).alias("numbered")).join(pages, "doc").where(F.col("on") >= F.greatest(F.lit(3.0), F.col("pages") * 0.25))
+#: How far apart, in sizes of a margin line, it is from the body; and the height of a band.
+MARGIN_GAP, BAND = 1.5, 3.0
+
+
+def _bands(edge: DataFrame) -> DataFrame:
+    """(doc, y, band): the heights of a document from low to high; a band takes those within 3 of its first one."""
+    heights = edge.groupBy("doc").agg(F.array_sort(F.collect_set("y")).alias("ys"))
+    begins = F.aggregate("ys", F.array().cast("array<double>"), lambda acc, y: F.when(F.coalesce(y - F.try_element_at(acc, F.lit(-1)) <= BAND, F.lit(False)), acc).otherwise(F.concat(acc, F.array(y))))
+    each = heights.withColumn("bs", begins).select("doc", "bs", F.explode("ys").alias("y"))
+    return each.select("doc", "y", F.array_max(F.filter("bs", lambda b: b <= F.col("y"))).alias("band"))
+
+
+def running_lines(lines: DataFrame) -> DataFrame:
+    """Running heads and feet (doc, page, line, text, number), with the page number found.
+
+    Candidates are one or two lines at the top and at the bottom of a page that a gap parts from the body, of
+    at most 100 characters and not code. A band of heights counts if it has candidates on three pages and a quarter of all at least.
+    In it a line runs if half of the band has numbers and it has one, first or last in the line, or if
+    its text, in lower case and with digits masked, occurs three times and has a letter.
+    """
+    shown = lines.where("trim(text) <> ''").withColumn("text", normalize_space("text"))
+    pages = shown.select("doc", "page").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("pages"))
+    w = Window.partitionBy("doc", "page").orderBy(F.desc("y"), "line")
+    at = lambda c, k: (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w) if k else F.col(c)
+    gap = lambda k, size: F.coalesce(at("y", k) - at("y", k + 1) >= MARGIN_GAP * at("size", size), F.lit(False))
+    rows = shown.withColumns({"_r": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("doc", "page"))})
+    low = F.col("_n") - F.col("_r")
+    top = (F.col("_r") == 1) & (gap(0, 0) | gap(1, 1)) | (F.col("_r") == 2) & ~gap(-1, -1) & gap(0, 0)
+    foot = (low == 0) & (gap(-1, 0) | gap(-2, -1)) | (low == 1) & ~gap(0, 1) & gap(-1, 0)
+    edge = rows.withColumn("_margin", top | foot).where("_margin and not code").where(F.length("text") <= 100)
+    number = F.coalesce(page_number(F.element_at("parts", -1)), page_number(F.element_at("parts", 1)))
+    edge = cut(edge.select("doc", "page", "line", "text", "y", F.lower(mask_digits("text")).alias("masked"), number.alias("number")), "edges")
+    edge = edge.join(_bands(edge), ["doc", "y"])
+    band = edge.groupBy("doc", "band").agg(F.countDistinct("page").alias("on"), F.avg(F.col("number").isNotNull().cast("int")).alias("numbered")).join(pages, "doc").where(F.col("on") >= F.greatest(F.lit(3.0), F.ceil(F.col("pages") * 0.25)))
     often = edge.groupBy("doc", "band", "masked").agg(F.count(F.lit(1)).alias("times"))
     got = edge.join(band, ["doc", "band"]).join(often, ["doc", "band", "masked"])
-    keep = ((F.col("numbered") >= 0.5) & F.col("number").isNotNull()) | ((F.col("times") >= 3) & F.col("masked").rlike(r"\p{L}"))
-    return got.where(keep).select("doc", "page", "line", "text", "number")
+    is_number = (F.col("numbered") >= 0.5) & F.col("number").isNotNull()
+    keep = is_number | ((F.col("times") >= 3) & F.col("masked").rlike(r"\p{L}"))
+    return got.where(keep).select("doc", "page", "line", "text", F.when(is_number, F.col("number")).alias("number"))
 
 
 def body_size(items: DataFrame) -> DataFrame:

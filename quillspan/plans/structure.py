@@ -237,17 +237,27 @@ def l1(spark, d):
 
 
 #: Lines of the documents as layout lines, from the top down; the first two and the last two are margins.
-_EDGE = f"""(SELECT source AS doc, doc_id AS page, pos + 1 AS line, line AS text, floor((800.0 - 14.0 * pos) / 3) AS band, regexp_replace(line, '[0-9]+', '#', 'g') AS masked, CASE WHEN regexp_matches(core, '^[0-9]{{1,4}}$') OR core <> '' AND regexp_full_match(core, '(?i)m{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})') THEN core END AS number
-    FROM (SELECT *, regexp_replace(line, '^\\W+|\\W+$', '', 'g') AS core, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES} l) a WHERE (pos < 2 OR pos >= n - 2) AND length(line) <= 100)"""
+#: A page per document: a head of one or two items at slightly different heights, three body lines; on every fourth page the head is no farther from these than they are from each other, on every fifth it is code.
+_HEAD = """(SELECT *, CASE WHEN number IS NULL THEN title ELSE title || ' ' || number END AS text FROM (SELECT source AS doc, doc_id AS page, CASE WHEN doc_id % 4 = 0 THEN 754.0 ELSE 800.0 + doc_id % 7 * 0.75 END AS y,
+    CASE WHEN doc_id % 2 = 0 THEN 'GUIDE to ' ELSE 'Guide to ' END || lang AS title, CASE WHEN doc_id % 2 = 1 OR doc_id % 7 > 4 THEN cast(doc_id % 1000 AS varchar) END AS number, doc_id % 5 = 0 AS code FROM {documents}) h)"""
 
 
 @query(
     "l2_running_lines",
-    f"""WITH e AS (SELECT * FROM {_EDGE} x), p AS (SELECT source AS doc, count(DISTINCT doc_id) AS pages FROM {_LINES} l WHERE trim(line) <> '' GROUP BY 1), b AS (SELECT doc, band, count(DISTINCT page) AS on_, avg(CASE WHEN number IS NULL THEN 0.0 ELSE 1.0 END) AS numbered FROM e GROUP BY 1, 2), o AS (SELECT doc, band, masked, count(*) AS times FROM e GROUP BY 1, 2, 3)
-    SELECT e.doc, e.page, cast(e.line AS bigint) AS line, e.text, e.number FROM e JOIN b ON b.doc = e.doc AND b.band = e.band JOIN p ON p.doc = e.doc JOIN o ON o.doc = e.doc AND o.band = e.band AND o.masked = e.masked WHERE b.on_ >= greatest(3, 0.25 * p.pages) AND (b.numbered >= 0.5 AND e.number IS NOT NULL OR o.times >= 3 AND regexp_matches(e.masked, '\\p{{L}}'))""",
+    f"""WITH h AS (SELECT * FROM {_HEAD} x), p AS (SELECT doc, count(*) AS pages FROM h GROUP BY 1), c AS (SELECT *, y > min(y) OVER (PARTITION BY doc) + 3 AS band, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS masked FROM h WHERE page % 4 <> 0 AND NOT code),
+    b AS (SELECT doc, band, count(*) AS n, avg(CASE WHEN number IS NULL THEN 0.0 ELSE 1.0 END) AS numbered FROM c GROUP BY 1, 2), o AS (SELECT doc, band, masked, count(*) AS times FROM c GROUP BY 1, 2, 3)
+    SELECT c.doc, c.page, 1 AS line, c.text, CASE WHEN numbered >= 0.5 THEN c.number END AS number FROM c JOIN b USING (doc, band) JOIN o USING (doc, band, masked) JOIN p USING (doc) WHERE n >= greatest(3, ceil(pages * 0.25)) AND (numbered >= 0.5 AND c.number IS NOT NULL OR times >= 3)""",
 )
 def l2(spark, d):
-    return S.running_lines(S.group_lines(_items(spark, d)))
+    i = F.col("doc_id")
+    y = F.when(i % 4 == 0, 754.0).otherwise(800.0 + i % 7 * 0.75)
+    title = F.concat(F.when(i % 2 == 0, "GUIDE to ").otherwise("Guide to "), "lang")
+    number = F.when((i % 2 == 1) | (i % 7 > 4), (i % 1000).cast("string"))
+    item = lambda idx, text, x, y, mono: F.struct(F.lit(idx).alias("idx"), text.alias("str"), F.lit(x).alias("x"), y.alias("y"), mono.alias("mono"))
+    body = [item(2 + k, F.concat(F.lit(f"body {k} "), i.cast("string")), 72.0, F.lit(740.0 - 14 * k), F.lit(False)) for k in range(3)]
+    items = F.filter(F.array(item(0, title, 72.0, y, i % 5 == 0), item(1, number, 300.0, y, i % 5 == 0), *body), lambda x: x["str"].isNotNull())
+    rows = _docs(spark, d).select(F.col("source").alias("doc"), i.alias("page"), F.explode(items).alias("x")).select("doc", "page", "x.*", F.lit(40.0).alias("width"), F.lit(10.0).alias("size"))
+    return S.running_lines(S.group_lines(rows))
 
 
 @query("l3_body_size", f"SELECT doc, max_by(size, (chars, size)) AS body FROM (SELECT source AS doc, CASE WHEN pos = 0 THEN 18.0::DOUBLE ELSE 10.0::DOUBLE END AS size, sum(length(line)) AS chars FROM {_LINES} l GROUP BY 1, 2) t GROUP BY 1")

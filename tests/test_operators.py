@@ -199,6 +199,24 @@ def test_layout(spark):
     assert [r["title"] for r in S.join_labels(labels).orderBy("pos").collect()] == ["CHAPTER 1: Start", "7", "Other"]
 
 
+def test_running_lines_have_gaps_and_bands(spark):
+    def page(n, tops, body=4, gap=40.0, code=False, foot=None):
+        rows = [("d", n, k, t, x, y, 10.0, code) for k, (t, x, y) in enumerate(tops)]
+        start = min([y for _, _, y in tops], default=800.0) - gap
+        rows += [("d", n, 10 + k, f"Body {n} {k}", 72.0, start - 14 * k, 10.0, False) for k in range(body)]
+        return rows + ([("d", n, 90, foot, 72.0, start - 14 * body - 30, 10.0, False)] if foot else [])
+
+    rows = []
+    for n in range(8):  # a two-line head with a number first or last, at heights that drift within a band
+        rows += page(n, [("Title", 72.0, 800.0 + n * 0.4), (f"{n + 1}", 300.0, 800.0 + n * 0.4), (f"Part {n}", 72.0, 786.0 + n * 0.4)], foot="})" if n % 2 else f"{n + 1} | end")
+    rows += page(8, [("Title", 72.0, 800.0)], gap=14.0)  # no gap: part of the body
+    rows += page(9, [("Title", 72.0, 800.0)], code=True)
+    items = spark.createDataFrame([(*r[:6], 30.0, *r[6:]) for r in rows], "doc string, page int, idx int, str string, x double, y double, width double, size double, mono boolean")
+    got = sorted((r["page"], r["text"], r["number"]) for r in S.running_lines(S.group_lines(items)).collect())
+    want = [(n, f"Title {n + 1}", f"{n + 1}") for n in range(8)] + [(n, f"Part {n}", None) for n in range(8)] + [(n, f"{n + 1} | end", None) for n in range(0, 8, 2)]
+    assert [x for x in got if "end" not in x[1]] == sorted(want[:16]) and [x[:2] for x in got if "end" in x[1]] == [x[:2] for x in want[16:]]
+
+
 def test_anchors_and_images_by_height(spark):
     blocks = spark.createDataFrame([("d", 1, 0, 700.0), ("d", 1, 1, 700.0), ("d", 1, 2, None), ("d", 1, 3, 500.0), ("d", 1, 4, 600.0)], "doc string, page int, pos long, top double")
     rows = [("a", "anchor", 696.0, 0), ("b", "anchor", 695.0, 4), ("c", "anchor", None, 0), ("e", "anchor", 400.0, None), ("f", "image", 800.0, 0), ("g", "image", 650.0, 3), ("h", "image", 499.0, None), ("i", "image", None, None)]
