@@ -101,12 +101,18 @@ def apply_decisions(decisions: DataFrame) -> DataFrame:
             return links
 
 
-def prerequisite_edges(wanted: DataFrame, existing: DataFrame, n: int = 3) -> DataFrame:
-    """New edges (concept, needs): the first ``n`` per concept in order, no self edge, no duplicate, no reverse of an existing or earlier edge."""
-    w = Window.partitionBy("concept").orderBy("pos")
-    first = wanted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).where("concept <> needs").drop("_r")
-    pair = Window.partitionBy(F.least("concept", "needs"), F.greatest("concept", "needs")).orderBy("pos", "concept", "needs")
-    one = first.withColumn("_r", F.row_number().over(pair)).where("_r = 1").drop("_r")
+def prerequisite_edges(wanted: DataFrame, existing: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
+    """New edges (concept, needs) from wanted ones (concept, needs, pos).
+
+    The first ``n`` references of a concept count. Each is looked up in ``known``
+    (reference, slug); one that is not there goes, without another in its place. Then
+    concepts come in their order, each with its references in theirs: no self edge, no
+    duplicate, no reverse of an existing or earlier edge.
+    """
+    first = wanted.withColumn("_r", F.row_number().over(Window.partitionBy("concept").orderBy("pos"))).where(F.col("_r") <= n)
+    found = first.join(known.select(F.col("reference").alias("needs"), F.col("slug").alias("_slug")), "needs").select("concept", F.col("_slug").alias("needs"), "pos").where("concept <> needs")
+    pair = Window.partitionBy(F.least("concept", "needs"), F.greatest("concept", "needs")).orderBy("concept", "pos")
+    one = found.withColumn("_r", F.row_number().over(pair)).where("_r = 1").drop("_r")
     both = existing.select("concept", "needs").unionAll(existing.select(F.col("needs").alias("concept"), F.col("concept").alias("needs")))
     return one.join(both, ["concept", "needs"], "left_anti").select("concept", "needs")
 

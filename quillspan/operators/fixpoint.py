@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """With ``n`` from 1 in order of ``by``, whose values are unique: ranges are numbered each on its own, then moved by the rows of the ranges before.
+
+    The ranges are written first, since a second sampling could cut them elsewhere.
+    """
+    dealt = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row per partition
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(by)))
+    return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("n", (F.col("_before") + own).cast("long")).drop("_part", "_before")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.fixpoint import cut, numbered
 from quillspan.operators.reports import concept_place, latest_by, next_to_learn
 
 QUESTION = ["session_id", "concept"]
@@ -178,16 +181,90 @@ def queue_edit(queued: DataFrame, edits: DataFrame) -> DataFrame:
     return out.select("subject_id", "id", F.row_number().over(w).cast("long").alias("position"))
 
 
-def apply_marks(concepts: DataFrame, marks: DataFrame) -> DataFrame:
-    """Statuses and queue places after marks (id, mark): learn queues (an old place is kept, new ones go to the end by id), later, skip, test."""
-    got = concepts.join(marks, "id", "left")
-    last = concepts.groupBy("subject_id").agg(F.coalesce(F.max("queue_pos"), F.lit(0)).alias("last"))
-    got = got.join(last, "subject_id")
-    status = F.when(F.col("mark") == "learn", "queued").when(F.col("mark") == "later", "new").when(F.col("mark") == "skip", "skipped").when(F.col("mark") == "test", "to_test").otherwise(F.col("status"))
-    fresh = (F.col("mark") == "learn") & F.col("queue_pos").isNull()
-    w = Window.partitionBy("subject_id").orderBy(F.when(fresh, 0).otherwise(1), "id")
-    place = F.when(fresh, F.col("last") + F.row_number().over(w)).when(F.col("mark").isNull() | (F.col("mark") == "learn"), F.col("queue_pos"))
-    return got.select("subject_id", "id", status.alias("status"), place.cast("long").alias("queue_pos"))
+class Marked(NamedTuple):
+    """What a round of marks changes; every member is a DataFrame."""
+
+    concepts: DataFrame  # subject_id, id, status, queue_pos
+    sessions: DataFrame  # session_id, subject_id, module, kind, status, total
+    members: DataFrame  # session_id, concept_id
+    left: DataFrame  # session_id, concept_id: their questions and answers go
+    results: DataFrame  # subject_id, session_id, new_session, queued, skipped
+
+
+def bad_marks(concepts: DataFrame, marks: DataFrame, allowed: tuple[str, ...] = ("learn", "later", "skip", "test")) -> DataFrame:
+    """(id, mark, problem): marks for concepts that do not exist, and words that are no marks."""
+    got = marks.join(concepts.select("id", F.lit(True).alias("_here")), "id", "left")
+    problem = F.when(F.col("_here").isNull(), "no_concept").when(F.col("mark").isNull() | ~F.col("mark").isin(*allowed), "no_mark")
+    return got.select("id", "mark", problem.alias("problem")).where("problem is not null")
+
+
+def _fold(concepts: DataFrame, acts: DataFrame) -> DataFrame:
+    """(subject_id, id, status, queue_pos) after acts (id, new_status, to_end), by rising id.
+
+    An act takes the concept out of the queue and sets its status; with ``to_end`` it then
+    goes behind the last place in use at that moment. Only the concepts that go to the end
+    are numbered, so a subject costs two sums and a sort of its own additions.
+    """
+    got = concepts.select("subject_id", "id", "status", "queue_pos").join(acts, "id", "left")
+    start = got.where("to_end").groupBy("subject_id").agg(F.min("id").alias("_first"))
+    # places given up before the first addition are free; later ones are below the additions already
+    held = got.join(start, "subject_id").where("new_status is null or to_end or id > _first")
+    last = held.groupBy("subject_id").agg(F.coalesce(F.max("queue_pos"), F.lit(0)).alias("_last"))
+    added = got.where("to_end").select("id", "subject_id", F.row_number().over(Window.partitionBy("subject_id").orderBy("id")).alias("_n"))
+    added = added.join(last, "subject_id").select("id", (F.col("_last") + F.col("_n")).cast("long").alias("_place"))
+    place = F.when(F.col("new_status").isNull(), F.col("queue_pos")).otherwise(F.col("_place"))
+    return got.join(added, "id", "left").select("subject_id", "id", F.coalesce("new_status", "status").alias("status"), place.cast("long").alias("queue_pos"))
+
+
+def apply_marks(concepts: DataFrame, marks: DataFrame, sessions: DataFrame, members: DataFrame) -> Marked:
+    """Marks (id, mark), one a concept, on concepts (id, subject_id, module, status, queue_pos) and their sessions.
+
+    learn queues: a queued concept keeps its place, any other one goes to the end, a learning
+    one too. later makes new, skip skips. test makes the concept wait in a new diagnosis of
+    its subject, with a module only if all its concepts share one; but a concept that already
+    waits in an open diagnosis stays there. With any other mark it leaves every open
+    diagnosis, whose total falls; one without concepts goes. A result names the session to
+    open: the new one, else the latest one that is reused. New sessions follow the highest id
+    in order of the subjects. Marks of unknown concepts and unknown words change nothing; see
+    ``bad_marks``. A null mark is no mark.
+    """
+    known = marks.where(F.col("mark").isin("learn", "later", "skip", "test")).select("id", "mark")
+    open_ = sessions.where("kind = 'diagnose' and status <> 'finished'").select("session_id")
+    waits = members.select("session_id", "concept_id").join(open_, "session_id").groupBy("concept_id").agg(F.max("session_id").alias("_open"))
+    got = concepts.select("subject_id", "id", "module", "status", "queue_pos").join(known, "id")
+    got = got.join(waits.withColumnRenamed("concept_id", "id"), "id", "left").withColumn("_open", F.when(F.col("status") == "to_test", F.col("_open")))
+    got = cut(got, "marks")  # read by every table below
+
+    acting = got.where("not (mark = 'test' and _open is not null) and not (mark = 'learn' and status = 'queued')")
+    becomes = F.when(F.col("mark") == "learn", "queued").when(F.col("mark") == "later", "new").when(F.col("mark") == "skip", "skipped").otherwise("to_test")
+    after = _fold(concepts, acting.select("id", becomes.alias("new_status"), (F.col("mark") == "learn").alias("to_end")))
+
+    leaving = got.where("_open is not null and mark <> 'test'").select(F.col("id").alias("concept_id"))
+    left = members.select("session_id", "concept_id").join(leaving, "concept_id").join(open_, "session_id").select("session_id", "concept_id")
+    stay = members.select("session_id", "concept_id").join(left, ["session_id", "concept_id"], "left_anti")
+
+    fresh = got.where("mark = 'test' and _open is null")
+    top = sessions.agg(F.max("session_id")).first()[0] or 0
+    new = fresh.groupBy("subject_id").agg(F.when(F.countDistinct("module") == 1, F.min("module")).alias("module"), F.count(F.lit(1)).alias("total"))
+    new = numbered(new, "subject_id").withColumn("session_id", F.col("n") + F.lit(top).cast("long"))
+    new = cut(new.select("session_id", "subject_id", "module", F.lit("diagnose").alias("kind"), F.lit("preparing").alias("status"), "total"), "sessions")
+    joined = fresh.join(new.select("subject_id", "session_id"), "subject_id").select("session_id", F.col("id").alias("concept_id"))
+
+    touched = left.select("session_id").distinct().join(stay.groupBy("session_id").agg(F.count(F.lit(1)).alias("_left")), "session_id", "left")
+    kept = sessions.join(touched.select("session_id", F.coalesce("_left", F.lit(0)).alias("_left")), "session_id", "left").where("_left is null or _left > 0")
+    kept = kept.select("session_id", "subject_id", "module", "kind", "status", F.coalesce("_left", "total").cast("long").alias("total"))
+
+    n = lambda m: F.sum((F.col("mark") == m).cast("long"))
+    per = got.groupBy("subject_id").agg(F.max(F.when(F.col("mark") == "test", F.col("_open"))).alias("_reused"), n("learn").alias("queued"), n("skip").alias("skipped"))
+    per = per.join(new.select("subject_id", "session_id"), "subject_id", "left")
+    results = per.select("subject_id", F.coalesce("session_id", "_reused").alias("session_id"), F.col("session_id").isNotNull().alias("new_session"), "queued", "skipped")
+    return Marked(after, kept.unionByName(new), stay.unionByName(joined), left, results)
+
+
+def apply_choices(concepts: DataFrame, choices: DataFrame) -> DataFrame:
+    """Statuses and places after the choices (id, choice) that follow results: learn goes to the end of the queue, from inside it too; skip skips; keep and unknown words change nothing."""
+    acts = choices.where("choice in ('learn', 'skip')").select("id", F.when(F.col("choice") == "learn", "queued").otherwise("skipped").alias("new_status"), (F.col("choice") == "learn").alias("to_end"))
+    return _fold(concepts, acts)
 
 
 def mark_counts(marks: DataFrame, concepts: DataFrame) -> DataFrame:

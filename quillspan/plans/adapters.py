@@ -35,6 +35,12 @@ VIEWS = {
     "v_questions": "SELECT DISTINCT cast(user_id AS bigint) AS session_id, event_type AS concept FROM {events}",
     "v_attempts": """SELECT cast(event_id AS bigint) AS id, cast(user_id AS bigint) AS session_id, event_type AS concept,
         CASE WHEN value < 20 THEN 0 WHEN value < 55 THEN 1 ELSE 2 END AS score, event_id % 11 = 0 AS disputed FROM {events}""",
+    # four sessions a subject, a fifth for every third waiting concept, and some of one concept
+    "v_session_concepts": """SELECT subject_id * 4 + cast(floor(id / 5) AS bigint) % 4 AS session_id, id AS concept_id, subject_id FROM {v_concepts} WHERE status IN ('to_test', 'known', 'failed')
+        UNION ALL SELECT 20 + subject_id, id, subject_id FROM {v_concepts} WHERE status = 'to_test' AND id % 3 = 0
+        UNION ALL SELECT 1000 + id, id, subject_id FROM {v_concepts} WHERE status = 'to_test' AND id % 20 IN (0, 3)""",
+    "v_sessions": """SELECT session_id, m.subject_id, CASE WHEN count(DISTINCT module) = 1 THEN min(module) END AS module, CASE WHEN session_id < 20 AND session_id % 4 = 3 THEN 'test' ELSE 'diagnose' END AS kind,
+        CASE WHEN session_id < 20 AND session_id % 4 = 2 THEN 'finished' ELSE 'ready' END AS status, count(*) AS total FROM {v_session_concepts} AS m JOIN {v_concepts} AS c ON c.id = m.concept_id GROUP BY session_id, m.subject_id""",
     "v_turns": """SELECT cast(conv_id AS bigint) AS video, cast(turn AS bigint) AS turn, role, text,
         cast(length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS bigint) AS words FROM {conversations}""",
     "v_transcript": """SELECT video, turn, text, words, cast(floor(0.4 * coalesce(sum(words) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS bigint) AS start,

@@ -193,16 +193,19 @@ def c6(spark, d):
 
 @query(
     "c7_prerequisite_edges",
-    """WITH w AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY prereq_id) AS pos FROM {v_prereqs} WHERE concept_id % 4 <> 0), f AS (SELECT * FROM w WHERE pos <= 3),
-    o AS (SELECT *, row_number() OVER (PARTITION BY least(concept_id, prereq_id), greatest(concept_id, prereq_id) ORDER BY pos, concept_id, prereq_id) AS r FROM f)
-    SELECT concept_id AS concept, prereq_id AS needs FROM o WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM {v_prereqs} e WHERE e.concept_id % 4 = 0 AND (e.concept_id = o.concept_id AND e.prereq_id = o.prereq_id OR e.concept_id = o.prereq_id AND e.prereq_id = o.concept_id))""",
+    """WITH w AS (SELECT concept_id, prereq_id, row_number() OVER (PARTITION BY concept_id ORDER BY prereq_id) AS pos FROM {v_prereqs} WHERE concept_id % 4 <> 0),
+    f AS (SELECT concept_id, CASE WHEN prereq_id % 9 = 2 THEN prereq_id - 1 ELSE prereq_id END AS needs, pos FROM w WHERE pos <= 3 AND prereq_id % 9 <> 4), g AS (SELECT * FROM f WHERE concept_id <> needs),
+    o AS (SELECT *, row_number() OVER (PARTITION BY least(concept_id, needs), greatest(concept_id, needs) ORDER BY concept_id, pos) AS r FROM g)
+    SELECT concept_id AS concept, needs FROM o WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM {v_prereqs} e WHERE e.concept_id % 4 = 0 AND (e.concept_id = o.concept_id AND e.prereq_id = o.needs OR e.concept_id = o.needs AND e.prereq_id = o.concept_id))""",
 )
 def c7(spark, d):
+    """Concepts whose id leaves 2 by 9 go by their neighbour's name, those that leave 4 cannot be found."""
     from pyspark.sql import Window
 
     p = view(spark, d, "v_prereqs").select(F.col("concept_id").alias("concept"), F.col("prereq_id").alias("needs"))
     wanted = p.where("concept % 4 <> 0").withColumn("pos", F.row_number().over(Window.partitionBy("concept").orderBy("needs")))
-    return C.prerequisite_edges(wanted, p.where("concept % 4 = 0"))
+    known = view(spark, d, "v_concepts").where("id % 9 <> 4").selectExpr("id reference", "case when id % 9 = 2 then id - 1 else id end slug")
+    return C.prerequisite_edges(wanted, p.where("concept % 4 = 0"), known)
 
 
 @query("c8_unique_slugs", "SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM (SELECT id, trim(regexp_replace(lower(module), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM {v_concepts}) a) b")

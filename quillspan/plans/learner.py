@@ -149,15 +149,71 @@ def q7(spark, d):
 _MARK = "CASE id % 10 WHEN 0 THEN 'learn' WHEN 1 THEN 'later' WHEN 2 THEN 'skip' WHEN 3 THEN 'test' END"
 
 
+#: Marked concepts with the latest open diagnosis in which they wait; _PUT sends a concept to the end of the queue, _OUT takes it out.
+_OPEN = "(SELECT session_id FROM {v_sessions} WHERE kind = 'diagnose' AND status <> 'finished')"
+_MARKED = f"(SELECT c.*, {_MARK} AS mark, CASE WHEN status = 'to_test' THEN (SELECT max(session_id) FROM {{v_session_concepts}} m WHERE m.concept_id = c.id AND session_id IN {_OPEN}) END AS waits FROM {{v_concepts}} c)"
+_PUT = "(mark = 'learn' AND status <> 'queued')"
+_OUT = "(mark IN ('later', 'skip') OR mark = 'test' AND waits IS NULL)"
+_LEFT = f"(SELECT session_id, concept_id FROM {{v_session_concepts}} m JOIN {_MARKED} k ON k.id = m.concept_id WHERE waits IS NOT NULL AND mark IN ('learn', 'later', 'skip') AND session_id IN {_OPEN})"
+_NEW = f"(SELECT (SELECT max(session_id) FROM {{v_sessions}}) + row_number() OVER (ORDER BY subject_id) AS session_id, * FROM (SELECT subject_id, CASE WHEN count(DISTINCT module) = 1 THEN min(module) END AS module, count(*) AS total FROM {_MARKED} k WHERE mark = 'test' AND waits IS NULL GROUP BY 1) n)"
+
+
+def _apply_marks(spark, d):
+    c = view(spark, d, "v_concepts")
+    return L.apply_marks(c, c.selectExpr("id", f"{_MARK} mark"), view(spark, d, "v_sessions"), view(spark, d, "v_session_concepts"))
+
+
 @query(
     "q8_apply_marks",
-    f"""SELECT subject_id, id, CASE mark WHEN 'learn' THEN 'queued' WHEN 'later' THEN 'new' WHEN 'skip' THEN 'skipped' WHEN 'test' THEN 'to_test' ELSE status END AS status,
-    CASE WHEN mark = 'learn' AND queue_pos IS NULL THEN last + row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN mark = 'learn' AND queue_pos IS NULL THEN 0 ELSE 1 END, id) WHEN mark IS NULL OR mark = 'learn' THEN queue_pos END AS queue_pos
-    FROM (SELECT *, {_MARK} AS mark, coalesce(max(queue_pos) OVER (PARTITION BY subject_id), 0) AS last FROM {{v_concepts}}) t""",
+    f"""WITH k AS (SELECT * FROM {_MARKED} m), f AS (SELECT subject_id, min(id) AS first FROM k WHERE {_PUT} GROUP BY 1),
+    l AS (SELECT subject_id, coalesce(max(queue_pos), 0) AS last FROM k JOIN f USING (subject_id) WHERE NOT (coalesce({_OUT}, false) AND id < first) GROUP BY 1)
+    SELECT subject_id, id, CASE WHEN mark = 'learn' THEN 'queued' WHEN mark = 'later' THEN 'new' WHEN mark = 'skip' THEN 'skipped' WHEN mark = 'test' THEN 'to_test' ELSE status END AS status,
+    CASE WHEN {_PUT} THEN last + row_number() OVER (PARTITION BY subject_id, coalesce({_PUT}, false) ORDER BY id) WHEN {_OUT} THEN NULL ELSE queue_pos END AS queue_pos FROM k LEFT JOIN l USING (subject_id)""",
 )
 def q8(spark, d):
+    return _apply_marks(spark, d).concepts
+
+
+@query(
+    "q8_sessions",
+    f"""SELECT s.session_id, s.subject_id, s.module, s.kind, s.status, total - coalesce(n, 0) AS total FROM {{v_sessions}} s LEFT JOIN (SELECT session_id, count(*) AS n FROM {_LEFT} x GROUP BY 1) g ON g.session_id = s.session_id WHERE total > coalesce(n, 0)
+    UNION ALL SELECT session_id, subject_id, module, 'diagnose', 'preparing', total FROM {_NEW} y""",
+)
+def q8_sessions(spark, d):
+    return _apply_marks(spark, d).sessions
+
+
+@query(
+    "q8_session_members",
+    f"""SELECT session_id, concept_id FROM {{v_session_concepts}} m WHERE NOT EXISTS (SELECT 1 FROM {_LEFT} x WHERE x.session_id = m.session_id AND x.concept_id = m.concept_id)
+    UNION ALL SELECT y.session_id, k.id FROM {_NEW} y JOIN {_MARKED} k ON k.subject_id = y.subject_id WHERE mark = 'test' AND waits IS NULL""",
+)
+def q8_members(spark, d):
+    return _apply_marks(spark, d).members
+
+
+@query(
+    "q8_mark_results",
+    f"""SELECT k.subject_id, coalesce(y.session_id, max(CASE WHEN mark = 'test' THEN waits END)) AS session_id, y.session_id IS NOT NULL AS new_session, count(*) FILTER (WHERE mark = 'learn') AS queued, count(*) FILTER (WHERE mark = 'skip') AS skipped
+    FROM {_MARKED} k LEFT JOIN {_NEW} y ON y.subject_id = k.subject_id WHERE mark IS NOT NULL GROUP BY k.subject_id, y.session_id""",
+)
+def q8_results(spark, d):
+    return _apply_marks(spark, d).results
+
+
+_CHOICE = "CASE id % 4 WHEN 0 THEN 'learn' WHEN 1 THEN 'skip' WHEN 2 THEN 'keep' END"
+
+
+@query(
+    "q8_apply_choices",
+    f"""WITH k AS (SELECT *, {_CHOICE} AS choice FROM {{v_concepts}}), f AS (SELECT subject_id, min(id) AS first FROM k WHERE choice = 'learn' GROUP BY 1),
+    l AS (SELECT subject_id, coalesce(max(queue_pos), 0) AS last FROM k JOIN f USING (subject_id) WHERE NOT (coalesce(choice, '') = 'skip' AND id < first) GROUP BY 1)
+    SELECT subject_id, id, CASE choice WHEN 'learn' THEN 'queued' WHEN 'skip' THEN 'skipped' ELSE status END AS status,
+    CASE WHEN choice = 'learn' THEN last + row_number() OVER (PARTITION BY subject_id, coalesce(choice, '') ORDER BY id) WHEN choice = 'skip' THEN NULL ELSE queue_pos END AS queue_pos FROM k LEFT JOIN l USING (subject_id)""",
+)
+def q8_choices(spark, d):
     c = view(spark, d, "v_concepts")
-    return L.apply_marks(c, c.selectExpr("id", f"{_MARK} mark").where("mark is not null"))
+    return L.apply_choices(c, c.selectExpr("id", f"{_CHOICE} choice"))
 
 
 @query(

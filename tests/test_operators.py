@@ -287,6 +287,107 @@ def test_quotes_and_references(spark):
     assert sorted((r["set_id"], r["pos"]) for r in C.usable_questions(q).collect()) == [("s", 1), ("s", 4)]
 
 
+def test_prerequisites_are_resolved_in_order_of_the_concepts(spark):
+    wanted = [
+        ("ale", "nobody", 1), ("ale", "n2", 2), ("ale", "ale", 3), ("ale", "dew", 4),
+        ("bun", "ale", 1), ("bun", "cob", 2), ("bun", "n3", 3),
+        ("cob", "dew", 1), ("dew", "ale", 1), ("dew", "old", 2),
+    ]
+    known = spark.createDataFrame([("n2", "bun"), ("n3", "cob"), *[(x, x) for x in ("ale", "bun", "cob", "dew", "old")]], "reference string, slug string")
+    existing = spark.createDataFrame([("old", "dew")], "concept string, needs string")
+    got = C.prerequisite_edges(spark.createDataFrame(wanted, "concept string, needs string, pos long"), existing, known)
+    # ale comes first, so bun may not need it, though that is bun's first wish; the fourth wish of ale does not move up
+    assert sorted(tuple(r) for r in got.collect()) == [("ale", "bun"), ("bun", "cob"), ("cob", "dew"), ("dew", "ale")]
+
+
+def _marks_one_by_one(concepts, marks, sessions, members):
+    """The marks applied to dictionaries, in order of the ids."""
+    concepts, sessions, members = {c["id"]: dict(c) for c in concepts}, {s["session_id"]: dict(s) for s in sessions}, list(members)
+    new, results = {}, {}
+    for i, mark in sorted(marks.items()):
+        c = concepts[i]
+        out = results.setdefault(c["subject_id"], {"reused": [], "queued": 0, "skipped": 0})
+        own = [s for s, x in members if x == i and sessions[s]["kind"] == "diagnose" and sessions[s]["status"] != "finished"]
+        waits = own if c["status"] == "to_test" else []
+        if mark == "test" and waits:
+            out["reused"].append(max(waits))
+            continue
+        if waits:
+            members = [(s, x) for s, x in members if x != i or s not in waits]
+            for s in waits:
+                sessions[s]["total"] = sum(1 for t, _ in members if t == s)
+                if not sessions[s]["total"]:
+                    del sessions[s]
+        out["queued"] += mark == "learn"
+        out["skipped"] += mark == "skip"
+        if mark == "learn":
+            if c["status"] != "queued":
+                places = [x["queue_pos"] for x in concepts.values() if x["subject_id"] == c["subject_id"] and x["queue_pos"] is not None]
+                c |= {"status": "queued", "queue_pos": max(places, default=0) + 1}
+        else:
+            c |= {"status": {"later": "new", "skip": "skipped", "test": "to_test"}[mark], "queue_pos": None}
+            if mark == "test":
+                new.setdefault(c["subject_id"], []).append(i)
+    top = 900  # the highest id given below
+    for k, subject in enumerate(sorted(new), 1):
+        modules = {concepts[i]["module"] for i in new[subject]}
+        sessions[top + k] = {"session_id": top + k, "subject_id": subject, "module": modules.pop() if len(modules) == 1 else None, "kind": "diagnose", "status": "preparing", "total": len(new[subject])}
+        members += [(top + k, i) for i in new[subject]]
+        results[subject]["session"] = top + k
+    rows = [(x, r.get("session") or max(r["reused"], default=None), "session" in r, r["queued"], r["skipped"]) for x, r in results.items()]
+    return concepts.values(), sessions.values(), members, rows
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_marks_and_their_sessions(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    statuses = ["new", "to_test", "to_test", "known", "queued", "learning", "skipped"]
+    concepts = []
+    for i in range(1, 81):
+        status = rng.choice(statuses)
+        concepts.append({"id": i, "subject_id": i % 7, "module": f"m{rng.randrange(2)}", "status": status, "queue_pos": rng.randrange(1, 50) if status in ("queued", "learning") else None})
+    sessions = [{"session_id": s, "subject_id": s % 7, "module": None, "kind": rng.choice(["diagnose", "diagnose", "test"]), "status": rng.choice(["ready", "preparing", "finished"])} for s in [*range(100, 170), 900]]
+    members = sorted({(s["session_id"], c["id"]) for c in concepts for s in rng.sample([s for s in sessions if s["subject_id"] == c["subject_id"]], 2)})
+    for s in sessions:
+        s["total"] = sum(1 for t, _ in members if t == s["session_id"])
+    sessions = [s for s in sessions if s["total"] or s["session_id"] == 900]
+    marks = {i: rng.choice(["learn", "later", "skip", "test", "test"]) for i in rng.sample(range(1, 81), 50) if i % 7 != 3}
+    marked = [*marks.items(), (4000, "learn"), (2, "nonsense") if 2 not in marks else (4001, "skip"), (4002, None)]
+    c = spark.createDataFrame([tuple(x.values()) for x in concepts], "id long, subject_id long, module string, status string, queue_pos long")
+    s = spark.createDataFrame([tuple(x.values()) for x in sessions], "session_id long, subject_id long, module string, kind string, status string, total long")
+    m = spark.createDataFrame(marked, "id long, mark string")
+    got = L.apply_marks(c, m, s, spark.createDataFrame(members, "session_id long, concept_id long"))
+    want = _marks_one_by_one(concepts, marks, sessions, members)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    rows = lambda df, names: sorted((tuple(r[n] for n in names) for r in df.collect()), key=key)
+    for df, plain, names in ((got.concepts, want[0], ["id", "status", "queue_pos"]), (got.sessions, want[1], ["session_id", "subject_id", "module", "kind", "status", "total"])):
+        assert rows(df, names) == sorted((tuple(x[n] for n in names) for x in plain), key=key)
+    assert rows(got.members, ["session_id", "concept_id"]) == sorted(want[2])
+    assert rows(got.left, ["session_id", "concept_id"]) == sorted(set(members) - set(want[2]))
+    assert rows(got.results, ["subject_id", "session_id", "new_session", "queued", "skipped"]) == sorted(want[3], key=key)
+    bad = {(r["id"], r["problem"]) for r in L.bad_marks(c, m).collect()}
+    assert {(4000, "no_concept"), (4002, "no_concept")} <= bad and all(i not in marks for i, _ in bad)
+
+
+def test_no_marks_and_no_sessions(spark):
+    c = spark.createDataFrame([(1, 1, "m", "to_test", None), (2, 1, "m", "learning", 3)], "id long, subject_id long, module string, status string, queue_pos long")
+    s = spark.createDataFrame([], "session_id long, subject_id long, module string, kind string, status string, total long")
+    m = spark.createDataFrame([], "session_id long, concept_id long")
+    none = L.apply_marks(c, spark.createDataFrame([], "id long, mark string"), s, m)
+    assert none.concepts.count() == 2 and not none.sessions.take(1) and not none.results.take(1)
+    some = L.apply_marks(c, spark.createDataFrame([(1, "test"), (2, "learn")], "id long, mark string"), s, m)
+    assert some.sessions.select("session_id", "module", "total").collect() == [(1, "m", 1)]
+    assert {(r["id"], r["status"], r["queue_pos"]) for r in some.concepts.collect()} == {(1, "to_test", None), (2, "queued", 4)}
+
+
+def test_choices_after_results(spark):
+    c = spark.createDataFrame([(1, 1, "queued", 9), (2, 1, "known", None), (3, 1, "queued", 4), (4, 1, "failed", None)], "id long, subject_id long, status string, queue_pos long")
+    got = L.apply_choices(c, spark.createDataFrame([(1, "skip"), (2, "keep"), (3, "learn"), (4, "learn")], "id long, choice string"))
+    assert {(r["id"], r["status"], r["queue_pos"]) for r in got.collect()} == {(1, "skipped", None), (2, "known", None), (3, "queued", 5), (4, "queued", 6)}
+
+
 def test_decisions_and_slugs(spark):
     d = spark.createDataFrame([(10, 1, "add", None), (11, 2, "join", 10), (12, 3, "join", 11), (13, 4, "join", 14), (14, 5, "join", 99)], "id long, pos long, action string, join_with long")
     assert {r["id"]: r["target"] for r in C.apply_decisions(d).collect()} == {10: 10, 11: 10, 12: 10, 13: 13, 14: 99}

@@ -8,7 +8,7 @@ from quillspan import plans
 
 DIR = "/root/testdata/sf0.001"
 #: One of each family; the driver compares all of them.
-NAMES = ("p4_expand_ranges", "r1_status_totals", "r3_book_rollup", "r21_renumber_modules", "r24_format_ranges", "q2_queue_warnings", "q8_apply_marks", "c7_prerequisite_edges", "c6_apply_decisions", "d5_conflicts", "j8_ground_quotes", "w7_near_duplicates", "b12_group_sections", "v3_plan_clips", "w3_robots_allow", "st1_stream_latest_attempts")
+NAMES = ("p4_expand_ranges", "r1_status_totals", "r3_book_rollup", "r21_renumber_modules", "r24_format_ranges", "q2_queue_warnings", "q8_apply_marks", "q8_sessions", "q8_session_members", "q8_mark_results", "q8_apply_choices", "c7_prerequisite_edges", "c6_apply_decisions", "d5_conflicts", "j8_ground_quotes", "w7_near_duplicates", "b12_group_sections", "v3_plan_clips", "w3_robots_allow", "st1_stream_latest_attempts")
 
 
 @pytest.mark.parametrize("name", NAMES)
