@@ -91,16 +91,29 @@ def placed_words(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l = l.withColumn("at", F.coalesce(F.last("_t", True).over(w), F.lit(0)))  # noqa: E741
     l = l.where(~F.col("_code") & ~F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*#{1,6}\s"))  # noqa: E741
-    # a word and what stands between it and the next one
+    # a word and what stands between it and the next one; lines are numbered by their words, so that no word is shuffled for it
     token = r"[\p{L}\p{N}']+[^\p{L}\p{N}']*"
-    clean = l.withColumn("_p", F.length("line") - F.length(F.regexp_replace("line", TIME, ""))).withColumn("_l", F.regexp_replace("line", TIME, ""))
-    clean = clean.withColumn("_b", F.length("_l") - F.length(F.regexp_replace("_l", r"^[^\p{L}\p{N}']+", "")))
-    e = clean.select("video", "pos", "at", (F.col("_p") + F.col("_b")).alias("_o"), F.posexplode(F.regexp_extract_all("_l", F.lit(token), F.lit(0))).alias("j", "t"))
+    l = l.withColumn("_l", F.regexp_replace("line", TIME, "")).withColumn("_ws", F.regexp_extract_all("_l", F.lit(token), F.lit(0)))  # noqa: E741
+    l = l.withColumn("_k", F.coalesce(F.sum(F.size("_ws")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # noqa: E741
+    lead = F.length("_l") - F.length(F.regexp_replace("_l", r"^[^\p{L}\p{N}']+", ""))
+    e = l.select("video", "pos", "at", "_k", (F.length("line") - F.length("_l") + lead).alias("_o"), F.posexplode("_ws").alias("j", "t"))
     before = Window.partitionBy("video", "pos").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("_o", F.col("_o") + F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
     word = F.regexp_extract("t", r"^[\p{L}\p{N}']+", 0)
-    k = F.row_number().over(Window.partitionBy("video").orderBy("pos", "j")) - 1
-    return e.select("video", k.cast("long").alias("k"), F.lower(word).alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(r"^[\p{L}\p{N}']+[^\s\p{L}\p{N}]*[.!?]").alias("sentence_end"), "pos", F.col("_o").cast("long").alias("offset"), F.length(word).cast("long").alias("length"))
+    return e.select("video", (F.col("_k") + F.col("j")).cast("long").alias("k"), F.lower(word).alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(r"^[\p{L}\p{N}']+[^\s\p{L}\p{N}]*[.!?]").alias("sentence_end"), "pos", F.col("_o").cast("long").alias("offset"), F.length(word).cast("long").alias("length"))
+
+
+def _overlap(words: DataFrame, overlaps: DataFrame, inside: Column, tag: str) -> DataFrame:
+    """(video, k, word, at, sentence_end, i, late) of the words that ``inside`` keeps, numbered by ``i``, and of the first word at or after the overlap's middle (``late``; without a number if it lies outside).
+
+    Only these are written; everything before them runs once.
+    """
+    w = Window.partitionBy("video").orderBy("k")
+    after = F.coalesce(F.col("at") >= F.col("_half"), F.lit(False))
+    got = words.select("video", "k", "word", "at", "sentence_end").join(overlaps, "video").withColumn("_in", F.coalesce(inside, F.lit(False)))
+    got = got.withColumn("late", after & (F.sum(after.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1))
+    got = got.withColumn("i", F.when(F.col("_in"), F.sum(F.col("_in").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    return cut(got.where("_in or late").select("video", "k", "word", "at", "sentence_end", "i", "late"), tag)
 
 
 def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: int = 8, near: int = 60) -> DataFrame:
@@ -109,35 +122,35 @@ def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: in
     Common runs of ``run`` words at most two minutes apart, the one that begins nearest the
     overlap's middle (the earliest on a tie), extended as far as words agree, cut after the
     first sentence end in it, else after its last word. Without one the cut is by time: the
-    first word at or after the middle on either side.
+    first word at or after the middle on either side. Words outside the overlap are read
+    once, to count them.
     """
-    def grams(d: DataFrame, p: str) -> DataFrame:
-        w = Window.partitionBy("video").orderBy("k")
-        leads = d.select("*", *[F.lead("word", j).over(w).alias(f"_{j}") for j in range(1, run)])
-        gram = F.xxhash64("word", *[f"_{j}" for j in range(1, run)])
-        return leads.where(F.col(f"_{run - 1}").isNotNull()).select("video", gram.alias("g"), F.col("k").alias(f"{p}k"), F.col("at").alias(f"{p}at"), F.array("word", *[f"_{j}" for j in range(1, run)]).alias(f"{p}w"))
-
-    first, second = cut(first, "first-words"), cut(second, "second-words")
-    o = overlaps.select("video", F.col("start").alias("_s"), F.col("end").alias("_e"), ((F.col("start") + F.col("end")) / 2).alias("_m"))
-    a = first.join(o, "video").where(F.col("at") >= F.col("_s") - near).select(*first.columns)
-    b = second.join(o, "video").where("at <= _e").select(*second.columns)
-    hits = grams(a, "a").join(grams(b, "b"), ["video", "g"]).where((F.abs(F.col("aat") - F.col("bat")) <= 2 * near) & (F.col("aw") == F.col("bw")))
-    best = hits.join(o, "video").groupBy("video").agg(F.min(F.struct(F.abs(F.col("aat") - F.col("_m")).alias("d"), F.col("ak").alias("ak"), F.col("bk").alias("bk"))).alias("x")).select("video", "x.ak", "x.bk")
-    best = cut(best, "joints")
+    mid = (F.col("start") + F.col("end")) / 2
+    o = overlaps.select("video", F.col("start").alias("_s"), F.col("end").alias("_e"), mid.alias("_m"), F.floor(mid + 0.5).cast("long").alias("_half"))
+    a = _overlap(first, o, F.col("at") >= F.col("_s") - near, "first-words")
+    b = _overlap(second, o, F.col("at") <= F.col("_e"), "second-words")
+
+    def runs(d: DataFrame, p: str) -> DataFrame:
+        w = Window.partitionBy("video").orderBy("i")
+        leads = d.where("i is not null").select("video", "i", "at", "word", *[F.lead("word", j).over(w).alias(f"_{j}") for j in range(1, run)])
+        text = F.concat_ws(" ", "word", *[f"_{j}" for j in range(1, run)])
+        return leads.where(F.col(f"_{run - 1}").isNotNull()).select("video", F.xxhash64(text).alias("g"), F.col("i").alias(f"{p}i"), F.col("at").alias(f"{p}at"), text.alias(f"{p}text"))
+
+    hits = runs(a, "a").join(runs(b, "b"), ["video", "g"]).where((F.abs(F.col("aat") - F.col("bat")) <= 2 * near) & (F.col("atext") == F.col("btext")))
+    best = hits.join(o, "video").groupBy("video").agg(F.min(F.struct(F.abs(F.col("aat") - F.col("_m")), F.col("ai").alias("ai"), F.col("bi").alias("bi"))).alias("x")).select("video", "x.ai", "x.bi")
     # equal words on the diagonal from the start on; the run ends at the first gap
-    pa = a.select("video", F.col("k").alias("i"), "word", "at", F.col("sentence_end").alias("ea"))
-    pb = b.select("video", F.col("k").alias("j"), F.col("word").alias("wb"), F.col("sentence_end").alias("eb"))
-    diag = best.join(pa, "video").where("i >= ak").withColumn("n", F.col("i") - F.col("ak")).withColumn("j", F.col("bk") + F.col("n"))
-    diag = diag.join(pb, ["video", "j"]).where("word = wb")
-    island = F.col("n") - (F.row_number().over(Window.partitionBy("video").orderBy("n")) - 1)
-    diag = diag.withColumn("_g", island).where("_g = 0")
-    both, one = F.min(F.when(F.col("ea") & F.col("eb"), F.col("n"))), F.min(F.when(F.col("ea"), F.col("n")))
-    last = diag.groupBy("video", "ak", "bk").agg(F.coalesce(both, one, F.max("n")).alias("n"))
-    text = last.join(pa, "video").where("i = ak + n").select("video", F.lit("text").alias("method"), (F.col("ak") + F.col("n")).alias("first_k"), (F.col("bk") + F.col("n")).alias("second_k"), "at")
-    mid = o.select("video", F.floor(F.col("_m") + 0.5).cast("long").alias("m")).join(best, "video", "left_anti")
-    from_ = lambda d, name: mid.join(d, "video", "left").where("k is null or at >= m").groupBy("video").agg(F.min("k").alias(name))
-    time = mid.join(from_(first, "first_k"), "video", "left").join(from_(second, "second_k"), "video", "left").select("video", F.lit("time").alias("method"), "first_k", "second_k", F.col("m").alias("at"))
-    return text.unionAll(time)
+    left = a.where("i is not null").select("video", "i", "word", "at", F.col("k").alias("first_k"), F.col("sentence_end").alias("ea"))
+    right = b.where("i is not null").select("video", F.col("i").alias("j"), F.col("word").alias("wb"), F.col("k").alias("second_k"), F.col("sentence_end").alias("eb"))
+    diag = left.join(best, "video").where("i >= ai").withColumn("n", F.col("i") - F.col("ai")).withColumn("j", F.col("bi") + F.col("n"))
+    diag = diag.join(right, ["video", "j"]).where("word = wb")
+    diag = diag.withColumn("_g", F.col("n") - (F.row_number().over(Window.partitionBy("video").orderBy("n")) - 1)).where("_g = 0")
+    place = F.struct("n", "first_k", "second_k", "at")
+    text = diag.groupBy("video").agg(F.coalesce(F.min(F.when(F.col("ea") & F.col("eb"), place)), F.min(F.when(F.col("ea"), place)), F.max(place)).alias("x"))
+    late = lambda d, name: d.where("late").select("video", F.col("k").alias(name))
+    got = o.join(text, "video", "left").join(late(a, "_fk"), "video", "left").join(late(b, "_sk"), "video", "left")
+    by_text = F.col("x").isNotNull()
+    pick = lambda name, other: F.when(by_text, F.col(f"x.{name}")).otherwise(F.col(other))
+    return got.select("video", F.when(by_text, "text").otherwise("time").alias("method"), pick("first_k", "_fk").alias("first_k"), pick("second_k", "_sk").alias("second_k"), pick("at", "_half").alias("at"))
 
 
 def time_parts(videos: DataFrame, most: int = 1800) -> DataFrame:
