@@ -18,6 +18,8 @@ COMMON_WORDS = (
     "there now when where why how what which who whom whose you your we our they their he she his her i me my "
     "before after above below again still already else ever too quite rather enough exactly actually"
 )
+#: Fixed value: what goes from a term's start and end.
+AROUND = r"^[\s\"“'‘(\[]+|[\s\"”'’)\].,;:\-–—]+$"
 LABEL = r"(?i)^(notes?|tips?|warnings?|important|caution|examples?|figure|table|listing|hint|step\s*[0-9]+|(short |long )?answer|solution|output|results?|syntax|explanation|definition|summary)$"
 SUMMARY_TITLE = r"(?i)\b(summary|key takeaways|takeaways|recap|objectives|in this chapter|what you('ll| will) learn|chapter goals|key points|key concepts)\b"
 #: Tags, source name and most words of marked terms, and the rank of sources.
@@ -46,7 +48,7 @@ def marked_terms(pages: DataFrame, id_col: str = "page_id", html: str = "html")
 
 def clean_term(term: Column, max_words: Column, max_length: int = 60) -> Column:
     """The term without quotes and marks around it, or null where it is none."""
-    trimmed = F.regexp_replace(normalize_space(term), r"^[\s\"“'‘(\[]+|[\s\"”'’)\].,;:\-–—]+$", "")
+    trimmed = F.regexp_replace(normalize_space(term), AROUND, "")
 
     def kept(t: Column) -> Column:
         common = F.array(*[F.lit(w) for w in COMMON_WORDS.split()])

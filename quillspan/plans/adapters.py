@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.sources.tables import read_table
 
+#: What a concept can be.
 STATUSES = ("new", "to_test", "known", "failed", "queued", "learning", "mastered", "skipped")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -115,13 +115,13 @@ def d10(spark, d):
     return out
 
 
-#: Look-around has no place in this SQL: single marks at a word's ends keep the character beside them by a group, and the step runs twice for marks that share one.
-_START = "'(^|[\\s(\\[])[*_]+([^\\s*_])', '\\1\\2', 'gm'"
-_END = "'([^\\s*_])[*_]+($|[\\s).,;:!?\\]])', '\\1\\2', 'gm'"
-_NORM = "regexp_replace({c}, '(?m)^(\\s{{0,3}}#{{1,6}}\\s+)?(\\s*>\\s?)?(\\s*([-*+]|[0-9]+\\\\?[.)])\\s+)?', '', 'g')"
-_NORM = f"regexp_replace(regexp_replace({_NORM}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\\\([\\\\`*_{{{{}}}}\\[\\]()#+\\-.!|>~])', '\\1', 'g')"
-_NORM = f"regexp_replace(regexp_replace(regexp_replace({_NORM}, '\\*\\*|__|`+', '', 'g'), {_START}), {_END})"
-_NORM = f"lower(trim(regexp_replace(translate(replace({_NORM}, '|', ' '), '“”«»„‘’‚–—', '\"\"\"\"\"' || repeat(chr(39), 3) || '--'), '\\s+', ' ', 'g')))"
+#: Markdown's grammar in SQL, which has no look-around: the character beside a run is kept by a group, and the step runs twice for runs that share one.
+_BLOCKS = "regexp_replace({c}, '(?m)^[ \\t]*((>[ \\t]?|([-+*]|[0-9]{{1,9}}\\\\?[.)])[ \\t]+)[ \\t]*)*(#{{1,6}}[ \\t]+)?', '', 'g')"
+_LINKS = f"regexp_replace({_BLOCKS}, '!?\\[([^\\]]*)\\]\\(([^()]|\\([^()]*\\))*\\)', '\\1', 'g')"
+_NORM = f"translate(regexp_replace({_LINKS}, '\\\\([[:punct:]])', '\\1', 'g'), '|`', ' ')"
+for _run in ("'(^|[^\\pL\\pN*_])[*_]+([^\\s*_])'", "'([^\\s*_])[*_]+($|[^\\pL\\pN*_])'"):
+    _NORM = f"regexp_replace(regexp_replace({_NORM}, {_run}, '\\1\\2', 'g'), {_run}, '\\1\\2', 'g')"
+_NORM = f"lower(trim(regexp_replace(translate(replace({_NORM}, '**', ''), '“”«»„‘’‚–—', '\"\"\"\"\"' || repeat(chr(39), 3) || '--'), '\\s+', ' ', 'g')))"
 
 
 @query("c1_normalize_quote", f"SELECT doc_id, md5({_NORM.format(c='text')}) AS norm_md5 FROM {{documents}}")

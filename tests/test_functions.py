@@ -49,3 +49,14 @@ def test_markdown_and_terms(spark):
     assert one(spark, T.contains_term("t", "q"), t="the c++ language", q="c++") and not one(spark, T.contains_term("t", "q"), t="joins", q="join")
     assert one(spark, T.title_key("t"), t="C++ Prímer: 5th") == "c++primer5th"
     assert one(spark, T.sniff_image_type("d"), d=bytearray(b"\x89PNG\r\n\x1a\n")) == "image/png"
+
+
+def test_markdown_grammar(spark):
+    plain = lambda t: one(spark, T.strip_markdown("t"), t=t)
+    assert plain("> - 3) nested\n  + # Head\n#hashtag stays") == "nested\nHead\n#hashtag stays"
+    assert plain("see [Tea (drink)](http://w/Tea_(drink)) and ![a cup](c.png)") == "see Tea (drink) and a cup"
+    assert plain(r"5 \* 6 and 1\. and C:\dir") == r"5 * 6 and 1. and C:\dir"
+    assert plain("snake_case, 2*3, 4 * 5, *one* __two__ un**bold**ed `x_y`") == "snake_case, 2*3, 4 * 5, one two unbolded x_y"
+    assert plain("***both*** a__b (_x_) *(*a") == "both a__b (x) (a"
+    assert plain("**a quote cut") == "a quote cut" and plain("cut here_, then") == "cut here, then"
+    assert plain("| a | b |") == "  a   b  " and plain("") == ""

@@ -18,14 +18,14 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def garden(spark):
-    """Two learners; the first has five queued tasks in three beds, one of them being learned."""
+    """Two learners. The first queues a chain of four over one bed that waits for a task not begun, and two tasks of their own; the second two that wait for each other's bed."""
     rows = [
-        (31, 7, 2, "basic", "queued", 40), (32, 7, 1, "advanced", "learning", 10), (33, 7, 1, "basic", "queued", 30),
-        (34, 7, 3, "basic", "queued", 20), (35, 7, 1, "intermediate", "queued", 50), (36, 7, 1, "basic", "new", None),
-        (37, 7, 1, "basic", "mastered", None), (41, 8, 1, "basic", "queued", 1), (42, 8, 1, "basic", "queued", 2),
+        (31, 7, 1, "advanced", "queued", 10), (32, 7, 1, "advanced", "queued", 20), (33, 7, 1, "intermediate", "learning", 30),
+        (34, 7, 1, "intermediate", "queued", 40), (35, 7, 2, "basic", "queued", 50), (38, 7, 2, "advanced", "queued", 60),
+        (36, 7, 2, "advanced", "failed", None), (39, 7, 3, "basic", "mastered", None), (41, 8, 1, "basic", "queued", 1), (42, 8, 1, "basic", "queued", 2),
     ]
     concepts = spark.createDataFrame(rows, "id long, subject_id long, module long, level string, status string, queue_pos long")
-    prereqs = spark.createDataFrame([(32, 34), (33, 36), (35, 37), (34, 36), (41, 42)], "concept_id long, prereq_id long")
+    prereqs = spark.createDataFrame([(31, 32), (32, 33), (33, 34), (34, 36), (34, 39), (35, 39), (41, 42)], "concept_id long, prereq_id long")
     return concepts, prereqs
 
 
@@ -36,20 +36,20 @@ def ordered(df, subject=7):
 def test_queue(spark, garden):
     concepts, prereqs = garden
     got = {r["concept_id"]: (r["warning"], r["later"], r["missing"]) for r in L.queue_warnings(concepts, prereqs).collect()}
-    assert got == {32: ("later", [34], []), 33: ("missing", [], [36]), 34: ("missing", [], [36]), 41: ("later", [42], [])}
+    assert got == {31: ("later", [32], []), 32: ("later", [33], []), 33: ("later", [34], []), 34: ("missing", [], [36]), 41: ("later", [42], [])}
     order = L.suggested_order(concepts, prereqs)
-    assert ordered(order) == [33, 35, 31, 34, 32] and ordered(order, 8) == [42, 41]
+    assert ordered(order) == [34, 33, 32, 31, 35, 38] and ordered(order, 8) == [42, 41]
     sections = spark.createDataFrame([(501, 2, 1, 1), (502, 1, 4, 2), (503, 1, 4, 1), (504, 1, 9, 1)], "section_id long, book_id long, chapter long, number long")
     sources = spark.createDataFrame([(31, 501), (31, 504), (33, 502), (34, 503), (42, 501)], "concept_id long, section_id long")
-    assert ordered(L.queue_book_order(concepts, sources, sections)) == [34, 33, 31, 32, 35]
+    assert ordered(L.queue_book_order(concepts, sources, sections)) == [34, 33, 31, 32, 35, 38]
     edits = spark.createDataFrame([(7, 34, "remove"), (7, 35, "top"), (7, 32, "end")], "subject_id long, id long, edit string")
-    assert ordered(L.queue_edit(L.queue(concepts), edits)) == [35, 33, 31, 32] and ordered(L.queue_edit(L.queue(concepts), edits), 8) == [41, 42]
+    assert ordered(L.queue_edit(L.queue(concepts), edits)) == [35, 31, 33, 38, 32] and ordered(L.queue_edit(L.queue(concepts), edits), 8) == [41, 42]
 
 
 def test_suggested_order_follows_long_chains(spark, garden):
     concepts, _ = garden
-    chain = spark.createDataFrame([(33, 31), (31, 35), (35, 34), (34, 32)], "concept_id long, prereq_id long")
-    assert ordered(L.suggested_order(concepts, chain)) == [32, 34, 35, 31, 33]
+    chain = spark.createDataFrame([(33, 31), (31, 35), (35, 34), (34, 32), (32, 38)], "concept_id long, prereq_id long")
+    assert ordered(L.suggested_order(concepts, chain)) == [38, 32, 34, 35, 31, 33]
 
 
 def test_attempts(spark):
