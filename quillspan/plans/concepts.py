@@ -208,10 +208,15 @@ def c7(spark, d):
     return C.prerequisite_edges(wanted, p.where("concept % 4 = 0"), known)
 
 
-@query("c8_unique_slugs", "SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM (SELECT id, trim(regexp_replace(lower(module), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM {v_concepts}) a) b")
+@query(
+    "c8_unique_slugs",
+    """SELECT id, CASE WHEN n = 1 THEN base WHEN ends_with(base, '1') THEN base || '-' || (n + 1) ELSE base || '-' || n END AS slug
+    FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM (SELECT id, trim(regexp_replace(lower(module), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM {v_concepts}) a) b""",
+)
 def c8(spark, d):
+    """The second slug of names that end with 1 is taken."""
     c = view(spark, d, "v_concepts").select("id", ascii_slug("module").alias("base"))
-    return C.unique_slugs(c, "base", "id", c.select(F.lit("none-taken").alias("slug")).limit(1)).select("id", "slug")
+    return C.unique_slugs(c, "base", "id", c.where("endswith(base, '1')").select(F.concat("base", F.lit("-2")).alias("slug"))).select("id", "slug")
 
 
 @query("c9_concept_map", "SELECT c.id AS concept_id, c.name, coalesce(p.n, 0) AS n_prerequisites, coalesce(s.n, 0) AS n_sources, s.first_section FROM {v_concepts} c LEFT JOIN (SELECT concept_id, count(*) AS n FROM {v_prereqs} GROUP BY 1) p ON p.concept_id = c.id LEFT JOIN (SELECT concept_id, count(*) AS n, min_by(section_id, (book_id, chapter, number)) AS first_section FROM {v_sources} JOIN {v_sections} USING (section_id) GROUP BY 1) s ON s.concept_id = c.id")
@@ -236,9 +241,11 @@ def c11(spark, d):
     return C.same_books(view(spark, d, "v_concepts"), "name").withColumnRenamed("name", "title")
 
 
-@query("c12_number_references", "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS number FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM {conversations}) t")
+@query("c12_number_references", "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS number FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role, turn % 3 = 2) AS first FROM {conversations}) t")
 def c12(spark, d):
-    r = view(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("pos"), F.col("role").alias("source_id"), F.lit("Quote").alias("quote"))
+    """Two quotes of each role, the first one in two spellings."""
+    quote = F.when(F.col("turn") % 3 == 0, "Quote one").when(F.col("turn") % 3 == 1, "> **quote**  ONE").otherwise("Quote two")
+    r = view(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("pos"), F.col("role").alias("source_id"), quote.alias("quote"))
     return C.number_references(r, ["conv_id"]).select("conv_id", "turn", "number")
 
 
@@ -248,11 +255,17 @@ def c14(spark, d):
     return C.pick_better(b.where("item_id % 4 <> 0").selectExpr("item_id section_id", "length(text) % 5 bad"), b.where("item_id % 5 <> 0").selectExpr("item_id section_id", "item_id % 3 bad"))
 
 
-@query("c13_check_references", "SELECT conv_id, turn, md5(replace(text, '[', '') || CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN ' [1]' ELSE ' [1]' END) AS text_md5 FROM {conversations} WHERE role = 'assistant' AND NOT contains(text, '`')")
+@query(
+    "c13_check_references",
+    """SELECT conv_id, turn, md5(replace(replace(text, '[', ''), '`', '') || CASE WHEN turn % 3 = 0 THEN '' ELSE mark END || CASE WHEN turn % 5 = 0 THEN ' `x [2]`' || mark ELSE '' END) AS text_md5
+    FROM (SELECT *, CASE WHEN trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')) <> '' THEN ' [1]' ELSE '' END AS mark FROM {conversations}) t""",
+)
 def c13(spark, d):
-    a = view(spark, d, "conversations").where("role = 'assistant' and not contains(text, '`')").withColumn("answer", F.col("conv_id") * 100000 + F.col("turn"))
+    """Every turn is an answer with marks, on every fifth one a mark in code and one after it; of three references the second has a quote of its source."""
+    a = view(spark, d, "conversations").withColumn("answer", F.col("conv_id") * 100000 + F.col("turn"))
     marks = F.when(F.col("turn") % 3 == 0, " [1][3]").when(F.col("turn") % 3 == 1, " [2] [2]").otherwise(" [1] [2][2]")
-    answers = a.select("answer", "conv_id", "turn", F.concat(F.replace("text", F.lit("["), F.lit("")), marks).alias("text"))
+    code = F.when(F.col("turn") % 5 == 0, " `x [2]` [2]").otherwise("")
+    answers = a.select("answer", "conv_id", "turn", F.concat(F.replace(F.replace("text", F.lit("[")), F.lit("`")), marks, code).alias("text"))
     refs = a.select("answer", F.explode(F.expr("array(1L, 2L, 3L)")).alias("number"), F.col("answer").alias("source_id"), F.substring("text", 1, 30).alias("first"))
     refs = refs.withColumn("quote", F.when((F.col("number") == 2) & (F.trim("first") != ""), F.col("first")).otherwise("words that no text holds")).drop("first")
     fixed, _ = C.check_references(answers, refs, a.select(F.col("answer").alias("source_id"), F.col("text").alias("source_text")))

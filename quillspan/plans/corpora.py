@@ -247,12 +247,20 @@ def v1(spark, d):
 
 @query(
     "v2_check_transcript",
-    """SELECT video, CASE WHEN video % 10 = 0 THEN 'token_limit' WHEN gap IS NOT NULL THEN 'gap' WHEN duration - last > greatest(120, duration * 0.1) THEN 'tail' END AS problem FROM
-    (SELECT video, any_value(duration) AS duration, max(start) AS last, max(CASE WHEN start - before > 180 THEN 1 END) AS gap FROM (SELECT *, coalesce(lag(start) OVER (PARTITION BY video ORDER BY turn), 0) AS before FROM {v_transcript}) t GROUP BY 1) u""",
+    """WITH v AS (SELECT DISTINCT video, CASE WHEN video % 7 = 2 THEN cast(floor(duration * 0.5) AS bigint) ELSE duration END AS duration FROM {v_transcript}),
+    p AS (SELECT video, turn, CASE WHEN video % 7 = 1 AND turn = 2 THEN 0 ELSE start END AS s FROM {v_transcript} WHERE video % 7 <> 3),
+    b AS (SELECT *, coalesce(max(s) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
+    c AS (SELECT *, CASE WHEN s < b - 5 THEN 'back' WHEN s > duration + 5 THEN 'past_end' WHEN s - b > 180 THEN 'gap' END AS code FROM b JOIN v USING (video)),
+    g AS (SELECT video, min_by(code, turn) FILTER (WHERE code IS NOT NULL) AS code, max(s) AS last FROM c GROUP BY 1)
+    SELECT v.video, CASE WHEN v.video % 10 = 0 THEN 'token_limit' WHEN v.video % 11 = 5 THEN 'finish_reason' WHEN g.video IS NULL THEN 'no_rows' WHEN code IS NOT NULL THEN code WHEN duration - last > greatest(120, duration * 0.1) THEN 'tail' END AS problem
+    FROM v LEFT JOIN g ON g.video = v.video""",
 )
 def v2(spark, d):
-    videos = _videos(spark, d).withColumn("finish", F.when(F.col("video") % 10 == 0, "length").otherwise("stop"))
-    return V.check_transcript(_transcript(spark, d).select("video", F.col("turn").alias("para"), "start"), videos)
+    """By seventh video: one time falls back, the video is half as long as its times, no paragraphs."""
+    t = _transcript(spark, d)
+    videos = t.selectExpr("video", "case when video % 7 = 2 then cast(floor(duration * 0.5) as bigint) else duration end duration").distinct()
+    videos = videos.withColumn("finish", F.when(F.col("video") % 10 == 0, "length").when(F.col("video") % 11 == 5, "content_filter").otherwise("stop"))
+    return V.check_transcript(t.where("video % 7 <> 3").selectExpr("video", "turn para", "case when video % 7 = 1 and turn = 2 then 0 else start end start"), videos)
 
 
 _CLIPS = "SELECT video, i, cast(floor(i * l + 0.5) AS bigint) AS start, CASE WHEN i = n - 1 THEN duration ELSE cast(floor((i + 1) * l + 0.5) AS bigint) + 20 END AS \"end\" FROM (SELECT video, duration, n, duration / n AS l, unnest(range(0, n)) AS i FROM (SELECT video, duration, cast(greatest(ceil(duration / 100.0), 1) AS bigint) AS n FROM {v}) a) b"
@@ -265,13 +273,16 @@ def v3(spark, d):
 
 @query(
     "v4_clip_problems",
-    """WITH p AS (SELECT video, turn, start FROM {v_transcript} WHERE trim(text) <> ''), g AS (SELECT video, max(start) AS last, max(CASE WHEN start - before > 180 THEN 1 END) AS gap FROM (SELECT *, coalesce(lag(start) OVER (PARTITION BY video ORDER BY turn), 0) AS before FROM p) t GROUP BY 1)
-    SELECT v.video, CASE WHEN g.video IS NULL THEN 'no_rows' WHEN gap IS NOT NULL THEN 'gap' WHEN duration - last > greatest(120, duration * 0.1) THEN 'tail' END AS problem FROM """
-    + _VIDEOS
-    + " v LEFT JOIN g ON g.video = v.video",
+    """WITH v AS (SELECT DISTINCT video, CASE video % 4 WHEN 1 THEN 100 WHEN 2 THEN 10 ELSE 0 END AS c, duration AS e FROM {v_transcript}),
+    p AS (SELECT video, turn, start, greatest(start - c, 0) AS s, e - c AS d FROM {v_transcript} JOIN v USING (video) WHERE trim(text) <> ''),
+    b AS (SELECT *, coalesce(max(s) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
+    g AS (SELECT video, min_by(code, turn) FILTER (WHERE code IS NOT NULL) AS code, max(s) AS last, min(start) AS first FROM (SELECT *, CASE WHEN s < b - 5 THEN 'back' WHEN s > d + 5 THEN 'past_end' WHEN s - b > 180 THEN 'gap' END AS code FROM b) x GROUP BY 1)
+    SELECT v.video, CASE WHEN c > 0 AND coalesce(first, 0) < c - 15 THEN 'before_clip' WHEN v.video % 10 = 0 THEN 'token_limit' WHEN g.video IS NULL THEN 'no_rows' WHEN code IS NOT NULL THEN code WHEN e - c - last > greatest(120, (e - c) * 0.1) THEN 'tail' END AS problem
+    FROM v LEFT JOIN g ON g.video = v.video""",
 )
 def v4(spark, d):
-    clips = _videos(spark, d).select("video", F.lit(0).cast("long").alias("start"), F.col("duration").alias("end"), F.lit("stop").alias("finish"))
+    """Clips that begin at 0, 10 and 100 seconds."""
+    clips = _videos(spark, d).selectExpr("video", "cast(case video % 4 when 1 then 100 when 2 then 10 else 0 end as bigint) start", "duration end", "case when video % 10 = 0 then 'length' else 'stop' end finish")
     return V.clip_problems(_lines(spark, d), clips)
 
 
@@ -329,14 +340,14 @@ def v8(spark, d):
 @query(
     "v9_quote_moment",
     """WITH p AS (SELECT video, turn, start, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM {v_transcript}), w AS (SELECT *, array_to_string(list(n) OVER (PARTITION BY video ORDER BY turn ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), ' ') AS w FROM p), x AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY video ORDER BY turn), '') AS x FROM w),
-    q AS (SELECT video, turn AS quote_id, lower(trim(regexp_replace(array_to_string(string_split_regex(text, '\\s+')[3:14], ' '), '\\s+', ' ', 'g'))) AS q FROM {v_transcript} WHERE turn % 2 = 1),
+    q AS (SELECT video, turn AS quote_id, lower(trim(regexp_replace(array_to_string(string_split_regex(text, '\\s+')[3:14], ' '), '\\s+', ' ', 'g'))) AS q FROM {v_transcript}),
     s AS (SELECT *, list_filter(list_transform(string_split(q, '...'), lambda t: trim(t)), lambda t: t <> '') AS parts, regexp_replace(array_to_string(string_split(trim(string_split(q, '...')[1]), ' ')[1:6], ' '), '[^\\p{L}\\p{N}]+$', '') AS six FROM q),
     j AS (SELECT s.video, quote_id, turn, start, len(parts) > 0 AND len(list_filter(parts, lambda t: NOT contains(w, t))) = 0 AS here, len(parts) > 0 AND len(list_filter(parts, lambda t: NOT contains(x, t))) = 0 AS later, six <> '' AND contains(n, six) AS words FROM s JOIN x USING (video))
     SELECT video, quote_id, coalesce(min_by(start, turn) FILTER (WHERE here AND NOT later), min_by(start, turn) FILTER (WHERE words), min_by(start, turn)) AS start FROM j GROUP BY 1, 2""",
 )
 def v9(spark, d):
     t = _transcript(spark, d).withColumnRenamed("turn", "para")
-    quotes = t.where("para % 2 = 1").select("video", F.col("para").alias("quote_id"), F.array_join(F.slice(F.split("text", r"\s+"), 3, 12), " ").alias("quote"))
+    quotes = t.select("video", F.col("para").alias("quote_id"), F.array_join(F.slice(F.split("text", r"\s+"), 3, 12), " ").alias("quote"))
     return V.quote_moment(quotes, t.select("video", "para", "start", "text"))
 
 
