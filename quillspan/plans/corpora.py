@@ -67,10 +67,20 @@ def k4(spark, d):
     return M.review_items(_links(spark, d), "page_id", 4).select("page_id", "term", "rank", "skipped")
 
 
-@query("t8_uncovered_terms", f"SELECT page_id, \"at\", term FROM {_LINKS} l WHERE lower(trim(regexp_replace(term, '\\s+', ' ', 'g'))) <> '' AND NOT contains('the and', lower(term)) AND NOT contains(lower(term), 'the and') AND NOT contains('of to in', lower(term)) AND NOT contains('x', lower(term))")
+_TERM = "lower(trim(regexp_replace(term, '\\s+', ' ', 'g')))"
+
+
+@query(
+    "t8_uncovered_terms",
+    f"""SELECT page_id, "at", term FROM (SELECT *, {_TERM} AS t, min({_TERM}) OVER (PARTITION BY page_id) AS name, max({_TERM}) OVER (PARTITION BY page_id) AS objective FROM {_LINKS} l) x
+    WHERE t <> '' AND NOT contains(name, t) AND NOT contains(t, name) AND NOT contains('about ' || objective, t) AND NOT contains('x', t)""",
+)
 def t8(spark, d):
-    con = _pages(spark, d).select("page_id", F.lit("the and").alias("name"), F.lit("of to in").alias("objective"), F.lit("x").alias("quote"))
-    return M.uncovered_terms(_links(spark, d), con, "page_id").select("page_id", "at", "term")
+    """A page has one concept, named by its first term and with its last one as objective."""
+    links = _links(spark, d)
+    term = F.lower(F.trim(F.regexp_replace("term", r"\s+", " ")))
+    con = links.groupBy("page_id").agg(F.min(term).alias("name"), F.concat(F.lit("About "), F.max(term)).alias("objective"), F.lit("x").alias("quote"))
+    return M.uncovered_terms(links, con, "page_id").select("page_id", "at", "term")
 
 
 _BENCH = "(SELECT DISTINCT trim(array_to_string(string_split(lower(replace(text, chr(10), ' ')), ' ')[2:4], ' '), ' .,') AS term FROM {benchmark})"
@@ -197,10 +207,16 @@ def w10(spark, d):
     return W.llms_urls(p).select("start", "url")
 
 
-@query("w9_resolve_redirects", "SELECT url, CASE WHEN n > 5 THEN 'http://h/' || (k - 5) ELSE 'http://h/' || (k - n) END AS final, least(n, 5) AS n, CASE WHEN n > 5 THEN 'too many redirects' END AS problem FROM (SELECT 'http://h/' || page_id AS url, page_id AS k, page_id % 9 AS n FROM {pages}) t")
+@query(
+    "w9_resolve_redirects",
+    """SELECT url, 'http://h/' || (k - n) AS final, n, problem FROM (SELECT 'http://h/' || page_id AS url, page_id AS k, CASE WHEN r >= 9 THEN r - 9 WHEN r > 5 THEN 5 ELSE r END AS n,
+    CASE WHEN r >= 9 THEN 'not http' WHEN r > 5 THEN 'too many redirects' END AS problem FROM (SELECT page_id, page_id % 13 AS r FROM {pages}) t) u""",
+)
 def w9(spark, d):
+    """Pages lead to the one before, up to every thirteenth; the ninth from there leads to an address of mail."""
     k = F.col("page_id")
-    log = _pages(spark, d).select(F.concat(F.lit("http://h/"), k.cast("string")).alias("url"), F.when(k % 9 == 0, 200).otherwise(301).alias("status"), F.when(k % 9 != 0, F.concat(F.lit("/"), (k - 1).cast("string"), F.lit("#x"))).alias("location"))
+    to = F.when(k % 13 == 9, "mailto:a@h").when(k % 13 != 0, F.concat(F.lit("/"), (k - 1).cast("string"), F.lit("#x")))
+    log = _pages(spark, d).select(F.concat(F.lit("http://h/"), k.cast("string")).alias("url"), F.when(k % 13 == 0, 200).otherwise(301).alias("status"), to.alias("location"))
     return W.resolve_redirects(log)
 
 

@@ -224,10 +224,18 @@ def b17(spark, d):
     return S.blocks_markdown(S.html_blocks(view(spark, d, "pages")))
 
 
-@query("p8_classify_kind", "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'glossary' WHEN doc_id % 8 = 1 THEN 'appendix' WHEN doc_id % 8 = 2 THEN 'front' WHEN doc_id % 8 = 3 THEN 'back' WHEN doc_id % 8 = 4 THEN 'index' WHEN doc_id % 8 = 5 THEN 'front' ELSE 'chapter' END AS kind FROM {documents}")
+#: Titles and types of a chapter with the kind they give.
+_KINDS = (
+    ("Glossary of terms", "chapter", "glossary"), ("Appendix B", "chapter", "appendix"), ("Preface to it", "chapter", "front"), ("Further Reading", "chapter", "back"), ("General Index", "chapter", "index"),
+    ("Words", "toc", "front"), ("Words", "chapter", "chapter"), ("Part one", "chapter", "chapter"), ("Words", "glossary", "glossary"), ("Words", "index", "index"), ("Words", "backmatter", "back"), ("Words", None, "chapter"),
+)
+
+
+@query("p8_classify_kind", "SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, _, kind) in enumerate(_KINDS)) + " END AS kind FROM {documents}")
 def p8(spark, d):
-    titles = F.array(*[F.lit(t) for t in ("Glossary of terms", "Appendix B", "Preface to it", "Further Reading", "General Index", "Words", "Words", "Part one")])
-    docs = _docs(spark, d).select("doc_id", F.get(titles, (F.col("doc_id") % 8).cast("int")).alias("title"), F.when(F.col("doc_id") % 8 == 5, F.array(F.lit("toc"))).otherwise(F.array(F.lit("chapter"))).alias("types"))
+    at = (F.col("doc_id") % len(_KINDS)).cast("int")
+    pick = lambda j: F.get(F.array(*[F.lit(x[j]) for x in _KINDS]), at)
+    docs = _docs(spark, d).select("doc_id", pick(0).alias("title"), F.when(pick(1).isNotNull(), F.array(pick(1))).alias("types"))
     return docs.select("doc_id", S.classify_kind("title", "types").alias("kind"))
 
 
