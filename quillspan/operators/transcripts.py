@@ -74,9 +74,9 @@ def plan_clips(videos: DataFrame, length: int = 2700, overlap: int = 60) -> Data
 
 
 def clip_problems(lines: DataFrame, clips: DataFrame) -> DataFrame:
-    """(video, problem) of clip transcripts: the first time lies before the clip, else the checks of a whole transcript with times moved to the clip's start."""
+    """(video, problem) of clip transcripts: the first time lies before the clip, else the checks of a whole transcript with times moved to the clip's start; text before the first time is left out, if there is one."""
     first = _fenced(lines).withColumn("_t", line_seconds(F.col("line"))).where("_t is not null").groupBy("video").agg(F.min_by("_t", "pos").alias("_first"))
-    par = parse_transcript(lines).where("para > 0").join(clips.select("video", F.col("start").alias("_c")), "video").withColumn("start", F.greatest(F.col("start") - F.col("_c"), F.lit(0)))
+    par = parse_transcript(lines).join(first, "video", "left").where("para > 0 or _first is null").drop("_first").join(clips.select("video", F.col("start").alias("_c")), "video").withColumn("start", F.greatest(F.col("start") - F.col("_c"), F.lit(0)))
     inner = check_transcript(par.drop("_c"), clips.select("video", (F.col("end") - F.col("start")).alias("duration"), "finish"))
     early = (F.col("start") > 0) & (F.coalesce("_first", F.lit(0)) < F.col("start") - 15)
     return clips.join(first, "video", "left").join(inner, "video", "left").select("video", F.when(early, "before_clip").otherwise(F.col("problem")).alias("problem"))

@@ -101,6 +101,18 @@ def test_transcripts(spark):
     assert check(par(0, 90), video(50)) == "past_end" and check(par(0, 10), video(600)) == "tail" and check(par(0), video(9, "length")) == "token_limit"
 
 
+def test_clip_problems(spark):
+    """Each problem of a clip that begins at 600 and ends at 1200 seconds."""
+    times = {"good": (10, 12, 14, 16, 18), "early": (2, 11, 14, 17), "late_end": (10, 12, 13), "hole": (10, 15, 18), "back": (10, 12, 11, 13, 16, 18), "past": (10, 12, 14, 16, 18, 21), "empty": ()}
+    lines = [(v, k, f"[{m}:00] some words") for v, at in times.items() for k, m in enumerate(at)] + [("empty", 0, "# only a head")]
+    clips = spark.createDataFrame([(v, 600, 1200, "stop") for v in times], "video string, start long, end long, finish string")
+    got = {r["video"]: r["problem"] for r in V.clip_problems(spark.createDataFrame(lines, "video string, pos int, line string"), clips).collect()}
+    assert got == {"good": None, "early": "before_clip", "late_end": "tail", "hole": "gap", "back": "back", "past": "past_end", "empty": "before_clip"}
+    plain = spark.createDataFrame([("short", 0, "no time here"), ("long", 0, "no time here"), ("none", 0, "# only a head")], "video string, pos int, line string")
+    clips = spark.createDataFrame([("short", 0, 100, "stop"), ("long", 0, 600, "stop"), ("none", 0, 100, "stop")], "video string, start long, end long, finish string")
+    assert {r["video"]: r["problem"] for r in V.clip_problems(plain, clips).collect()} == {"short": None, "long": "tail", "none": "no_rows"}
+
+
 def test_join_clips(spark):
     say = "here and the program prints the result of it. Then more words follow"
     a = spark.createDataFrame([("v", 0, "[44:30] before this"), ("v", 1, f"[45:10] {say}")], "video string, pos int, line string")
