@@ -619,3 +619,28 @@ def test_parts_of_the_stream_are_summed_up(spark, tmp_path):
     assert {r["session_id"]: (r["id"], r["score"], r["correct"]) for r in got.collect()} == {s: (i, sc, sc == 2 or d) for s, (i, _, sc, d) in want.items()}
     assert len(list((tmp_path / "table").glob("generation=*/epoch=*"))) <= 6
     assert run_latest_attempts(*args, most_parts=2).count() == 5
+
+
+def test_request_groups_stream_over_small_and_large_keys(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(b, c, k, rng.randrange(60)) for b in (1, None, 2) for c in range(40) for k in range(rng.choice((1, 2, 3, 300)))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "b long, c long, number long, words long").repartition(7)
+    want, at = {}, None
+    for b, c, k, words in sorted(rows, key=lambda r: (r[0] or 0, *r[1:])):
+        size = -(-words * 14 // 10)
+        if (b, c) != at:
+            at, group, held, total = (b, c), 1, 0, 0
+        elif held >= 4 or total + size > 90:
+            group, held, total = group + 1, 0, 0
+        held, total = held + 1, total + size
+        want[b, c, k] = group
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = S.group_sections(df, ["b", "c"], 4, 90)
+        assert {(r["b"], r["c"], r["number"]): r["grp"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # a batch per key
