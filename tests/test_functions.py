@@ -60,3 +60,21 @@ def test_markdown_grammar(spark):
     assert plain("***both*** a__b (_x_) *(*a") == "both a__b (x) (a"
     assert plain("**a quote cut") == "a quote cut" and plain("cut here_, then") == "cut here, then"
     assert plain("| a | b |") == "  a   b  " and plain("") == ""
+
+
+def test_slugs_of_long_texts_send_their_head_only(spark, monkeypatch):
+    import re
+    import unicodedata
+
+    texts = ["Über\n" * 4000, "-- É " + "ab c" * 3000, "ж" * 500 + "x", "", None, "a" * 60 + "-b", "a" * 59 + " é\u0301 b", "A" * 61 + "\u0301" * 9, "é" * 70 + "!" * 9000 + "z", "ﬁ" * 50]
+
+    def want(t):
+        plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t or "")).lower()
+        return re.sub("[^a-z0-9]+", "-", plain).strip("-")[:60].rstrip("-") or "untitled"
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    assert [r[0] for r in df.orderBy("k").select(T.slugify("t")).collect()] == [want(t) for t in texts]
+    seen = []
+    monkeypatch.setattr(T, "strip_accents", lambda c: seen.append(c) or c)
+    T.slugify("t")
+    assert max(r[0] for r in df.where("k < 2").select(F.length(seen[0])).collect()) < 200
