@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import ranked, ship, stage
-from quillspan.llm.packing import LETTER, MEMO_BYTES, SLICE_BYTES, SPACE, WordIds, _binary, _classes
+from quillspan.llm.packing import LETTER, SPACE, WordIds, _binary, _classes
 
+#: Of text that is encoded at a time, and of pre-tokens that a task keeps; the vocabulary is held twice, so that both are small.
+SLICE_BYTES = 1 << 20
+MEMO_BYTES = 12 << 20
 RUN_FIELDS = ("length", "rank", "sequence", "offset", "each")
 
 
