@@ -2,27 +2,24 @@
 
 Documents whose fingerprints differ in ``RADIUS`` bits or less are linked, all of them, by
 the balls of ``simhash``. Documents at a similarity of 0.8 differ in ten bits on the
-average, so more links are looked for with MinHash: a set of shingles has ``BANDS`` keys of
-``ROWS`` minima each, every class of equal sets meets the smallest and the largest class of
-each of its keys, and what meets is verified on the whole sets. At similarity 0.8 a pair
-shares no key with a chance of 3 in a million. A key that many documents share costs two
-pairs for each of them; in it, two documents that are similar to each other but linked to
-neither of these two are found by the balls only.
+average, so the other links are found by the prefixes of their shingle sets: two sets that
+reach the similarity share a shingle there, all that share one are compared on the whole sets
+unless they are in one group already, and so no link between groups is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import BROADCAST_ROWS, join_split, ship, stage
 from quillspan.llm.components import components
 from quillspan.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
+from quillspan.operators.prefixes import first_ones, sent, shared_prefixes
 
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
 
 
 def shingle_set(text: bytes, shingle: int):
@@ -32,52 +29,52 @@ def shingle_set(text: bytes, shingle: int):
     return np.unique(shingle_hashes(text.lower().split(), shingle))
 
 
-def _multipliers(n: int, seed: int):
-    import numpy as np
-
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-
-
-def band_keys(hashes, factors, mix):
-    """One 64-bit key per band of minima."""
-    import numpy as np
-
-    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 1024):
-        low = np.minimum(low, (factors[:, None] * hashes[None, k : k + 1024]).min(axis=1))
-    low ^= low >> np.uint64(32)
-    keys = (low * mix).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-    return keys ^ (keys >> np.uint64(29))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
 
 
-def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, cls, fp, keys): the text's hash, the class of its shingle set, its fingerprint and the band keys."""
+def _keyed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, h, cls, fp, n, prefix): the text's hash, the class of its shingle set, its fingerprint, the set's size and prefix."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        factors, mix = _multipliers(BANDS * ROWS, 1), _multipliers(BANDS * ROWS, 2)
+        take = first_ones(similarity, [])
         for batch in batches:
-            cls, fps, keys = [], [], []
+            cls, fps, sets, n = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t.lower().split(), shingle)
                 fps.append(fingerprint(h))
                 h = np.unique(h)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                keys.append(band_keys(h, factors, mix) if len(h) else np.zeros(0, np.uint64))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "h", "cls", "fp", "keys"])
+                sets.append(take(np.sort(h.view(np.int64)), np.array([0, len(h)]))[0])
+                n.append(len(h))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "h", "cls", "fp", "n", "prefix"])
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, "id long, h long, cls long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "id long, h long, cls long, fp long, n long, prefix array<long>")
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
+    """(cls, n, prefix) of texts (cls, t), with the frequent shingles last."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        take = first_ones(similarity, frequent)
+        for batch in batches:
+            sets = [np.sort(shingle_set(t, shingle).view(np.int64)) for t in batch.column(1).to_pylist()]
+            prefix = [take(x, np.array([0, len(x)]))[0] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["cls", "n", "prefix"])
+
+    ship(texts.sparkSession)
+    return texts.mapInArrow(run, "cls long, n long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -111,22 +108,57 @@ def _ball_pairs(classes: DataFrame) -> DataFrame:
     return same.unionAll(near)
 
 
+def _linked(shared: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, component) over ``links`` and all similar pairs of classes that share a shingle in ``shared`` (cls, n, shingle).
+
+    In each round the next of a shingle's classes, eight times as many as in the one before,
+    meet the later ones there that are not in their component yet; shingles whose classes are
+    all in one component are done. So a family of near copies costs few pairs a member, and
+    two classes stay apart only after they have been compared.
+    """
+    final = components(links)
+    left, before, most = shared, 0, 1
+    while True:
+        named = left.select("cls", "n", "shingle").join(sent(final), left["cls"] == final["node"], "left").select("cls", "n", "shingle", F.coalesce("component", "cls").alias("c"))
+        mixed = named.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
+        left = stage(named.join(mixed, "shingle"), "undecided")
+        rank = F.row_number().over(Window.partitionBy("shingle").orderBy("cls"))
+        leaders = stage(left.withColumn("_r", rank).where(F.col("_r") <= most).where(F.col("_r") > before).drop("_r"), "leaders")
+        few = leaders.count()
+        if not few:
+            return final
+        a, b = leaders.alias("a"), left.alias("b")
+        sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9
+        near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.c") != F.col("b.c")) & sizes
+        met = b.join(F.broadcast(a) if few <= BROADCAST_ROWS else a, near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+        met = stage(met, "met")
+        if not met.isEmpty():
+            found = _verified(met, sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), similarity)
+            links = stage(links.unionAll(found), "links-so-far")
+            final = stage(components(links), "components")
+        before, most = most, most * 8
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, h, comp) per row: the text's hash, and one number for all documents of a group."""
     rows = _texts(docs, id_col, text_col)
-    each = stage(_keyed(rows, shingle), "keyed")
-    classes = stage(each.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("of"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "shingle-classes")
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    met = keyed.join(hubs, "key").select("cls", F.explode(F.array("lo", "hi")).alias("hub")).where("cls <> hub")
-    met = stage(met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "met")
-
-    # the sets of candidates only, one text per class
-    wanted = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("of.id", "of.h", "cls")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["h"] == wanted["h"])).select("cls", "t")
-    found = stage(_sets(texts, shingle).groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
-    links = _verified(met, found, similarity).unionAll(_ball_pairs(classes.select("cls", "fp")))
-    final = components(links)
+    each = stage(_keyed(rows, shingle, similarity), "keyed")
+    classes = stage(each.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("of"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("times")), "shingle-classes")
+    # one row of each class; classes of one document stay where they are
+    several = stage(classes.where("times > 1").select(F.col("cls").alias("_cls"), "of"), "copied-classes")
+    own = each.join(sent(several), F.col("cls") == F.col("_cls"), "left").where("_cls is null or (id <=> of.id and h = of.h)")
+    first = own.select("cls", "n", "prefix")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        of = stage(wanted.join(classes, "cls").select(F.col("of.id").alias("_id"), F.col("of.h").alias("_h"), "cls"), "wanted")
+        return rows.join(F.broadcast(of) if of.count() <= BROADCAST_ROWS else of, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("cls", "t")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return stage(_sets(texts_of(wanted), shingle).groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
+
+    again = lambda touched, frequent: _prefixes(texts_of(touched), shingle, similarity, frequent)
+    shared = shared_prefixes(first, again, stage, "cls")
+    final = _linked(shared, stage(_ball_pairs(classes.select("cls", "fp")), "ball-pairs"), sets_of, similarity)
     ids = stage(each.select("id", "h", "cls"), "ids")
     return ids.join(final, ids["cls"] == final["node"], "left").select("id", "h", F.coalesce("component", "cls").alias("comp"))
 
@@ -135,8 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, component_id.
 
     Documents link if their SimHash fingerprints differ in four bits or less, and at a
-    Jaccard similarity of their shingle sets of ``similarity`` or more (not every such pair
-    is found, see above); component_id is the smallest id reachable over links, the document itself included.
+    Jaccard similarity of their shingle sets of ``similarity`` or more; component_id is the smallest id reachable over links, the document itself included.
     Words are split at ASCII white space and compared with A-Z in lower case. Null texts
     count as empty, and texts without a word are copies of each other. Repeated rows each
     give a row; a null id never names a component. An empty table gives an empty result.

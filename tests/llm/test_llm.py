@@ -875,3 +875,20 @@ def test_pipeline_stages(spark, tmp_path):
     e = spark.read.parquet(f"{src}/documents.parquet").limit(0)
     for _, step in P.STAGES:
         assert step(spark, e, src).count() == 0
+
+
+def test_near_copies_that_are_similar_to_neither_end_of_a_key_are_linked(spark):
+    """A family whose members drift apart, so that many are similar to each other but not to the first or last of any key."""
+    rng = random.Random(21)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(160):
+        rows.append((k, " ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)))
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or bin(brute_fp(rows[a][1], 5) ^ brute_fp(rows[b][1], 5)).count("1") <= 4:
+                x, y = sorted((label[a], label[b]))
+                label = [x if z == y else z for z in label]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs(spark, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == label and 5 < len(set(label)) < 155
