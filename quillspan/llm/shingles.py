@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import BROADCAST_ROWS, join_split, ship, stage
 from quillspan.llm.components import components
 from quillspan.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
-from quillspan.operators.prefixes import first_ones, sent, shared_prefixes
+from quillspan.operators.prefixes import first_ones, needed, sent, shared_prefixes
 
 SIMILARITY = 0.8
 
@@ -113,14 +113,19 @@ def _linked(shared: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame],
 
     In each round the next of a shingle's classes, eight times as many as in the one before,
     meet the later ones there that are not in their component yet; shingles whose classes are
-    all in one component are done. So a family of near copies costs few pairs a member, and
+    all in one component, or have all met, are done. Of those that meet, only pairs whose prefixes share as many
+    shingles as similar sets must are compared on the whole sets. So a family of near copies costs few pairs a member, and
     two classes stay apart only after they have been compared.
     """
     final = components(links)
+    held = stage(shared.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("s")), "held")
+    x, y = held.alias("x"), held.alias("y")
+    enough = F.size(F.array_intersect("x.s", "y.s")) >= needed(F.col("x.n"), F.col("y.n"), similarity)
     left, before, most = shared, 0, 1
     while True:
         named = left.select("cls", "n", "shingle").join(sent(final), left["cls"] == final["node"], "left").select("cls", "n", "shingle", F.coalesce("component", "cls").alias("c"))
-        mixed = named.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
+        kinds = named.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("f"))
+        mixed = kinds.where("lo < hi").where(F.col("f") > before + 1).select("shingle")
         left = stage(named.join(mixed, "shingle"), "undecided")
         rank = F.row_number().over(Window.partitionBy("shingle").orderBy("cls"))
         leaders = stage(left.withColumn("_r", rank).where(F.col("_r") <= most).where(F.col("_r") > before).drop("_r"), "leaders")
@@ -131,11 +136,13 @@ def _linked(shared: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame],
         sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9
         near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.c") != F.col("b.c")) & sizes
         met = b.join(F.broadcast(a) if few <= BROADCAST_ROWS else a, near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+        met = met.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(enough).select("a", "b")
         met = stage(met, "met")
         if not met.isEmpty():
-            found = _verified(met, sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), similarity)
-            links = stage(links.unionAll(found), "links-so-far")
-            final = stage(components(links), "components")
+            found = stage(_verified(met, sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), similarity), "found")
+            if not found.isEmpty():
+                links = stage(links.unionAll(found), "links-so-far")
+                final = stage(components(links), "components")
         before, most = most, most * 8
 
 

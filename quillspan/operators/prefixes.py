@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 COMMON = 4
 #: A shingle that more prefixes hold is put last; so many of them at most, the most frequent first, in so many rounds.
+#: No round follows once the pairs under such shingles are fewer than the rows that share any: it would move all prefixes for less than it saves.
 FREQUENT = 32
 MOST_FREQUENT = 1 << 16
 ROUNDS = 4
@@ -53,6 +54,13 @@ def first_ones(similarity: float, frequent: list[int]) -> Callable:
     return take
 
 
+def _crowded(shared: DataFrame) -> bool:
+    """Whether the pairs under frequent shingles outnumber the rows of all shared ones (shingle, f)."""
+    f = F.col("f").cast("double")
+    rows, pairs = shared.agg(F.sum(f), F.sum(F.when(f > FREQUENT, f * (f - 1) / 2))).first()
+    return (pairs or 0) > (rows or 0)
+
+
 def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], DataFrame], cut: Callable[[DataFrame, str], DataFrame], key: str) -> DataFrame:
     """Rows of ``first`` (key, any others, ``prefix``), one per shingle of a prefix that another set's prefix has too: (key, others, shingle).
 
@@ -62,7 +70,7 @@ def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], Da
     for left in range(ROUNDS, -1, -1):
         own = rows.select(*[c for c in rows.columns if c != "prefix"], F.explode("prefix").alias("shingle"))
         shared = cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
-        often = shared.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).collect() if left else []
+        often = shared.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).collect() if left and _crowded(shared) else []
         new = {r["shingle"] for r in often} - last
         if not new:
             break

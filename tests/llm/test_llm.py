@@ -892,3 +892,22 @@ def test_near_copies_that_are_similar_to_neither_end_of_a_key_are_linked(spark):
                 label = [x if z == y else z for z in label]
     got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs(spark, rows)).collect()}
     assert [got[k] for k in range(len(rows))] == label and 5 < len(set(label)) < 155
+
+
+def test_prefixes_are_not_moved_again_for_a_few_frequent_shingles(spark, monkeypatch):
+    """One line in 40 texts makes fewer pairs than there are rows of shared shingles: no second pass over all prefixes; a line in most texts is worth one."""
+    from quillspan.operators import prefixes
+
+    written = []
+    monkeypatch.setattr(shingles, "stage", lambda df, tag: written.append(tag) or common.stage(df, tag))
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, pairs = words(6), [words(100) for _ in range(100)]
+    rows = [(k, f"{line} {words(4)}") for k in range(40)] + [(100 + 2 * k + j, t if j else f"{t} more") for k, t in enumerate(pairs) for j in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {k: k if k < 100 else k - k % 2 for k, _ in rows} and prefixes.FREQUENT < 40
+    assert "prefixes" not in written and written.count("links-so-far") == 1
+    written.clear()
+    rows = [(k, f"{line} {words(4)}") for k in range(120)]
+    assert shingles.near_duplicates(docs(spark, rows)).where("doc_id <> component_id").count() == 0
+    assert "prefixes" in written
