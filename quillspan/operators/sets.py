@@ -38,7 +38,8 @@ def replace_sources(old: DataFrame, new: DataFrame, replaced: DataFrame) -> Data
 
 
 def left_with_sources(concepts: DataFrame, sources: DataFrame) -> DataFrame:
-    return concepts.join(sources.select(F.col("concept_id").alias("id")), "id", "left_semi")
+    """Concepts that a source names; each id is sent once by a task, however many sources name it."""
+    return concepts.join(sources.select(F.col("concept_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def conflicts(selected: DataFrame, used: DataFrame, keys: Sequence[str], value: str, n: int = 5) -> DataFrame:

@@ -664,3 +664,14 @@ def test_links_of_many_that_share_a_passage_move_few_sets(spark, monkeypatch):
     own = {r["id"]: r["cls"] for r in classes.collect()}
     assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a, b in want if own[a] == a and own[b] == b} and len(want) > 100
     assert met[0] <= 50 * 49 // 2
+
+
+def test_sources_are_reduced_to_their_concepts_before_the_join(spark):
+    """A concept that many sections name meets the concepts once, not once for each source."""
+    from quillspan.operators import sets
+
+    concepts = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    sources = spark.createDataFrame([(k % 2 + 1, k) for k in range(50)] + [(None, 9)], "concept_id long, section_id long")
+    got = sets.left_with_sources(concepts, sources)
+    assert sorted(r["id"] for r in got.collect()) == [1, 2]
+    assert "Aggregate [id" in got._jdf.queryExecution().optimizedPlan().toString()
