@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quillspan.operators.fixpoint import cut
 
 TIME = r"^\s*\[(?:([0-9]+):)?([0-9]+):([0-9]{2})\]\s*"
 FENCE = r"^\s*(```|~~~)"
+WORD = r"^[\p{L}\p{N}']+"
 LIMIT = 5400
 
 
@@ -82,25 +85,34 @@ def clip_problems(lines: DataFrame, clips: DataFrame) -> DataFrame:
     return clips.join(first, "video", "left").join(inner, "video", "left").select("video", F.when(early, "before_clip").otherwise(F.col("problem")).alias("problem"))
 
 
-def placed_words(lines: DataFrame) -> DataFrame:
-    """(video, k, word, at, sentence_end, pos, offset, length): prose words in order with the time of their paragraph and where they stand in their line; code and tables have none.
-
-    A word is a run of letters, digits and apostrophes.
-    """
+def _worded(lines: DataFrame) -> DataFrame:
+    """Lines of prose with their time ``at``, their words ``_ws``, each with what stands between it and the next one, and ``_k``, the words of the lines before; no word is shuffled for it."""
     l = _fenced(lines).withColumn("_t", F.when(~F.col("_code"), line_seconds(F.col("line"))))  # noqa: E741
     w = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l = l.withColumn("at", F.coalesce(F.last("_t", True).over(w), F.lit(0)))  # noqa: E741
     l = l.where(~F.col("_code") & ~F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*#{1,6}\s"))  # noqa: E741
-    # a word and what stands between it and the next one; lines are numbered by their words, so that no word is shuffled for it
     token = r"[\p{L}\p{N}']+[^\p{L}\p{N}']*"
     l = l.withColumn("_l", F.regexp_replace("line", TIME, "")).withColumn("_ws", F.regexp_extract_all("_l", F.lit(token), F.lit(0)))  # noqa: E741
-    l = l.withColumn("_k", F.coalesce(F.sum(F.size("_ws")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # noqa: E741
+    return l.withColumn("_k", F.coalesce(F.sum(F.size("_ws")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _word() -> list[Column]:
+    """k, word, at and sentence_end of the ``j``-th word ``t`` of a line of :func:`_worded`."""
+    word = F.lower(F.regexp_extract("t", WORD, 0))
+    return [(F.col("_k") + F.col("j")).cast("long").alias("k"), word.alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(WORD + r"[^\s\p{L}\p{N}]*[.!?]").alias("sentence_end")]
+
+
+def placed_words(lines: DataFrame) -> DataFrame:
+    """(video, k, word, at, sentence_end, pos, offset, length): prose words in order with the time of their paragraph and where they stand in their line; code and tables have none.
+
+    A word is a run of letters, digits and apostrophes.
+    """
+    l = _worded(lines)  # noqa: E741
     lead = F.length("_l") - F.length(F.regexp_replace("_l", r"^[^\p{L}\p{N}']+", ""))
     e = l.select("video", "pos", "at", "_k", (F.length("line") - F.length("_l") + lead).alias("_o"), F.posexplode("_ws").alias("j", "t"))
     before = Window.partitionBy("video", "pos").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("_o", F.col("_o") + F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
-    word = F.regexp_extract("t", r"^[\p{L}\p{N}']+", 0)
-    return e.select("video", (F.col("_k") + F.col("j")).cast("long").alias("k"), F.lower(word).alias("word"), F.col("at").cast("long").alias("at"), F.col("t").rlike(r"^[\p{L}\p{N}']+[^\s\p{L}\p{N}]*[.!?]").alias("sentence_end"), "pos", F.col("_o").cast("long").alias("offset"), F.length(word).cast("long").alias("length"))
+    return e.select("video", *_word(), "pos", F.col("_o").cast("long").alias("offset"), F.length(F.regexp_extract("t", WORD, 0)).cast("long").alias("length"))
 
 
 def _overlap(words: DataFrame, overlaps: DataFrame, inside: Column, tag: str) -> DataFrame:
@@ -116,6 +128,19 @@ def _overlap(words: DataFrame, overlaps: DataFrame, inside: Column, tag: str) ->
     return cut(got.where("_in or late").select("video", "k", "word", "at", "sentence_end", "i", "late"), tag)
 
 
+def _overlap_of_lines(lines: DataFrame, overlaps: DataFrame, inside: Column, tag: str) -> DataFrame:
+    """:func:`_overlap` of the words of ``lines``. A line's words have one time, so whole lines are kept, counted and numbered, and only words that are kept become rows."""
+    w = Window.partitionBy("video").orderBy("pos")
+    n = F.size("_ws")
+    after = F.coalesce(F.col("at") >= F.col("_half"), F.lit(False))
+    l = _worded(lines).where(n > 0).select("video", "pos", "at", "_k", "_ws").join(overlaps, "video").withColumn("_in", F.coalesce(inside, F.lit(False)))  # noqa: E741
+    before = F.coalesce(F.sum(F.when(F.col("_in"), n)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = after & (F.sum(after.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    l = l.withColumns({"_i": before, "_late": late}).where("_in or _late")  # noqa: E741
+    e = l.select("video", "at", "_k", "_i", "_in", "_late", F.posexplode(F.when(F.col("_in"), F.col("_ws")).otherwise(F.slice("_ws", 1, 1))).alias("j", "t"))
+    return cut(e.select("video", *_word(), F.when(F.col("_in"), F.col("_i") + F.col("j")).cast("long").alias("i"), (F.col("_late") & (F.col("j") == 0)).alias("late")), tag)
+
+
 def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: int = 8, near: int = 60) -> DataFrame:
     """(video, method, first_k, second_k, at): where two placed-word lists of a video are joined.
 
@@ -123,20 +148,30 @@ def join_clips(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: in
     overlap's middle (the earliest on a tie), extended as far as words agree, cut after the
     first sentence end in it, else after its last word. Without one the cut is by time: the
     first word at or after the middle on either side. Words outside the overlap are read
-    once, to count them.
+    once, to count them; :func:`join_clip_lines` counts them by lines.
     """
+    return _joined(first, second, overlaps, run, near, _overlap)
+
+
+def join_clip_lines(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: int = 8, near: int = 60) -> DataFrame:
+    """:func:`join_clips` of two transcripts' lines (video, pos, line): the same result as of their placed words."""
+    return _joined(first, second, overlaps, run, near, _overlap_of_lines)
+
+
+def _joined(first: DataFrame, second: DataFrame, overlaps: DataFrame, run: int, near: int, overlap: Callable) -> DataFrame:
     mid = (F.col("start") + F.col("end")) / 2
     o = overlaps.select("video", F.col("start").alias("_s"), F.col("end").alias("_e"), mid.alias("_m"), F.floor(mid + 0.5).cast("long").alias("_half"))
-    a = _overlap(first, o, F.col("at") >= F.col("_s") - near, "first-words")
-    b = _overlap(second, o, F.col("at") <= F.col("_e"), "second-words")
+    a = overlap(first, o, F.col("at") >= F.col("_s") - near, "first-words")
+    b = overlap(second, o, F.col("at") <= F.col("_e"), "second-words")
 
     def runs(d: DataFrame, p: str) -> DataFrame:
         w = Window.partitionBy("video").orderBy("i")
         leads = d.where("i is not null").select("video", "i", "at", "word", *[F.lead("word", j).over(w).alias(f"_{j}") for j in range(1, run)])
         text = F.concat_ws(" ", "word", *[f"_{j}" for j in range(1, run)])
-        return leads.where(F.col(f"_{run - 1}").isNotNull()).select("video", F.xxhash64(text).alias("g"), F.col("i").alias(f"{p}i"), F.col("at").alias(f"{p}at"), text.alias(f"{p}text"))
+        return leads.where(F.col(f"_{run - 1}").isNotNull()).select("video", F.xxhash64(text).alias("g"), F.xxhash64(F.lit(1), text).alias("h"), F.col("i").alias(f"{p}i"), F.col("at").alias(f"{p}at"))
 
-    hits = runs(a, "a").join(runs(b, "b"), ["video", "g"]).where((F.abs(F.col("aat") - F.col("bat")) <= 2 * near) & (F.col("atext") == F.col("btext")))
+    # runs are told apart by 128 bits; their texts would be eight times the words
+    hits = runs(a, "a").join(runs(b, "b"), ["video", "g", "h"]).where(F.abs(F.col("aat") - F.col("bat")) <= 2 * near)
     best = hits.join(o, "video").groupBy("video").agg(F.min(F.struct(F.abs(F.col("aat") - F.col("_m")), F.col("ai").alias("ai"), F.col("bi").alias("bi"))).alias("x")).select("video", "x.ai", "x.bi")
     # equal words on the diagonal from the start on; the run ends at the first gap
     left = a.where("i is not null").select("video", "i", "word", "at", F.col("k").alias("first_k"), F.col("sentence_end").alias("ea"))

@@ -325,9 +325,9 @@ def v6(spark, d):
     t = _transcript(spark, d)
     turns = t.groupBy("video").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.floor(F.col("n") / 2))
     lines = _lines(spark, d).join(turns, "video")
-    first, second = V.placed_words(lines.where("pos / 2 <= k + 1").select("video", "pos", "line")), V.placed_words(lines.where("pos / 2 >= k").select("video", "pos", "line"))
+    first, second = (lines.where(x).select("video", "pos", "line") for x in ("pos / 2 <= k + 1", "pos / 2 >= k"))
     at = t.join(turns, "video").groupBy("video").agg(F.max(F.when(F.col("turn") == F.col("k"), F.col("start"))).alias("start"), F.coalesce(F.max(F.when(F.col("turn") == F.col("k") + 2, F.col("start"))), F.max("duration")).alias("end"))
-    return V.join_clips(first, second, at)
+    return V.join_clip_lines(first, second, at)
 
 
 @query("v7_time_parts", "SELECT video, p AS part, cast(floor(p * duration / n + 0.5) AS bigint) AS start, cast(floor((p + 1) * duration / n + 0.5) AS bigint) AS \"end\" FROM (SELECT video, duration, n, unnest(range(0, n)) AS p FROM (SELECT video, duration, cast(greatest(ceil(duration / 60.0), 1) AS bigint) AS n FROM {x}) a) b".replace("{x}", f"{_VIDEOS} v"))

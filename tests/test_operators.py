@@ -675,3 +675,25 @@ def test_sources_are_reduced_to_their_concepts_before_the_join(spark):
     got = sets.left_with_sources(concepts, sources)
     assert sorted(r["id"] for r in got.collect()) == [1, 2]
     assert "Aggregate [id" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clips_join_by_lines_as_by_words(spark):
+    """Words of lines far from the overlap never become rows; the results stay those of the placed words."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}{'.' if k % 9 == 0 else ''}" for k in range(60)]
+    one, two, over = [], [], []
+    for v in range(30):
+        at, said = 0, [rng.choice(words) for _ in range(200)]
+        for k in range(12):
+            at += rng.choice((0, 20, 90))
+            line = f"[{at // 60:02d}:{at % 60:02d}] " * (k % 5 != 3) + " ".join(said[k * 15 : k * 15 + 15]) * (k % 7 != 6)
+            one.append((v, k, "# head" if k == 4 else line))
+            two.append((v, k, line if v % 3 else line.replace("w1", "x1")))
+        over.append((v, None if v == 7 else 100, at - 60))
+    a, b = (spark.createDataFrame(x, "video long, pos int, line string") for x in (one, two))
+    o = spark.createDataFrame(over, "video long, start long, end long")
+    want = sorted(map(str, V.join_clips(V.placed_words(a), V.placed_words(b), o).collect()))
+    got = V.join_clip_lines(a, b, o)
+    assert sorted(map(str, got.collect())) == want and len({x.split("method='")[1][:4] for x in want}) == 2
