@@ -244,13 +244,14 @@ def q3(spark, d):
 
 @query("st2_ingest_chapters", "SELECT book_id, chapter, sha1_hex AS fingerprint FROM (SELECT book_id, chapter, sha1('v1' || chr(10) || string_agg(number || ':' || section_id || ' ' || words, chr(10) ORDER BY number)) AS sha1_hex FROM {v_sections} GROUP BY 1, 2) t")
 def st2(spark, d):
-    """Two deliveries of all chapters: the second one, in another order of files, is worked on no more."""
+    """Two deliveries of all chapters, each one batch of as many files as its size asks for: the second one, in another order of files, is worked on no more."""
     base = f"{own_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    kinds = "book_id long, chapter long, number long, body string"
     s = view(spark, d, "v_sections").select("book_id", "chapter", "number", F.concat_ws(" ", _text(F.col("section_id")), _text(F.col("words"))).alias("body"))
-    s.repartition(2, "book_id", "chapter").write.parquet(f"{base}/in")
-    args = (spark, f"{base}/in", "book_id long, chapter long, number long, body string", lambda df: D.chapter_fingerprint(df, "v1"), ["book_id", "chapter"], f"{base}/manifest", f"{base}/work", f"{base}/state")
+    s.repartition("book_id", "chapter").write.parquet(f"{base}/in")
+    args = (spark, f"{base}/in", kinds, lambda df: D.chapter_fingerprint(df, "v1"), ["book_id", "chapter"], f"{base}/manifest", f"{base}/work", f"{base}/state", None)
     ingest_chapters(*args)
-    s.repartition(3, "chapter", "book_id").write.mode("append").parquet(f"{base}/in")
+    spark.read.schema(kinds).parquet(f"{base}/in").repartition("chapter", "book_id").write.mode("append").parquet(f"{base}/in")
     ingest_chapters(*args)
     shape = D.chapter_fingerprint(s, "v1").schema
     return ingested(spark, shape, ["book_id", "chapter"], f"{base}/manifest", f"{base}/work").select("book_id", "chapter", "fingerprint")

@@ -59,7 +59,7 @@ def run_latest_attempts(spark: SparkSession, source: str, schema: StructType | s
     return _last(parts.where(F.col("generation") == now).drop("generation"), keys).select(*held.names)
 
 
-def ingest_chapters(spark: SparkSession, source: str, schema: StructType | str, fingerprint, keys: list[str], manifest: str, work: str, checkpoint: str) -> int:
+def ingest_chapters(spark: SparkSession, source: str, schema: StructType | str, fingerprint, keys: list[str], manifest: str, work: str, checkpoint: str, files_per_trigger: int | None = 1) -> int:
     """Process only chapters whose content is new: each batch is fingerprinted and anti-joined to a manifest of content keys.
 
     Delivered again or late, a chapter with the same content is a no-op. A batch is one part
@@ -67,10 +67,13 @@ def ingest_chapters(spark: SparkSession, source: str, schema: StructType | str,
     again; it is compared with the epochs before it only. So a failure at any point leaves
     either no manifest part, and the work is done again into the same place, or both. Work counts once the
     manifest lists it: read it with :func:`ingested`. Both tables belong to one checkpoint.
+    ``files_per_trigger`` None makes one batch of all new files, so its tasks and not the batches grow with
+    them: for a delivery of many files that holds each chapter once and is ingested before the next one comes.
     Returns the number of chapters worked on.
     """
     done: dict[int, int] = {}
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(source)
     shape = fingerprint(spark.createDataFrame([], stream.schema)).schema
     spark.createDataFrame([], shape).write.mode("ignore").parquet(f"{manifest}/epoch=-1")  # there is always one to read
 

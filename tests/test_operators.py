@@ -697,3 +697,19 @@ def test_clips_join_by_lines_as_by_words(spark):
     want = sorted(map(str, V.join_clips(V.placed_words(a), V.placed_words(b), o).collect()))
     got = V.join_clip_lines(a, b, o)
     assert sorted(map(str, got.collect())) == want and len({x.split("method='")[1][:4] for x in want}) == 2
+
+
+def test_ingest_takes_a_delivery_of_many_files_as_one_batch(spark, tmp_path):
+    from quillspan.operators.sets import chapter_fingerprint
+    from quillspan.streaming.attempts import ingest_chapters, ingested
+
+    source, keys = str(tmp_path / "in"), ["book_id", "chapter"]
+    rows = spark.createDataFrame([(b, c, n, f"{b}-{c}-{n}") for b in range(4) for c in range(3) for n in (1, 2)], "book_id long, chapter long, number long, body string")
+    args = (spark, source, rows.schema, lambda df: chapter_fingerprint(df, "v1"), keys, str(tmp_path / "manifest"), str(tmp_path / "work"), str(tmp_path / "state"), None)
+    rows.repartition(3, *keys).write.parquet(source)
+    assert ingest_chapters(*args) == 12
+    rows.repartition(4, "chapter", "book_id").write.mode("append").parquet(source)
+    assert ingest_chapters(*args) == 0
+    assert sorted(p.name for p in (tmp_path / "manifest").iterdir() if p.is_dir()) == ["epoch=-1", "epoch=0", "epoch=1"]
+    wanted = chapter_fingerprint(rows, "v1")
+    assert sorted(ingested(spark, wanted.schema, keys, str(tmp_path / "manifest"), str(tmp_path / "work")).collect()) == sorted(wanted.collect())
