@@ -713,3 +713,17 @@ def test_ingest_takes_a_delivery_of_many_files_as_one_batch(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "manifest").iterdir() if p.is_dir()) == ["epoch=-1", "epoch=0", "epoch=1"]
     wanted = chapter_fingerprint(rows, "v1")
     assert sorted(ingested(spark, wanted.schema, keys, str(tmp_path / "manifest"), str(tmp_path / "work")).collect()) == sorted(wanted.collect())
+
+
+def test_refine_makes_its_blocks_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, p, "heading" if p % 2 == 0 else "content", 1 if p == 0 else 2, 90, 0) for p in range(6)]
+    kinds = "d long, pos long, kind string, level int, words long, section long"
+    got = S.refine(spark.createDataFrame(rows, kinds).mapInArrow(count, kinds), ["d"], 160, 40)
+    assert got.count() == 6 and made.value == 6
