@@ -727,3 +727,13 @@ def test_refine_makes_its_blocks_once(spark):
     kinds = "d long, pos long, kind string, level int, words long, section long"
     got = S.refine(spark.createDataFrame(rows, kinds).mapInArrow(count, kinds), ["d"], 160, 40)
     assert got.count() == 6 and made.value == 6
+
+
+def test_refine_deals_its_rows_over_more_tasks_as_they_grow(spark, monkeypatch):
+    rows = [(d, p, "heading" if p % 2 == 0 else "content", 1 if p == 0 else 2, 90, 0) for d in range(5) for p in range(6)]
+    b = spark.createDataFrame(rows, "d long, pos long, kind string, level int, words long, section long")
+    one = sorted(S.refine(b, ["d"], 160, 40).collect())
+    monkeypatch.setattr(S, "TASK_ROWS", 1)
+    dealt, repartition = [], type(b).repartition
+    monkeypatch.setattr(type(b), "repartition", lambda self, n, *by: dealt.append(n) or repartition(self, n, *by))
+    assert sorted(S.refine(b, ["d"], 160, 40).collect()) == one and 30 in dealt
