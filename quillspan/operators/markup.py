@@ -32,12 +32,16 @@ def attribute(token: Column | str, name: str) -> Column:
     return F.when(t.rlike(pattern), unescape_html(value))
 
 
+#: Parts of tag rows for each part in which pages are read: a part's pages make several times their bytes in rows, which every window sorts.
+TAG_PARTS = 16
+
+
 def tag_rows(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """(keys, at, tag, closes, token, text) of a page's body: each tag with the text after it. Comments, scripts and styles are no tags; an empty or null page has no row."""
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(html), COMMENT, " "), RAW, " "), r"(?is)^.*?<body\b[^>]*>", "<body>")
     pieces = F.arrays_zip(F.regexp_extract_all(body, F.lit(TAG), F.lit(0)).alias("token"), F.slice(F.split(body, TAG, -1), 2, 1 << 30).alias("text"))
     rows = spread(pages.select(*keys, html)).select(*keys, F.posexplode(pieces).alias("at", "x")).select(*keys, "at", "x.token", "x.text")
-    rows = rows.repartition(*keys)  # the one shuffle: all windows below are within a page
+    rows = rows.repartition(TAG_PARTS * pages.rdd.getNumPartitions(), *keys)  # the one shuffle: all windows below are within a page
     return rows.select(*keys, "at", F.lower(F.regexp_extract("token", "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("tag"), F.col("token").startswith("</").alias("closes"), "token", "text")
 
 

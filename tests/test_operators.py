@@ -737,3 +737,11 @@ def test_refine_deals_its_rows_over_more_tasks_as_they_grow(spark, monkeypatch):
     dealt, repartition = [], type(b).repartition
     monkeypatch.setattr(type(b), "repartition", lambda self, n, *by: dealt.append(n) or repartition(self, n, *by))
     assert sorted(S.refine(b, ["d"], 160, 40).collect()) == one and 30 in dealt
+
+
+def test_tag_rows_come_in_more_parts_than_their_pages(spark):
+    from quillspan.operators.markup import TAG_PARTS, tag_rows
+
+    df = spark.createDataFrame([(i, "<body><p>a</p>b") for i in range(40)], "page_id long, html string").repartition(3)
+    rows = tag_rows(df, ["page_id"])
+    assert rows.rdd.getNumPartitions() == 3 * TAG_PARTS and rows.count() == 120
