@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, lines, packing, quality, shingles
-from quillspan.llm.common import stage, table
+from quillspan.llm.common import small_batches, stage, table
 from quillspan.llm.queries import tokenizer_file
 
 #: Words of a shingle for near-duplicate documents.
@@ -19,6 +19,7 @@ END, WINDOW = 2, 4096
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores below 0.7 go."""
+    small_batches(spark)
     ensemble = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, ensemble, threshold=0.7)
 
@@ -33,16 +34,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    small_batches(spark)
     return shingles.drop_near_duplicates(docs, shingle=SHINGLE, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, edited or not, go."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents as pieces of sequences."""
+    small_batches(spark)
     pieces = packing.pack(docs, tokenizer_file(TOKENIZER), end=END, window=WINDOW)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

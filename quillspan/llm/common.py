@@ -73,6 +73,20 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts in a batch that goes to a Python worker. A task holds a batch several times: where the JVM writes it and reads the answer, in the worker as it came, as objects, and as what is made of them.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of BATCH_BYTES and one row at most to Python workers, unless smaller ones are set; however long the texts are, rows by the number do not bound them.
+
+    A setting of the session, as it holds when a plan runs, after the operator has returned it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: A key with more rows than this is joined by broadcast, so that its rows stay where they are; of N rows, N / HOT_ROWS keys at most are that frequent.
 HOT_ROWS = 100_000
 #: Up to so many narrow rows are sent to every executor.

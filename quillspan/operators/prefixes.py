@@ -66,16 +66,18 @@ def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], Da
 
     ``again`` makes the rows of some keys, with these shingles last in the order.
     """
+    import pyarrow as pa
+
     rows, last = first, set()
     for left in range(ROUNDS, -1, -1):
         own = rows.select(*[c for c in rows.columns if c != "prefix"], F.explode("prefix").alias("shingle"))
         shared = cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
-        often = shared.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).collect() if left and _crowded(shared) else []
-        new = {r["shingle"] for r in often} - last
+        often = shared.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow()["shingle"].to_pylist() if left and _crowded(shared) else []
+        new = set(often) - last
         if not new:
             break
         last |= new
-        put_back = own.sparkSession.createDataFrame([(x,) for x in sorted(new)], "shingle long")
+        put_back = own.sparkSession.createDataFrame(pa.table({"shingle": pa.array(sorted(new), pa.int64())}))  # from Arrow: rows of Python would go through workers of their own
         touched = sent(cut(own.join(F.broadcast(put_back), "shingle", "left_semi").select(key).distinct(), "touched"))
         rows = cut(rows.join(touched, key, "left_anti").unionByName(again(touched, sorted(last))), "prefixes")
     return cut(own.join(sent(shared.select("shingle")), "shingle", "left_semi"), "shared-prefixes")

@@ -817,6 +817,30 @@ def test_pipeline_on_awkward_rows(spark):
     assert P.STAGES[-1][1](spark, d, "").select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "decontamination", "packing"])
+def test_pipeline_bounds_the_bytes_of_a_batch(spark, name):
+    """However long the texts, a task of a stage gets no batch that holds thousands of them."""
+    import corpus_pipeline as P
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "b"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        dict(P.STAGES)[name](spark, docs(spark, [(1, "some words of a text"), (2, "others")]), "/root/testdata/sf0.001")
+        got = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("t")).mapInArrow(count, "n long, b long").collect()
+        assert sum(r["n"] for r in got) == 4000 and max(r["b"] for r in got) <= common.BATCH_BYTES + 8192
+        spark.conf.set(key, "1m")  # smaller ones stay
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 # 10: exact
 
 
