@@ -7,17 +7,20 @@ last changes which candidates meet, never whether a similar pair does.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMMON = 4
 #: A shingle that more prefixes hold is put last; so many of them at most, the most frequent first, in so many rounds.
-#: No round follows once the pairs under such shingles are fewer than the rows that share any: it would move all prefixes for less than it saves.
+#: No round follows once the pairs under such shingles that are not last yet are fewer than the rows that share any: it would move all prefixes for less than it saves.
 FREQUENT = 32
 MOST_FREQUENT = 1 << 16
 ROUNDS = 4
+#: Values that a task counts at a time, and how often it must meet one to send it on.
+COUNTED = 1 << 22
+SEVERAL = 3
 #: A table of up to so many ids may be sent to every executor.
 BROADCAST_IDS = 1 << 20
 
@@ -27,10 +30,6 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def prefix_size(n: Column, similarity: float) -> Column:
-    return F.least(n, n - F.ceil(F.lit(similarity) * n - 1e-9) + COMMON).cast("int")
-
-
 def needed(n: Column, m: Column, similarity: float) -> Column:
     """Shingles that the prefixes of two sets of these sizes share at least, if the sets are similar."""
     return F.least(F.lit(COMMON), F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9))
@@ -54,30 +53,60 @@ def first_ones(similarity: float, frequent: list[int]) -> Callable:
     return take
 
 
-def _crowded(shared: DataFrame) -> bool:
-    """Whether the pairs under frequent shingles outnumber the rows of all shared ones (shingle, f)."""
-    f = F.col("f").cast("double")
-    rows, pairs = shared.agg(F.sum(f), F.sum(F.when(f > FREQUENT, f * (f - 1) / 2))).first()
-    return (pairs or 0) > (rows or 0)
+def frequent(sets: DataFrame) -> list[int]:
+    """Shingles that very many of the sets (one column, arrays of distinct longs) hold, ascending; those with the most are the first to be put last.
+
+    A task counts the shingles of ``COUNTED`` values at a time and sends on those that it meets
+    ``SEVERAL`` times there. What it misses by that is only not put last; :func:`shared_prefixes` still counts exactly.
+    """
+    counted, several = COUNTED, SEVERAL
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def counts(parts):
+            values, f = np.unique(np.concatenate(parts), return_counts=True)
+            often = f >= several
+            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(f[often])], names=["shingle", "f"])
+
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(batch.column(0).flatten().to_numpy())
+            n += len(parts[-1])
+            if n >= counted:
+                yield counts(parts)
+                parts, n = [], 0
+        if parts:
+            yield counts(parts)
+
+    found = sets.mapInArrow(run, "shingle long, f long").groupBy("shingle").agg(F.sum("f").alias("f"))
+    return sorted(_most(found))
+
+
+def _most(found: DataFrame) -> dict[int, int]:
+    """The most frequent shingles of a table (shingle, f) and how many sets hold each."""
+    got = found.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).select("shingle", "f").toArrow()
+    return dict(zip(*(c.to_pylist() for c in got.columns), strict=True))
 
 
-def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], DataFrame], cut: Callable[[DataFrame, str], DataFrame], key: str) -> DataFrame:
-    """Rows of ``first`` (key, any others, ``prefix``), one per shingle of a prefix that another set's prefix has too: (key, others, shingle).
+def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], DataFrame], cut: Callable[[DataFrame, str], DataFrame], key: str, put_last: Iterable[int] = (), counts: bool = False) -> DataFrame:
+    """Rows of ``first`` (key, any others, ``prefix``), one per shingle of a prefix that another set's prefix has too: (key, others, shingle), with ``counts`` also f, how many prefixes in all.
 
-    ``again`` makes the rows of some keys, with these shingles last in the order.
+    ``again`` makes the rows of some keys, with these shingles last in the order; in ``first``, ``put_last`` are.
     """
     import pyarrow as pa
 
-    rows, last = first, set()
+    rows, last = first, set(put_last)
     for left in range(ROUNDS, -1, -1):
         own = rows.select(*[c for c in rows.columns if c != "prefix"], F.explode("prefix").alias("shingle"))
         shared = cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
-        often = shared.where(F.col("f") > FREQUENT).orderBy(F.desc("f"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow()["shingle"].to_pylist() if left and _crowded(shared) else []
-        new = set(often) - last
-        if not new:
+        often = _most(shared) if left else {}
+        new = often.keys() - last
+        if not new or sum(often[x] * (often[x] - 1) // 2 for x in new) <= shared.agg(F.sum("f")).first()[0]:
             break
         last |= new
         put_back = own.sparkSession.createDataFrame(pa.table({"shingle": pa.array(sorted(new), pa.int64())}))  # from Arrow: rows of Python would go through workers of their own
         touched = sent(cut(own.join(F.broadcast(put_back), "shingle", "left_semi").select(key).distinct(), "touched"))
         rows = cut(rows.join(touched, key, "left_anti").unionByName(again(touched, sorted(last))), "prefixes")
-    return cut(own.join(sent(shared.select("shingle")), "shingle", "left_semi"), "shared-prefixes")
+    return cut(own.join(sent(shared), "shingle") if counts else own.join(sent(shared.select("shingle")), "shingle", "left_semi"), "shared-prefixes")

@@ -486,6 +486,50 @@ def test_a_large_family_is_dropped_in_one_round(spark, monkeypatch):
     assert met == [9_999]
 
 
+def test_shingle_sets_are_those_of_the_words(spark):
+    """Words are told apart by letters and digits of any script, whatever stands between; sets by their shingles, in texts before and after each other and across slices."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    some = ["a", "aa", "ab", "ba", "b", "é", "e", "über", "中文", "𝒳", "x1", "1x", "٣"]
+    texts = [None, "", " ", "...", "one two three four", "one two three four five", "  One--two THREE_four\n five  ", "Five four three two one."]
+    texts += [rng.choice(["", "-"]) + rng.choice([" ", ", ", "\n"]).join(rng.choice(some) for _ in range(rng.randrange(4, 60))) for _ in range(300)]
+    texts += [" ".join(f"w{rng.randrange(50)}" for _ in range(60_000)), texts[4], texts[5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["id"]: r for r in N.shingle_sets(docs, min_words=5).collect()}
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in enumerate(words) if len(w) >= 5}
+    assert {k: (r["words"], r["n"]) for k, r in got.items()} == {k: (len(words[k]), len(x)) for k, x in sets.items()}
+    assert all(r["grams"] == sorted(set(r["grams"])) for r in got.values())
+    assert len({g for x in sets.values() for g in x}) == len({g for r in got.values() for g in r["grams"]})
+    assert all(len(sets[a] & sets[b]) == len(set(got[a]["grams"]) & set(got[b]["grams"])) and (sets[a] == sets[b]) == (got[a]["same"] == got[b]["same"]) for a in sets for b in sets if a < b)
+
+
+def test_texts_that_share_rare_shingles_are_compared_at_once(spark, monkeypatch):
+    """A passage in a few texts costs no rounds, and a line in most texts no second count of all prefixes; a large family still meets its first member only."""
+    import random
+
+    tags, met = [], []
+    cut, similar = N.cut, N._similar
+    monkeypatch.setattr(N, "cut", lambda df, tag: tags.append(tag) or cut(df, tag))
+    monkeypatch.setattr(N, "_similar", lambda pairs, *rest: (met.append(pairs.count()), similar(pairs, *rest))[1])
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, line = words(30), words(7)
+    texts = [passage + words(60) for _ in range(20)] + [line + words(60) for _ in range(120)]
+    pairs = [words(80) for _ in range(15)]
+    texts += pairs + [[*t[:-1], "other"] for t in pairs]
+    docs = lambda rows: spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in N.drop_near_duplicates(docs(texts)).collect()) == list(range(155))
+    assert tags.count("shared") == 1 and tags.count("leaders") == 0 and len(met) == 1
+    met.clear()
+    base = words(80)
+    family = [[*base, f"end{k}"] for k in range(100)]
+    assert sorted(r["doc_id"] for r in N.drop_near_duplicates(docs(texts + family)).collect()) == [*range(155), 170]
+    assert sum(met) < 500
+
+
 def test_marks_with_tags_inside(spark):
     from quillspan.operators import terms as M
 
