@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,10 +72,40 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (staged := _staged.get()) is not None:
+        staged.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are staged inside go at its end, so that the disk does not hold them until the application ends.
+
+    Yields a :func:`stage` for the result, whose table stays; nothing lazy that reads the others may leave.
+    """
+    outer, paths = _staged.get(), []
+    token = _staged.set(paths)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        inner = _staged.set(outer)
+        try:
+            return stage(df, tag)
+        finally:
+            _staged.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _staged.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of texts in a batch that goes to a Python worker. A task holds a batch several times: where the JVM writes it and reads the answer, in the worker as it came, as objects, and as what is made of them.
 BATCH_BYTES = 4 << 20
 

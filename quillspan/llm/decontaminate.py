@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import ship, stage
+from quillspan.llm.common import scratch, ship, stage
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -315,7 +315,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those whose text is contaminated, whatever their id; of a repeated id only such rows go."""
     settings = {"item_col": "item_id", "item_text": "text", "ngram": NGRAM, "threshold": THRESHOLD} | options
-    bad = stage(_found(docs, items, id_col, text_col, **settings).select("h1", "h2").distinct(), "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(_found(docs, items, id_col, text_col, **settings).select("h1", "h2").distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))

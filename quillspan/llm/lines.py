@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import join_split, stage
+from quillspan.llm.common import join_split, scratch, stage
 
 MIN_WORDS = 5
 #: A table of up to so many narrow rows (under 100 bytes each in memory) is sent to every executor; a larger one is joined by a shuffle.
@@ -179,7 +179,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table stays empty. Hash collisions of near lines fail the verification and leave
     the line in place.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words)
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(repeated_lines(docs, id_col, text_col, min_words), "gone-lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the columns travel in a struct, so that no name of theirs can meet one of ours
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import BROADCAST_ROWS, join_split, ship, stage
+from quillspan.llm.common import BROADCAST_ROWS, join_split, scratch, ship, stage
 from quillspan.llm.components import components
 from quillspan.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
 from quillspan.operators.prefixes import first_ones, needed, sent, shared_prefixes
@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as empty, and texts without a word are copies of each other. Repeated rows each
     give a row; a null id never names a component. An empty table gives an empty result.
     """
-    whole = stage(_grouped(docs, id_col, text_col, shingle, similarity), "groups")
+    with scratch(docs.sparkSession) as keep:
+        whole = keep(_grouped(docs, id_col, text_col, shingle, similarity), "groups")
     least = stage(whole.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("times")), "least-ids")
     return join_split(whole, least, ["comp"], "times").select(F.col("id").alias(id_col), "component_id")
 
@@ -191,7 +192,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and text: of another text under a repeated id nothing goes, and of rows equal in both one
     stays.
     """
-    whole = stage(_grouped(docs, id_col, text_col, shingle, similarity), "groups")
+    with scratch(docs.sparkSession) as keep:
+        whole = keep(_grouped(docs, id_col, text_col, shingle, similarity), "groups")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     stays = stage(whole.groupBy("comp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first-rows")
     gone = join_split(whole, stays, ["comp"], "times").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))).select("id", "h").distinct()

@@ -935,3 +935,19 @@ def test_prefixes_are_not_moved_again_for_a_few_frequent_shingles(spark, monkeyp
     rows = [(k, f"{line} {words(4)}") for k in range(120)]
     assert shingles.near_duplicates(docs(spark, rows)).where("doc_id <> component_id").count() == 0
     assert "prefixes" in written
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "near_dedup", "decontamination"])
+def test_a_stage_leaves_only_what_its_result_reads(spark, name):
+    """Tables that a stage writes for itself go before its result is read; the disk held them until the application ended."""
+    from pathlib import Path
+
+    import corpus_pipeline as P
+
+    src = "/root/testdata/sf0.001"
+    tables = lambda: set(Path(common.shared_dir(spark).removeprefix("file://")).glob("*"))
+    before = tables()
+    got = dict(P.STAGES)[name](spark, common.table(spark, src, "documents"), src)
+    left = {p.name.rpartition("-")[0] for p in tables() - before}
+    assert left == {"line_dedup": {"gone-lines"}, "near_dedup": {"groups", "first-rows", "copies", "repeated-rows"}, "decontamination": {"contaminated"}}[name]
+    assert 0 < got.count() <= 200
