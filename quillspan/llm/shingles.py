@@ -139,7 +139,8 @@ def _linked(shared: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame],
         met = met.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(enough).select("a", "b")
         met = stage(met, "met")
         if not met.isEmpty():
-            found = stage(_verified(met, sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), similarity), "found")
+            with scratch(met.sparkSession) as keep:
+                found = keep(_verified(met, sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), similarity), "found")
             if not found.isEmpty():
                 links = stage(links.unionAll(found), "links-so-far")
                 final = stage(components(links), "components")

@@ -90,13 +90,29 @@ def _most(found: DataFrame) -> dict[int, int]:
     return dict(zip(*(c.to_pylist() for c in got.columns), strict=True))
 
 
+def _holders(key: str, shingles: list[int]) -> Callable:
+    """A function of tasks: the keys of prefixes (key, prefix) that hold any of the shingles, which ascend. It needs no package there."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        wanted = np.array(shingles, np.int64)
+        for batch in batches:
+            prefix = batch.column(1)
+            values = prefix.flatten().to_numpy()
+            found = wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+            of = np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(of[found])))], names=[key])
+
+    return run
+
+
 def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], DataFrame], cut: Callable[[DataFrame, str], DataFrame], key: str, put_last: Iterable[int] = (), counts: bool = False) -> DataFrame:
     """Rows of ``first`` (key, any others, ``prefix``), one per shingle of a prefix that another set's prefix has too: (key, others, shingle), with ``counts`` also f, how many prefixes in all.
 
     ``again`` makes the rows of some keys, with these shingles last in the order; in ``first``, ``put_last`` are.
     """
-    import pyarrow as pa
-
     rows, last = first, set(put_last)
     for left in range(ROUNDS, -1, -1):
         own = rows.select(*[c for c in rows.columns if c != "prefix"], F.explode("prefix").alias("shingle"))
@@ -106,7 +122,6 @@ def shared_prefixes(first: DataFrame, again: Callable[[DataFrame, list[int]], Da
         if not new or sum(often[x] * (often[x] - 1) // 2 for x in new) <= shared.agg(F.sum("f")).first()[0]:
             break
         last |= new
-        put_back = own.sparkSession.createDataFrame(pa.table({"shingle": pa.array(sorted(new), pa.int64())}))  # from Arrow: rows of Python would go through workers of their own
-        touched = sent(cut(own.join(F.broadcast(put_back), "shingle", "left_semi").select(key).distinct(), "touched"))
-        rows = cut(rows.join(touched, key, "left_anti").unionByName(again(touched, sorted(last))), "prefixes")
+        touched = sent(cut(rows.select(key, "prefix").mapInArrow(_holders(key, sorted(new)), f"{key} {rows.schema[key].dataType.simpleString()}"), "touched"))
+        rows = rows.join(touched, key, "left_anti").unionByName(cut(again(touched, sorted(last)), "prefixes"))
     return cut(own.join(sent(shared), "shingle") if counts else own.join(sent(shared.select("shingle")), "shingle", "left_semi"), "shared-prefixes")
